@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, decontaminate)
 
 
 def queries() -> dict:
