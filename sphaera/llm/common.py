@@ -65,3 +65,17 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total
     dealt = F.when(F.col(f"__hot_{count}").isNull(), F.col(key)).otherwise(F.concat(F.encode(F.lit("~"), "UTF-8"), F.unhex(F.lpad(F.hex(F.xxhash64(spread)), 16, "0"))))
     both = left.withColumn("__key", dealt).join(rest, "__key", "left")
     return both.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in others])
+
+
+def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """row, doc_id, text with a unique, non-null long in row.
+
+    Where doc_id is such a key itself, as it should be, it is used as it is.
+    Otherwise the rows are numbered and stored, so that the numbers stay the same
+    each time they are read.
+    """
+    lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    n, ids = lean.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return lean.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    return materialise(lean.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")

@@ -16,10 +16,10 @@ import pyarrow as pa
 #: a block of its own. Bounds the memory of a Python worker.
 BLOCK_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd bases of the two independent polynomial hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = 0xD6E8FEB86659FD93
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -32,12 +32,13 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
-    if not _powers or len(_powers[0]) < n + 1:
+    if kind not in _powers or len(_powers[kind][0]) < n + 1:
         size = max(n + 1, BLOCK_BYTES * 2)
-        _powers[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, b, np.uint64)))) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+        both = (_BASES[kind], pow(_BASES[kind], -1, 1 << 64))
+        _powers[kind] = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, b, np.uint64)))) for b in both)
+    return _powers[kind]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,17 +50,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, kind: int = 0) -> np.ndarray:
     """For range_hash."""
-    power, _ = _power_tables(len(data))
+    power = _power_tables(len(data), kind)[0]
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=out[1:])
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
     """Hash of the bytes in [start, end), wherever they lie; not mixed."""
-    return (sums[end] - sums[start]) * _power_tables(len(sums))[1][start]
+    return (sums[end] - sums[start]) * _power_tables(len(sums), kind)[1][start]
 
 
 def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -116,3 +117,10 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """Each row of a contiguous 2-d array as one binary value."""
+    width = rows.shape[1] * rows.itemsize
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
