@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .common import materialise
 
 MAX_TRAIN = 8000
 MAX_FEATURES = 1 << 16
@@ -69,14 +70,14 @@ def features_of(word: str) -> np.ndarray:
 
 
 def _training_rows(rows: DataFrame, identity: tuple, twins: bool) -> DataFrame:
-    """toxic, twin (whether a twin of the row before it that is none), features."""
+    """toxic, key (of the text), twin (whether a twin of the text with that key), features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {int(features_of(w)[0]): (w, kind) for kind in identity for w in kind}
         known = np.array(sorted(own), np.uint64)
         of = {w: features_of(w) for kind in identity for w in kind}
         for batch in batches:
-            labels, flags, lists = [], [], []
+            labels, keys, flags, lists = [], [], [], []
             for i in range(batch.num_rows):
                 raw = tx.LOWER[np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)]
                 start, end, _ = tx.split_words(raw, np.array([0, len(raw)]), tx.ALNUM)
@@ -89,11 +90,12 @@ def _training_rows(rows: DataFrame, identity: tuple, twins: bool) -> DataFrame:
                         every += [np.unique(np.concatenate((rest.ravel(), of[w]))) for w in kind if w != word]
                 every = every[: 1 + MAX_TWINS]
                 labels += [batch.column(0)[i].as_py()] * len(every)
+                keys += [batch.column(2)[i].as_py()] * len(every)
                 flags += [k > 0 for k in range(len(every))]
                 lists += [tx.signed(x) for x in every]
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels, pa.int32()), "twin": flags, "features": pa.array(lists, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels, pa.int32()), "key": pa.array(keys, pa.int64()), "twin": pa.array(flags, pa.bool_()), "features": pa.array(lists, pa.list_(pa.int64()))})
 
-    return rows.mapInArrow(run, "toxic int, twin boolean, features array<bigint>")
+    return rows.mapInArrow(run, "toxic int, key bigint, twin boolean, features array<bigint>")
 
 
 class Model:
@@ -120,33 +122,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(toxic: np.ndarray, twin: np.ndarray, lists: list[np.ndarray], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 30) -> Model:
+def fit(toxic: np.ndarray, keys: np.ndarray, twin: np.ndarray, lists: list[np.ndarray], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 30) -> Model:
     """Truncated Newton steps on the mean log loss, the ridge and the counterfactual penalty."""
     real = ~twin
     n, n_pos = int(real.sum()), int(toxic[real].sum())
     none = np.zeros(0, np.uint64)
-    if not 0 < n_pos < n:
+    if not 0 < n_pos < n or not lists:
         share = n_pos / n if n else 0.0
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0))
     texts = [x.view(np.uint64) for x in lists]
     size = np.array([len(x) for x in texts])
-    row, feature = np.repeat(np.arange(len(texts)), size), np.concatenate(texts)
-    names, column = np.unique(feature, return_inverse=True)
-    mine = real[row]
-    df = np.bincount(column[mine], minlength=len(names))
-    pos = np.bincount(column[mine], weights=toxic[row[mine]], minlength=len(names))
     share = n_pos / n
-    z = (pos - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    good = np.flatnonzero((df >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
-    if len(good) > MAX_FEATURES:
-        good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_FEATURES]])
+    row = np.repeat(np.arange(len(texts)), size)
+    good, column = np.unique(np.concatenate(texts), return_inverse=True)
     if not len(good):
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
-    place = np.full(len(names), -1)
-    place[good] = np.arange(len(good))
-    inside = place[column] >= 0
-    row, column = row[inside], place[column[inside]]
-    base = np.maximum.accumulate(np.where(real, np.arange(len(texts)), 0))
+    by_key = {h: i for i, h in enumerate(keys.tolist()) if real[i]}
+    base = np.array([by_key[h] for h in keys.tolist()])
     pairs = np.flatnonzero(twin)
     y, m, k = toxic.astype(float), len(good), len(texts)
     weigh = 2 * counterfactual / max(1, len(pairs))
@@ -195,7 +187,7 @@ def fit(toxic: np.ndarray, twin: np.ndarray, lists: list[np.ndarray], counterfac
         v = v + rate * step
         s = scores(v)
     w, b = v[:-1], float(v[-1])
-    return Model(names[good], w, b)
+    return Model(good, w, b)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -207,16 +199,41 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out())
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    found = _training_rows(rows, identity, counterfactual > 0).toArrow()
-    lists = found.column("features").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
-    flat, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
-    return fit(
-        found.column("toxic").to_numpy().astype(np.int64), found.column("twin").to_numpy().astype(bool),
-        [flat[a:b] for a, b in zip(at[:-1], at[1:])], counterfactual,
-    )
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("key"))
+    sample = materialise(_training_rows(rows, identity, counterfactual > 0), "toxicity-sample")
+    names = _select(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(3).values.to_numpy(zero_copy_only=False)
+            keep = np.isin(found, shared.value)
+            at = np.concatenate(([0], np.cumsum(keep)))[batch.column(3).offsets.to_numpy()]
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found[keep]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["toxic", "key", "twin", "features"])
+
+    found = sample.mapInArrow(narrow, sample.schema).toArrow()
+    lists = [x.to_numpy() for part in found.column("features").chunks for x in _split(part)]
+    return fit(found.column("toxic").to_numpy().astype(np.int64), found.column("key").to_numpy(), found.column("twin").to_numpy().astype(bool), lists, counterfactual)
+
+
+def _split(part: pa.ListArray) -> Iterator[pa.Array]:
+    at = part.offsets.to_numpy()
+    for a, b in zip(at[:-1], at[1:]):
+        yield part.values.slice(a, b - a)
+
+
+def _select(sample: DataFrame) -> np.ndarray:
+    """The features that the labels depend on most, at most MAX_FEATURES of them; counted in Spark."""
+    real = sample.filter("NOT twin")
+    n, n_pos = real.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_pos < n:
+        return np.zeros(0, np.int64)
+    share = n_pos / n
+    by = real.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("pos"))
+    z = F.abs(F.col("pos") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share))
+    best = by.filter(F.col("df") >= MIN_TEXTS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    return np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
