@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1024
 
 
+#: Rows that Arrow sends to a Python worker at once; texts are long, so it is few.
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches of whole texts, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
@@ -38,6 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     lazily evaluated results may still read them.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = work_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import materialise, text_or_empty
+from .common import materialise, small_batches, text_or_empty
 
 WINDOW = 10
 #: Items with more text than this are not broadcast.
@@ -126,6 +126,7 @@ def _read_items(benchmark: DataFrame, text: str, item_id: str) -> list | None:
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", clean: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted array of strings); with ``clean`` also cleaned: the text without hit spans."""
+    small_batches(docs.sparkSession)
     items = _read_items(benchmark, text, item_id)
     if items is None:
         return joined_hits(docs, benchmark, text, doc_id, item_id, clean)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialise
+from .common import join_counted, materialise, small_batches
 
 MIN_PAGES, MIN_SHARE, MIN_SHARE_INSIDE = 5, 0.2, 0.5
 MAX_BROADCAST_BYTES = 32 << 20
@@ -204,6 +204,7 @@ def site_templates(pages: DataFrame, html: str = "html", url: str = "url") -> Da
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """page_id, url, text of every page."""
+    small_batches(pages.sparkSession)
     found = site_templates(pages, html, url)
     pick = lambda inside: F.collect_list(F.when(F.col("inside") == inside, F.col("hash")))
     by_host = materialise(found.groupBy("host").agg(pick(False).alias("templates"), pick(True).alias("inner"), F.max("n").alias("n")), "html-templates")

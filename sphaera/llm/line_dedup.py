@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import identify, join_counted, materialise
+from .common import identify, join_counted, materialise, small_batches
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 50_000
@@ -273,6 +273,7 @@ class LineIndex:
 
     def deduplicate(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """row, doc_id, n_lines, n_dropped, kept (text): one row per row of docs, which the index must hold."""
+        small_batches(docs.sparkSession)
         rows = identify(docs, text, doc_id)
         total = self.refs.count()
         checked = join_counted(self.candidates(rows), self.contested, "key", "holders", total, F.col("row"))

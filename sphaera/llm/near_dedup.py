@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import identify, join_counted, materialise
+from .common import identify, join_counted, materialise, small_batches
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -48,7 +48,7 @@ LIST = 40
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold.
 SIGMAS = 4.5
 #: Smallest common shingles by which dense texts meet; rows of a block.
-MEETINGS, BLOCK = 6, 256
+MEETINGS, BLOCK = 6, 128
 #: Lists of ids up to this length are broadcast to pick texts, longer ones are joined.
 MAX_BROADCAST_IDS = 1 << 20
 
@@ -232,6 +232,7 @@ def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: in
 
 def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    small_batches(docs.sparkSession)
     rows = identify(docs, text, doc_id)
     base = materialise(sketches(rows, shingle, k), "near-sketches")
     full = base.filter("n > 0")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import materialise
+from .common import materialise, small_batches
 
 MAX_TRAIN = 8000
 MAX_FEATURES = 1 << 16
@@ -238,6 +238,7 @@ def _select(sample: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, score of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.known, model.weights, model.bias))
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
