@@ -79,15 +79,19 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total
     return both.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in others])
 
 
-def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ordered: bool = False) -> DataFrame:
     """row, doc_id, text with a unique, non-null long in row.
 
     Where doc_id is such a key itself, as it should be, it is used as it is.
     Otherwise the rows are numbered and stored, so that the numbers stay the same
-    each time they are read.
+    each time they are read; with ``ordered`` in the order of doc_id (null first)
+    and a hash of the text.
     """
     lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n, ids = lean.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
         return lean.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    if ordered:
+        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+        lean = lean.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(lean.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")

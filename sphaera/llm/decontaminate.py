@@ -20,7 +20,6 @@ read by the scan.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

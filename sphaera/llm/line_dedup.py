@@ -29,7 +29,6 @@ empty result; other columns stay as they are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
