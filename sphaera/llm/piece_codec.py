@@ -9,8 +9,8 @@ No piece of such models crosses from a word to the next space or over a line
 feed (checked when a model is read; a model with such pieces is handled as one
 word a text). So a text's lattice is a chain of independent word lattices:
 
-* distinct words of a block are segmented once, all of one length at a time, by
-  a vectorised forward Viterbi pass that keeps the two best scores;
+* distinct words are segmented once, many of about one length at a time, by a
+  vectorised forward Viterbi pass that keeps the two best scores;
 * the N best segmentations of a text differ from the best one only in its N - 1
   words with the least loss to their second best. A-star runs on those words, and
   their lists are combined.
@@ -44,6 +44,10 @@ NBEST = 4
 PENALTY = 10.0
 #: Longer words are segmented one by one.
 MAX_WORD = 48
+#: Words up to each of these lengths are segmented together, padded.
+LENGTHS = (0, 5, 8, 11, 14, 18, 24, 48)
+MAX_KNOWN = 300_000
+BLOCK = 2 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.uint64(0x100000001B3)
 
@@ -82,9 +86,11 @@ class Pieces:
         self.ids = np.array(list(self.id_of.values()), np.int64)[order]
         self.scores = np.array(list(self.score_of.values()))[order]
         self.bits = np.uint64(64 - 20)
-        self.table = np.zeros(1 << 20, np.int32)
-        slot = (self.keys * _MULTIPLIER >> self.bits).astype(np.int64)
-        self.table[slot] = 1
+        # a slot has 1 if some piece begins so, 2 more if one is that
+        self.table = np.zeros(1 << 20, np.uint8)
+        begins = np.array(list({self._hash(x[:k]) for x in self.id_of for k in range(1, len(x) + 1)}), np.uint64)
+        self.table[self.slot(begins)] = 1
+        self.table[self.slot(self.keys)] = 3
         self.flat = np.frombuffer(b"".join(self.text), np.uint8)
         self.at = np.concatenate(([0], np.cumsum([len(x) for x in self.text])))
 
@@ -95,17 +101,11 @@ class Pieces:
             h = (h * int(_BYTE) + b + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of hashes that are pieces, and their places in keys."""
-        some = np.flatnonzero(self.table[(h * _MULTIPLIER >> self.bits).astype(np.int64)])
-        if not len(some):
-            return some, some
-        near = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
-        hit = self.keys[near] == h[some]
-        return some[hit], near[hit]
-
-    def segment_equal(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Best two scores of words of one length (rows of bytes), and the best one's last piece (-1: bytes) and its length at each end."""
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * _MULTIPLIER >> self.bits).astype(np.int64)
+
+    def segment_all(self, words: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best two scores of words (rows of bytes, padded), and the best one's last piece (-1: bytes) and its length at each end."""
         m, size = words.shape
         best = np.full((size + 1, m), -np.inf)
         second = np.full((size + 1, m), -np.inf)
@@ -114,6 +114,7 @@ class Pieces:
         best[0] = 0
         wide = words.astype(np.uint64)
         chars = np.where(words < 0x80, 1, np.where(words >= 0xF0, 4, np.where(words >= 0xE0, 3, np.where(words >= 0xC0, 2, 0))))
+        chars[np.arange(size)[None, :] >= size_of[:, None]] = 0
 
         def reach(end: int, who: np.ndarray, start: int, gain, name, n: int) -> None:
             one, two = best[start, who] + gain, second[start, who] + gain
@@ -125,22 +126,32 @@ class Pieces:
             length[end, who] = np.where(better, n, length[end, who])
 
         for start in range(size):
-            own = np.flatnonzero(best[start] > -np.inf)
+            own = np.flatnonzero((best[start] > -np.inf) & (chars[:, start] > 0))
             if not len(own):
                 continue
-            h = np.zeros(len(own), np.uint64)
             char = chars[own, start]
+            single = np.zeros(len(own), bool)
+            live, h = np.arange(len(own)), np.zeros(len(own), np.uint64)
             for n in range(1, min(self.longest, size - start) + 1):
-                h = h * _BYTE + wide[own, start + n - 1] + np.uint64(1)
-                some, near = self.find(h)
+                h = h * _BYTE + wide[own[live], start + n - 1] + np.uint64(1)
+                kind = self.table[self.slot(h)]
+                some = np.flatnonzero(kind & 2)
                 if len(some):
-                    reach(start + n, own[some], start, self.scores[near], self.ids[near], n)
+                    near = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+                    hit = self.keys[near] == h[some]
+                    some, near = some[hit], near[hit]
+                    reach(start + n, own[live[some]], start, self.scores[near], self.ids[near], n)
+                    single[live[some]] |= char[live[some]] == n
                 if n <= 4:
-                    lone = char == n
-                    lone[some] = False
-                    if lone.any():
+                    lone = np.flatnonzero((char == n) & ~single)
+                    if len(lone):
                         reach(start + n, own[lone], start, self.unknown, -1, n)
-        return best[size], second[size], piece, length
+                keep = kind > 0
+                live, h = live[keep], h[keep]
+                if not len(live) and n >= 4:
+                    break
+        at = np.arange(m)
+        return best[size_of, at], second[size_of, at], piece, length
 
     def edges(self, word: bytes) -> list[list[tuple[int, int]]]:
         """By end: (start, id or -1), the lattice of a word."""
@@ -190,33 +201,52 @@ class Pieces:
 
 
 class Words:
-    """Segmentations of the distinct words of a block."""
-
-    def __init__(self, pieces: Pieces, words: list[bytes]):
-        n = len(words)
-        self.score, self.gap = np.zeros(n), np.full(n, np.inf)
-        self.count = np.zeros(n, np.int64)
+    """Segmentations of distinct words, kept from block to block up to MAX_KNOWN words."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def lookup(self, words: list[bytes]) -> np.ndarray:
+        """The index of each of these distinct words, after what is new is segmented."""
+        if len(self.index) > MAX_KNOWN:
+            self.clear()
+        found = np.array([self.index.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            names = [words[k] for k in new.tolist()]
+            found[new] = len(self.index) + np.arange(len(new))
+            self.index.update(zip(names, found[new].tolist()))
+            self._segment(names)
+        return found
+
+    def _segment(self, words: list[bytes]) -> None:
+        pieces, n = self.pieces, len(words)
+        scores, gaps = np.zeros(n), np.full(n, np.inf)
         size = np.fromiter(map(len, words), np.int64, n)
         parts, owner = [], []
-        order = np.argsort(size, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        for u in np.flatnonzero(size > MAX_WORD).tolist():
+            two = pieces.nbest(words[u], 2)
+            scores[u] = two[0][0]
+            gaps[u] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
+            parts.append(np.array(two[0][1], np.int64))
+            owner.append(np.full(len(parts[-1]), u))
+        for low, high in zip(LENGTHS[:-1], LENGTHS[1:]):
+            group = np.flatnonzero((size > low) & (size <= min(high, MAX_WORD)))
             if not len(group):
                 continue
-            w = int(size[group[0]])
-            if w > MAX_WORD:
-                for u in group.tolist():
-                    two = pieces.nbest(words[u], 2)
-                    self.score[u] = two[0][0]
-                    self.gap[u] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
-                    parts.append(np.array(two[0][1], np.int64))
-                    owner.append(np.full(len(parts[-1]), u))
-                continue
-            grid = np.frombuffer(b"".join(words[u] for u in group.tolist()), np.uint8).reshape(-1, w)
-            best, second, piece, length = pieces.segment_equal(grid)
-            self.score[group] = best
-            self.gap[group] = best - second
-            ids = np.full((len(group), w), -1, np.int64)  # by start byte; -1: no piece starts here
-            end, live = np.full(len(group), w), np.arange(len(group))
+            own, m = size[group], len(group)
+            w = int(own.max())
+            grid = np.frombuffer(b"".join(words[u].ljust(w, b"\0") for u in group.tolist()), np.uint8).reshape(m, w)
+            best, second, piece, length = pieces.segment_all(grid, own)
+            scores[group], gaps[group] = best, best - second
+            ids = np.full((m, w), -1, np.int64)  # by start byte; -1: no piece starts here
+            end, live = own.copy(), np.arange(m)
             while len(live):
                 n_bytes, k = length[end[live], live], piece[end[live], live]
                 start = end[live] - n_bytes
@@ -229,12 +259,11 @@ class Words:
             which, at = np.nonzero(ids >= 0)
             parts.append(ids[which, at])
             owner.append(group[which])
-        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        self.ids = flat[order].astype(np.int32)
-        self.count = np.bincount(owner, minlength=n)
-        self.at = np.concatenate(([0], np.cumsum(self.count)))
+        owner, flat = np.concatenate(owner), np.concatenate(parts)
+        count = np.bincount(owner, minlength=n)
+        self.ids = np.concatenate((self.ids, flat[np.argsort(owner, kind="stable")].astype(np.int32)))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(count)))
+        self.score, self.gap = np.concatenate((self.score, scores)), np.concatenate((self.gap, gaps))
 
 
 def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +274,9 @@ def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nda
     return flat[index], bounds
 
 
-def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, n_best: int) -> list[tuple]:
+def encode_block(words: Words, data: np.ndarray, offsets: np.ndarray, n_best: int) -> list[tuple]:
     """(ids, score, nbest) of each text of a block."""
+    pieces = words.pieces
     n_docs = len(offsets) - 1
     full = np.diff(offsets) > 0
     put = offsets[:-1][full]
@@ -266,7 +296,7 @@ def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, n_best:
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     raw = text.tobytes()
     names = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-    words = Words(pieces, names)
+    which = words.lookup(names)[which]
     ids, bounds = _gather(words.ids, words.at, which)
     doc_at = np.searchsorted(start, offsets)
     total = np.concatenate(([0.0], np.cumsum(words.score[which])))
@@ -283,7 +313,7 @@ def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, n_best:
         for t in chosen.tolist():
             u = int(which[t])
             if u not in lists:
-                lists[u] = pieces.nbest(names[u], n_best)
+                lists[u] = pieces.nbest(raw[start[t] : end[t]], n_best)
             options = lists[u]
             combos = sorted(((loss + options[0][0] - s, picks + ((t, r),) if r else picks) for loss, picks in combos for r, (s, _) in enumerate(options)), key=lambda c: c[0])[:n_best]
         base = bounds[a]
@@ -329,14 +359,26 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL, n_be
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
         item = pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("first", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))])
-        for batch in batches:
-            for row, end, data, offsets in tx.blocks(batch.column(at_text), 1 << 20):
-                found = encode_block(pieces, data, offsets, n_best)
+        def some(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            for row, end, data, offsets in tx.blocks(table.column(at_text), BLOCK):
+                found = encode_block(words, data, offsets, n_best)
                 at = np.concatenate(([0], np.cumsum([len(x[0]) for x in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x[0] for x in found])))
                 nbest = pa.array([[{"score": s, "edits": [{"first": f, "length": n, "ids": i} for f, n, i in e]} for s, e in x[2]] for x in found], pa.list_(item))
-                own = [c.slice(row, end - row) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*own, ids, pa.array([x[1] for x in found]), nbest], [*batch.schema.names, "ids", "score", "nbest"])
+                own = [c.slice(row, end - row).combine_chunks() for c in table.columns]
+                own = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own]
+                yield pa.RecordBatch.from_arrays([*own, ids, pa.array([x[1] for x in found]), nbest], [*table.schema.names, "ids", "score", "nbest"])
+
+        words, held, size = Words(pieces), [], 0
+        for batch in batches:  # as many as make a block
+            held.append(batch)
+            size += batch.column(at_text).nbytes
+            if size >= BLOCK:
+                yield from some(held)
+                held, size = [], 0
+        if held:
+            yield from some(held)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return kept.mapInArrow(run, f"{fields}, {ENCODED}")
