@@ -17,7 +17,7 @@ word a text). So a text's lattice is a chain of independent word lattices:
 
 Text is encoded as it is, with one space put before it: spaces are the pieces'
 U+2581, characters without a piece (and U+2581 itself) become byte pieces at a
-penalty of 10 below the least score. Decoding gives back exactly the text.
+penalty of 10 below the least score of a piece (runs of spaces aside). Decoding gives back exactly the text.
 
 Defined cases: null and empty texts have no pieces and score 0; texts of any
 length are encoded whole; ties keep the segmentation whose last piece is longer;
@@ -76,7 +76,7 @@ class Pieces:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 raw = name.replace("▁", " ").encode()
                 self.text[i], self.id_of[raw], self.score_of[raw] = raw, i, p.get_score(i)
-        self.unknown = min(self.score_of.values()) - PENALTY
+        self.unknown = min(v for x, v in self.score_of.items() if x.strip(b" ")) - PENALTY
         self.longest = max(map(len, self.id_of))
         self.by_words = not any((b" " in x[1:] and x.strip(b" ")) or b"\n" in x for x in self.id_of)
         keys = np.array([self._hash(x) for x in self.id_of], np.uint64)
