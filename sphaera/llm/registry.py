@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, importance, line_dedup, near_dedup, piece_codec, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, importance, license_scan, line_dedup, near_dedup, piece_codec, suffix_dedup, toxicity
 
-MODULES = (line_dedup, toxicity, html_extract, exact_dedup, near_dedup, decontaminate, piece_codec, importance, suffix_dedup)
+MODULES = (line_dedup, license_scan, toxicity, html_extract, exact_dedup, near_dedup, decontaminate, piece_codec, importance, suffix_dedup)
 
 
 def queries() -> dict:
