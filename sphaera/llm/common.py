@@ -79,19 +79,41 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total
     return both.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in others])
 
 
-def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ordered: bool = False) -> DataFrame:
-    """row, doc_id, text with a unique, non-null long in row.
+def number(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ordered: bool = False) -> DataFrame:
+    """docs with __row: a unique, non-null long.
 
     Where doc_id is such a key itself, as it should be, it is used as it is.
     Otherwise the rows are numbered and stored, so that the numbers stay the same
     each time they are read; with ``ordered`` in the order of doc_id (null first)
     and a hash of the text.
     """
-    lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n, ids = lean.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    key = F.col(doc_id).cast("long")
+    n, ids = docs.agg(F.count("*"), F.count_distinct(key)).first()
     if n == ids:
-        return lean.select(F.col("doc_id").alias("row"), "doc_id", "text")
+        return docs.withColumn("__row", key)
     if ordered:
-        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-        lean = lean.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialise(lean.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+        order = [key.asc_nulls_first(), F.xxhash64(text).asc()]
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ordered: bool = False) -> DataFrame:
+    """row, doc_id, text of docs, with a unique, non-null long in row (see number)."""
+    lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return number(lean, ordered=ordered).select(F.col("__row").alias("row"), "doc_id", "text")
+
+
+def lean_rows(numbered: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """row, doc_id, text of numbered documents."""
+    return numbered.select(F.col("__row").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def without_rows(numbered: DataFrame, gone: DataFrame, max_broadcast: int = 1 << 20) -> DataFrame:
+    """Numbered documents whose __row is not in gone (row); few such rows are broadcast, more are joined."""
+    gone = materialise(gone.select(F.col("row").alias("__row")), "gone")
+    return numbered.join(F.broadcast(gone) if gone.count() <= max_broadcast else gone, "__row", "left_anti").drop("__row")
+
+
+def fields(df: DataFrame) -> str:
+    """The columns of df as a DDL string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

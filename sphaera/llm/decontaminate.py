@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import materialise, small_batches, text_or_empty
+from .common import fields, lean_rows, materialise, number, small_batches, text_or_empty, without_rows
 
 WINDOW = 10
 #: Items with more text than this are not broadcast.
@@ -223,14 +223,36 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, i
     return both.mapInArrow(finish, f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>" + ", cleaned string" * clean)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_documents: bool = False) -> DataFrame:
-    """The documents without hit spans, or with ``drop_documents`` those without hits; needs one row per doc_id."""
-    found = scan(docs, benchmark, text, doc_id, clean=True)
-    if drop_documents:
-        return docs.join(found.filter("n_hit > 0").select(F.col("doc_id").alias("__id")), docs[doc_id].eqNullSafe(F.col("__id")), "left_anti")
-    spans = found.select(F.col("doc_id").alias("__id"), "cleaned", "n_hit")
-    both = docs.join(spans.filter("n_hit > 0"), docs[doc_id].eqNullSafe(F.col("__id")), "left")
-    return both.select(*[(F.when(F.col("__id").isNotNull(), F.col("cleaned")).otherwise(docs[c]).alias(c) if c == text else docs[c]) for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", drop_documents: bool = False) -> DataFrame:
+    """docs with hit spans cut out of text, or with ``drop_documents`` those without hits; all columns stay."""
+    items = _read_items(benchmark, text, item_id)
+    if items is None:
+        numbered = number(docs, doc_id, text)
+        found = joined_hits(lean_rows(numbered, text, doc_id).select("row", "text"), benchmark, "text", "row", item_id, clean=True).filter("n_hit > 0")
+        if drop_documents:
+            return without_rows(numbered, found.select(F.col("doc_id").alias("row"))).select(*docs.columns)
+        both = numbered.join(found.select(F.col("doc_id").alias("__row"), F.col("cleaned").alias("__cleaned")), "__row", "left")
+        return both.withColumn(text, F.coalesce("__cleaned", text)).select(*docs.columns)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    at_text = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = WindowIndex(shared.value)
+        for batch in batches:
+            texts, out = batch.column(at_text), {}
+            for row, _, data, offsets in tx.blocks(texts):
+                for d in scan_block(index, data, offsets)[1]:
+                    out[row + d] = None if drop_documents else clean_text(index, texts[row + d].as_py())
+            if drop_documents:
+                yield batch.filter(pa.array([i not in out for i in range(batch.num_rows)], pa.bool_()))
+            elif out:
+                own = [out.get(i, texts[i].as_py()) for i in range(batch.num_rows)]
+                yield batch.set_column(at_text, batch.schema.field(at_text), pa.array(own, texts.type))
+            else:
+                yield batch
+
+    return docs.mapInArrow(run, fields(docs))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

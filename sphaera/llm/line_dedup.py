@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import identify, join_counted, materialise, small_batches
+from .common import identify, join_counted, lean_rows, materialise, number, small_batches
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 50_000
@@ -272,8 +272,17 @@ class LineIndex:
 
     def deduplicate(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """row, doc_id, n_lines, n_dropped, kept (text): one row per row of docs, which the index must hold."""
-        small_batches(docs.sparkSession)
-        rows = identify(docs, text, doc_id)
+        return self.deduplicate_rows(identify(docs, text, doc_id))
+
+    def rewrite(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        """docs with the lines dropped from text; the index must hold them."""
+        numbered = number(docs, doc_id, text)
+        kept = self.deduplicate_rows(lean_rows(numbered, text, doc_id)).select(F.col("row").alias("__row"), F.col("kept").alias("__kept"))
+        return numbered.drop(text).join(kept, "__row").withColumn(text, F.col("__kept")).select(*docs.columns)
+
+    def deduplicate_rows(self, rows: DataFrame) -> DataFrame:
+        """The same for rows (row, doc_id, text)."""
+        small_batches(rows.sparkSession)
         total = self.refs.count()
         checked = join_counted(self.candidates(rows), self.contested, "key", "holders", total, F.col("row"))
         gone = checked.filter("owner IS NOT NULL AND owner <> owner_id").groupBy("row").agg(F.flatten(F.collect_list("lines")).alias("gone"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import identify, join_counted, materialise, small_batches
+from .common import identify, join_counted, lean_rows, materialise, number, small_batches, without_rows
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -232,8 +232,19 @@ def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: in
 
 def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    small_batches(docs.sparkSession)
-    rows = identify(docs, text, doc_id)
+    return annotate_rows(identify(docs, text, doc_id), shingle, percent, k)
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest doc_id (all rows with it, if ids repeat)."""
+    numbered = number(docs, doc_id, text)
+    found = annotate_rows(lean_rows(numbered, text, doc_id), shingle, percent)
+    return without_rows(numbered, found.filter("NOT kept").select("row")).select(*docs.columns)
+
+
+def annotate_rows(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """The same for rows (row, doc_id, text)."""
+    small_batches(rows.sparkSession)
     base = materialise(sketches(rows, shingle, k), "near-sketches")
     full = base.filter("n > 0")
     classes = materialise(full.groupBy("sig").agg(F.min("row").alias("row"), F.count("*").alias("size"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")

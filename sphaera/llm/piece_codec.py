@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import small_batches
+from .common import fields, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
@@ -354,7 +354,6 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL, n_be
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
     kept = docs.drop("ids", "score", "nbest")
     at_text = kept.columns.index(text)
-    schema = kept.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
@@ -380,8 +379,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL, n_be
         if held:
             yield from some(held)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return kept.mapInArrow(run, f"{fields}, {ENCODED}")
+    return kept.mapInArrow(run, f"{fields(kept)}, {ENCODED}")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str | bytes = MODEL) -> DataFrame:
@@ -401,8 +399,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str | bytes = MODEL) ->
             texts = decode_ids(pieces, lists.values.to_numpy()[at[0] : at[-1]].astype(np.int64), at - at[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, decoded string")
+    return kept.mapInArrow(run, f"{fields(kept)}, decoded string")
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

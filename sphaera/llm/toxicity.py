@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import materialise, small_batches
+from .common import fields, materialise, small_batches
 
 MAX_TRAIN = 8000
 MAX_FEATURES = 1 << 16
@@ -251,6 +251,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.weights, model.bias))
+    at_text = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            found = [own.score_block(data, offsets) for _, _, data, offsets in tx.blocks(batch.column(at_text))]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) < threshold))
+
+    return docs.mapInArrow(run, fields(docs))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
