@@ -117,3 +117,16 @@ def without_rows(numbered: DataFrame, gone: DataFrame, max_broadcast: int = 1 <<
 def fields(df: DataFrame) -> str:
     """The columns of df as a DDL string."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def smallest_hashes(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest hashes of key: a sample of fixed size, for fitting only.
+
+    Rows beyond the hash that some more than n of the total stay below are left
+    out first, so the tasks send about n rows in all to the final sort.
+    """
+    h = F.xxhash64(key)
+    share = (1.3 * n + 200) / max(1, total)
+    if share < 1:
+        rows = rows.filter(h < int(-(1 << 63) + share * (1 << 64)))
+    return rows.orderBy(h, key).limit(n)

@@ -9,7 +9,7 @@ likely a licence than not is an unknown licence.
 
 Training is small and on the driver: variants of the templates below (words
 dropped, cut, put among other words), statements of unnamed licences, and a
-bounded sample of ``MAX_PLAIN`` lines of the corpus as plain text. Scanning covers
+bounded sample of ``MAX_PLAIN`` lines, from as many texts, as plain text. Scanning covers
 every line of every text: lines without a single word that is special to
 licences are settled on sight, for the others the n-grams are joined to the
 broadcast weights and templates, whose sizes the templates fix.
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import identify, materialise
+from .common import identify, materialise, smallest_hashes
 
 MAX_PLAIN = 400
 VARIANTS = 14
@@ -161,11 +161,12 @@ def _lowered(text: Column) -> Column:
 
 
 def plain_sample(rows: DataFrame) -> list[str]:
-    """The lines of 30 to 300 characters with the smallest hashes, less those that name licences."""
-    lines = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter("length(line) BETWEEN 30 AND 300")
+    """Lines of 30 to 300 characters that name no licence, from the MAX_PLAIN texts with the smallest hashes; the first MAX_PLAIN by hash."""
+    some = smallest_hashes(rows, "row", MAX_PLAIN, rows.count())
+    lines = some.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter("length(line) BETWEEN 30 AND 300")
     lines = lines.filter(~_lowered(F.col("line")).rlike("licen[sc]|copyright|redistribut|public domain|creative commons"))
-    found = lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(MAX_PLAIN * 4).collect()
-    return list(dict.fromkeys(r[0] for r in found))[:MAX_PLAIN]
+    found = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(MAX_PLAIN).collect()
+    return [r[0] for r in found]
 
 
 def scan_lines(rows: DataFrame, model: Model) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import fields, materialise, small_batches
+from .common import fields, materialise, small_batches, smallest_hashes
 
 MAX_TRAIN = 8000
 MAX_FEATURES = 1 << 16
@@ -197,7 +197,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_train: int = MAX_TRAIN, counterfactual: float = COUNTERFACTUAL, identity: tuple = IDENTITY) -> Model:
     """Learns from the labelled rows that are not held out."""
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out())
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = smallest_hashes(chosen, "doc_id", max_train, chosen.count())
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("key"))
     sample = materialise(_training_rows(rows, identity, counterfactual > 0), "toxicity-sample")
