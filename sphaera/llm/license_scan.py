@@ -63,12 +63,15 @@ UNNAMED = (
     "Released under our own public license, version 1.", "Distributed under a proprietary license.", "The license may be terminated at any time.",
     "Redistribution in any form is prohibited.", "See the license file for details.", "You may not copy this software.",
 )
+#: Between words; characters from U+0080 belong to them.
+_BREAK = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+_SPACED = r"[^a-z0-9.\x{80}-\x{10FFFF}]+|\.(?![0-9])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: str) -> list[str]:
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    return [w for w in re.sub(r"[^a-z0-9.]+|\.(?![0-9])", " ", low).split(" ") if w]
+    return [w for w in re.sub("[^a-z0-9.\u0080-\U0010ffff]+|\\.(?![0-9])", " ", low).split(" ") if w]
 
 
 def grams(tokens: list[str]) -> set[str]:
@@ -116,6 +119,11 @@ def train(plain_lines: list[str], seed: int = 5, steps: int = 300) -> Model:
     common = {w for t in plain for w in t}
     cues = sorted({w for own in [*TEMPLATES.values(), UNNAMED] for x in own for w in words(x) if w not in common and len(w) > 1 and not w[0].isdigit()})
     examples = [(0, t[:60]) for t in plain] + [(0, [])]
+    # single words of licences also occur in plain text
+    loose = [w for w in cues if not re.match("licen|copyright|redistribut|gpl|gnu|apache|mozilla|bsd", w)]
+    for t in plain:
+        at = int(r.integers(0, len(t) + 1))
+        examples.append((0, [*t[:at][-40:], loose[int(r.integers(len(loose)))], *t[at:][:40]]))
     for x in UNNAMED:
         examples += [(1, t) for t in _variants(words(x), plain, r, VARIANTS)]
     for k, name in enumerate(classes[2:], 2):
@@ -174,8 +182,8 @@ def scan_lines(rows: DataFrame, model: Model) -> DataFrame:
     spark = rows.sparkSession
     lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     low = _lowered(F.col("line"))
-    lines = lines.filter(F.exists(F.split(low, "[^a-z0-9]+", -1), lambda w: w.isin(model.cues)))
-    spaced = F.regexp_replace(_lowered(F.col("line")), r"[^a-z0-9.]+|\.(?![0-9])", " ")
+    lines = lines.filter(F.exists(F.split(low, _BREAK, -1), lambda w: w.isin(model.cues)))
+    spaced = F.regexp_replace(_lowered(F.col("line")), _SPACED, " ")
     lines = lines.select("row", "line_no", F.filter(F.split(spaced, " ", -1), lambda w: w != "").alias("w"))
     run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
     found = lines.select("row", "line_no", F.explode(F.array_distinct(F.concat(F.col("w"), run(2), run(3)))).alias("gram"))

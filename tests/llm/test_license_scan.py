@@ -1,5 +1,7 @@
 """Licence scans: held-out phrasings, brute force against the trained model, defined cases."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -14,9 +16,7 @@ def brute(text):
     out = []
     for line in (text or "").split("\n"):
         w = m.words(line)
-        import re
-
-        if not set(re.split("[^a-z0-9]+", line.lower())) & set(MODEL.cues):
+        if not set(re.split("[^a-z0-9\u0080-\U0010ffff]+", line.lower())) & set(MODEL.cues):
             continue
         e = np.exp(MODEL.scores(w) - MODEL.scores(w).max())
         p = e / e.sum()
