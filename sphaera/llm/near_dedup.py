@@ -187,19 +187,56 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """value, n: how often each item occurs, summed over about a million items at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(0).flatten().to_numpy())
+        size += len(held[-1])
+        if size >= 1 << 20:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"value": value, "n": n})
+            held, size = [], 0
+    if size:
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"value": value, "n": n})
+
+
+def _split_items(common: np.ndarray, meetings: int):
+    """Of each set: its size, its number of common items and the smallest of them, and the other items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            flat, at = flat[at[0] : at[-1]], at - at[0]
+            doc = np.repeat(np.arange(len(lists)), np.diff(at))
+            hit = np.isin(flat, common)
+            h = np.bincount(doc[hit], minlength=len(lists))
+            own, who = flat[hit], doc[hit]  # items ascend within a set
+            low = np.arange(len(own)) - (np.cumsum(h) - h)[who] < meetings
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "n": pa.array(np.diff(at).astype(np.int32)), "h": pa.array(h.astype(np.int64)), "meet": _lists(own[low], np.minimum(h, meetings)), "rare": _lists(flat[~hit], np.diff(at) - h)})
+
+    return run
+
+
 def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """All links among the dense texts (row), exactly; known: links found so far, which save comparisons."""
     own = materialise(sets.join(dense.select("row"), "row", "left_semi").select("row", "items", F.size("items").alias("n")), "near-dense-sets")
-    tokens = own.select("row", "n", F.explode("items").alias("value"))
-    df = tokens.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = materialise(tokens.join(df, "value"), "near-dense-values")
-    common = shared.filter(f"df > {LIST}")
-    per_row = own.select("row", "n").join(common.groupBy("row").agg(F.count("*").alias("h"), F.slice(F.array_sort(F.collect_list("value")), 1, MEETINGS).alias("meet")), "row", "left").select("row", "n", F.coalesce("h", F.lit(0)).alias("h"), "meet")
+    counts = own.select("items").mapInArrow(_count_items, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("df"))
+    common = materialise(counts.filter(f"df > {LIST}").select("value"), "near-dense-common")
+    if common.count() <= MAX_BROADCAST_IDS:
+        known_common = np.sort(np.array([r[0] for r in common.collect()], np.int64))
+        per_row = own.mapInArrow(_split_items(known_common, MEETINGS), "row bigint, n int, h bigint, meet array<bigint>, rare array<bigint>")
+    else:  # too many for a broadcast: the same by a join
+        tokens = own.select("row", F.explode("items").alias("value")).join(common.withColumn("c", F.lit(True)), "value", "left")
+        per_row = tokens.groupBy("row").agg(F.count("*").cast("int").alias("n"), F.count("c").alias("h"), F.slice(F.array_sort(F.collect_list(F.when(F.col("c"), F.col("value")))), 1, MEETINGS).alias("meet"), F.collect_list(F.when(F.col("c").isNull(), F.col("value"))).alias("rare"))
     per_row = materialise(per_row, "near-dense-rows")
 
     # pairs that share a rare shingle: what they share is at most those and the fewer common ones
     h = per_row.select("row", "h")
-    pairs = short_list_pairs(shared.filter(f"df <= {LIST}"), percent)
+    rare = per_row.select("row", "n", F.explode("rare").alias("value"))
+    pairs = short_list_pairs(rare.join(rare.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "value"), percent)
     pairs = pairs.join(h.withColumnsRenamed({"row": "a", "h": "ha"}), "a").join(h.withColumnsRenamed({"row": "b", "h": "hb"}), "b")
     pairs = pairs.filter(f"{100 + percent} * (common + least(ha, hb)) >= {percent} * (na + nb)")
 
