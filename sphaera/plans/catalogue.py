@@ -1,19 +1,716 @@
-"""Query catalogue: every operator as a Spark query with its DuckDB oracle."""
+"""Query catalogue: every operator as a Spark query, with DuckDB SQL beside it.
+
+Sums in two engines run in different orders, so results are rounded to some
+decimals before they are compared; see functions.portable.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions.basis import Term, gradient_sql, harmonic_terms, monomial_terms, penalty, ridge_diagonal
+from ..functions.portable import finite, half_up, hazen, hazen_sql, quantised, quantised_sql, uniform, uniform_sql
+from ..operators import analysis, linalg, ransac, score, tables
+from ..sources import clouds, generators, ply
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(1)
+Q = quantised_sql
+THRESH, SIGMA = 0.45, 0.15
+RIDGE = 0.002
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _ORACLE[key] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def q(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: quantised(F.col(n), digits) for n in names})
+
+
+# --- clouds ---------------------------------------------------------------
+
+_RAW = "SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label FROM embeddings"
+_LINE = "SELECT l_orderkey * 8 + l_linenumber AS point_id, l_quantity / 50.0 AS x, l_discount / 0.1 + 0.0 AS y, l_tax / 0.08 + 0.0 AS z FROM lineitem"
+
+
+def _normal(raw: str, keep: str = "") -> str:
+    return f"""WITH raw AS ({raw}), fin AS (SELECT * FROM raw WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),
+mid AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM fin),
+cen AS (SELECT point_id, x - cx AS x, y - cy AS y, z - cz AS z{keep} FROM fin, mid),
+top AS (SELECT max(greatest(abs(x), abs(y), abs(z))) AS m FROM cen),
+cloud AS (SELECT point_id, CASE WHEN m > 2.220446049250313E-16 THEN x / m ELSE x END AS x, CASE WHEN m > 2.220446049250313E-16 THEN y / m ELSE y END AS y, CASE WHEN m > 2.220446049250313E-16 THEN z / m ELSE z END AS z{keep} FROM cen, top)
+"""
+
+
+CLOUD, LINE_CLOUD = _normal(_RAW, ", label"), _normal(_LINE)
+
+
+def cloud_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clouds.normalised(clouds.from_embeddings(spark, sf_dir))
+
+
+@query(CLOUD + f"SELECT point_id, {Q('x')} AS x, {Q('y')} AS y, {Q('z')} AS z FROM cloud")
+def cloud_normalise(spark, sf):
+    return q(cloud_of(spark, sf), "x", "y", "z").select("point_id", "x", "y", "z")
+
+
+@query(LINE_CLOUD + "SELECT count(*) AS n_points, " + ", ".join(f"{Q(f'{f}({a})')} AS {a}_{f}" for a in "xyz" for f in ("min", "max")) + " FROM cloud")
+def cloud_lineitem_stats(spark, sf):
+    s = clouds.summary(clouds.normalised(clouds.from_lineitem(spark, sf)))
+    return q(s, *[c for c in s.columns if c != "n_points"])
+
+
+@query(f"WITH raw AS ({_RAW}), d AS (SELECT point_id % 7 AS k, x, y, z FROM raw WHERE point_id < 30), mid AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM d) SELECT point_id, {Q('x - cx')} AS x, {Q('y - cy')} AS y, {Q('z - cz')} AS z FROM raw, mid")
+def centre_on_subset(spark, sf):
+    """All points minus the centroid of a drawn subset."""
+    c = clouds.from_embeddings(spark, sf)
+    return q(clouds.centred(c, clouds.centroid(c.filter("point_id < 30"))), "x", "y", "z").select("point_id", "x", "y", "z")
+
+
+@query(CLOUD + f"SELECT point_id, {Q('x - 0.12')} AS x, {Q('y + 0.07')} AS y, {Q('z - 0.2')} AS z FROM cloud")
+def cloud_shift(spark, sf):
+    return q(clouds.shifted(cloud_of(spark, sf), (0.12, -0.07, 0.20)), "x", "y", "z").select("point_id", "x", "y", "z")
+
+
+@query(f"WITH raw AS ({_RAW}) SELECT point_id, {Q('x')} AS x, {Q('y')} AS y, {Q('z')} AS z, true AS gt FROM raw WHERE point_id < 120 UNION ALL SELECT point_id + 120, {Q('x * 2')}, {Q('y * 2')}, {Q('z * 2')}, false FROM raw WHERE point_id < 30")
+def pool_concat(spark, sf):
+    c = clouds.from_embeddings(spark, sf)
+    out = clouds.concatenated(c, c.withColumns({a: F.col(a) * 2 for a in "xyz"}), 120, 30)
+    return q(out, "x", "y", "z").select("point_id", "x", "y", "z", "gt")
+
+
+@query(f"SELECT vec_id AS point_id, {Q('CAST(embedding[1] AS DOUBLE)')} AS x, {Q('CAST(embedding[2] AS DOUBLE)')} AS y, {Q('CAST(embedding[3] AS DOUBLE)')} AS z FROM embeddings")
+def ply_roundtrip(spark, sf):
+    """The cloud written as a PLY file and scanned again, with a missing file beside it."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{root.rstrip('/')}/sphaera/ply-{uuid.uuid4().hex}"
+    ply.write(clouds.from_embeddings(spark, sf), path)
+    return q(ply.read(spark, f"{path}/part-*"), "x", "y", "z").select("point_id", "x", "y", "z")
+
+
+@query("SELECT count(*) AS n_rows, count(*) AS n_view FROM embeddings")
+def catalog_views(spark, sf):
+    """A cloud registered under a name, probed and read back."""
+    clouds.register(clouds.from_embeddings(spark, sf), "sphaera_cloud")
+    assert clouds.lookup(spark, "sphaera_no_such_cloud") is None
+    return clouds.from_embeddings(spark, sf).agg(F.count("*").alias("n_rows")).join(F.broadcast(clouds.lookup(spark, "sphaera_cloud").agg(F.count("*").alias("n_view"))))
+
+
+# --- bases and sums -------------------------------------------------------
+
+
+def _basis_query(terms: tuple[Term, ...]) -> Callable:
+    def run(spark, sf):
+        c = cloud_of(spark, sf)
+        parts = [[t.sql() for t in terms], *gradient_sql(terms)]
+        names = ("avg_phi", "avg_dx", "avg_dy", "avg_dz")
+        one = c.agg(*[F.avg(F.expr(e)).alias(f"{n}{k}") for n, p in zip(names, parts) for k, e in enumerate(p)])
+        cells = [F.struct(F.lit(k).alias("term"), *[quantised(F.col(f"{n}{k}")).alias(n) for n in names]) for k in range(len(terms))]
+        return one.select(F.inline(F.array(*cells)))
+
+    return run
+
+
+def _basis_sql(terms: tuple[Term, ...]) -> str:
+    parts = [[t.sql() for t in terms], *gradient_sql(terms)]
+    rows = [f"SELECT {k} AS term, " + ", ".join(f"{Q(f'avg({p[k]})')} AS {n}" for n, p in zip(("avg_phi", "avg_dx", "avg_dy", "avg_dz"), parts)) + " FROM cloud" for k in range(len(terms))]
+    return CLOUD + " UNION ALL ".join(rows)
+
+
+for _o in (2, 4, 6):
+    query(_basis_sql(harmonic_terms(_o)), f"basis_o{_o}")(_basis_query(harmonic_terms(_o)))
+query(_basis_sql(monomial_terms(3)), "basis_monomials")(_basis_query(monomial_terms(3)))
+
+
+def _gram_sql(cloud: str, terms: tuple[Term, ...]) -> str:
+    n = len(terms)
+    phi = f", phi AS (SELECT {', '.join(f'{t.sql()} AS p{k}' for k, t in enumerate(terms))} FROM cloud)"
+    cells = [f"SELECT {i} AS i, {j} AS j, {Q(f'sum(p{i} * p{j})', 4)} AS value FROM phi" for i in range(n) for j in range(i, n)]
+    cells += [f"SELECT {i}, -1, {Q(f'sum(p{i})', 4)} FROM phi" for i in range(n)] + ["SELECT -1, -1, CAST(count(*) AS DOUBLE) FROM phi"]
+    return cloud + phi + " " + " UNION ALL ".join(cells)
+
+
+def _gram_query(source: Callable, order: int) -> Callable:
+    return lambda spark, sf: q(linalg.gram(clouds.normalised(source(spark, sf)), harmonic_terms(order)), "value", digits=4)
+
+
+query(_gram_sql(CLOUD, harmonic_terms(2)), "gram_o2")(_gram_query(clouds.from_embeddings, 2))
+query(_gram_sql(CLOUD, harmonic_terms(4)), "gram_o4")(_gram_query(clouds.from_embeddings, 4))
+query(_gram_sql(CLOUD, harmonic_terms(6)), "gram_o6")(_gram_query(clouds.from_embeddings, 6))
+query(_gram_sql(LINE_CLOUD, harmonic_terms(2)), "gram_lineitem_o2")(_gram_query(clouds.from_lineitem, 2))
+
+
+def _eliminated(n: int, rhs: str = "b") -> str:
+    """CTEs that solve the n x n system in table s (a0_0 ..., b0 ...): pivot after pivot, into table beta."""
+    out, at = "", "s"
+    for k in range(n):
+        cols = []
+        for i in range(n):
+            for j in range(n):
+                cols.append(f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * (a{k}_{j} / a{k}_{k}) AS a{i}_{j}")
+            cols.append(f"b{k} / a{k}_{k} AS b{k}" if i == k else f"b{i} - a{i}_{k} * (b{k} / a{k}_{k}) AS b{i}")
+        out += f", e{k} AS (SELECT {', '.join(cols)} FROM {at})"
+        at = f"e{k}"
+    return out + f", beta AS (SELECT {', '.join(f'b{i}' for i in range(n))} FROM {at})"
+
+
+def _fit_ctes(strength: float, weights: np.ndarray | None, order: int = 2) -> str:
+    terms = harmonic_terms(order)
+    n = len(terms)
+    w = np.ones(n) if weights is None else weights
+    phi = f", phi AS (SELECT {', '.join(f'{t.sql()} AS p{k}' for k, t in enumerate(terms))} FROM cloud)"
+    cells = [f"sum(p{i} * p{j})" + (f" + count(*) * {strength * w[i]:.17E}" if i == j and strength else "") + f" AS a{i}_{j}" for i in range(n) for j in range(n)]
+    return CLOUD + phi + f", s AS (SELECT {', '.join(cells + [f'sum(p{i}) AS b{i}' for i in range(n)])} FROM phi)" + _eliminated(n)
+
+
+def _beta_rows(spark: SparkSession, beta: np.ndarray | None, digits: int = 5) -> DataFrame:
+    rows = [] if beta is None else [(k, float(np.floor(b * 10**digits + 0.5) / 10**digits) + 0.0) for k, b in enumerate(beta)]
+    return spark.createDataFrame(rows, "term int, beta double")
+
+
+def _fit_query(strength: float, order: int | None, degree: int = 2) -> Callable:
+    return lambda spark, sf: _beta_rows(spark, linalg.fit(cloud_of(spark, sf), harmonic_terms(degree), strength, order))
+
+
+_BETA_ROWS = " UNION ALL ".join(f"SELECT {k} AS term, {Q(f'b{k}', 5)} AS beta FROM beta" for k in range(6))
+_SOBOLEV = penalty(harmonic_terms(2), 2)
+for _name, _l, _w, _ord in (("fit_o2_ols", 0.0, None, None), ("fit_o2_iso", RIDGE, None, None), ("fit_o2_sobolev", RIDGE, _SOBOLEV, 2)):
+    query(_fit_ctes(_l, _w) + _BETA_ROWS, _name)(_fit_query(_l, _ord))
+query(None, "fit_o4")(_fit_query(RIDGE, 4, 4))
+query(None, "fit_o6")(_fit_query(RIDGE, 6, 6))
+_FIT = _fit_ctes(RIDGE, _SOBOLEV)
+_F = "(" + " + ".join(f"b{k}*{t.sql()}" for k, t in enumerate(harmonic_terms(2))) + ")"
+_G = ["(" + " + ".join(f"b{k}*{e}" for k, e in enumerate(axis)) + ")" for axis in gradient_sql(harmonic_terms(2))]
+
+
+def _fitted(spark, sf) -> tuple[DataFrame, tuple[Term, ...], np.ndarray]:
+    c, terms = cloud_of(spark, sf), harmonic_terms(2)
+    return c, terms, linalg.fit(c, terms, RIDGE, 2)
+
+
+@query()
+def spectrum(spark, sf):
+    """Eigenvalues of the order 4 Gram matrix over the rows, largest first, and their condition number."""
+    ev = linalg.Gram.collect(linalg.gram(cloud_of(spark, sf), harmonic_terms(4)), 15).spectrum()
+    return q(spark.createDataFrame([(k, float(v), float(ev[0] / ev[-1])) for k, v in enumerate(ev)], "rank int, eigenvalue double, condition double"), "eigenvalue", "condition", digits=5)
+
+
+@query()
+def shrinkage(spark, sf):
+    ev = linalg.Gram.collect(linalg.gram(cloud_of(spark, sf), harmonic_terms(4)), 15).spectrum()
+    rows = linalg.shrinkage(ev, [0.0] + [10.0**k for k in range(-6, 6)])
+    return spark.createDataFrame(rows, "strength double, least double, median double, largest double")
+
+
+_D = _FIT + f""", g AS (SELECT {_G[0]} AS gx, {_G[1]} AS gy, {_G[2]} AS gz, 1.0 - {_F} AS e FROM cloud, beta),
+m AS (SELECT sum(gx*gx) AS a, sum(gx*gy) AS b, sum(gx*gz) AS c, sum(gy*gy) AS d, sum(gy*gz) AS f, sum(gz*gz) AS h, sum(gx*e) AS p, sum(gy*e) AS r, sum(gz*e) AS t FROM g),
+det AS (SELECT *, a*(d*h-f*f) - b*(b*h-c*f) + c*(b*f-c*d) AS w FROM m)
+SELECT {Q('((d*h-f*f)*p + (c*f-b*h)*r + (b*f-c*d)*t) / w')} AS dx, {Q('((c*f-b*h)*p + (a*h-c*c)*r + (b*c-a*f)*t) / w')} AS dy, {Q('((b*f-c*d)*p + (b*c-a*f)*r + (a*d-b*b)*t) / w')} AS dz FROM det"""
+
+
+@query(_D)
+def shift_step(spark, sf):
+    return q(linalg.shift_step(*_fitted(spark, sf)), "dx", "dy", "dz")
+
+
+_SCORED = _FIT + f", r AS (SELECT point_id, label, x, y, z, abs({_F} - 1.0) AS r FROM cloud, beta), sc AS (SELECT *, exp(-(r*r) / {2 * SIGMA * SIGMA!r}) AS soft, r < {THRESH} AS inlier FROM r) "
+
+
+def _scored(spark, sf) -> DataFrame:
+    return score.with_residual(*_fitted(spark, sf), THRESH, SIGMA)
+
+
+@query(_SCORED + f"SELECT count(*) AS n_points, count(*) FILTER (inlier) AS n_inliers, {Q('avg(CAST(inlier AS DOUBLE))')} AS inlier_ratio, {Q('avg(soft)')} AS soft_score, {Q('avg(r*r)')} AS mse_all, {Q('avg(r*r) FILTER (inlier)')} AS mse_inlier, {Q('sum(CASE WHEN inlier THEN soft ELSE 0 END) / sum(soft)')} AS inlier_mass FROM sc")
+def residual_score(spark, sf):
+    s = score.statistics(_scored(spark, sf), F.col("soft"))
+    return q(s, "inlier_ratio", "soft_score", "mse_all", "mse_inlier", "inlier_mass")
+
+
+@query(_SCORED + f"SELECT point_id, {Q('r')} AS r, {Q('soft')} AS soft, inlier, r <= {THRESH} AS inlier_or_on FROM sc")
+def soft_weight(spark, sf):
+    s = _scored(spark, sf).withColumn("inlier_or_on", F.col("r") <= THRESH)
+    return q(s, "r", "soft").select("point_id", "r", "soft", "inlier", "inlier_or_on")
+
+
+@query(_FIT + f", d AS (SELECT 1 AS k, ({_F} - 1.0) / sqrt(greatest(1E-12, {_G[0]}*{_G[0]} + {_G[1]}*{_G[1]} + {_G[2]}*{_G[2]})) AS sdf FROM cloud, beta), p AS ({hazen_sql('(SELECT k, abs(sdf) AS a FROM d)', 'k', 'a', [50, 95, 100])}) SELECT (SELECT {Q('sqrt(avg(sdf*sdf))')} FROM d) AS rms, {Q('p50')} AS p50, {Q('p95')} AS p95, {Q('p100')} AS p100 FROM p")
+def sdf(spark, sf):
+    """Root mean square and percentiles of the first-order signed distance."""
+    d = score.with_distance(*_fitted(spark, sf)).withColumn("a", F.abs("sdf"))
+    p = hazen(d, [], "a", [50, 95, 100])
+    return q(d.agg(F.sqrt(F.avg(F.col("sdf") * F.col("sdf"))).alias("rms")).join(F.broadcast(p)), "rms", "p50", "p95", "p100")
+
+
+_PRF = f"tp, fp, fn, tn, {Q('CAST(tp AS DOUBLE) / greatest(1, tp + fp)')} AS precision, {Q('CAST(tp AS DOUBLE) / greatest(1, tp + fn)')} AS recall, {Q('CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END')} AS f1"
+
+
+@query(f"WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels) SELECT {_PRF} FROM c")
+def confusion_prf(spark, sf):
+    la = spark.read.parquet(f"{sf}/labels.parquet")
+    return q(score.confusion(la, F.col("quality") == 1, F.col("toxic") == 1), "precision", "recall", "f1")
+
+
+@query(_SCORED + f", c AS (SELECT label, count(*) FILTER (label >= 5 AND inlier) AS tp, count(*) FILTER (label < 5 AND inlier) AS fp, count(*) FILTER (label >= 5 AND NOT inlier) AS fn, count(*) FILTER (label < 5 AND NOT inlier) AS tn FROM sc GROUP BY label) SELECT label, {_PRF} FROM c")
+def confusion_by_label(spark, sf):
+    return q(score.confusion(_scored(spark, sf), F.col("label") >= 5, F.col("inlier"), ["label"]), "precision", "recall", "f1")
+
+
+@query(_FIT + f"SELECT {Q(' + '.join(f'b{k}*b{k}' for k in range(6)), 4)} AS beta_norm FROM beta")
+def beta_norm(spark, sf):
+    _, _, beta = _fitted(spark, sf)
+    one = spark.range(1).select(F.array(*[F.lit(float(b)) for b in beta]).alias("beta"))
+    return q(one.select(score.squared_norm(F.col("beta")).alias("beta_norm")), "beta_norm", digits=4)
+
+
+@query()
+def local_refine_o2(spark, sf):
+    """Four shifts with momentum from an off-centre start; the finite number of steps is part of the result."""
+    s = ransac.Solver(ransac.Config(order=2, strength=0.0))
+    pts = clouds.shifted(generators.sphere(spark, 400, 5), (-0.12, 0.07, -0.20)).toPandas()[["x", "y", "z"]].to_numpy()
+    disp, beta = s.refine(pts)
+    return q(spark.createDataFrame([(*map(float, disp), float(beta @ beta))], "dx double, dy double, dz double, beta_norm double"), "dx", "dy", "dz", "beta_norm", digits=5)
+
+
+@query()
+def lambda_sweep(spark, sf):
+    """One Gram matrix, twelve ridge strengths: coefficient norms and residuals."""
+    c, terms = cloud_of(spark, sf), harmonic_terms(6)
+    g = linalg.Gram.collect(linalg.gram(c, terms), len(terms))
+    rows = []
+    for v in [0.0, *[10.0**k for k in range(-3, 4)], 2e-3, 3e-2, 5e-1, 30.0]:
+        b = linalg.solve(g.matrix, g.moment, g.rows, v, penalty(terms, 6))
+        rows.append((float(v), b is None, float("nan") if b is None else float(b @ b), float("nan") if b is None else float((g.rows - 2 * b @ g.moment + b @ g.matrix @ b) / g.rows)))
+    return q(spark.createDataFrame(rows, "strength double, singular boolean, beta_norm double, mse double"), "beta_norm", "mse", digits=4)
+
+
+@query()
+def surface_lattice(spark, sf):
+    """Lattice cells that the fitted surface passes through."""
+    _, terms, beta = _fitted(spark, sf)
+    return score.lattice(spark, terms, beta, 1.2, 24)
+
+
+@query("SELECT * FROM (VALUES (0, 42.0 / 42, 42.0 / 42), (1, 20.0 / 42, 20.0 / 42), (2, 6.0 / 42, 6.0 / 42), (3, 0.0, 0.0)) t(level_no, weight, first_weight)".replace("42.0 / 42, 42.0 / 42", "CAST(1 AS DOUBLE), CAST(1 AS DOUBLE)").replace("20.0 / 42, 20.0 / 42", "CAST(0.476190 AS DOUBLE), CAST(0.476190 AS DOUBLE)").replace("6.0 / 42, 6.0 / 42", "CAST(0.142857 AS DOUBLE), CAST(0.142857 AS DOUBLE)").replace("0.0, 0.0", "CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)"))
+def penalty_diagonal(spark, sf):
+    """Sobolev penalty of order 6 by level, from the term vector and from the basis."""
+    a, b = ridge_diagonal(6, 1.0), penalty(harmonic_terms(6), 6)
+    at = np.cumsum([0, 13, 9, 5])
+    return q(spark.createDataFrame([(k, float(a[i]), float(b[i])) for k, i in enumerate(at)], "level_no int, weight double, first_weight double"), "weight", "first_weight")
+
+
+# --- grids and logs -------------------------------------------------------
+
+_GRID = "SELECT o AS \"order\", eps, k_mult FROM (SELECT unnest([4, 6]) AS o), (SELECT unnest([0.0, 0.1, 0.2, 0.3]) AS eps), (SELECT unnest([0.8, 1.2, 1.4]) AS k_mult)"
+
+
+def _grid(spark) -> DataFrame:
+    return tables.grid(spark, order=[4, 6], eps=[0.0, 0.1, 0.2, 0.3], k_mult=[0.8, 1.2, 1.4])
+
+
+@query(f"WITH g AS ({_GRID}), s AS (SELECT *, CAST(floor(k_mult * ((\"order\" + 1) * (\"order\" + 2) / 2) + 0.5) AS BIGINT) AS k, 1.0 - eps AS w FROM g) SELECT \"order\", CAST(eps AS DOUBLE) AS eps, CAST(k_mult AS DOUBLE) AS k_mult, k, {Q('pow(w, k)')} AS wk, CAST(ceil(ln(1 - CAST(0.95 AS DOUBLE)) / ln(greatest(2.2250738585072014E-308, 1.0 - pow(w, k)))) AS DOUBLE) AS n_theory FROM s")
+def grid_n_theory(spark, sf):
+    """Sample size, its chance to be clean, and the iterations that theory asks for."""
+    n_terms = (F.col("order") + 1) * (F.col("order") + 2) / 2
+    g = _grid(spark).withColumn("k", half_up(F.col("k_mult") * n_terms).cast("long"))
+    wk = F.pow(1.0 - F.col("eps"), F.col("k").cast("double"))
+    n = F.ceil(F.log(F.lit(1 - 0.95)) / F.log(F.greatest(F.lit(2.2250738585072014e-308), 1.0 - wk))).cast("double")
+    return g.select("order", "eps", "k_mult", "k", quantised(wk).alias("wk"), n.alias("n_theory"))
+
+
+@query(f"WITH g AS (SELECT DISTINCT eps FROM ({_GRID})), n AS (SELECT CAST(eps AS DOUBLE) AS eps, CAST(floor(1000 * eps + 0.5) AS BIGINT) AS n_out FROM g) SELECT eps, n_out, 1000 - n_out AS n_in FROM n WHERE 1000 - n_out <= (SELECT count(*) FROM customer) AND n_out <= (SELECT count(*) FROM supplier)")
+def capacity_guard(spark, sf):
+    pools = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier")]
+    return tables.within_capacity(tables.with_counts(_grid(spark).select("eps").distinct(), 1000), *pools).select("eps", "n_out", "n_in")
+
+
+@query("SELECT * FROM (VALUES (0.0, 'OLS', 'l000'), (0.002, '2m3', 'l002'), (0.01, '1m2', 'l010'), (0.000001, '1m6', 'l000'), (0.1, '1m1', 'l100'), (30.0, '3e1', 'l30000')) t(strength, tag, code)".replace("(0.0,", "(CAST(0.0 AS DOUBLE),"))
+def tag_format(spark, sf):
+    g = tables.grid(spark, strength=[0.0, 0.002, 0.01, 0.000001, 0.1, 30.0])
+    return g.select("strength", analysis.strength_tag(F.col("strength")).alias("tag"), F.format_string("l%03d", F.floor(F.col("strength") * 1000 + 0.5)).alias("code"))
+
+
+_LOG = "SELECT event_type AS config, event_id AS iter, value / 500.0 AS score FROM events"
+
+
+def log_of(spark, sf) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.col("event_type").alias("config"), F.col("event_id").alias("iter"), (F.col("value") / 500.0).alias("score"))
+
+
+@query(f"WITH log AS ({_LOG}), p AS ({hazen_sql('log', 'config', 'score', [50, 90, 95, 99.8, 100])}) SELECT config, " + ", ".join(f"{Q(f'p{n}')} AS p{n}" for n in ("50", "90", "95", "99_8", "100")) + " FROM p")
+def pct_hazen(spark, sf):
+    p = hazen(log_of(spark, sf), ["config"], "score", [50, 90, 95, 99.8, 100])
+    return q(p, *[c for c in p.columns if c != "config"])
+
+
+@query(f"SELECT config, {Q('median(score)')} AS median_score FROM ({_LOG}) GROUP BY config")
+def median_value(spark, sf):
+    return q(log_of(spark, sf).groupBy("config").agg(F.median("score").alias("median_score")), "median_score")
+
+
+@query(f"WITH log AS ({_LOG}), p AS ({hazen_sql('log', '', 'score', [25, 75])}), e AS (SELECT count(*) AS n, min(score) AS low FROM log), w AS (SELECT low, 2 * (p75 - p25) * pow(CAST(n AS DOUBLE), {-1 / 3!r}) AS width FROM e, p) SELECT config, CAST(floor((score - low) / width) AS BIGINT) AS bin, count(*) AS n FROM log, w GROUP BY config, bin")
+def hist_fd(spark, sf):
+    return analysis.histogram_fd(log_of(spark, sf), ["config"], "score")
+
+
+@query(f"WITH log AS ({_LOG}), s AS (SELECT config, min(score) AS low, max(score) AS high FROM log GROUP BY config), c AS (SELECT config, CAST(least(60, floor((score - low) / ((high - low) / 60)) + 1) AS INTEGER) AS bin, count(*) AS n FROM log JOIN s USING (config) GROUP BY config, bin), g AS (SELECT config, unnest(range(1, 61)) AS bin FROM s) SELECT g.config, CAST(g.bin AS INTEGER) AS bin, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.config = c.config AND g.bin = c.bin")
+def hist60(spark, sf):
+    return analysis.histogram_fixed(log_of(spark, sf), ["config"], "score")
+
+
+@query(f"WITH log AS ({_LOG}), s AS (SELECT config, min(score) AS low, max(score) AS high FROM log GROUP BY config), c AS (SELECT config, least(60, floor((score - low) / ((high - low) / 60)) + 1) AS bin, count(*) AS n FROM log JOIN s USING (config) GROUP BY config, bin) SELECT max(n) AS peak, CAST(ceil(max(n) * CAST(1.05 AS DOUBLE)) AS BIGINT) AS axis_top FROM c")
+def panel_max(spark, sf):
+    h = analysis.histogram_fixed(log_of(spark, sf), ["config"], "score")
+    return h.agg(F.max("n").alias("peak")).select("peak", F.ceil(F.col("peak") * F.lit(1.05)).alias("axis_top"))
+
+
+ALPHAS = [0.10 + k * (1.02 - 0.10) / 119 for k in range(120)]
+_ALPHA_LIST = "[" + ", ".join(f"{a:.17E}" for a in ALPHAS) + "]"
+
+
+@query(f"WITH log AS ({_LOG}), t AS (SELECT unnest({_ALPHA_LIST}) AS alpha) SELECT config, {Q('alpha')} AS alpha, {Q('avg(CAST(score > alpha AS DOUBLE))')} AS p FROM log, t GROUP BY config, t.alpha")
+def exceedance(spark, sf):
+    return q(analysis.exceedance(log_of(spark, sf), ["config"], "score", ALPHAS), "alpha", "p")
+
+
+_REF = [0.05, 0.1, 0.2, 0.9]
+_RATES = f"log AS ({_LOG}), t AS (SELECT unnest([5E-2, 1E-1, 2E-1, 9E-1]) AS alpha), rates AS (SELECT config, alpha, avg(CAST(score > alpha AS DOUBLE)) AS p FROM log, t GROUP BY config, alpha)"
+
+
+@query(f"WITH {_RATES} SELECT config, alpha, {Q('p')} AS p, CASE WHEN p <= 0 THEN NULL ELSE CAST(ceil(ln(1 - CAST(0.95 AS DOUBLE)) / ln(greatest(2.2250738585072014E-308, 1.0 - p))) AS DOUBLE) END AS n_implied FROM rates")
+def implied_n(spark, sf):
+    r = analysis.exceedance(log_of(spark, sf), ["config"], "score", _REF)
+    return q(r.withColumn("n_implied", analysis.iterations_for(F.col("p"), 0.95)), "p").select("config", "alpha", "p", "n_implied")
+
+
+@query(f"WITH {_RATES} SELECT alpha, " + ", ".join(f"{Q(f'max(p) FILTER (config = {chr(39)}{c}{chr(39)})')} AS {c}" for c in ("click", "error", "purchase")) + " FROM rates GROUP BY alpha")
+def exceedance_pivot(spark, sf):
+    names = ["click", "error", "purchase"]
+    r = analysis.exceedance(log_of(spark, sf), ["config"], "score", _REF)
+    return q(analysis.pivot_thresholds(r.filter(F.col("config").isin(names)), "config", names), *names)
+
+
+@query(f"WITH {_RATES} SELECT config || ': ' || string_agg(printf('P(>%.2f)=%.4f', alpha, floor(p * 10000 + 0.5) / 10000), ' ' ORDER BY alpha) AS line FROM rates GROUP BY config")
+def wide_report(spark, sf):
+    """A summary line for each configuration."""
+    r = analysis.exceedance(log_of(spark, sf), ["config"], "score", _REF)
+    cell = F.format_string("P(>%.2f)=%.4f", F.col("alpha"), F.floor(F.col("p") * 10000 + 0.5) / 10000)
+    rows = r.groupBy("config").agg(F.array_sort(F.collect_list(F.struct("alpha", cell.alias("cell")))).alias("c"))
+    return rows.select(F.concat(F.col("config"), F.lit(": "), F.array_join(F.transform("c", lambda x: x["cell"]), " ")).alias("line"))
+
+
+_OVER = "(PARTITION BY config ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND"
+
+
+@query(f"WITH log AS ({_LOG}), b AS (SELECT *, greatest(0.13, coalesce(max(score) OVER {_OVER} 1 PRECEDING), 0.13)) AS best FROM log) SELECT config, iter, {Q('best')} AS best, score >= best AS gate FROM b")
+def running_best(spark, sf):
+    return q(analysis.running(log_of(spark, sf), ["config"], "iter", "score", 0.13), "best").select("config", "iter", "best", "gate")
+
+
+@query(f"WITH log AS ({_LOG}), v AS (SELECT *, (iter % 10) / 10.0 AS v FROM log) SELECT config, iter, {Q(f'(4.6 * 0.33 + sum(score * v) OVER {_OVER} CURRENT ROW)) / (4.6 + sum(score) OVER {_OVER} CURRENT ROW))')} AS omega FROM v")
+def omega_running(spark, sf):
+    log = log_of(spark, sf).withColumn("v", F.col("iter") % 10 / 10.0)
+    return q(analysis.running_weight(log, ["config"], "iter", "score", "v"), "omega").select("config", "iter", "omega")
+
+
+@query(f"WITH log AS (SELECT config, iter, 0.5 + score / 2 AS w FROM ({_LOG})), n AS (SELECT *, CAST(2 * ceil(ln(1 - CAST(0.96 AS DOUBLE)) / ln(greatest(2.2250738585072014E-308, least(1 - 1E-12, 1.0 - pow(w, 6))))) AS DOUBLE) AS n FROM log) SELECT config, iter, least(CAST(2000 AS DOUBLE), min(n) OVER {_OVER} CURRENT ROW)) AS max_iter FROM n")
+def running_limit(spark, sf):
+    log = log_of(spark, sf).withColumn("w", 0.5 + F.col("score") / 2)
+    return analysis.running_limit(log, ["config"], "iter", "w", 6, 0.96, 2000).select("config", "iter", "max_iter")
+
+
+@query(f"WITH RECURSIVE log AS (SELECT config, score, row_number() OVER (PARTITION BY config ORDER BY iter) AS n, iter FROM ({_LOG})), e AS (SELECT config, n, iter, 0.8 * CAST(0.65 AS DOUBLE) + (1 - CAST(0.8 AS DOUBLE)) * score AS w FROM log WHERE n = 1 UNION ALL SELECT l.config, l.n, l.iter, 0.8 * e.w + (1 - CAST(0.8 AS DOUBLE)) * l.score FROM e JOIN log l ON l.config = e.config AND l.n = e.n + 1) SELECT config, iter, {Q('w')} AS w FROM e")
+def ema_w(spark, sf):
+    return q(analysis.moving_average(log_of(spark, sf), ["config"], "iter", "score", 0.65), "w").select("config", "iter", "w")
+
+
+@query(f"WITH log AS (SELECT config, iter, CASE WHEN iter % 100 < 97 AND iter < 9000 THEN score END AS score FROM ({_LOG})), l AS (SELECT config, max(iter) FILTER (score IS NOT NULL) AS last FROM log GROUP BY config) SELECT config, count(*) AS n, max(iter) AS last FROM log JOIN l USING (config) WHERE iter <= last GROUP BY config")
+def last_valid(spark, sf):
+    log = log_of(spark, sf).withColumn("score", F.when((F.col("iter") % 100 < 97) & (F.col("iter") < 9000), F.col("score")).otherwise(F.lit(float("nan"))))
+    return analysis.last_valid(log, ["config"], "iter", "score").groupBy("config").agg(F.count("*").alias("n"), F.max("iter").alias("last"))
+
+
+for _late, _dir in ((True, "DESC"), (False, "ASC")):
+    query(
+        f"WITH log AS (SELECT config, iter, floor(score * 50) / 50 AS score FROM ({_LOG})), r AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY score DESC, iter {_dir}) AS k FROM log WHERE score >= 0.13) SELECT config, iter, {Q('score')} AS score FROM r WHERE k = 1",
+        "argmax_late" if _late else "argmax_early",
+    )(lambda spark, sf, late=_late: q(analysis.best_row(log_of(spark, sf).withColumn("score", F.floor(F.col("score") * 50) / 50), ["config"], "iter", "score", 0.13, late), "score"))
+
+
+@query(f"WITH log AS ({_LOG}), p AS ({hazen_sql('log', 'config', 'score', [99.8])}), t AS ({hazen_sql('log', 'config', 'score', [90])}) SELECT config, iter, {Q('score')} AS score, score >= p90 AS local_top FROM log JOIN p USING (config) JOIN t USING (config) WHERE score >= 0.6 * p99_8")
+def top_pct_subset(spark, sf):
+    log = log_of(spark, sf)
+    top = analysis.above_percentile(log, ["config"], "score", 99.8, 0.6)
+    both = top.join(F.broadcast(hazen(log, ["config"], "score", [90])), "config").withColumn("local_top", F.col("score") >= F.col("p90"))
+    return q(both, "score").select("config", "iter", "score", "local_top")
+
+
+@query(f"WITH log AS (SELECT config, iter, CASE WHEN iter % 9 = 0 THEN NULL ELSE score END AS score FROM ({_LOG})) SELECT config, count(*) FILTER (score IS NOT NULL) AS n_finite, count(*) FILTER (score IS NOT NULL AND score > 0) AS n_positive, count(*) FILTER (score IS NOT NULL AND (score > 0.1 OR NOT score > 0.02)) AS n_mask, bool_or(score > 0.7) AS any_high, count(*) FILTER (score = 0.2) AS n_equal FROM log GROUP BY config")
+def log_filters(spark, sf):
+    """Finite and positive masks, mask algebra, any-guards, equality filters."""
+    log = log_of(spark, sf).withColumn("score", F.when(F.col("iter") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("score")))
+    ok, v = finite(F.col("score")), F.col("score")
+    return log.groupBy("config").agg(
+        F.count_if(ok).alias("n_finite"), F.count_if(ok & (v > 0)).alias("n_positive"), F.count_if(ok & ((v > 0.1) | ~(v > 0.02))).alias("n_mask"),
+        F.bool_or(ok & (v > 0.7)).alias("any_high"), F.count_if(ok & (v == 0.2)).alias("n_equal"),
+    )
+
+
+@query(f"WITH log AS ({_LOG}) SELECT config, {Q('least(min(score), min(score * 0.9 + 0.05))')} AS low, {Q('greatest(max(score), max(score * 0.9 + 0.05))')} AS high FROM log GROUP BY config")
+def axis_limits(spark, sf):
+    loc = F.col("score") * 0.9 + 0.05
+    a = log_of(spark, sf).groupBy("config").agg(F.least(F.min("score"), F.min(loc)).alias("low"), F.greatest(F.max("score"), F.max(loc)).alias("high"))
+    return q(a, "low", "high")
+
+
+@query("SELECT DISTINCT CAST(s_nationkey AS INTEGER) AS nation, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier")
+def distinct_grid(spark, sf):
+    return spark.read.parquet(f"{sf}/supplier.parquet").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT k % 3 AS k, [k % 3, (k + 1) % 3] AS stable FROM range(3) t(k)".replace("(k + 1) % 3", "(k % 3 + 1) % 3"))
+def stable_distinct(spark, sf):
+    k = F.col("id") % 3
+    return spark.range(3).select(k.alias("k"), F.array_distinct(F.array(k, (k + 1) % 3, k, (k + 1) % 3)).alias("stable"))
+
+
+_RES = f"SELECT config, floor(iter / 1000) AS block, row_number() OVER (ORDER BY config, floor(iter / 1000)) AS row_id, CAST(6 AS INTEGER) AS \"order\", (floor(iter / 1000) % 5) / 10.0 + 1E-11 AS eps, 1.2 AS k_mult, max(score) AS best FROM ({_LOG}) GROUP BY config, floor(iter / 1000)"
+
+
+def _results(spark, sf) -> DataFrame:
+    b = F.floor(F.col("iter") / 1000)
+    r = log_of(spark, sf).groupBy("config", b.alias("block")).agg(F.max("score").alias("best"))
+    r = r.withColumn("row_id", F.row_number().over(Window.orderBy("config", "block")))
+    return r.select("row_id", F.lit(6).alias("order"), (F.col("block") % 5 / 10.0 + 1e-11).alias("eps"), F.lit(1.2).alias("k_mult"), "best")
+
+
+_WANT = "SELECT unnest([4, 6]) AS \"order\", eps, k_mult FROM (SELECT unnest([0.0, 0.1, 0.2, 0.35]) AS eps), (SELECT unnest([1.2, 1.4]) AS k_mult)"
+_NEAR = {"eps": 1e-9, "k_mult": 1e-9}
+
+
+def _want(spark) -> DataFrame:
+    return tables.grid(spark, order=[4, 6], eps=[0.0, 0.1, 0.2, 0.35], k_mult=[1.2, 1.4])
+
+
+@query(f"WITH r AS ({_RES}), w AS ({_WANT}), m AS (SELECT w.*, r.row_id, r.best, row_number() OVER (PARTITION BY w.\"order\", w.eps, w.k_mult ORDER BY row_id DESC) AS k FROM w JOIN r ON w.\"order\" = r.\"order\" AND abs(w.eps - r.eps) < 1E-9 AND abs(w.k_mult - r.k_mult) < 1E-9) SELECT \"order\", CAST(eps AS DOUBLE) AS eps, CAST(k_mult AS DOUBLE) AS k_mult, CAST(row_id AS INTEGER) AS row_id, {Q('best')} AS best FROM m WHERE k = 1")
+def lookup_tolerance(spark, sf):
+    m = analysis.look_up(_want(spark), _results(spark, sf), ["order"], _NEAR, "row_id")
+    return q(m.select("order", "eps", "k_mult", F.col("r_row_id").alias("row_id"), F.col("r_best").alias("best")), "best")
+
+
+@query(f"WITH r AS ({_RES}), w AS ({_WANT}) SELECT \"order\", CAST(eps AS DOUBLE) AS eps, CAST(k_mult AS DOUBLE) AS k_mult FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE w.\"order\" = r.\"order\" AND abs(w.eps - r.eps) < 1E-9 AND abs(w.k_mult - r.k_mult) < 1E-9)")
+def lookup_misses(spark, sf):
+    return analysis.misses(_want(spark), _results(spark, sf), ["order"], _NEAR)
+
+
+@query("SELECT 1 AS pid, o_orderkey AS iter, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS total, CAST(0.2 AS DOUBLE) AS error, 'a' AS batch FROM orders WHERE o_orderkey < 500 UNION ALL SELECT 1, o_orderkey, CAST(floor(o_totalprice + 0.5) AS BIGINT), CAST(0.1 AS DOUBLE), 'b' FROM orders WHERE o_orderkey >= 500 AND o_orderkey < 700")
+def log_append(spark, sf):
+    """Batches with constant columns, appended and put in order."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("iter"), F.floor(F.col("o_totalprice") + 0.5).alias("total"))
+    log = None
+    for part, error, name in ((o.filter("iter < 500"), 0.2, "a"), (o.filter("iter >= 500 AND iter < 700"), 0.1, "b")):
+        log = tables.appended(log, tables.with_constants(part, error=error, pid=1, batch=name))
+    return tables.ordered(log, ["pid", "iter", "total", "error", "batch"])
+
+
+@query(f"WITH log AS ({_LOG}) SELECT config, list({Q('score')} ORDER BY iter) AS scores, list(iter ORDER BY iter) AS iters FROM log WHERE iter < 600 GROUP BY config")
+def nested_res(spark, sf):
+    log = log_of(spark, sf).filter("iter < 600").withColumn("scores", quantised(F.col("score"))).withColumn("iters", F.col("iter"))
+    return tables.nested(log, ["config"], "iter", "scores", "iters")
+
+
+@query(f"WITH {_RATES} SELECT config, {Q('max(p) FILTER (alpha = 1E-1)')} AS p_ref, true AS none_is_nan FROM rates GROUP BY config")
+def pluck_exact(spark, sf):
+    """The entry of a vector at an exact key; none gives NaN."""
+    n = tables.nested(analysis.exceedance(log_of(spark, sf), ["config"], "score", _REF), ["config"], "alpha", "alpha", "p")
+    return n.select("config", quantised(tables.value_at(F.col("p"), F.col("alpha"), 0.1)).alias("p_ref"), F.isnan(tables.value_at(F.col("p"), F.col("alpha"), 0.77)).alias("none_is_nan"))
+
+
+# --- sampling and sources -------------------------------------------------
+
+_U = lambda src, seed, it, draw: uniform_sql(src, seed, it, draw, "u")
+
+
+@query(f"SELECT point_id FROM ({_U(f'({_RAW})', 7, '0', 'point_id')}) ORDER BY u, point_id LIMIT 50")
+def sample_uniform(spark, sf):
+    """50 distinct points: the smallest random numbers."""
+    return clouds.from_embeddings(spark, sf).withColumn("u", uniform(7, 0, F.col("point_id"))).orderBy("u", "point_id").limit(50).select("point_id")
+
+
+_DRAWS = _U("(SELECT unnest(range(0, 200)) AS draw)", 11, "1", "draw")
+
+
+@query(f"WITH c AS (SELECT point_id, x, CAST(1 + label AS BIGINT) AS w FROM ({_RAW})), e AS (SELECT *, CAST(sum(w) OVER (ORDER BY point_id) AS BIGINT) AS hi FROM c), d AS (SELECT draw, CAST(floor(u * (SELECT max(hi) FROM e)) AS BIGINT) AS at FROM ({_DRAWS})) SELECT draw, point_id, {Q('x')} AS x FROM d JOIN e ON d.at >= e.hi - e.w AND d.at < e.hi")
+def sample_weighted(spark, sf):
+    """Draws with replacement in proportion to integer weights, by inverse distribution, and the gathered points.
+
+    Cumulative weights come from per-block sums, so no task orders all points.
+    """
+    c = clouds.from_embeddings(spark, sf).select("point_id", "x", (F.lit(1) + F.col("label")).cast("long").alias("w")).withColumn("block", F.floor(F.col("point_id") / 256))
+    sums = c.groupBy("block").agg(F.sum("w").alias("bw"))
+    before = sums.withColumn("b0", F.coalesce(F.sum("bw").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = c.join(F.broadcast(before), "block").withColumn("hi", F.col("b0") + F.sum("w").over(Window.partitionBy("block").orderBy("point_id")))
+    total = before.agg(F.sum("bw").alias("total"))
+    d = spark.range(200).select(F.col("id").alias("draw"), uniform(11, 1, F.col("id")).alias("u")).join(F.broadcast(total)).select("draw", F.floor(F.col("u") * F.col("total")).alias("at"))
+    placed = d.join(F.broadcast(before), (F.col("at") >= F.col("b0")) & (F.col("at") < F.col("b0") + F.col("bw"))).select("draw", "at", "block")
+    got = placed.join(e, (placed["block"] == e["block"]) & (F.col("at") >= F.col("hi") - F.col("w")) & (F.col("at") < F.col("hi")))
+    return q(got.select("draw", "point_id", "x"), "x")
+
+
+@query(f"WITH d AS ({_U('(SELECT unnest(range(0, 64)) AS draw)', 5, '3', 'draw')}), g AS (SELECT draw, CAST(floor(u * (SELECT count(*) FROM embeddings)) AS BIGINT) AS point_id FROM d), p AS (SELECT g.draw, c.* FROM g JOIN ({_RAW}) c USING (point_id)) SELECT count(*) AS n, {Q('avg(x)')} AS cx, {Q('avg(y)')} AS cy, {Q('avg(z)')} AS cz FROM p")
+def gather(spark, sf):
+    """Equal-weight draws are floor(u N); duplicates count in the sample's centroid."""
+    c = clouds.from_embeddings(spark, sf)
+    d = spark.range(64).select(uniform(5, 3, F.col("id")).alias("u")).join(F.broadcast(c.agg(F.count("*").alias("total")))).select(F.floor(F.col("u") * F.col("total")).alias("point_id"))
+    return q(c.join(F.broadcast(d), "point_id").agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz")), "cx", "cy", "cz")
+
+
+def _two(src: str, seed: int, draw: str) -> str:
+    one = uniform_sql(src, seed, "0", draw, "u")
+    return uniform_sql(f"({one})", seed, "1", draw, "v")
+
+
+def _pick_sql(k: str, cases: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN {k} = {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+
+
+_CUBE = f"SELECT point_id, {{x}} AS x, {{y}} AS y, {{z}} AS z FROM (SELECT point_id, u * 2 - 1 AS u, v * 2 - 1 AS v, point_id % 6 AS k FROM ({_two('(SELECT unnest(range(0, 1200)) AS point_id)', 1, 'point_id')}))"
+
+
+@query(_CUBE.format(x=Q(_pick_sql("k", ["u", "u", "1.0", "-1.0", "u", "u"])), y=Q(_pick_sql("k", ["v", "v", "u", "u", "1.0", "-1.0"])), z=Q(_pick_sql("k", ["1.0", "-1.0", "v", "v", "v", "v"]))))
+def gen_cube(spark, sf):
+    return q(generators.cube(spark, 1200), "x", "y", "z")
+
+
+@query(f"WITH c AS (SELECT c, u * 2 - 1 AS u, v * 2 - 1 AS v, c % 6 AS k FROM ({_two('(SELECT unnest(range(0, 2464)) AS c)', 1, 'c')})), s AS (SELECT *, sqrt(greatest(0.0, 1 - u*u)) AS a FROM c WHERE k > 1 OR u*u + v*v <= 1), p AS (SELECT row_number() OVER (ORDER BY c) - 1 AS point_id, {_pick_sql('k', ['u', 'u', 'a', '-a', 'u', 'u'])} AS x, {_pick_sql('k', ['v', 'v', 'u', 'u', 'a', '-a'])} AS y, {_pick_sql('k', ['1.0', '-1.0', 'v', 'v', 'v', 'v'])} AS z FROM s) SELECT point_id, {Q('x')} AS x, {Q('y')} AS y, {Q('z')} AS z FROM p WHERE point_id < 1200")
+def gen_cylinder(spark, sf):
+    return q(generators.cylinder(spark, 1200), "x", "y", "z")
+
+
+@query()
+def gen_hexagon_prism(spark, sf):
+    return q(generators.hexagon_prism(spark, 1200), "x", "y", "z")
+
+
+_GAUSS = lambda a, b: f"sqrt(-2.0 * ln({a})) * cos({b} * 6.283185307179586)"
+
+
+def _sphere_sql(n: int, seed: int) -> str:
+    src = f"(SELECT unnest(range(0, {n})) AS point_id)"
+    for i in range(3):
+        for k in range(2):
+            src = f"({uniform_sql(src, seed + 2 * i + k, str(i), 'point_id', f'u{i}{k}')})"
+    g = f"SELECT point_id, {', '.join(f'{_GAUSS(f"u{i}0", f"u{i}1")} AS {a}' for i, a in enumerate('xyz'))} FROM {src}"
+    return f"SELECT point_id, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM ({g})"
+
+
+@query(f"SELECT point_id, {Q('x')} AS x, {Q('y')} AS y, {Q('z')} AS z FROM ({_sphere_sql(1000, 1)})")
+def gen_sphere(spark, sf):
+    return q(generators.sphere(spark, 1000), "x", "y", "z")
+
+
+@query()
+def gen_ellipsoid(spark, sf):
+    return q(generators.ellipsoid(spark, 800, 1.0, 1.0, 3.0), "x", "y", "z")
+
+
+def _uniform3(n: int, seed: int) -> str:
+    src = f"(SELECT unnest(range(0, {n})) AS point_id)"
+    for i in range(3):
+        src = f"({uniform_sql(src, seed, str(i), 'point_id', f'u{i}')})"
+    return src
+
+
+@query(f"SELECT point_id, {', '.join(f'{Q(f"(u{i} * 2 - 1) * 1.7")} AS {a}' for i, a in enumerate('xyz'))} FROM {_uniform3(900, 3)}")
+def gen_outliers(spark, sf):
+    return q(generators.outliers(spark, 900, 1.7, 3), "x", "y", "z")
+
+
+def _jitter_sql() -> str:
+    src = f"({_sphere_sql(500, 1)})"
+    for i in range(3):
+        for k in range(2):
+            src = f"({uniform_sql(src, 21 + 2 * i + k, str(i), 'point_id', f'u{i}{k}')})"
+    return f"SELECT point_id, {', '.join(f'{Q(f"{a} + {_GAUSS(f"u{i}0", f"u{i}1")} * 0.007")} AS {a}' for i, a in enumerate('xyz'))} FROM {src}"
+
+
+@query(_jitter_sql())
+def gen_jitter(spark, sf):
+    return q(generators.jittered(generators.sphere(spark, 500), 0.007, 21), "x", "y", "z")
+
+
+# --- consensus ------------------------------------------------------------
+
+
+def _mixed(spark, n: int, eps: float, shape=generators.hexagon_prism) -> DataFrame:
+    n_out = int(np.floor(n * eps + 0.5))
+    return clouds.concatenated(generators.jittered(shape(spark, n), 0.007, 31), generators.outliers(spark, max(1, n_out), 2.0, 41), n - n_out, n_out)
+
+
+_FROZEN = [ransac.Config(config_id=i, order=o, k_mult=1.4, strength=v, max_iter=60, conf=0.95, thresh=THRESH, freeze_w=True, freeze_iter=True, freeze_omega=True) for i, (o, v) in enumerate(((4, 0.0), (4, 2e-3), (6, 2e-3), (6, 1e-2)))]
+_ADAPTIVE = [ransac.Config(config_id=i, order=4, k_mult=k, strength=2e-3, max_iter=40, thresh=0.55, update_thresh=0.6, freeze_iter=f) for i, (k, f) in enumerate(((1.0, True), (1.2, True), (1.2, False)))]
+
+
+def _log_view(log: DataFrame) -> DataFrame:
+    own = ["pre_score", "post_score", "inlier_ratio", "mse_all", "mse_inlier", "w", "max_iter", "tp", "fp", "fn", "tn", "precision", "recall", "f1"]
+    return q(log.select("config_id", "iter_no", "singular", *own), *own, digits=5)
+
+
+@query()
+def ransac_frozen(spark, sf):
+    return _log_view(ransac.run(_mixed(spark, 600, 0.2), _FROZEN))
+
+
+@query()
+def ransac_adaptive(spark, sf):
+    return _log_view(ransac.run(_mixed(spark, 450, 0.2, generators.cube), _ADAPTIVE))
+
+
+@query()
+def ransac_best(spark, sf):
+    """The best model of each configuration."""
+    b = ransac.best_models(ransac.run(_mixed(spark, 600, 0.2), _FROZEN))
+    return q(b.select("config_id", "iter_no", "post_score", "inlier_ratio", "recall", "precision"), "post_score", "inlier_ratio", "recall", "precision", digits=5)
+
+
+@query()
+def solver_embeddings(spark, sf):
+    """The whole solver on a table's cloud: displacement and inliers of the best model."""
+    b = ransac.solve_cloud(cloud_of(spark, sf), ransac.Config(order=2, k_mult=2.0, max_iter=30, thresh=THRESH), RIDGE)
+    return q(b.select("config_id", F.col("disp")[0].alias("dx"), F.col("disp")[1].alias("dy"), F.col("disp")[2].alias("dz"), "inlier_ratio", "post_score"), "dx", "dy", "dz", "inlier_ratio", "post_score", digits=5)
+
+
+@query()
+def experiment_table(spark, sf):
+    """Nested experiment rows with analysis vectors: log, vectors by configuration, exceedance of the recalls."""
+    log = ransac.run(_mixed(spark, 450, 0.1), _ADAPTIVE[:2])
+    n = tables.nested(q(log, "post_score", "recall", digits=5), ["config_id"], "iter_no", "post_score", "recall")
+    r = tables.nested(analysis.exceedance(log, ["config_id"], "recall", [0.2, 0.5, 0.8]), ["config_id"], "alpha", "alpha", "p")
+    return n.join(F.broadcast(r), "config_id", "left").select("config_id", "post_score", "recall", "alpha", "p")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloud, basis, Gram sums, solve, residuals, scores: the whole fit in one query."""
+    return residual_score(spark, sf_dir)
