@@ -126,9 +126,59 @@ def gradient_sql(terms: tuple[Term, ...], **names: str) -> tuple[list[str], list
     return tuple([t.derivative(axis).sql(**names) for t in terms] for axis in range(3))
 
 
+class Compiled:
+    """A basis as matrices over monomials: values and gradients are products with them."""
+
+    def __init__(self, terms: tuple[Term, ...]):
+        self.terms = terms
+        self.exponents, self.coefficients = self._over([dict(t.coefficients) for t in terms])
+        derived = [[dict(t.derivative(axis).coefficients) for t in terms] for axis in range(3)]
+        self.grad_exponents, flat = self._over([d for own in derived for d in own])
+        self.grad_coefficients = [flat[:, k * len(terms) : (k + 1) * len(terms)] for k in range(3)]
+
+    @staticmethod
+    def _over(polys: list[dict]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+        exponents = sorted({e for p in polys for e in p})
+        place = {e: i for i, e in enumerate(exponents)}
+        out = np.zeros((len(exponents), len(polys)))
+        for k, p in enumerate(polys):
+            for e, v in p.items():
+                out[place[e], k] = v
+        return exponents, out
+
+    @staticmethod
+    def monomials(exponents: list[tuple[int, int, int]], points: np.ndarray) -> np.ndarray:
+        """Values (n, monomials), each a product of powers computed once."""
+        top = max((max(e) for e in exponents), default=0)
+        powers = np.ones((top + 1, 3, len(points)))
+        for k in range(1, top + 1):
+            np.multiply(powers[k - 1], points.T, out=powers[k])
+        out = np.empty((len(exponents), len(points)))
+        for row, (a, b, c) in zip(out, exponents):
+            np.multiply(powers[a, 0], powers[b, 1], out=row)
+            if c:
+                row *= powers[c, 2]
+        return out.T
+
+    def design(self, points: np.ndarray) -> np.ndarray:
+        return self.monomials(self.exponents, points) @ self.coefficients
+
+    def value(self, points: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        return self.monomials(self.exponents, points) @ (self.coefficients @ beta)
+
+    def gradient(self, points: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """Gradients (n, 3) of sum beta phi."""
+        return self.monomials(self.grad_exponents, points) @ np.stack([c @ beta for c in self.grad_coefficients], 1)
+
+
+@lru_cache
+def compiled(terms: tuple[Term, ...]) -> Compiled:
+    return Compiled(terms)
+
+
 def design(terms: tuple[Term, ...], points: np.ndarray) -> np.ndarray:
     """Values of all terms at points (n, 3)."""
-    return np.stack([t.values(points) for t in terms], 1) if len(points) else np.zeros((0, len(terms)))
+    return compiled(terms).design(points) if len(points) else np.zeros((0, len(terms)))
 
 
 def penalty(terms: tuple[Term, ...], order: int, s: float = 1.0) -> np.ndarray:

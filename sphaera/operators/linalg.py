@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.basis import Term, gradient_sql, penalty
 
 #: Up to so many terms the Gram sums are generated columns; more go through NumPy blocks.
-MAX_COLUMN_TERMS = 15
+MAX_COLUMN_TERMS = 10
 
 
 def with_design(cloud: DataFrame, terms: tuple[Term, ...], name: str = "phi") -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basis import design, harmonic_terms, penalty
+from ..functions.basis import compiled, harmonic_terms, penalty
 from ..functions.portable import REALMIN
 from .linalg import solve
 
@@ -96,14 +96,11 @@ class Solver:
 
     def __init__(self, c: Config):
         self.c, self.terms = c, harmonic_terms(c.order)
-        self.axes = [[t.derivative(a) for t in self.terms] for a in range(3)]
+        self.basis = compiled(self.terms)
         self.weights = penalty(self.terms, c.order)
 
-    def phi(self, points: np.ndarray) -> np.ndarray:
-        return design(self.terms, points)
-
     def fit(self, points: np.ndarray) -> np.ndarray | None:
-        phi = self.phi(points)
+        phi = self.basis.design(points)
         return solve(phi.T @ phi, phi.sum(0), len(points), self.c.strength, self.weights)
 
     def refine(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -114,8 +111,8 @@ class Solver:
         for _ in range(self.c.loc_iters):
             if beta is None:
                 break
-            g = np.stack([np.stack([t.values(at) for t in axis], 1) @ beta for axis in self.axes], 1)
-            e = 1 - self.phi(at) @ beta
+            g = self.basis.gradient(at, beta)
+            e = 1 - self.basis.value(at, beta)
             square = g.T @ g
             if np.linalg.matrix_rank(square) < 3:
                 break
@@ -125,7 +122,7 @@ class Solver:
         return total + start, beta
 
     def residual(self, points: np.ndarray, beta: np.ndarray) -> np.ndarray:
-        return np.abs(self.phi(points) @ beta - 1)
+        return np.abs(self.basis.value(points, beta) - 1)
 
     def score(self, r: np.ndarray) -> float:
         return float(np.exp(-(r**2) / (2 * self.c.sigma**2)).mean())
