@@ -463,4 +463,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS g
+  FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 100)) AS s FROM d WHERE len(h) >= 200)
+), f AS (
+  SELECT g, min(doc_id * 4294967296 + s) AS first FROM w GROUP BY g HAVING count(*) > 1
+), r AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new
+  FROM w JOIN f USING (g) WHERE doc_id * 4294967296 + s > first
+), i AS (
+  SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM r
+), p AS (
+  SELECT doc_id, island, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, island
+), k AS (
+  SELECT p.doc_id, p.island, a, b, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS part
+  FROM p JOIN d USING (doc_id) WINDOW o AS (PARTITION BY p.doc_id ORDER BY a)
+), t AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(part, '' ORDER BY a) AS parts, max(b) AS last FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(parts, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+}
