@@ -199,7 +199,9 @@ _BETA_ROWS = " UNION ALL ".join(f"SELECT {k} AS term, {Q(f'b{k}', 5)} AS beta FR
 _SOBOLEV = penalty(harmonic_terms(2), 2)
 for _name, _l, _w, _ord in (("fit_o2_ols", 0.0, None, None), ("fit_o2_iso", RIDGE, None, None), ("fit_o2_sobolev", RIDGE, _SOBOLEV, 2)):
     query(_fit_ctes(_l, _w) + _BETA_ROWS, _name)(_fit_query(_l, _ord))
-query(None, "fit_o4")(_fit_query(RIDGE, 4, 4))
+query(_fit_ctes(RIDGE, penalty(harmonic_terms(4), 4), 4) + " UNION ALL ".join(f"SELECT {k} AS term, {Q(f'b{k}', 4)} AS beta FROM beta" for k in range(15)), "fit_o4")(
+    lambda spark, sf: _beta_rows(spark, linalg.fit(cloud_of(spark, sf), harmonic_terms(4), RIDGE, 4), 4)
+)
 query(None, "fit_o6")(_fit_query(RIDGE, 6, 6))
 _FIT = _fit_ctes(RIDGE, _SOBOLEV)
 _F = "(" + " + ".join(f"b{k}*{t.sql()}" for k, t in enumerate(harmonic_terms(2))) + ")"
@@ -609,7 +611,14 @@ def gen_cylinder(spark, sf):
     return q(generators.cylinder(spark, 1200), "x", "y", "z")
 
 
-@query()
+_H = f"{generators.SQRT3 / 2:.17E}"
+_RHOMBI = [(f"(u * {a} + v * {c})", f"(u * {b} + v * {d})") for (a, b), (c, d) in ((("1.0", "0.0"), ("-0.5", _H)), (("-0.5", _H), ("-0.5", f"-{_H}")), (("-0.5", f"-{_H}"), ("1.0", "0.0")))]
+_WALLS = [(f"(u * {a} + (1 - u) * {c})", f"(u * {b} + (1 - u) * {d})") for (a, b), (c, d) in ((("1.0", "0.0"), ("0.5", _H)), (("0.5", _H), ("-0.5", _H)), (("-0.5", _H), ("-1.0", "0.0")))]
+_HEX = f"SELECT point_id, {{x}} AS x, {{y}} AS y, {{z}} AS z FROM (SELECT *, point_id % 12 AS k FROM ({_two('(SELECT point_id, point_id // 2 AS pair FROM (SELECT unnest(range(0, 1200)) AS point_id))', 1, 'pair')}))"
+_HX, _HY = ([p[i] for p in _RHOMBI for _ in "ab"] + [f"{p[i]} * {sign}" for p in _WALLS for sign in ("1.0", "-1.0")] for i in (0, 1))
+
+
+@query(_HEX.format(x=Q(_pick_sql("k", _HX)), y=Q(_pick_sql("k", _HY)), z=Q(_pick_sql("k", ["1.0", "-1.0"] * 3 + ["v * 2 - 1"] * 6))))
 def gen_hexagon_prism(spark, sf):
     return q(generators.hexagon_prism(spark, 1200), "x", "y", "z")
 
