@@ -48,6 +48,29 @@ def confusion(rows: DataFrame, truth: Column, found: Column, keys: list[str] | N
     return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.lit(1e-12), F.col("precision") + F.col("recall")))
 
 
+def score_models(cloud: DataFrame, terms: tuple[Term, ...], models: list[tuple[int, np.ndarray, np.ndarray]], threshold: float, sigma: float = SIGMA) -> DataFrame:
+    """model_id, n_points, soft_score, inlier_ratio, mse_all of many models (id, displacement, coefficients) over one cloud.
+
+    Models are few and go to the tasks; every block of points meets all of them in
+    matrix products, and only sums per model leave a task, whatever the cloud's size.
+    """
+    from ..functions.basis import compiled
+
+    def run(batches):
+        basis, sums = compiled(terms), np.zeros((len(models), 4))
+        for b in batches:
+            points = b[["x", "y", "z"]].to_numpy(float)
+            for k, (_, disp, beta) in enumerate(models):
+                r = np.abs(basis.value(points - disp, beta) - 1)
+                sums[k] += len(r), np.exp(-(r**2) / (2 * sigma**2)).sum(), (r < threshold).sum(), (r**2).sum()
+        yield pd.DataFrame({"model_id": [m[0] for m in models], "n": sums[:, 0].astype(int), "s": sums[:, 1], "i": sums[:, 2], "q": sums[:, 3]})
+
+    parts = cloud.select("x", "y", "z").mapInPandas(run, "model_id int, n bigint, s double, i double, q double")
+    total = parts.groupBy("model_id").agg(*[F.sum(c).alias(c) for c in "nsiq"])
+    n = F.nullif(F.col("n"), F.lit(0))
+    return total.select("model_id", F.col("n").alias("n_points"), (F.col("s") / n).alias("soft_score"), (F.col("i") / n).alias("inlier_ratio"), (F.col("q") / n).alias("mse_all"))
+
+
 def squared_norm(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, v: a + v * v)
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.basis import Term, gradient_sql, harmonic_terms, monomial_terms, penalty, ridge_diagonal
 from ..functions.portable import finite, half_up, hazen, hazen_sql, quantised, quantised_sql, uniform, uniform_sql
+from ..functions.shared import work_path
 from ..operators import analysis, linalg, ransac, score, tables
 from ..sources import clouds, generators, ply
+from ..streaming import log_stream
 
 Q = quantised_sql
 THRESH, SIGMA = 0.45, 0.15
@@ -102,11 +104,7 @@ def pool_concat(spark, sf):
 @query(f"SELECT vec_id AS point_id, {Q('CAST(embedding[1] AS DOUBLE)')} AS x, {Q('CAST(embedding[2] AS DOUBLE)')} AS y, {Q('CAST(embedding[3] AS DOUBLE)')} AS z FROM embeddings")
 def ply_roundtrip(spark, sf):
     """The cloud written as a PLY file and scanned again, with a missing file beside it."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/sphaera/ply-{uuid.uuid4().hex}"
+    path = work_path(spark, "ply")
     ply.write(clouds.from_embeddings(spark, sf), path)
     return q(ply.read(spark, f"{path}/part-*"), "x", "y", "z").select("point_id", "x", "y", "z")
 
@@ -265,6 +263,22 @@ def sdf(spark, sf):
     return q(d.agg(F.sqrt(F.avg(F.col("sdf") * F.col("sdf"))).alias("rms")).join(F.broadcast(p)), "rms", "p50", "p95", "p100")
 
 
+def _model_sql(k: int, strength: float, weights: np.ndarray | None) -> str:
+    r = f"abs({_F} - 1.0)"
+    return f"SELECT * FROM ({_fit_ctes(strength, weights)} SELECT {k} AS model_id, count(*) AS n_points, {Q(f'avg(exp(-({r}*{r}) / {2 * SIGMA * SIGMA!r}))', 5)} AS soft_score, {Q(f'avg(CAST({r} < {THRESH} AS DOUBLE))', 5)} AS inlier_ratio, {Q(f'avg({r}*{r})', 5)} AS mse_all FROM cloud, beta)"
+
+
+_MODELS = ((0.0, None, None), (RIDGE, None, None), (RIDGE, _SOBOLEV, 2))
+
+
+@query(" UNION ALL ".join(_model_sql(k, v, w) for k, (v, w, _) in enumerate(_MODELS)))
+def score_models(spark, sf):
+    """Several models scored on one cloud in one pass."""
+    c, terms = cloud_of(spark, sf), harmonic_terms(2)
+    models = [(k, np.zeros(3), linalg.fit(c, terms, v, o)) for k, (v, _, o) in enumerate(_MODELS)]
+    return q(score.score_models(c, terms, models, THRESH, SIGMA), "soft_score", "inlier_ratio", "mse_all", digits=5)
+
+
 _PRF = f"tp, fp, fn, tn, {Q('CAST(tp AS DOUBLE) / greatest(1, tp + fp)')} AS precision, {Q('CAST(tp AS DOUBLE) / greatest(1, tp + fn)')} AS recall, {Q('CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END')} AS f1"
 
 
@@ -720,6 +734,37 @@ def experiment_table(spark, sf):
     return n.join(F.broadcast(r), "config_id", "left").select("config_id", "post_score", "recall", "alpha", "p")
 
 
+_RESULT_NAMES = ["pid", "Qid", "sigma", "error", "q", "iter", "N", "iter_no", "pre_score", "post_score", "inlier_ratio", "beta_norm", "mse_all", "mse_inlier", "w", "max_iter", "sdf_rms", "sdf_p50", "tp", "fp", "fn", "tn", "precision", "recall", "f1"]
+
+
+@query()
+def result_table(spark, sf):
+    """The log with its constant columns in the order of the published table; distances that were never stored stay null."""
+    c = _ADAPTIVE[0]
+    log = ransac.run(_mixed(spark, 450, 0.2, generators.cube), [c])
+    log = tables.with_constants(log, pid=1, Qid=1, sigma=0.01, error=0.2, q=0.0, iter=c.loc_iters, N=450)
+    log = log.withColumns({"sdf_rms": F.lit(None).cast("double"), "sdf_p50": F.when(~F.isnan("post_score"), F.lit(float("nan")))})
+    return q(tables.ordered(log, _RESULT_NAMES), "pre_score", "post_score", "inlier_ratio", "beta_norm", "mse_all", "mse_inlier", "w", "precision", "recall", "f1", digits=5)
+
+
+@query(f"SELECT config, 'MC_' || config AS name, count(*) AS n FROM ({_LOG}) WHERE config IN ('click', 'view') GROUP BY config")
+def tag_lookup(spark, sf):
+    """Results found by a computed name: names without a result drop out."""
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("MC_click", "MC_view", "MC_none")])).alias("name"))
+    results = log_of(spark, sf).groupBy("config").agg(F.count("*").alias("n")).withColumn("tag", F.concat(F.lit("MC_"), F.col("config")))
+    return results.join(F.broadcast(wanted), F.col("tag") == F.col("name")).select(F.replace(F.col("name"), F.lit("MC_"), F.lit("")).alias("config"), "name", "n")
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS best_score FROM events GROUP BY event_type")
+def stream_best(spark, sf):
+    """The log as a stream, read to its end: iterations and best score by configuration."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    path = work_path(spark, "stream")
+    name = path.rpartition("/")[2].replace("-", "_")
+    stream = log_stream.best_so_far(log_stream.read_events(spark, sf, schema, names="events.parquet"))
+    return log_stream.run_to_table(stream, name, "complete", path)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cloud, basis, Gram sums, solve, residuals, scores: the whole fit in one query."""
     return residual_score(spark, sf_dir)

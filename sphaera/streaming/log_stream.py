@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, max_files: int = 1, names: str | None = None) -> DataFrame:
+    """New Parquet files of a folder, those that match names only."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return (reader.option("pathGlobFilter", names) if names else reader).parquet(path)
 
 
 def score_summary(events: DataFrame, watermark: str = "1 day", window: str = "1 day") -> DataFrame:
