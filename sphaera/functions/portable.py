@@ -57,24 +57,40 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that later filters aren't pushed into long expressions and multiplied there."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+#: Bins by which hazen() narrows down to single order statistics.
+_EDGES = 128
+
+
 def hazen(rows: DataFrame, keys: list[str], value: str, percents: list[float]) -> DataFrame:
     """Midpoint percentiles (Hyndman and Fan's type 5) by keys: p<percent> columns.
 
-    Ranks are taken within each key and only the two order statistics around each
-    position are kept, so nothing but them is gathered. A key's ranking is one
-    sorted stream that spills, not a group held in memory.
+    Exact, but no task sorts a whole key: approximate quantiles cut each key into
+    bins, exact counts of the bins tell which of them hold the order statistics
+    asked for, and only those bins' distinct values are ranked.
     """
-    w = Window.partitionBy(*keys)
-    ranked = rows.filter(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("__v"))
-    ranked = ranked.withColumn("__i", F.row_number().over(w.orderBy("__v"))).withColumn("__n", F.count("*").over(w))
-    out = []
-    for p in percents:
-        h = F.greatest(F.lit(1.0), F.least(F.col("__n").cast("double"), F.col("__n") * (p / 100) + 0.5))
-        low = F.max(F.when(F.col("__i") == F.floor(h), F.col("__v")))
-        high = F.max(F.when(F.col("__i") == F.ceil(h), F.col("__v")))
-        share = F.max(h - F.floor(h))
-        out.append((low + share * (high - low)).alias(f"p{p:g}".replace(".", "_")))
-    return ranked.groupBy(*keys).agg(*out)
+    by = keys or ["__all"]
+    v = F.col(value).cast("double").alias("__v")
+    good = settled(rows.select(*(keys or [F.lit(0).alias("__all")]), v)).filter(finite(F.col("__v")))
+    edges = good.groupBy(*by).agg(F.percentile_approx("__v", [k / _EDGES for k in range(1, _EDGES)], 10_000).alias("__edges"))
+    binned = good.join(edges, by).select(*by, "__v", F.size(F.filter("__edges", lambda e: e < F.col("__v"))).alias("__bin"))
+    counts = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__count"))
+    w = Window.partitionBy(*by)
+    counts = counts.withColumn("__upto", F.sum("__count").over(w.orderBy("__bin"))).withColumn("__n", F.sum("__count").over(w))
+    h = [F.greatest(F.lit(1.0), F.least(F.col("__n").cast("double"), F.col("__n") * (p / 100) + 0.5)) for p in percents]
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil(x) if up else F.floor(x)).alias("rank"), (x - F.floor(x)).alias("share")) for k, x in enumerate(h) for up in (False, True)])
+    wanted = counts.select(*by, "__bin", (F.col("__upto") - F.col("__count")).alias("__before"), "__upto", F.explode(ranks).alias("__r")).filter("__r.rank > __before AND __r.rank <= __upto")
+    values = binned.join(wanted.select(*by, "__bin").distinct(), [*by, "__bin"], "left_semi").groupBy(*by, "__bin", "__v").agg(F.count("*").alias("__c"))
+    ranked = values.withColumn("__last", F.sum("__c").over(Window.partitionBy(*by, "__bin").orderBy("__v")))
+    found = ranked.join(wanted, [*by, "__bin"]).withColumn("__at", F.col("__r.rank") - F.col("__before")).filter("__at <= __last AND __at > __last - __c")
+    cell = lambda k, up: F.max(F.when((F.col("__r.k") == k) & (F.col("__r.up") == up), F.col("__v")))
+    share = lambda k: F.max(F.when(F.col("__r.k") == k, F.col("__r.share")))
+    out = [(cell(k, False) + share(k) * (cell(k, True) - cell(k, False))).alias(f"p{p:g}".replace(".", "_")) for k, p in enumerate(percents)]
+    return found.groupBy(*by).agg(*out).drop("__all")
 
 
 def hazen_sql(source: str, keys: str, value: str, percents: list[float]) -> str:

@@ -584,7 +584,7 @@ def sample_weighted(spark, sf):
 
     Cumulative weights come from per-block sums, so no task orders all points.
     """
-    c = clouds.from_embeddings(spark, sf).select("point_id", "x", (F.lit(1) + F.col("label")).cast("long").alias("w")).withColumn("block", F.floor(F.col("point_id") / 256))
+    c = clouds.from_embeddings(spark, sf).select("point_id", "x", (F.lit(1) + F.col("label")).cast("long").alias("w")).withColumn("block", F.floor(F.col("point_id") / 65536))
     sums = c.groupBy("block").agg(F.sum("w").alias("bw"))
     before = sums.withColumn("b0", F.coalesce(F.sum("bw").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     e = c.join(F.broadcast(before), "block").withColumn("hi", F.col("b0") + F.sum("w").over(Window.partitionBy("block").orderBy("point_id")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.portable import gaussian, uniform
+from ..functions.portable import gaussian, settled, uniform
 from .clouds import AXES
 
 SQRT3 = 1.7320508075688772
@@ -33,11 +33,6 @@ def _pick(k: Column, *cases: Column) -> Column:
     return out
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator, so that later filters aren't pushed into long expressions and multiplied there."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def _ids(spark: SparkSession, n: int) -> DataFrame:
     _whole(n)
     return spark.range(n).withColumnRenamed("id", "point_id")
@@ -134,7 +129,7 @@ def ellipsoid(spark: SparkSession, n: int, a: float, b: float, c: float, seed: i
         return p.withColumns({"d": d, "w": w if mode == "reference" else 1 / w})
 
     def candidates(count: int, own: int) -> DataFrame:
-        return _settled(weighted(_settled(sphere(spark, count, own))))
+        return settled(weighted(settled(sphere(spark, count, own))))
 
     bound = candidates(20_000, seed + 100).agg((F.max("w") * 1.10).alias("bound"))
     most = float(bound.first()[0])

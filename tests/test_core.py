@@ -153,6 +153,18 @@ def test_percentiles_are_hazen(spark):
     assert found == {1: (5.5, 10.0, 10.0), 2: (5.0, 5.0, 5.0)}
 
 
+def test_percentiles_of_many_ties_and_keys(spark):
+    n = 4000
+    v = np.where(R.random(n) < 0.5, 1.25, R.lognormal(size=n) ** 3)
+    rows = spark.createDataFrame([(int(i % 3 > 0), float(x)) for i, x in enumerate(v)], "k int, v double")
+    for keys in ([], ["k"]):
+        found = {r[0] if keys else None: tuple(r)[len(keys) :] for r in hazen(rows, keys, "v", [1, 33.3, 50, 99.8]).collect()}
+        for key, got in found.items():
+            own = np.sort(v if key is None else v[(np.arange(n) % 3 > 0).astype(int) == key])
+            assert np.allclose(got, np.percentile(own, [1, 33.3, 50, 99.8], method="hazen"), rtol=1e-12)
+        assert len(found) == (2 if keys else 1)
+
+
 def test_moving_average_is_the_recursion(spark):
     v = R.random(500)
     rows = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "k int, i int, v double")
