@@ -28,7 +28,9 @@ def bucket_of(text, n):
     return m.block_grams(raw, np.array([0, len(raw)]), n)[1].tolist()
 
 
-def test_counts_and_weights(spark):
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_counts_and_weights(spark, monkeypatch, most):
+    monkeypatch.setattr(m, "MAX_BROADCAST_LABELS", most)
     docs, labels = corpus(60, 1)
     docs += [(100, None, "", ""), (101, "", "", ""), (None, "river", "", "")]
     d, la = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int")

@@ -55,6 +55,19 @@ def test_repeated_ids(spark):
     assert result(m.LineIndex.build(docs, keys_per_shard=1).deduplicate(docs)) == brute(rows)
 
 
+def test_without_broadcast_filters(spark, monkeypatch):
+    monkeypatch.setattr(m, "MAX_FILTER_BYTES", -1)
+    docs = spark.createDataFrame(documents(30, 8), SCHEMA)
+    assert result(m.LineIndex.build(docs).deduplicate(docs)) == brute(documents(30, 8))
+
+
+def test_rewrite_keeps_columns(spark):
+    rows = [(1, "one long line here\nb", "p", "q", "r"), (2, "One long line here ", "s", "t", "u"), (2, None, "v", "w", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = sorted(map(tuple, m.LineIndex.build(docs).rewrite(docs).collect()), key=str)
+    assert out == sorted([rows[0], (2, "", "s", "t", "u"), (2, "", "v", "w", "x")], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert result(m.LineIndex.build(docs).deduplicate(docs)) == []

@@ -64,8 +64,9 @@ def test_against_brute_force(spark, size, percent):
     assert result(spark, rows, size, percent) == brute(rows, size, percent)
 
 
-@pytest.mark.parametrize("passage", [0, 40])
-def test_long_lists_go_the_exact_way(spark, monkeypatch, passage):
+@pytest.mark.parametrize(("passage", "most"), [(0, 1 << 20), (40, 1 << 20), (20, -1)])
+def test_long_lists_go_the_exact_way(spark, monkeypatch, passage, most):
+    monkeypatch.setattr(m, "MAX_BROADCAST_IDS", most)
     monkeypatch.setattr(m, "LIST", 4)
     monkeypatch.setattr(m, "BLOCK", 8)
     r = random.Random(7)
