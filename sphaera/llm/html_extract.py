@@ -197,9 +197,12 @@ def site_templates(pages: DataFrame, html: str = "html", url: str = "url") -> Da
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "hash": pa.array(hashes, pa.int64()), "inside": pa.array(insides, pa.bool_())})
 
     counts = materialise(lean.mapInArrow(run, "host string, hash bigint, inside boolean").groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).filter(f"hash IS NULL OR n >= {MIN_PAGES}"), "html-subtrees")
-    sizes = counts.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
+    named = counts.withColumn("host", F.encode("host", "UTF-8"))
+    sizes = named.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
+    total = sizes.agg(F.sum("pages")).first()[0] or 0
+    found = join_counted(named.filter("hash IS NOT NULL").select("host", "hash", "inside", "n"), sizes, "host", "pages", total, F.col("hash"))
     share = F.when(F.col("inside"), MIN_SHARE_INSIDE).otherwise(MIN_SHARE)
-    return counts.filter("hash IS NOT NULL").join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash", "inside", "n")
+    return found.filter(F.col("n") >= share * F.col("pages")).select(F.decode("host", F.lit("UTF-8")).alias("host"), "hash", "inside", "n")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
