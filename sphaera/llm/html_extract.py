@@ -202,7 +202,7 @@ def site_templates(pages: DataFrame, html: str = "html", url: str = "url") -> Da
     total = sizes.agg(F.sum("pages")).first()[0] or 0
     found = join_counted(named.filter("hash IS NOT NULL").select("host", "hash", "inside", "n"), sizes, "host", "pages", total, F.col("hash"))
     share = F.when(F.col("inside"), MIN_SHARE_INSIDE).otherwise(MIN_SHARE)
-    return found.filter(F.col("n") >= share * F.col("pages")).select(F.decode("host", F.lit("UTF-8")).alias("host"), "hash", "inside", "n")
+    return found.filter(F.col("n") >= share * F.col("pages")).select(F.decode("host", "UTF-8").alias("host"), "hash", "inside", "n")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
