@@ -101,6 +101,15 @@ def pool_concat(spark, sf):
     return q(out, "x", "y", "z").select("point_id", "x", "y", "z", "gt")
 
 
+@query()
+def pool_concat_whole(spark, sf):
+    """Both pools as large as the table: ids run from 0, so their number follows from the largest."""
+    c = clouds.from_embeddings(spark, sf)
+    n = (c.agg(F.max("point_id")).first()[0] or 0) + 1
+    out = clouds.concatenated(c, c.withColumns({a: F.col(a) * 2 for a in "xyz"}), n, n)
+    return q(out, "x", "y", "z").select("point_id", "x", "y", "z", "gt")
+
+
 @query(f"SELECT vec_id AS point_id, {Q('CAST(embedding[1] AS DOUBLE)')} AS x, {Q('CAST(embedding[2] AS DOUBLE)')} AS y, {Q('CAST(embedding[3] AS DOUBLE)')} AS z FROM embeddings")
 def ply_roundtrip(spark, sf):
     """The cloud written as a PLY file and scanned again, with a missing file beside it."""
@@ -468,6 +477,13 @@ def last_valid(spark, sf):
     return analysis.last_valid(log, ["config"], "iter", "score").groupBy("config").agg(F.count("*").alias("n"), F.max("iter").alias("last"))
 
 
+@query()
+def last_valid_whole(spark, sf):
+    """As last_valid, with NaNs by a rule that holds throughout the log."""
+    log = log_of(spark, sf).withColumn("score", F.when(F.col("iter") % 100 < 97, F.col("score")).otherwise(F.lit(float("nan"))))
+    return analysis.last_valid(log, ["config"], "iter", "score").groupBy("config").agg(F.count("*").alias("n"), F.max("iter").alias("last"))
+
+
 for _late, _dir in ((True, "DESC"), (False, "ASC")):
     query(
         f"WITH log AS (SELECT config, iter, floor(score * 50) / 50 AS score FROM ({_LOG})), r AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY score DESC, iter {_dir}) AS k FROM log WHERE score >= 0.13) SELECT config, iter, {Q('score')} AS score FROM r WHERE k = 1",
@@ -551,12 +567,29 @@ def log_append(spark, sf):
     return tables.ordered(log, ["pid", "iter", "total", "error", "batch"])
 
 
+@query()
+def log_append_whole(spark, sf):
+    """All orders in two batches, parted half way between the least and the largest key."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("iter"), F.floor(F.col("o_totalprice") + 0.5).alias("total"))
+    half = o.agg(F.expr("(min(iter) + max(iter)) DIV 2")).first()[0] or 0
+    log = None
+    for part, error, name in ((o.filter(F.col("iter") < half), 0.2, "a"), (o.filter(F.col("iter") >= half), 0.1, "b")):
+        log = tables.appended(log, tables.with_constants(part, error=error, pid=1, batch=name))
+    return tables.ordered(log, ["pid", "iter", "total", "error", "batch"])
+
+
 @query(f"WITH log AS ({_LOG}) SELECT config, list({Q('score')} ORDER BY iter) AS scores, list(iter ORDER BY iter) AS iters FROM log WHERE iter < 600 GROUP BY config")
 def nested_res(spark, sf):
     log = log_of(spark, sf).filter("iter < 600").withColumn("scores", quantised(F.col("score"))).withColumn("iters", F.col("iter"))
     return tables.nested(log, ["config"], "iter", "scores", "iters")
 
 
+@query()
+def nested_res_whole(spark, sf):
+    log = log_of(spark, sf).withColumn("scores", quantised(F.col("score"))).withColumn("iters", F.col("iter"))
+    return tables.nested(log, ["config"], "iter", "scores", "iters")
+
+
 @query(f"WITH {_RATES} SELECT config, {Q('max(p) FILTER (alpha = 1E-1)')} AS p_ref, true AS none_is_nan FROM rates GROUP BY config")
 def pluck_exact(spark, sf):
     """The entry of a vector at an exact key; none gives NaN."""
