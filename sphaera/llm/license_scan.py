@@ -63,6 +63,10 @@ UNNAMED = (
     "Released under our own public license, version 1.", "Distributed under a proprietary license.", "The license may be terminated at any time.",
     "Redistribution in any form is prohibited.", "See the license file for details.", "You may not copy this software.",
 )
+#: Words of the above that say nothing of licences, in any of the languages at hand; all others are cues, whatever the sample holds.
+ORDINARY = frozenset("the of and in to is that it for be with by this are at or has all any can may not you only our own see mit nd".split())
+#: Share of the pairs of words, of a line or of a template, that keeps a sampled line out of plain text; and their least number.
+RESEMBLES, MIN_PAIRS = 0.5, 3
 #: Between words; characters from U+0080 belong to them.
 _BREAK = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _SPACED = r"[^a-z0-9.\x{80}-\x{10FFFF}]+|\.(?![0-9])"
@@ -82,6 +86,13 @@ def pairs(tokens: list[str]) -> set[str]:
     return {" ".join(tokens[i : i + 2]) for i in range(len(tokens) - 1)}
 
 
+def resembles(tokens: list[str]) -> bool:
+    """Whether a line holds much of a template, or is much of one."""
+    line = pairs(tokens)
+    both = [(len(line & own), min(len(line), len(own))) for texts in TEMPLATES.values() for own in (pairs(words(x)) for x in texts)]
+    return any(n >= MIN_PAIRS and n >= RESEMBLES * least for n, least in both)
+
+
 class Model:
     """classes, weights by n-gram (a row each), intercepts, threshold, cue words."""
 
@@ -116,8 +127,8 @@ def train(plain_lines: list[str], seed: int = 5, steps: int = 300) -> Model:
     r = np.random.default_rng(seed)
     classes = [NONE, UNKNOWN, *sorted(TEMPLATES)]
     plain = [t for t in (words(x) for x in plain_lines) if t]
-    common = {w for t in plain for w in t}
-    cues = sorted({w for own in [*TEMPLATES.values(), UNNAMED] for x in own for w in words(x) if w not in common and len(w) > 1 and not w[0].isdigit()})
+    plain = [t for t in plain if not resembles(t)]
+    cues = sorted({w for own in [*TEMPLATES.values(), UNNAMED] for x in own for w in words(x) if w not in ORDINARY and len(w) > 1 and not w[0].isdigit()})
     examples = [(0, t[:60]) for t in plain] + [(0, [])]
     # single words of licences also occur in plain text
     loose = [w for w in cues if not re.match("licen|copyright|redistribut|gpl|gnu|apache|mozilla|bsd", w)]
@@ -169,7 +180,7 @@ def _lowered(text: Column) -> Column:
 
 
 def plain_sample(rows: DataFrame) -> list[str]:
-    """Lines of 30 to 300 characters that name no licence, from the MAX_PLAIN texts with the smallest hashes; the first MAX_PLAIN by hash."""
+    """Lines of 30 to 300 characters that name no licence (train leaves out those that resemble a template), from the MAX_PLAIN texts with the smallest hashes; the first MAX_PLAIN by hash."""
     some = smallest_hashes(rows, "row", MAX_PLAIN, rows.count())
     lines = some.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter("length(line) BETWEEN 30 AND 300")
     lines = lines.filter(~_lowered(F.col("line")).rlike("licen[sc]|copyright|redistribut|public domain|creative commons"))

@@ -62,3 +62,16 @@ def test_empty_table_and_no_python(spark):
     assert out.collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+}
+
+
+def test_notices_in_the_sample_stay_licences(spark):
+    model = m.train(PLAIN + list(NOTICES.values()))
+    assert all(set(m.words(x)) & set(model.cues) for own in m.TEMPLATES.values() for x in own)
+    docs = spark.createDataFrame([(i, f"some text\n\n{t}", "", "", "") for i, t in enumerate(NOTICES.values())], SCHEMA)
+    assert {r.doc_id: r.families for r in m.scan(docs, model=model).collect()} == {i: [k] for i, k in enumerate(NOTICES)}
