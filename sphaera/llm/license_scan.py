@@ -5,7 +5,8 @@ gives each paragraph (line) the probabilities of the licence families, of an
 unknown licence and of no licence. A family counts only where its probability
 reaches a threshold calibrated on held-out examples, and where the paragraph
 holds enough of one of the family's templates; what fails either but is more
-likely a licence than not is an unknown licence.
+likely a licence than not is an unknown licence. Notices wrapped over several
+lines are found by joining neighbouring lines that hold parts of one template.
 
 Training is small and on the driver: variants of the templates below (words
 dropped, cut, put among other words), statements of unnamed licences, and a
@@ -25,7 +26,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import identify, materialise, smallest_hashes
@@ -40,15 +41,15 @@ NONE, UNKNOWN = "none", "unknown"
 
 #: Short notices by which the licence families are recognised.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions."),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     "gpl-2": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2."),
     "gpl-3": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3."),
     "lgpl": ("This library is licensed under the GNU Lesser General Public License.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License."),
     "agpl": ("This program is licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License version 3"),
     "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
-    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License.", "Licensed under the Eclipse Public License, version 2.0."),
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
     "cc0": ("Released under CC0 1.0 Universal public domain dedication.", "To the extent possible under law, the author has waived all copyright under Creative Commons CC0 1.0."),
@@ -188,41 +189,97 @@ def plain_sample(rows: DataFrame) -> list[str]:
     return [r[0] for r in found]
 
 
-def scan_lines(rows: DataFrame, model: Model) -> DataFrame:
-    """row, line_no, family (a name or unknown), probability, similarity of every line that is more likely a licence than not."""
-    spark = rows.sparkSession
-    lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    low = _lowered(F.col("line"))
-    lines = lines.filter(F.exists(F.split(low, _BREAK, -1), lambda w: w.isin(model.cues)))
-    spaced = F.regexp_replace(_lowered(F.col("line")), _SPACED, " ")
-    lines = lines.select("row", "line_no", F.filter(F.split(spaced, " ", -1), lambda w: w != "").alias("w"))
-    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    found = lines.select("row", "line_no", F.explode(F.array_distinct(F.concat(F.col("w"), run(2), run(3)))).alias("gram"))
-    found = materialise(found, "license-grams")
+def _runs(n: int) -> Column:
+    """The runs of n words of w."""
+    return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def _tokens(line: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(_lowered(line), _SPACED, " "), " ", -1), lambda w: w != "")
+
 
+def _scores(found: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+    """family and its probability for all keys whose grams are more likely a licence than not."""
     k = len(model.classes)
-    weights = spark.createDataFrame([(g, model.weights[i].tolist()) for g, i in model.vocabulary.items()], "gram string, weights array<double>")
-    sums = found.join(F.broadcast(weights), "gram").groupBy("row", "line_no").agg(*[F.sum(F.col("weights")[c]).alias(f"s{c}") for c in range(k)])
+    weights = found.sparkSession.createDataFrame([(g, model.weights[i].tolist()) for g, i in model.vocabulary.items()], "gram string, weights array<double>")
+    sums = found.join(F.broadcast(weights), "gram").groupBy(*keys).agg(*[F.sum(F.col("weights")[c]).alias(f"s{c}") for c in range(k)])
     score = [F.col(f"s{c}") + float(model.bias[c]) for c in range(k)]
-    scored = sums.select("row", "line_no", F.array(*score).alias("s")).withColumn("m", F.array_max("s"))
+    scored = sums.select(*keys, F.array(*score).alias("s")).withColumn("m", F.array_max("s"))
     scored = scored.withColumn("e", F.transform("s", lambda v: F.exp(v - F.col("m")))).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
     scored = scored.withColumn("p", F.transform("e", lambda v: v / F.col("z")))
     families = F.slice("p", 3, k - 2)
     scored = scored.withColumn("best", F.array_max(families)).withColumn("which", F.array_position(families, F.array_max(families)).cast("int") + 1)
     names = F.array(*[F.lit(c) for c in model.classes])
-    scored = scored.filter(F.col("p")[0] < 0.5).select("row", "line_no", F.get(names, F.col("which")).alias("family"), F.col("best").alias("probability"))
+    return scored.filter(F.col("p")[0] < 0.5).select(*keys, F.get(names, F.col("which")).alias("family"), F.col("best").alias("probability"))
 
-    templates = [(name, n, g, float(len(own))) for name, texts in TEMPLATES.items() for n, own in enumerate(pairs(words(x)) for x in texts) for g in own]
+
+def scan_lines(rows: DataFrame, model: Model) -> DataFrame:
+    """row, line_no, family (a name or unknown), probability, similarity of every line that is more likely a licence than not.
+
+    Notices wrapped over several lines have one row, at their first line; their other lines have none.
+    """
+    spark = rows.sparkSession
+    lines = F.split("text", "\n", -1)
+    # each line with the one after it, whose beginning continues its runs of words
+    lines = rows.select("row", F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("next"))).alias("line_no", "both")).select("row", "line_no", "both.line", "both.next")
+    low = _lowered(F.col("line"))
+    lines = lines.filter(F.exists(F.split(low, _BREAK, -1), lambda w: w.isin(model.cues)))
+    lines = lines.select("row", "line_no", _tokens(F.col("line")).alias("own"), F.coalesce(F.slice(_tokens(F.col("next")), 1, 2), F.array().cast("array<string>")).alias("after"))
+    lines = lines.select("row", "line_no", "own", F.size("after").alias("n_after"), F.concat("own", "after").alias("w"))
+    # runs that end within the line come first, the others are those across its end
+    n_own = F.size("own")
+    part = lambda n: F.slice(_runs(n), 1, F.greatest(n_own - (n - 1), F.lit(0)))
+    rest = lambda n: F.slice(_runs(n), F.greatest(n_own - (n - 2), F.lit(1)), F.least(n_own, F.lit(n - 1)))
+    cell = lambda across: lambda g: F.struct(g.alias("gram"), F.lit(across).alias("across"))
+    inner = F.transform(F.array_distinct(F.concat(F.col("own"), part(2), part(3))), cell(False))
+    outer = F.transform(F.array_distinct(F.concat(rest(2), rest(3))), cell(True))
+    every = materialise(lines.select("row", "line_no", F.inline(F.concat(inner, outer))), "license-grams")
+    found = every.filter("NOT across").drop("across")
+
+    scored = _scores(found, model, ["row", "line_no"])
+    templates = [(name, k, g, float(len(own))) for name, texts in TEMPLATES.items() for k, own in enumerate(pairs(words(x)) for x in texts) for g in own]
     known = spark.createDataFrame(templates, "family string, template int, gram string, size double")
     held = found.join(F.broadcast(known), "gram").groupBy("row", "line_no", "family", "template").agg((F.count("*") / F.max("size")).alias("similarity"))
     held = held.groupBy("row", "line_no", "family").agg(F.max("similarity").alias("similarity"))
     both = scored.join(held, ["row", "line_no", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     sure = (F.col("probability") >= model.threshold) & (F.col("similarity") >= CONFIRM)
-    return both.withColumn("family", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)))
+    single = materialise(both.withColumn("family", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN))), "license-lines")
+    wrapped = materialise(_wrapped(every, single, known, model), "license-wrapped")
+    # a line of a wrapped notice says nothing of its own
+    covered = wrapped.select("row", F.explode(F.sequence("line_no", "last")).alias("line_no"))
+    return single.join(covered, ["row", "line_no"], "left_anti").unionByName(wrapped.drop("last"))
+
+
+def _wrapped(every: DataFrame, single: DataFrame, known: DataFrame, model: Model) -> DataFrame:
+    """row, line_no, last, family, probability, similarity of notices that only their lines together confirm.
+
+    Lines next to each other that hold word pairs of one template are a stretch, without those that a family
+    has on their own; blank lines hold none, so no stretch leaves its paragraph. A stretch is decided as a line is.
+    """
+    spot = ["row", "family", "template"]
+    hits = every.join(F.broadcast(known), "gram").join(single.filter(F.col("family") != UNKNOWN).select("row", "line_no"), ["row", "line_no"], "left_anti")
+    near = hits.groupBy(*spot, "line_no").agg(F.max("across").alias("across"), F.collect_set("gram").alias("grams"), F.max("size").alias("size"))
+    order = Window.partitionBy(*spot).orderBy("line_no")
+    near = near.withColumn("new", F.coalesce((F.col("line_no") - F.lag("line_no").over(order) > 1).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(order))
+    ends = F.max(F.col("line_no") + F.col("across").cast("int")).alias("last")
+    joined = near.groupBy(*spot, "stretch").agg(F.min("line_no").alias("line_no"), ends, (F.size(F.array_distinct(F.flatten(F.collect_list("grams")))) / F.max("size")).alias("similarity"))
+    joined = joined.filter((F.col("similarity") >= CONFIRM) & (F.col("last") > F.col("line_no")))
+    joined = materialise(joined.groupBy("row", "line_no", "last", "family").agg(F.max("similarity").alias("similarity")), "license-stretches")
+
+    part = joined.select("row", F.col("line_no").alias("first"), "last").distinct()
+    inside = F.col("line_no").between(F.col("first"), F.col("last")) & ~(F.col("across") & (F.col("line_no") == F.col("last")))
+    grams_of = every.join(part, "row").filter(inside).select("row", "first", "last", "gram").distinct()
+    scored = _scores(grams_of, model, ["row", "first", "last"]).withColumnRenamed("first", "line_no")
+    good = joined.join(scored.filter(F.col("probability") >= model.threshold), ["row", "line_no", "last", "family"])
+    # of stretches that share lines, the longest stays, of equal ones the surest
+    cells = good.withColumn("rank", F.struct((F.col("last") - F.col("line_no")).alias("length"), "probability", "similarity", "line_no", "last", "family"))
+    best = cells.select("row", "rank", F.explode(F.sequence("line_no", "last")).alias("at")).groupBy("row", "at").agg(F.max("rank").alias("top"))
+    lost = cells.select("row", "rank", F.explode(F.sequence("line_no", "last")).alias("at")).join(best, ["row", "at"]).filter("rank < top").select("row", "rank").distinct()
+    return cells.join(lost, ["row", "rank"], "left_anti").select("row", "line_no", "last", "family", "probability", "similarity")
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:
-    """row, doc_id, families (sorted names, unknown included), n_paragraphs (lines that state a licence), probability (least of them)."""
+    """row, doc_id, families (sorted names, unknown included), n_paragraphs (lines that state a licence; a wrapped notice counts once), probability (least of them)."""
     rows = identify(docs, text, doc_id)
     model = model or train(plain_sample(rows))
     found = scan_lines(rows, model).groupBy("row").agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_paragraphs"), F.min("probability").alias("probability"))

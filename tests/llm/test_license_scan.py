@@ -1,6 +1,7 @@
 """Licence scans: held-out phrasings, brute force against the trained model, defined cases."""
 
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -75,3 +76,21 @@ def test_notices_in_the_sample_stay_licences(spark):
     assert all(set(m.words(x)) & set(model.cues) for own in m.TEMPLATES.values() for x in own)
     docs = spark.createDataFrame([(i, f"some text\n\n{t}", "", "", "") for i, t in enumerate(NOTICES.values())], SCHEMA)
     assert {r.doc_id: r.families for r in m.scan(docs, model=model).collect()} == {i: [k] for i, k in enumerate(NOTICES)}
+
+
+REAL = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+    "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_and_paraphrased_notices(spark, mark):
+    other = "the software and all associated documentation files, free of charge,"
+    texts = {k: "some text before\n\n" + "\n".join(textwrap.wrap(t, 40, initial_indent=mark, subsequent_indent=mark)) + "\n\nand more" for k, t in REAL.items()}
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate([*texts.values(), "Permission is hereby granted, to any person\n\n" + other])], SCHEMA)
+    found = {r.doc_id: r.families for r in m.scan(docs, model=MODEL).collect()}
+    assert [found[i] for i in range(len(texts))] == [[k] for k in texts]
+    assert "mit" not in found[len(texts)]
