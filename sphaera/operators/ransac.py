@@ -8,8 +8,9 @@ so a configuration is one sequential group and configurations run in parallel.
 
 A cloud is broadcast up to ``MAX_POINTS`` points, checked first. A larger one is
 fitted on the ``MAX_POINTS`` points with the smallest hashes (a documented bound:
-consensus needs few points) and the winning model is scored on all points by
-``score.with_residual``, which has no such limit.
+consensus needs few points): its log holds the figures of those points. The best
+models are then scored on all points by partial sums (``rescored``), which have no
+such limit, and ``solve_cloud`` returns those figures.
 """
 
 from __future__ import annotations
@@ -246,7 +247,41 @@ def best_models(log: DataFrame) -> DataFrame:
     return known.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
+def rescored(cloud: DataFrame, best: DataFrame, configs: list[Config]) -> DataFrame:
+    """Rows of best with post_score, inlier_ratio, mean squares and confusion counts over all points of the cloud."""
+    by_id = {c.config_id: c for c in configs}
+    rows = [r.asDict() for r in best.collect()]
+    if not rows:
+        return best
+    models = [(by_id[r["config_id"]], np.array(r["disp"]), np.array(r["beta"])) for r in rows]
+    has_truth = "gt" in cloud.columns
+    sums = ("n", "soft", "square", "inside", "inside_square", "tp", "fp", "fn")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(models), len(sums)))
+        solvers = [Solver(c) for c, _, _ in models]
+        for b in batches:
+            points = b[["x", "y", "z"]].to_numpy(float)
+            truth = b["gt"].to_numpy(bool) if has_truth else np.zeros(len(b), bool)
+            for k, (s, (c, disp, beta)) in enumerate(zip(solvers, models)):
+                r = s.residual(points - disp, beta)
+                inside, r2 = r < c.thresh, r**2
+                total[k] += len(r), np.exp(-r2 / (2 * c.sigma**2)).sum(), r2.sum(), inside.sum(), r2[inside].sum(), (truth & inside).sum(), (~truth & inside).sum(), (truth & ~inside).sum()
+        yield pd.DataFrame(total, columns=list(sums)).assign(model=range(len(models)))
+
+    parts = cloud.select("x", "y", "z", *["gt"] * has_truth).mapInPandas(partial, ", ".join(f"{c} double" for c in sums) + ", model int")
+    for t in parts.groupBy("model").agg(*[F.sum(c).alias(c) for c in sums]).collect():
+        r, n = rows[t["model"]], t["n"]
+        r |= {"post_score": t["soft"] / n, "inlier_ratio": t["inside"] / n, "mse_all": t["square"] / n, "mse_inlier": t["inside_square"] / t["inside"] if t["inside"] else float("nan")}
+        if has_truth:
+            tp, fp, fn = t["tp"], t["fp"], t["fn"]
+            p, q = tp / max(1, tp + fp), tp / max(1, tp + fn)
+            r |= {"tp": tp, "fp": fp, "fn": fn, "tn": n - tp - fp - fn, "precision": p, "recall": q, "f1": 2 * p * q / max(1e-12, p + q)}
+    return cloud.sparkSession.createDataFrame([tuple(r[f.name] for f in best.schema) for r in rows], best.schema)
+
+
 def solve_cloud(cloud: DataFrame, config: Config, strength: float | None = None) -> DataFrame:
-    """The whole solver: log, then the best row. An explicit strength goes before that of the configuration."""
+    """The whole solver: log, then the best row, scored on all points. An explicit strength goes before that of the configuration."""
     own = config if strength is None else Config(**(asdict(config) | {"strength": strength}))
-    return best_models(run(cloud, [own]))
+    best = best_models(run(cloud, [own]))
+    return rescored(cloud, best, [own]) if cloud.count() > MAX_POINTS else best

@@ -228,3 +228,19 @@ def test_stream(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("a", 5, 9.0), ("b", 5, 10.0)}
     windows = log_stream.run_to_table(log_stream.score_summary(log_stream.read_events(spark, f"{tmp_path}/in", src.schema, 9)), "windows_log", "append", f"{tmp_path}/c2")
     assert windows.count() >= 8
+
+
+def test_solver_scores_all_points_of_a_large_cloud(spark, monkeypatch):
+    cloud = generators.jittered(generators.sphere(spark, 400), 0.02, 5)
+    far = cloud.select((F.col("point_id") + 400).alias("point_id"), *[(F.col(a) * 3).alias(a) for a in "xyz"], F.lit(False).alias("gt"))
+    cloud = cloud.select("point_id", "x", "y", "z", F.lit(True).alias("gt")).unionByName(far)
+    config = ransac.Config(order=2, k_mult=2.0, strength=1e-3, max_iter=30, thresh=0.3)
+    monkeypatch.setattr(ransac, "MAX_POINTS", 500)
+    row = ransac.solve_cloud(cloud, config).first()
+    assert row.tp + row.fp + row.fn + row.tn == 800
+    p = cloud.toPandas()
+    s = ransac.Solver(config)
+    r = s.residual(p[["x", "y", "z"]].to_numpy(float) - np.array(row.disp), np.array(row.beta))
+    inside, truth = r < config.thresh, p["gt"].to_numpy(bool)
+    assert np.allclose([row.inlier_ratio, row.post_score, row.mse_all, row.mse_inlier], [inside.mean(), s.score(r), (r**2).mean(), (r[inside] ** 2).mean()])
+    assert (row.tp, row.fp) == ((truth & inside).sum(), (~truth & inside).sum())
