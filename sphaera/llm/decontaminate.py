@@ -20,6 +20,7 @@ read by the scan.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,8 +199,9 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, i
             for n, row, at, a, b, _ in _windows(batch.column(1), lengths):
                 yield pa.RecordBatch.from_pydict({"row": ids[row], "at": at, "n": pa.array(np.full(len(row), n, np.int32)), "a": tx.signed(a), "b": tx.signed(b)})
 
-    found = rows.select("row", "text").mapInArrow(doc_windows, "row bigint, at bigint, n int, a bigint, b bigint").join(known, ["n", "a", "b"])
-    by_doc = found.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("hits"))
+    def hits_of(texts: DataFrame) -> DataFrame:
+        found = texts.select("row", "text").mapInArrow(doc_windows, "row bigint, at bigint, n int, a bigint, b bigint").join(known, ["n", "a", "b"])
+        return found.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("hits"))
 
     def finish(batches):
         for batch in batches:
@@ -219,8 +221,27 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, i
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.string() if k == "cleaned" else pa.int64()) for k, v in out.items()})
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    both = rows.join(by_doc, "row", "left").select("row", "doc_id", "text", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits")
-    return both.mapInArrow(finish, f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>" + ", cleaned string" * clean)
+    shape = "n_words bigint, n_hit bigint, items array<string>" + ", cleaned string" * clean
+
+    def cut(texts: DataFrame, key: str, how: str, key_type: str) -> DataFrame:
+        both = texts.join(hits_of(texts), "row", how).select("row", F.col(key).alias("doc_id"), "text", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits")
+        return both.mapInArrow(finish, f"doc_id {key_type}, {shape}")
+
+    if not clean:
+        return cut(rows, "doc_id", "left", id_type)
+    # the rest of a cut text may form windows anew: changed texts are cut again until none is hit
+    first = materialise(cut(rows, "row", "left", "bigint"), "decontaminate-cut").withColumnRenamed("doc_id", "row")
+    changed, later = first.filter("n_hit > 0").select("row", F.col("cleaned").alias("text")), []
+    while True:
+        again = materialise(cut(changed, "row", "inner", "bigint").select(F.col("doc_id").alias("row"), F.col("cleaned").alias("text")), "decontaminate-again")
+        if again.isEmpty():
+            break
+        later.append(again.select("row", F.lit(len(later)).alias("turn"), F.col("text").alias("again")))
+        changed = again
+    if later:
+        last = functools.reduce(DataFrame.unionByName, later).groupBy("row").agg(F.max_by("again", "turn").alias("again"))
+        first = first.join(last, "row", "left").withColumn("cleaned", F.coalesce("again", "cleaned")).drop("again")
+    return first.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_words", "n_hit", "items", "cleaned")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", drop_documents: bool = False) -> DataFrame:

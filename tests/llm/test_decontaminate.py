@@ -73,3 +73,17 @@ def test_empty_tables(spark):
     assert m.scan(none_d, none_b).collect() == []
     d = spark.createDataFrame(docs, SCHEMA)
     assert {(r.n_hit, len(r["items"])) for r in m.scan(d, none_b).collect()} == {(0, 0)}
+
+
+@pytest.mark.parametrize("most", [None, -1])
+def test_windows_formed_by_a_cut(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(m, "MAX_BROADCAST_BYTES", most)
+    item = [f"w{i}" for i in range(10)]
+    one, two = " ".join(item[:5] + item + item[5:]), " ".join(item[:3] + item[:5] + item + item[5:] + item[3:])
+    docs = [(1, f"before {one} after", "r", "i"), (2, f"before {two} after", "r", "i"), (3, "clean", "r", "i"), (None, None, "r", "i")]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    left = {r.doc_id: r.text for r in m.decontaminate(d, b).collect()}
+    assert [words(left[k]) for k in (1, 2)] == [["before", "after"]] * 2 and left[3] == "clean" and left[None] is None
+    scanned = {r.doc_id: (r.cleaned, r.n_hit) for r in m.scan(d, b, clean=True).collect()}
+    assert {k: v[0] for k, v in scanned.items()} == left and [scanned[k][1] for k in (1, 2, 3)] == [10, 10, 0]
