@@ -3,7 +3,8 @@
 A logistic regression on the presence of hashed words and word beginnings. For
 each labelled text that mentions an identity term, twins are made in which that
 term is swapped for each other term of its kind; training penalises the squared
-difference between a text's score and its twins' (before the logistic function),
+difference between a text's score and its twins' (before the logistic function;
+all twins of a text together weigh one),
 so neutral mentions of a group cannot carry the label.
 
 Fitting takes a bounded sample: the ``MAX_TRAIN`` labelled texts with the
@@ -38,7 +39,8 @@ MIN_TEXTS, MIN_Z = 3, 4.0
 PREFIXES = (4, 5, 6)
 RIDGE, COUNTERFACTUAL = 5e-6, 1.0
 THRESHOLD = 0.7
-MAX_TWINS = 8
+#: Features of training rows that a task holds before it passes them on.
+HELD_FEATURES = 1 << 20
 
 #: Terms of one kind can stand for each other in a sentence.
 IDENTITY = (
@@ -76,8 +78,12 @@ def _training_rows(rows: DataFrame, identity: tuple, twins: bool) -> DataFrame:
         own = {int(features_of(w)[0]): (w, kind) for kind in identity for w in kind}
         known = np.array(sorted(own), np.uint64)
         of = {w: features_of(w) for kind in identity for w in kind}
+
+        def packed(labels: list, keys: list, flags: list, lists: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"toxic": pa.array(labels, pa.int32()), "key": pa.array(keys, pa.int64()), "twin": pa.array(flags, pa.bool_()), "features": pa.array(lists, pa.list_(pa.int64()))})
+
         for batch in batches:
-            labels, keys, flags, lists = [], [], [], []
+            labels, keys, flags, lists, held = [], [], [], [], 0
             for i in range(batch.num_rows):
                 raw = tx.LOWER[np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)]
                 start, end, _ = tx.split_words(raw, np.array([0, len(raw)]), tx.ALNUM)
@@ -88,12 +94,16 @@ def _training_rows(rows: DataFrame, identity: tuple, twins: bool) -> DataFrame:
                         word, kind = own[h]
                         rest = found[found[:, 0] != np.uint64(h)]
                         every += [np.unique(np.concatenate((rest.ravel(), of[w]))) for w in kind if w != word]
-                every = every[: 1 + MAX_TWINS]
                 labels += [batch.column(0)[i].as_py()] * len(every)
                 keys += [batch.column(2)[i].as_py()] * len(every)
                 flags += [k > 0 for k in range(len(every))]
                 lists += [tx.signed(x) for x in every]
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels, pa.int32()), "key": pa.array(keys, pa.int64()), "twin": pa.array(flags, pa.bool_()), "features": pa.array(lists, pa.list_(pa.int64()))})
+                if sum(map(len, lists[-len(every) :])) + held > HELD_FEATURES:
+                    yield packed(labels, keys, flags, lists)
+                    labels, keys, flags, lists, held = [], [], [], [], 0
+                else:
+                    held += sum(map(len, lists[-len(every) :]))
+            yield packed(labels, keys, flags, lists)
 
     return rows.mapInArrow(run, "toxic int, key bigint, twin boolean, features array<bigint>")
 
@@ -141,7 +151,11 @@ def fit(toxic: np.ndarray, keys: np.ndarray, twin: np.ndarray, lists: list[np.nd
     base = np.array([by_key[h] for h in keys.tolist()])
     pairs = np.flatnonzero(twin)
     y, m, k = toxic.astype(float), len(good), len(texts)
-    weigh = 2 * counterfactual / max(1, len(pairs))
+    # the twins of a text weigh as much as one text, however many they are
+    kinds, of, n_twins = np.unique(keys[pairs], return_inverse=True, return_counts=True)
+    own, n_own = np.unique(keys[real], return_counts=True)
+    n_texts = n_own[np.searchsorted(own, kinds)]
+    weigh = 2 * counterfactual / max(1, n_texts.sum()) * (n_texts / n_twins)[of]
 
     def scores(v: np.ndarray) -> np.ndarray:
         return np.bincount(row, weights=v[:-1][column], minlength=k) + v[-1]
@@ -157,7 +171,7 @@ def fit(toxic: np.ndarray, keys: np.ndarray, twin: np.ndarray, lists: list[np.nd
         return g
 
     def loss(v: np.ndarray, s: np.ndarray) -> float:
-        return float((np.logaddexp(0, s) - y * s)[real].sum() / n + ridge / 2 * v[:-1] @ v[:-1] + weigh / 2 * ((s[pairs] - s[base[pairs]]) ** 2).sum())
+        return float((np.logaddexp(0, s) - y * s)[real].sum() / n + ridge / 2 * v[:-1] @ v[:-1] + (weigh / 2 * (s[pairs] - s[base[pairs]]) ** 2).sum())
 
     decay = np.append(np.full(m, ridge), 1e-9)
     v = np.append(np.zeros(m), np.log(share / (1 - share)))

@@ -71,3 +71,14 @@ def test_defined_cases(spark):
     assert all(r.score > 0.7 for r in found if r.doc_id in (None, 901))
     none = d.limit(0)
     assert m.score(none, m.train(none, la.limit(0))).collect() == []
+
+
+def test_every_term_has_its_twin(spark):
+    kinds = (m.IDENTITY[5], m.IDENTITY[6])
+    text = f"a {kinds[0][0]} and a {kinds[1][0]} by the river"
+    rows = spark.createDataFrame([(1, text, 7), (0, "the " * 9 + kinds[0][1], 8)], "toxic int, text string, key bigint")
+    found = m._training_rows(rows, m.IDENTITY, True).collect()
+    assert sum(r.key == 7 for r in found) == 11 and sum(r.key == 8 for r in found) == 6
+    for kind in kinds:
+        for w in kind:
+            assert any(int(np.int64(m.features_of(w)[0].view(np.int64))) in r.features for r in found if r.key == 7)
