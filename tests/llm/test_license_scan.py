@@ -87,7 +87,7 @@ REAL = {
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * "])
-def test_wrapped_and_paraphrased_notices(spark, mark):
+def test_wrapped_notices(spark, mark):
     other = "the software and all associated documentation files, free of charge,"
     texts = {k: "some text before\n\n" + "\n".join(textwrap.wrap(t, 40, initial_indent=mark, subsequent_indent=mark)) + "\n\nand more" for k, t in REAL.items()}
     docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate([*texts.values(), "Permission is hereby granted, to any person\n\n" + other])], SCHEMA)
