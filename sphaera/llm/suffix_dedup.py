@@ -15,20 +15,26 @@ windows at a time, wherever it stands.
    the task of its gram.
 3. That task merges the runs with a loser tree that keeps, for each waiting
    suffix, the length of the prefix it shares with the last winner: comparisons
-   start there, known prefixes are never compared again. Units that share their
-   gram come out next to each other; there, windows that occur earlier in the
-   corpus (smaller doc_id, or earlier start) are marked.
+   start there, known prefixes are never compared again. The prefixes that
+   neighbours share, as the merge gives them, decide what is repeated: a window
+   that begins d bytes before its anchor occurs again where the suffixes share
+   ``WIDTH - d`` bytes (no smaller shared prefix lies between them) and the d
+   bytes before agree. All but the first place in the corpus (smaller doc_id, or
+   earlier start) are marked, as ranges of starts.
 4. The bytes of marked windows are removed.
 
-Grams of more than 1/4096 of all anchors, at most 4096 of them, would load one
-task; their units are dealt out by window hash instead, each window collapsed to
-its first occurrence within a run, so no task gets more than one row a window and
-run.
-
-Defined cases: a null text is empty; matches never cross documents; rows that
-repeat a doc_id are separate documents in the order of a hash of their text, a
-null doc_id comes first; an empty table gives an empty result; other columns are
-not read.
+Units of one gram meet in one task, so a frequent gram is cut: its unit is divided
+into units of ``CUT`` neighbouring windows, or of single ones for the most frequent
+grams, each sorted and dealt out by what its windows have in common, which is all
+but ``CUT - 1`` bytes of a window. Equal ones collapse within a run as all units do.
+A gram counts as frequent from 1000 and 1/4096 of all anchors on, at most from
+32768 (and from a 2**21st of the anchors, which bounds the list of frequent grams),
+so what a gram brings to a task doesn't grow with the input.
+
+Defined cases: a null text is empty; matches never cross documents; texts of any
+length are cut into overlapping chunks for the work; rows that repeat a doc_id are
+separate documents in the order of a hash of their text, a null doc_id comes
+first; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,9 +50,11 @@ from . import textops as tx
 from .common import identify, materialise, small_batches
 
 WIDTH, GRAM = 100, 32
-RUN_BYTES = 4 << 20
-ANCHORS_PER_BUCKET = 1 << 19
-HOT = 4096
+#: Text whose grams, and units, that are collapsed and sorted together.
+RUN_BYTES, RUN_UNITS = 4 << 20, 1 << 17
+ANCHORS_PER_BUCKET = 1 << 18
+#: Windows of a unit of a frequent gram; times as frequent, from which on single windows are dealt.
+CUT, SINGLE = 9, 32
 MAX_BROADCAST_BYTES = 32 << 20
 _POSITION_BITS = np.uint64(28)
 
@@ -57,8 +65,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none.view(np.uint64), none, none, none
-    if n >= 1 << int(_POSITION_BITS):
-        raise ValueError("a single text is too long")
     at = np.arange(n - gram + 1)
     h = tx.mix(tx.range_hash(tx.prefix_sums(data), at, at + gram))
     key = h >> _POSITION_BITS << _POSITION_BITS | at.astype(np.uint64)
@@ -83,12 +89,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     return p, h[p], start[first], start[last], doc[first]
 
 
+def chunked_anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """anchors() of a block; a long text is cut so that each window lies in one chunk."""
+    if len(offsets) > 2 or len(data) <= 2 * tx.BLOCK_BYTES:
+        yield anchors(data, offsets, width, gram)
+        return
+    for at in range(0, len(data) - width + 1, tx.BLOCK_BYTES):
+        part = data[at : at + tx.BLOCK_BYTES + width - 1]
+        p, h, lo, hi, doc = anchors(part, np.array([0, len(part)]), width, gram)
+        yield p + at, h, lo + at, hi + at, doc
+
+
 def _pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list]]:
-    """Batches until they hold a run's bytes: (record batches, size)."""
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches until they hold a run's bytes."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -100,7 +117,7 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list
         yield held
 
 
-#: kind: 0 grams, 1 units, 2 windows, 3 removed; the rest is packed arrays.
+#: kind: 0 grams, 1 units, 3 removed; the rest is packed arrays.
 _SCHEMA = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
 
@@ -121,6 +138,23 @@ def _spread(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(buckets[part[0]]), part
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """bucket, kind and rows of parts, one bucket after the other; rows come sorted by both. Kind 3 comes row by row."""
+    key, held = None, []
+    for batch in batches:
+        for bucket, kind, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 3:
+                yield bucket, kind, [parts]
+                continue
+            if key != (bucket, kind) and held:
+                yield *key, held
+                held = []
+            key = bucket, kind
+            held.append(parts)
+    if held:
+        yield *key, held
+
+
 def _gram_rows(n_buckets: int, width: int, gram: int):
     """Each gram of a run once, with its number and its first place; further places of it are known repeats already."""
 
@@ -130,9 +164,9 @@ def _gram_rows(n_buckets: int, width: int, gram: int):
             for batch in held:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for row, _, data, offsets in tx.blocks(batch.column(1)):
-                    p, h, lo, hi, doc = anchors(data, offsets, width, gram)
-                    place = (p - offsets[doc]) << 16 | (p - lo) << 8 | (p - hi)
-                    parts.append((h, ids[row + doc], place))
+                    for p, h, lo, hi, doc in chunked_anchors(data, offsets, width, gram):
+                        place = (p - offsets[doc]) << 16 | (p - lo) << 8 | (p - hi)
+                        parts.append((h, ids[row + doc], place))
             h, rows, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             if not len(h):
                 continue
@@ -152,16 +186,12 @@ def _gram_rows(n_buckets: int, width: int, gram: int):
 
 def _repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, place of anchors whose gram occurs again; row null: a frequent gram and its number."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, kind, a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            rows, place = np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)
-            if kind == 3:
-                yield pa.RecordBatch.from_pydict({"row": rows, "place": place, "number": np.zeros(len(rows), np.int64)})
-            else:
-                held.setdefault(bucket, []).append((np.frombuffer(a, np.uint64), rows, place, np.frombuffer(d, np.uint32)))
-    for bucket in list(held):
-        h, rows, place, number = (np.concatenate(x) for x in zip(*held.pop(bucket)))
+    for _, kind, blobs in _buckets(batches):
+        if kind == 3:
+            rows, place = np.frombuffer(blobs[0][1], np.int64), np.frombuffer(blobs[0][2], np.int64)
+            yield pa.RecordBatch.from_pydict({"row": rows, "place": place, "number": np.zeros(len(rows), np.int64)})
+            continue
+        h, rows, place, number = (np.concatenate([np.frombuffer(b[i], t) for b in blobs]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.uint32)))
         names, which = np.unique(h, return_inverse=True)
         total = np.bincount(which, weights=number).astype(np.int64)
         keep = total[which] > 1
@@ -170,16 +200,24 @@ def _repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.array(tx.signed(names[often])), pa.array(total[often])], ["row", "place", "number"])
 
 
+def _shared_prefix(grid: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each row shares with the one before; 0 for the first."""
+    out = np.zeros(len(grid), np.int64)
+    if len(grid) > 1 and grid.shape[1]:
+        differ = grid[1:] != grid[:-1]
+        out[1:] = np.where(differ.any(1), differ.argmax(1), grid.shape[1])
+    return out
+
+
 def front_code(suffixes: list[bytes], width: int) -> np.ndarray:
     """Length of the prefix that each sorted suffix shares with the one before."""
-    n = len(suffixes)
-    size = np.fromiter(map(len, suffixes), np.int64, n)
-    grid = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in suffixes), np.uint8).reshape(n, width)
-    out = np.zeros(n, np.int64)
-    if n > 1:
-        differ = grid[1:] != grid[:-1]
-        same = np.where(differ.any(1), differ.argmax(1), width)
-        out[1:] = np.minimum(same, np.minimum(size[1:], size[:-1]))
+    size = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
+    return _front_code(np.frombuffer(b"".join(s.ljust(width, b"\0") for s in suffixes), np.uint8).reshape(len(suffixes), width), size)
+
+
+def _front_code(grid: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = _shared_prefix(grid)
+    out[1:] = np.minimum(out[1:], np.minimum(size[1:], size[:-1]))
     return out.astype(np.uint8)
 
 
@@ -247,94 +285,144 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node >>= 1
 
 
-def _windows_first(texts: list, width: int) -> Iterator[tuple[int, int, int]]:
-    """texts: (row, start, text, windows) of units with one gram, sorted by place: (row, first start, last start) of what occurs earlier."""
-    seen: set = set()
-    whole: set = set()
-    for row, start, text, n in texts:
-        if text in whole:
-            yield row, start, start + n - 1
-            continue
-        whole.add(text)
-        since = -1
-        for i in range(n):
-            w = text[i : i + width]
-            if w in seen:
-                if since < 0:
-                    since = i
-            else:
-                seen.add(w)
-                if since >= 0:
-                    yield row, start + since, start + i - 1
-                    since = -1
-        if since >= 0:
-            yield row, start + since, start + n - 1
-
-
-def _unit_rows(n_buckets: int, hot: np.ndarray, width: int, gram: int):
-    """Sorted, front-coded runs of units; windows of frequent grams; what a run itself shows to be repeated."""
+def joined(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal ranges: those of one row that touch or overlap become one."""
+    order = np.lexsort((first, rows))
+    rows, first, last = rows[order], first[order], last[order]
+    if not len(rows):
+        return rows, first, last
+    number = np.cumsum(np.append(0, rows[1:] != rows[:-1]))
+    far = np.maximum.accumulate(number << 40 | last)
+    new = np.ones(len(rows), bool)
+    new[1:] = (number << 40 | first)[1:] > far[:-1] + 1
+    at = np.flatnonzero(new)
+    return rows[at], first[at], far[np.append(at[1:], len(rows)) - 1] & (1 << 40) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _runs(batches, 1):
-            units, windows = {}, []
-            gone: list[tuple[int, int, int]] = []
-            for batch in held:
-                places = batch.column(2)
-                at, flat = places.offsets.to_numpy(), places.values.to_numpy()
-                for i in range(batch.num_rows):
-                    row = batch.column(0)[i].as_py()
-                    data = (batch.column(1)[i].as_py() or "").encode()
-                    own = np.sort(flat[at[i] : at[i + 1]])
-                    p, back, ahead = own >> 16, own >> 8 & 255, own & 255
-                    raw = np.frombuffer(data, np.uint8)
-                    h = tx.mix(tx.range_hash(tx.prefix_sums(raw), p, p + gram))
-                    often = np.isin(h, hot)
-                    for x in np.flatnonzero(often).tolist():
-                        s = np.arange(p[x] - back[x], p[x] - ahead[x] + 1)
-                        sums = [tx.prefix_sums(raw[s[0] : s[-1] + width], kind) for kind in (0, 1)]
-                        both = np.stack([tx.mix(tx.range_hash(v, s - s[0], s - s[0] + width, kind)) for kind, v in enumerate(sums)], 1)
-                        windows.append((both, np.full(len(s), row), s))
-                    for x, (q, b, a) in enumerate(zip(p.tolist(), back.tolist(), ahead.tolist())):
-                        if not often[x]:
-                            unit = (data[q : q - a + width], data[q - b : q])
-                            place = (row, q - b)
-                            old = units.get(unit)
-                            if old is None or place < old:
-                                units[unit] = place
-                            if old is not None:
-                                late = max(old, place)
-                                gone.append((late[0], late[1], late[1] + b - a))
-            out = []
-            if units:
-                order = sorted(units.items())
-                suffixes = [u[0] for u, _ in order]
-                key = np.frombuffer(b"".join(s[:8] + s[gram - 8 : gram] for s in suffixes), np.uint64).reshape(-1, 2)
-                bucket = (tx.mix(key[:, 0] * np.uint64(31) + key[:, 1]) >> np.uint64(32)).astype(np.int64) % n_buckets
-                for k, at in _spread(bucket):
-                    mine = [order[i] for i in at.tolist()]
-                    own = [u[0] for u, _ in mine]
-                    shared = front_code(own, width)
-                    out.append(_row(k, 1, _pack(shared), _pack(np.array([len(s) for s in own], np.uint8)), b"".join(s[c:] for s, c in zip(own, shared.tolist())), _pack(np.array([len(u[1]) for u, _ in mine], np.uint8)), b"".join(u[1] for u, _ in mine), _pack(np.array([v[0] for _, v in mine], np.int64)), _pack(np.array([v[1] for _, v in mine], np.int64))))
-            if windows:
-                both, rows, start = (np.concatenate(x) for x in zip(*windows))
-                first, late = _first_windows(both, rows, start)
-                gone += [(int(rows[i]), int(start[i]), int(start[i])) for i in late.tolist()]
-                for k, at in _spread((both[first, 0] >> np.uint64(32)).astype(np.int64) % n_buckets):
-                    f = first[at]
-                    out.append(_row(k, 2, _pack(both[f]), _pack(rows[f]), _pack(start[f])))
-            if gone:
-                out.append(_row(hash(gone[0]) % n_buckets, 3, _pack(np.array(gone, np.int64))))
-            yield _table(out)
 
-    return run
+def marked(common: np.ndarray, size: np.ndarray, left: np.ndarray, back: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, first, last: ranges of starts of windows that occur earlier.
 
+    Units in the order of their suffixes: the prefix that each shares with the one
+    before, its size, the bytes before it (the nearest first, padded) and their
+    number, row and position of the anchor.
+    """
+    none = np.zeros(0, np.int64)
+    reach = np.maximum(common, np.append(common[1:], 0))
+    some = np.flatnonzero(reach >= width - back)
+    if len(some) < 2:
+        return none, none, none
+    common = np.append(0, np.minimum.reduceat(common[: some[-1] + 1], some[:-1] + 1))
+    reach, size, left, back, rows, at = (x[some] for x in (reach, size, left, back, rows, at))
+    n, ahead = len(some), width - size
+    if left.shape[1]:
+        order = np.argsort(np.ascontiguousarray(left).view(f"S{left.shape[1]}").ravel(), kind="stable")
+        agree = _shared_prefix(left[order])
+    else:
+        order, agree = np.arange(n), np.zeros(n, np.int64)
+    place = np.lexsort((at, rows))
+    late = np.zeros((n, int(back.max()) + 3), bool)  # a column free on both sides
+    beside = np.empty(n, np.int64)
+    for d in range(late.shape[1] - 2):
+        here = place[(ahead <= d)[place] & (back >= d)[place] & (reach >= width - d)[place]]
+        if len(here) > 1:
+            beside[order] = np.cumsum(agree < d)
+            same = np.cumsum(common < width - d)[here] * (n + 1) + beside[here]
+            again = np.ones(len(here), bool)
+            again[np.unique(same, return_index=True)[1]] = False
+            late[here[again], d + 1] = True
+    step = np.diff(late.astype(np.int8), axis=1)
+    who, low = np.nonzero(step == 1)
+    high = np.nonzero(step == -1)[1] - 1
+    return joined(rows[who], at[who] - high, at[who] - low)
+
+
+def _gram_hash(grid: np.ndarray, size: int) -> np.ndarray:
+    """As anchors() hashes the first bytes of each row."""
+    base, power, out = 1, np.uint64(1), np.zeros(len(grid), np.uint64)
+    step = tx.BASE
+    for k in range(size):
+        out += (grid[:, k].astype(np.uint64) + np.uint64(1)) * power
+        base = base * step & 0xFFFFFFFFFFFFFFFF
+        power = np.uint64(base)
+    return tx.mix(out)
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """size bytes from start on (with step -1: before it), padded with zeros to width."""
+    k = np.arange(width)
+    index = start[:, None] + k if step > 0 else start[:, None] - 1 - k
+    return np.where(k < size[:, None], data[np.clip(index, 0, len(data) - 1)], np.uint8(0))
+
+
+def _unit_rows(n_buckets: int, hot: tuple[np.ndarray, np.ndarray], width: int, gram: int):
+    """Sorted, front-coded runs of units; what a run itself shows to be repeated."""
+    span = width - gram + 1
+
+    def cut(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, row: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+        """key, row, position, suffix, its size, bytes before, their number of the units of some places."""
+        p, back, ahead = place >> 16, place >> 8 & 255, place & 255
+        windows = np.full(len(p), span)
+        names, cuts = hot
+        if len(names):
+            base = offsets[row] + p
+            h = _gram_hash(_gather(data, base, np.full(len(p), gram), gram), gram)
+            near = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            windows = np.where(names[near] == h, np.minimum(cuts[near], span), span)
+        for w in np.unique(windows).tolist():
+            own = np.flatnonzero(windows == w)
+            for low in range(0, span, w):
+                high = min(low + w, span) - 1
+                k = own[(ahead[own] <= high) & (back[own] >= low)]
+                for k in np.split(k, range(RUN_UNITS, len(k), RUN_UNITS)):
+                    if not len(k):
+                        continue
+                    at = p[k] - low
+                    size = width + low - np.maximum(ahead[k], low)
+                    before = np.minimum(back[k], high) - low
+                    base = offsets[row[k]] + at
+                    suffix = _gather(data, base, size, width)
+                    yield _gram_hash(suffix, width - high + low), ids[row[k]], at, suffix, size, _gather(data, base, before, span - 1, -1), before
+
+    def coded(parts: list[tuple]) -> pa.RecordBatch:
+        key, rows, at, suffix, size, left, before = (np.concatenate(x) for x in zip(*parts))
+        text = lambda grid: np.ascontiguousarray(grid).view(f"S{grid.shape[1]}").ravel() if grid.shape[1] else np.zeros(len(grid), np.int8)
+        order = np.lexsort((at, rows, before, text(left), size, text(suffix)))
+        key, rows, at, suffix, size, left, before = (x[order] for x in (key, rows, at, suffix, size, left, before))
+        new = np.ones(len(key), bool)
+        new[1:] = (size[1:] != size[:-1]) | (before[1:] != before[:-1]) | (suffix[1:] != suffix[:-1]).any(1) | (left[1:] != left[:-1]).any(1)
+        out, old = [], ~new
+        if old.any():
+            gone = joined(rows[old], (at - before)[old], (at + size - width)[old])
+            out.append(_row(int(tx.mix(gone[0][:1].view(np.uint64))[0] % np.uint64(n_buckets)), 3, *map(_pack, gone)))
+        for k, own in _spread((key[new] >> np.uint64(32)).astype(np.int64) % n_buckets):
+            own = np.flatnonzero(new)[own]
+            grid, n = suffix[own], size[own]
+            shared = _front_code(grid, n)
+            columns = np.arange(width)
+            tails = grid[(columns >= shared[:, None]) & (columns < n[:, None])]
+            sides = left[own][np.arange(span - 1) < before[own][:, None]]
+            out.append(_row(k, 1, _pack(shared), _pack(n.astype(np.uint8)), tails.tobytes(), _pack(before[own].astype(np.uint8)), sides.tobytes(), _pack(rows[own]), _pack(at[own])))
+        return _table(out)
 
-def _first_windows(both: np.ndarray, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first occurrence of each window, and of the others."""
-    order = np.lexsort((start, rows, both[:, 1], both[:, 0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (both[order[1:]] != both[order[:-1]]).any(1)
-    return order[new], order[~new]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            ids, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            bounds = places.offsets.to_numpy()
+            flat, row = places.values.to_numpy()[bounds[0] : bounds[-1]], np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            for first, _, data, offsets in tx.blocks(batch.column(1), 1 << 40):  # one block
+                for low in range(0, len(flat), RUN_UNITS):
+                    own = slice(low, low + RUN_UNITS)
+                    for part in cut(data, offsets, ids, row[own] - first, flat[own]):
+                        parts.append(part)
+                        held += len(part[0])
+                        if held >= RUN_UNITS:
+                            yield coded(parts)
+                            parts, held = [], 0
+        if parts:
+            yield coded(parts)
+
+    return run
 
 
 def _decode(shared: bytes, size: bytes, tails: bytes) -> list[bytes]:
@@ -348,75 +436,52 @@ def _decode(shared: bytes, size: bytes, tails: bytes) -> list[bytes]:
 
 def _removed(width: int, gram: int):
     """row, first and last start of repeated windows."""
-
-    def give(found: list) -> pa.RecordBatch:
-        a = np.array(found, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_pydict({"row": a[:, 0], "first": a[:, 1], "last": a[:, 2]})
-
-    def merged(blobs: list) -> Iterator[tuple[int, int, int]]:
-        runs, lefts, places = [], [], []
-        for shared, size, tails, left_size, left, rows, start in blobs:
-            runs.append((_decode(shared, size, tails), list(shared)))
-            own, at = [], 0
-            for n in left_size:
-                own.append(left[at : at + n])
-                at += n
-            lefts.append(own)
-            places.append(list(zip(np.frombuffer(rows, np.int64).tolist(), np.frombuffer(start, np.int64).tolist())))
-        group: list = []
-        for r, i, shared in merge_runs(runs):
-            if shared < gram:
-                if len(group) > 1:
-                    group.sort()
-                    yield from _windows_first(group, width)
-                group = []
-            suffix, left = runs[r][0][i], lefts[r][i]
-            group.append((*places[r][i], left + suffix, len(left) + len(suffix) - width + 1))
-        if len(group) > 1:
-            group.sort()
-            yield from _windows_first(group, width)
+    span = width - gram + 1
+
+    def merged(blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        runs = [(_decode(b[0], b[1], b[2]), list(b[0])) for b in blobs]
+        first = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])))
+        order, common = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        for k, (r, i, shared) in enumerate(merge_runs(runs)):
+            order[k], common[k] = first[r] + i, shared
+        del runs
+        whole = lambda i, kind: np.frombuffer(b"".join(b[i] for b in blobs), kind)
+        size, back, rows, at = (whole(i, t)[order] for i, t in ((1, np.uint8), (3, np.uint8), (5, np.int64), (6, np.int64)))
+        sides, count = whole(4, np.uint8), whole(3, np.uint8).astype(np.int64)
+        left = np.zeros((len(order), span - 1), np.uint8)
+        left[np.arange(span - 1) < count[:, None]] = sides
+        return marked(common, size.astype(np.int64), left[order], back.astype(np.int64), rows, at, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in batches:
-            for bucket, kind, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == 3:
-                    yield give(np.frombuffer(parts[0], np.int64).reshape(-1, 3))
-                else:
-                    held.setdefault((kind, bucket), []).append(parts)
-        for kind, bucket in list(held):
-            blobs = held.pop((kind, bucket))
-            if kind == 1:
-                found = []
-                for x in merged(blobs):
-                    found.append(x)
-                    if len(found) >= 100_000:
-                        yield give(found)
-                        found = []
-                yield give(found)
-            else:
-                both = np.concatenate([np.frombuffer(b[0], np.uint64).reshape(-1, 2) for b in blobs])
-                rows, start = (np.concatenate([np.frombuffer(b[i], np.int64) for b in blobs]) for i in (1, 2))
-                late = _first_windows(both, rows, start)[1]
-                yield give(np.stack([rows[late], start[late], start[late]], 1))
+        for _, kind, blobs in _buckets(batches):
+            rows, first, last = (np.frombuffer(x, np.int64) for x in blobs[0][:3]) if kind == 3 else merged(blobs)
+            yield pa.RecordBatch.from_pydict({"row": rows, "first": first, "last": last})
 
     return run
 
 
+def _frequent(places: DataFrame, n_anchors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent grams, sorted, and the number of windows to which their units are cut; at most 2**21."""
+    floor = max(1000, min(1 << 15, n_anchors >> 12), n_anchors >> 21)
+    found = places.filter(f"row IS NULL AND number > {floor}").select("place", "number").toArrow()
+    names, number = found.column("place").to_numpy().view(np.uint64), found.column("number").to_numpy()
+    order = np.argsort(names)
+    return names[order], np.where(number > SINGLE * floor, 1, CUT)[order]
+
+
 def repeated_windows(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """row, first, last: ranges of starts of windows that occur earlier; rows (row, text) ordered by row."""
-    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_anchors = max(1, 2 * size // (width - gram + 2))
     n_buckets = max(12, n_anchors // ANCHORS_PER_BUCKET + 1)
     texts = rows.select("row", "text")
-    grams = texts.mapInArrow(_gram_rows(n_buckets, width, gram), _SCHEMA).repartition(n_buckets, "bucket")
+    dealt = lambda df: df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    grams = dealt(texts.mapInArrow(_gram_rows(n_buckets, width, gram), _SCHEMA))
     places = materialise(grams.mapInArrow(_repeated_grams, "row bigint, place bigint, number bigint"), "suffix-anchors")
-    floor = max(1000, n_anchors // HOT)
-    hot = np.array([r[0] for r in places.filter(f"row IS NULL AND number > {floor}").select("place").collect()], np.int64).view(np.uint64)
+    hot = _frequent(places, n_anchors)
     wanted = places.filter("row IS NOT NULL").groupBy("row").agg(F.collect_list("place").alias("places"))
     chosen = texts.join(wanted, "row").select("row", "text", "places")
-    units = chosen.mapInArrow(_unit_rows(n_buckets, hot, width, gram), _SCHEMA).repartition(n_buckets, "bucket")
+    units = dealt(chosen.mapInArrow(_unit_rows(n_buckets, hot, width, gram), _SCHEMA))
     return units.mapInArrow(_removed(width, gram), "row bigint, first bigint, last bigint")
 
 

@@ -16,9 +16,10 @@ import pyarrow as pa
 #: a block of its own. Bounds the memory of a Python worker.
 BLOCK_BYTES = 1 << 19
 
-#: Odd bases of the two independent polynomial hashes.
+#: Odd bases of the two independent polynomial hashes; that of the first.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = 0xD6E8FEB86659FD93
+BASE = _BASES[0]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -54,13 +54,38 @@ def test_many_runs(spark, monkeypatch):
     assert result(spark, rows, 20, 16) == brute(rows, 20)
 
 
-def test_frequent_grams_go_by_window(spark, monkeypatch):
+@pytest.mark.parametrize(("cut", "single"), [(9, 32), (3, 32), (9, 0)])
+def test_frequent_grams_are_cut(spark, monkeypatch, cut, single):
+    monkeypatch.setattr(m, "CUT", cut)
+    monkeypatch.setattr(m, "SINGLE", single)
     r = random.Random(3)
     shared = "".join(r.choices("abcdefgh", k=70))
     rows = [(i, "".join(r.choices("xyz", k=r.randint(0, 30))) + shared + "".join(r.choices("xyz", k=r.randint(0, 30))), "", "", "") for i in range(1500)]
     assert result(spark, rows, 20, 16) == brute(rows, 20)
 
 
+def test_a_passage_in_many_documents_gives_ranges(spark):
+    """About a range for each document and anchor at the passage's edges, not one for each window."""
+    r = random.Random(8)
+    passage = "".join(r.choices("abcdefgh ", k=300))
+    rows = [(i, "".join(r.choices("uvwxyz", k=40)) + passage + "".join(r.choices("uvwxyz", k=40)), "", "", "") for i in range(2000)]
+    texts = spark.createDataFrame([(i, t) for i, t, *_ in rows], "row bigint, text string").repartition(20)
+    assert m.repeated_windows(texts).count() < 4 * len(rows)
+    assert result(spark, rows[::10], 100, 32) == brute(rows[::10], 100)
+
+
+def test_texts_longer_than_a_block_are_chunked(spark, monkeypatch):
+    r = random.Random(6)
+    long = "".join(r.choices("abcdefgh ", k=2_500_000))
+    rows = [(1, long, "", "", ""), (2, long[1_040_000:1_060_000] + "x" * 90 + long[2_090_000:2_100_000], "", "", "")]
+    assert result(spark, rows, 100, 32) == brute(rows, 100)
+
+
+def test_ranges_that_touch_are_joined():
+    a = [m.np.array(x) for x in ([2, 1, 1, 2, 1, 2], [5, 0, 3, 9, 9, 7], [6, 9, 4, 9, 9, 7])]
+    assert [x.tolist() for x in m.joined(*a)] == [[1, 2, 2], [0, 5, 9], [9, 7, 9]]
+
+
 def test_long_text_repeated_and_null_ids(spark):
     r = random.Random(4)
     long = "".join(r.choices("abcdefgh ", k=200_000))
