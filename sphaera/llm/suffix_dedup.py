@@ -55,7 +55,6 @@ RUN_BYTES, RUN_UNITS = 4 << 20, 1 << 17
 ANCHORS_PER_BUCKET = 1 << 18
 #: Windows of a unit of a frequent gram; times as frequent, from which on single windows are dealt.
 CUT, SINGLE = 9, 32
-MAX_BROADCAST_BYTES = 32 << 20
 _POSITION_BITS = np.uint64(28)
 
 
@@ -493,8 +492,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     rows = identify(docs, text, doc_id, ordered=True)
     found = repeated_windows(rows, width, gram)
     ranges = materialise(found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "suffix-ranges")
-    volume = ranges.agg(F.sum(F.size("ranges") * 24 + 32)).first()[0] or 0
-    both = rows.join(F.broadcast(ranges) if volume <= MAX_BROADCAST_BYTES else ranges, "row", "left").select("row", "doc_id", "text", "ranges")
+    both = rows.join(ranges.hint("merge"), "row", "left").select("row", "doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -93,12 +93,6 @@ def test_long_text_repeated_and_null_ids(spark):
     assert result(spark, rows, 100, 32) == brute(rows, 100)
 
 
-def test_ranges_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(m, "MAX_BROADCAST_BYTES", -1)
-    rows = corpus(9)
-    assert result(spark, rows, 20, 16) == brute(rows, 20)
-
-
 def test_empty_table(spark):
     assert result(spark, [], 100, 32) == []
 
