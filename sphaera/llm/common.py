@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,19 @@ from ..functions.shared import work_path
 HOT_SHARE = 1 / 1024
 
 
-#: Rows that Arrow sends to a Python worker at once; texts are long, so it is few.
-ARROW_ROWS = 500
+#: Bytes that Arrow sends to a Python worker at once; a longer row is a batch of its own.
+ARROW_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches of whole texts, on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    """Bound the memory of Arrow batches of whole texts, on both sides, by bytes.
+
+    Results are evaluated lazily, so the bound stays set in the session. A smaller one that is set already holds.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(size) << 10 * "bkmg".find(unit or "b") <= ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
