@@ -1,17 +1,24 @@
 """Main text of web pages, with the templates of each site removed.
 
-Pass 1 parses every page into elements, hashes each block element's subtree and
-counts in Spark on how many pages of its host each subtree occurs. Subtrees that
-recur on many pages of the host (``MIN_PAGES`` and ``MIN_SHARE`` of its pages)
-are its templates. Pass 2 parses again, deletes the templates of the page's host
+Pass 1 parses every page into elements, hashes each block element's subtree from
+its children's hashes and counts in Spark, for each host, on how many different
+pages each subtree occurs. Pass 2 parses again, deletes the subtrees that recur
 and the elements that are no article text by their kind (navigation, headers,
 footers, sidebars, forms, scripts, styles, adverts, notices, reader comments) and
 returns the text that is left.
 
-What a page marks as its article (article, else main) is its main text: there
-paragraphs and headings count as content however often they recur, as copied
-articles do; other containers there must recur on half of the host's pages to be
-a template. A page without either keeps what its body has outside templates.
+A subtree recurs when it stands beside different content: pages are counted by
+the hash of the content that they have besides the subtree, so any number of copies
+of a page count once, and a page counts only if that rest is at least 1/``SMALL``
+as long as the subtree, so a copied article in changing surroundings is no template.
+From ``MIN_SHARE`` of the host's different pages on, but from ``MIN_PAGES`` and at
+most ``MANY`` of them, it is deleted. Outside an article the words of links do not
+enter the hash: a menu is the same template whatever it links to.
+
+What a page marks as its article (article, else main) is its main text. Blocks
+inside (div, section, lists, tables) are deleted where they recur, paragraphs and
+headings there are content however often they recur. A page without either keeps
+what its body has outside templates.
 
 Counting is pre-aggregated, so a host with most of the pages makes no hot task.
 Templates are broadcast up to ``MAX_BROADCAST_BYTES``, measured first; beyond
@@ -19,8 +26,9 @@ that, pages join them by host, hot hosts apart from the rest.
 
 Defined cases: null and empty html give an empty text; a null url is a host of
 its own; broken markup is read as far as it goes (unclosed elements end with
-their parent, a stray end tag is ignored, an unclosed comment or script runs to
-the end); repeated page_ids are separate rows; other columns are not read.
+their parent, a stray end tag is ignored, an unclosed comment, script or tag runs to
+the end); pages of any length and depth are read in time in proportion to their length;
+repeated page_ids are separate rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,58 +44,93 @@ from pyspark.sql import functions as F
 
 from .common import join_counted, materialise, small_batches
 
-MIN_PAGES, MIN_SHARE, MIN_SHARE_INSIDE = 5, 0.2, 0.5
+MIN_PAGES, MIN_SHARE, MANY, SMALL = 5, 0.2, 50, 8
 MAX_BROADCAST_BYTES = 32 << 20
 
+#: To the end of a tag, or of the page; quotes count in values only. Nothing is read twice: the groups are possessive.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[A-Za-z][^>]*>|<[!?][^>]*>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp)\b{_REST}(?:>|\Z).*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>{_REST})(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption td th tr".split())
 _DROP = frozenset("head nav footer aside form button select option menu dialog object svg canvas audio video map".split())
-#: Kinds of words in class, id and role that mark what is no article text.
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|newsletter|subscribe|popup|modal|"
-    r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|comments?|disqus|replies|share|sharing|social|related|"
-    r"footer|header|masthead|contentinfo|complementary|search|login|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: Kinds of words in class, id and role that mark what is no article text; inside an article some of them only as a whole name, and header not at all.
+_AS_PART = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|newsletter|subscribe|popup|modal|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|comments?|disqus|replies|sharing|social"
+_AS_NAME = r"banner|notices?|alert|share|related|footer|contentinfo|complementary|search|login|widget"
+_BOILER = re.compile(rf"(?:^|[\s_-])(?:{_AS_PART}|{_AS_NAME}|header|masthead)(?:$|[\s_-])", re.I)
+_BOILER_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_AS_PART})(?:$|[\s_-])|(?:^|\s)(?:{_AS_NAME})(?:$|\s)", re.I)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-#: A start tag ends the open elements of these kinds up to the nearest of the others.
-_CLOSES = {t: (frozenset({"p"}), frozenset({"button", "td", "th", "li", "div", "article", "section", "main", "body"})) for t in "p div ul ol dl table h1 h2 h3 h4 h5 h6 blockquote pre section article aside nav footer header main form hr figure address fieldset".split()}
-_CLOSES |= {"li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "tr": (frozenset({"tr"}), frozenset({"table", "tbody"})), "td": (frozenset({"td", "th"}), frozenset({"tr", "table"}))}
-_CLOSES |= {"dd": _CLOSES["dt"], "th": _CLOSES["td"], "option": (frozenset({"option"}), frozenset({"select"}))}
+#: Kinds of elements that end by themselves: which they are, and behind which others they are out of reach.
+_KINDS = (
+    (frozenset({"p"}), frozenset("button td th li div article section main body".split())),
+    (frozenset({"li"}), frozenset("ul ol menu".split())),
+    (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    (frozenset({"tr"}), frozenset({"table", "tbody"})),
+    (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    (frozenset({"option"}), frozenset({"select"})),
+)
+#: The kind of open element that a start tag ends.
+_ENDS = dict.fromkeys("p div ul ol dl table h1 h2 h3 h4 h5 h6 blockquote pre section article aside nav footer header main form hr figure address fieldset".split(), 0)
+_ENDS |= {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_TOUCHED = {t: [(k, t in own) for k, (own, stops) in enumerate(_KINDS) if t in own or t in stops] for t in frozenset().union(*(own | stops for own, stops in _KINDS))}
+_ALL = (1 << 64) - 1
 
 
 class Element:
-    __slots__ = ("tag", "parent", "first", "last", "drop", "inside")
+    """near: depth of the open element of each kind that is in reach; parts: what the hashes are made of, exact and without words of links."""
+
+    __slots__ = ("tag", "parent", "drop", "inside", "link", "near", "parts", "plain", "hash", "loose", "total", "chars")
+
+    def __init__(self, tag: str, parent: int, drop: bool, inside: bool, link: bool, near: tuple):
+        self.tag, self.parent, self.drop, self.inside, self.link, self.near = tag, parent, drop, inside, link, near
+        self.parts, self.plain, self.hash, self.loose, self.total, self.chars = [], [], 0, 0, 0, 0
 
-    def __init__(self, tag: str, parent: int, first: int, drop: bool, inside: bool):
-        self.tag, self.parent, self.first, self.last, self.drop, self.inside = tag, parent, first, -1, drop, inside
+
+def _hash(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=8).digest()
 
 
 def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
     """Elements in page order, the pieces of text between tags (decoded), and each piece's element; block tags leave a space."""
-    elements = [Element("", -1, 0, False, False)]
-    pieces: list[str] = []
-    owner: list[int] = []
-    stack = [0]
+    root = Element("", -1, False, False, False, (0,) * len(_KINDS))
+    elements, pieces, owner, stack, opened = [root], [], [], [0], {}
 
     def put(text: str) -> None:
         pieces.append(text)
         owner.append(stack[-1])
+        clean = tidy([text])
+        if clean:
+            e, raw = elements[stack[-1]], clean.encode("utf-8", "surrogatepass")
+            e.parts.append(raw)
+            e.plain.append(b"" if e.link else raw)
+            e.total = e.total + int.from_bytes(_hash(raw), "little") & _ALL
+            e.chars += len(clean)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            if elements[stack[-1]].tag not in _INLINE:
-                put(" ")
-            elements[stack.pop()].last = len(pieces)
+            e = elements[stack[-1]]
+            if e.tag not in _INLINE:
+                pieces.append(" ")
+                owner.append(stack[-1])
+            opened[e.tag] -= 1
+            stack.pop()
+            up, name = elements[e.parent], e.tag.encode("utf-8", "surrogatepass")
+            one = _hash(b"\0".join((name, *e.parts)))
+            two = one if e.parts == e.plain else _hash(b"\0".join((name, *e.plain)))
+            e.hash, e.loose = int.from_bytes(one, "little", signed=True), int.from_bytes(two, "little", signed=True)
+            e.parts = e.plain = None
+            up.parts.append(b"\1" + one)
+            up.plain.append(b"\1" + two)
+            if not e.drop:
+                up.total = up.total + e.total & _ALL
+                up.chars += e.chars
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -100,22 +143,17 @@ def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
             continue
         tag = tag.lower()
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if elements[stack[depth]].tag == tag:
-                    close(depth)
-                    break
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while elements[stack[depth]].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
-        if tag in _CLOSES:
-            ends, stops = _CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                name = elements[stack[depth]].tag
-                if name in ends:
-                    close(depth)
-                    break
-                if name in stops:
-                    break
+        if tag in _ENDS and elements[stack[-1]].near[_ENDS[tag]]:
+            close(elements[stack[-1]].near[_ENDS[tag]])
         if tag not in _INLINE:
-            put(" ")
+            pieces.append(" ")
+            owner.append(stack[-1])
         attrs = m["attrs"]
         if tag in _VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
@@ -123,13 +161,21 @@ def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
         inside = up.inside or tag in ("article", "main")
         drop = tag in _DROP or tag == "header" and not up.inside
         if attrs and not drop and tag not in ("html", "body") and "=" in attrs:
-            drop = any(_BOILER.search(a or b or c) for a, b, c in _MARKS.findall(attrs))
-        elements.append(Element(tag, stack[-1], len(pieces), drop, inside))
+            boiler = _BOILER_INSIDE if up.inside else _BOILER
+            drop = any(boiler.search(a or b or c) for a, b, c in _MARKS.findall(attrs))
+        near = up.near
+        if tag in _TOUCHED:
+            near = list(near)
+            for k, own in _TOUCHED[tag]:
+                near[k] = len(stack) if own else 0
+            near = tuple(near)
+        elements.append(Element(tag, stack[-1], drop, inside, up.link or tag == "a", near))
         stack.append(len(elements) - 1)
+        opened[tag] = opened.get(tag, 0) + 1
     if at < len(source):
         text = source[at:]
         put(entities.unescape(text) if "&" in text else text)
-    close(0)
+    close(1)
     return elements, pieces, owner
 
 
@@ -137,34 +183,36 @@ def tidy(pieces: list[str]) -> str:
     return _SPACE.sub(" ", "".join(pieces)).strip("\x20\x09\x0a\x0b\x0c\x0d")
 
 
-def subtree_hash(e: Element, pieces: list[str], owner: list[int], elements: list[Element]) -> int:
-    """Of the tags and the text below an element."""
-    shape = "/".join(elements[k].tag for k in dict.fromkeys(owner[e.first : e.last]))
-    raw = f"{e.tag}\0{shape}\0{tidy(pieces[e.first : e.last])}".encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _gone(elements: list[Element], templates: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> list[bool]:
+    """Of each element whether it is deleted, by its kind or as a template, or with one above it."""
+    gone = [False] * len(elements)
+    for k in range(1, len(elements)):
+        e = elements[k]
+        gone[k] = e.drop or gone[e.parent] or (e.hash in inner if e.inside else e.loose in templates) and _candidate(e)
+    return gone
 
 
-def candidates(elements: list[Element]) -> Iterator[int]:
+def _candidate(e: Element) -> bool:
     """Elements that may be templates: blocks, but no paragraphs of an article nor the article itself."""
+    return e.tag not in _INLINE and e.tag not in ("html", "body", "article", "main") and not (e.inside and e.tag in _CONTENT)
+
+
+def subtrees(source: str) -> tuple[int, set[tuple[int, bool, int]]]:
+    """Hash of a page's content; of each candidate its hash, whether it is inside an article, and the hash of the content besides it, if that is long enough."""
+    elements, _, _ = parse(source)
+    page, gone, found = elements[0], _gone(elements), set()
     for k, e in enumerate(elements):
-        if k and e.tag not in _INLINE and e.tag not in ("html", "body", "article", "main") and not (e.inside and e.tag in _CONTENT):
-            yield k
+        if k and e.chars and not gone[k] and _candidate(e) and SMALL * (page.chars - e.chars) >= e.chars:
+            found.add((e.hash if e.inside else e.loose, e.inside, page.total - e.total & _ALL))
+    return page.total, found
 
 
 def main_text(source: str, templates: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
     """templates, inner: hashes that recur enough to be deleted outside and inside an article."""
     elements, pieces, owner = parse(source)
-    gone = [e.drop for e in elements]
-    if templates or inner:
-        for k in candidates(elements):
-            e = elements[k]
-            known = inner if e.inside else templates
-            if known and not gone[k] and subtree_hash(e, pieces, owner, elements) in known:
-                gone[k] = True
-    for k in range(1, len(elements)):
-        gone[k] = gone[k] or gone[elements[k].parent]
-    kept = [k for k in range(len(elements)) if not gone[k]]
-    root = next((t for t in ("article", "main") if any(elements[k].tag == t for k in kept)), None)
+    gone = _gone(elements, templates, inner)
+    tags = {e.tag for e, g in zip(elements, gone) if not g}
+    root = next((t for t in ("article", "main") if t in tags), None)
     within = [root is None] * len(elements)
     for k in range(1, len(elements)):
         within[k] = within[elements[k].parent] or elements[k].tag == root
@@ -182,27 +230,28 @@ def host_of(url: str = "url"):
 
 
 def site_templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, hash, inside, n: the templates of each host."""
+    """host, hash, inside, n: the templates of each host and the number of different pages that show it."""
     lean = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
         for batch in batches:
-            hosts, hashes, insides = [], [], []
+            hosts, hashes, insides, rests = [], [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                elements, pieces, owner = parse(source.as_py() or "")
-                found = {(subtree_hash(e, pieces, owner, elements), e.inside) for e in (elements[k] for k in candidates(elements))}
+                page, found = subtrees(source.as_py() or "")
                 hosts += [host] * (len(found) + 1)
-                hashes += [h for h, _ in found] + [None]  # the null counts the page
-                insides += [i for _, i in found] + [False]
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "hash": pa.array(hashes, pa.int64()), "inside": pa.array(insides, pa.bool_())})
+                hashes += [h for h, _, _ in found] + [None]  # the null counts the page
+                insides += [i for _, i, _ in found] + [False]
+                rests += [signed(r) for _, _, r in found] + [signed(page)]
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "hash": pa.array(hashes, pa.int64()), "inside": pa.array(insides, pa.bool_()), "rest": pa.array(rests, pa.int64())})
 
-    counts = materialise(lean.mapInArrow(run, "host string, hash bigint, inside boolean").groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).filter(f"hash IS NULL OR n >= {MIN_PAGES}"), "html-subtrees")
+    seen = lean.mapInArrow(run, "host string, hash bigint, inside boolean, rest bigint").distinct()
+    counts = materialise(seen.groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).filter(f"hash IS NULL OR n >= {MIN_PAGES}"), "html-subtrees")
     named = counts.withColumn("host", F.encode("host", "UTF-8"))
     sizes = named.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
     total = sizes.agg(F.sum("pages")).first()[0] or 0
     found = join_counted(named.filter("hash IS NOT NULL").select("host", "hash", "inside", "n"), sizes, "host", "pages", total, F.col("hash"))
-    share = F.when(F.col("inside"), MIN_SHARE_INSIDE).otherwise(MIN_SHARE)
-    return found.filter(F.col("n") >= share * F.col("pages")).select(F.decode("host", "UTF-8").alias("host"), "hash", "inside", "n")
+    return found.filter(F.col("n") >= F.least(F.lit(float(MANY)), MIN_SHARE * F.col("pages"))).select(F.decode("host", "UTF-8").alias("host"), "hash", "inside", "n")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
