@@ -66,7 +66,7 @@ _AS_NAME = r"banner|notices?|alert|share|related|footer|contentinfo|complementar
 _BOILER = re.compile(rf"(?:^|[\s_-])(?:{_AS_PART}|{_AS_NAME}|header|masthead)(?:$|[\s_-])", re.I)
 _BOILER_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_AS_PART})(?:$|[\s_-])|(?:^|\s)(?:{_AS_NAME})(?:$|\s)", re.I)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_SPACE, _BLANK = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"), "\x20\x09\x0a\x0b\x0c\x0d"
 #: Kinds of elements that end by themselves: which they are, and behind which others they are out of reach.
 _KINDS = (
     (frozenset({"p"}), frozenset("button td th li div article section main body".split())),
@@ -97,17 +97,23 @@ def _hash(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=8).digest()
 
 
-def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
-    """Elements in page order, the pieces of text between tags (decoded), and each piece's element; block tags leave a space."""
+def parse(source: str, hashed: bool = True) -> tuple[list[Element], list[str], list[int]]:
+    """Elements in page order, the pieces of text between tags (decoded), and each piece's element; block tags leave a space.
+
+    Hashes (if wanted) are those of what is not deleted by its kind.
+    """
     root = Element("", -1, False, False, False, (0,) * len(_KINDS))
     elements, pieces, owner, stack, opened = [root], [], [], [0], {}
 
     def put(text: str) -> None:
         pieces.append(text)
         owner.append(stack[-1])
-        clean = tidy([text])
+        e = elements[stack[-1]]
+        if not hashed or e.drop:
+            return
+        clean = _SPACE.sub(" ", text).strip(_BLANK)
         if clean:
-            e, raw = elements[stack[-1]], clean.encode("utf-8", "surrogatepass")
+            raw = clean.encode("utf-8", "surrogatepass")
             e.parts.append(raw)
             e.plain.append(b"" if e.link else raw)
             e.total = e.total + int.from_bytes(_hash(raw), "little") & _ALL
@@ -121,6 +127,8 @@ def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
                 owner.append(stack[-1])
             opened[e.tag] -= 1
             stack.pop()
+            if not hashed or e.drop:
+                continue
             up, name = elements[e.parent], e.tag.encode("utf-8", "surrogatepass")
             one = _hash(b"\0".join((name, *e.parts)))
             two = one if e.parts == e.plain else _hash(b"\0".join((name, *e.plain)))
@@ -128,9 +136,8 @@ def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
             e.parts = e.plain = None
             up.parts.append(b"\1" + one)
             up.plain.append(b"\1" + two)
-            if not e.drop:
-                up.total = up.total + e.total & _ALL
-                up.chars += e.chars
+            up.total = up.total + e.total & _ALL
+            up.chars += e.chars
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -159,7 +166,7 @@ def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
             continue
         up = elements[stack[-1]]
         inside = up.inside or tag in ("article", "main")
-        drop = tag in _DROP or tag == "header" and not up.inside
+        drop = up.drop or tag in _DROP or tag == "header" and not up.inside
         if attrs and not drop and tag not in ("html", "body") and "=" in attrs:
             boiler = _BOILER_INSIDE if up.inside else _BOILER
             drop = any(boiler.search(a or b or c) for a, b, c in _MARKS.findall(attrs))
@@ -180,7 +187,7 @@ def parse(source: str) -> tuple[list[Element], list[str], list[int]]:
 
 
 def tidy(pieces: list[str]) -> str:
-    return _SPACE.sub(" ", "".join(pieces)).strip("\x20\x09\x0a\x0b\x0c\x0d")
+    return _SPACE.sub(" ", "".join(pieces)).strip(_BLANK)
 
 
 def _gone(elements: list[Element], templates: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> list[bool]:
@@ -209,7 +216,7 @@ def subtrees(source: str) -> tuple[int, set[tuple[int, bool, int]]]:
 
 def main_text(source: str, templates: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
     """templates, inner: hashes that recur enough to be deleted outside and inside an article."""
-    elements, pieces, owner = parse(source)
+    elements, pieces, owner = parse(source, bool(templates or inner))
     gone = _gone(elements, templates, inner)
     tags = {e.tag for e, g in zip(elements, gone) if not g}
     root = next((t for t in ("article", "main") if t in tags), None)
