@@ -12,15 +12,16 @@ word a text). So a text's lattice is a chain of independent word lattices:
 * distinct words are segmented once, many of about one length at a time, by a
   vectorised forward Viterbi pass that keeps the two best scores;
 * the N best segmentations of a text differ from the best one only in its N - 1
-  words with the least loss to their second best. A-star runs on those words, and
-  their lists are combined.
+  words with the least loss to their second best. A-star runs on those words (and
+  on words of more than ``MAX_WORD`` bytes), and their lists are combined. That is
+  exact: a word's lattice meets its neighbours' at one node.
 
 Text is encoded as it is, with one space put before it: spaces are the pieces'
 U+2581, characters without a piece (and U+2581 itself) become byte pieces at a
 penalty of 10 below the least score of a piece (runs of spaces aside). Decoding gives back exactly the text.
 
 Defined cases: null and empty texts have no pieces and score 0; texts of any
-length are encoded whole; ties keep the segmentation whose last piece is longer;
+length are encoded whole, in time in proportion to it; ties keep the segmentation whose last piece is longer;
 repeated doc_ids are separate rows; other columns stay as they are, but for
 those named like a result; an empty table gives an empty result.
 """
@@ -174,7 +175,11 @@ class Pieces:
         return [i for a, b, k in path for i in ([k] if k >= 0 else self.byte_id[list(word[a:b])].tolist())]
 
     def nbest(self, word: bytes, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations: backward A-star whose heuristics are the forward Viterbi scores."""
+        """The n best segmentations: backward A-star whose heuristics are the forward Viterbi scores.
+
+        Of equal scores the path that has come further goes on, and no end is taken up more than n times: later ways
+        to it are worse than n others. So time is in proportion to the word's length, however many ties it has.
+        """
         lattice = self.edges(word)
         gain = lambda a, b, k: self.score_of[word[a:b]] if k >= 0 else self.unknown
         ahead = [0.0] + [-np.inf] * len(word)
@@ -182,10 +187,14 @@ class Pieces:
             for start, k in lattice[end]:
                 ahead[end] = max(ahead[end], ahead[start] + gain(start, end, k))
         out: list = []
-        queue = [(-ahead[len(word)], 0, len(word), 0.0, None)]
+        queue = [(-ahead[len(word)], len(word), 0, 0.0, None)]
         number = 1
+        taken = [0] * (len(word) + 1)
         while queue and len(out) < n:
-            _, _, at, done, path = heapq.heappop(queue)
+            _, at, _, done, path = heapq.heappop(queue)
+            if taken[at] == n:
+                continue
+            taken[at] += 1
             if at == 0:
                 steps = []
                 while path:
@@ -194,9 +203,10 @@ class Pieces:
                 out.append((done, self.expand(word, steps)))
                 continue
             for start, k in lattice[at]:
-                score = done + gain(start, at, k)
-                heapq.heappush(queue, (-(score + ahead[start]), number, start, score, ((start, at, k), path)))
-                number += 1
+                if taken[start] < n:
+                    score = done + gain(start, at, k)
+                    heapq.heappush(queue, (-(score + ahead[start]), start, number, score, ((start, at, k), path)))
+                    number += 1
         return out
 
 

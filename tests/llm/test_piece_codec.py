@@ -1,6 +1,7 @@
 """Exact round trips; N-best lists against all segmentations."""
 
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +34,26 @@ def test_astar_gives_the_best(word):
         assert len({tuple(p) for _, p in found}) == len(found)
 
 
+@pytest.mark.parametrize("word", [b" " + b"a" * 100_000, b"=" * 100_000, b"ab" * 50_000, "日本".encode() * 17_000, b"abcab" * 20_000])
+def test_long_runs_take_time_in_proportion(word):
+    began = time.process_time()
+    found = PIECES.nbest(word, 4)
+    assert time.process_time() - began < 30
+    scores = [s for s, _ in found]
+    assert scores == sorted(scores, reverse=True) and len({tuple(p) for _, p in found}) == len(found)
+    for _, ids in found:
+        assert b"".join(PIECES.text[i] for i in ids) == word
+
+
+@pytest.mark.parametrize("word", [b"aaaaaaaaaaaa", b" aabbaabbaa", b"=-=-=-=-=", "日日日日日".encode()])
+def test_ties_against_all_segmentations(word):
+    full = every(word)
+    for n in (2, 7, 40):
+        found = PIECES.nbest(word, n)
+        assert [s for s, _ in found] == [s for s, _ in full[:n]]
+        assert len({tuple(p) for _, p in found}) == len(found)
+
+
 def encoded(spark, texts, n_best=4):
     docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "doc_id bigint, text string, score string")
     return {r.doc_id: r for r in m.decode(m.encode(docs, n_best=n_best)).collect()}
@@ -53,7 +74,7 @@ def test_round_trip(spark):
     r = random.Random(2)
     alphabet = "abcdefg   \n\t\r\0éß日本語😀▁ |&$%'\""
     texts = ["".join(r.choices(alphabet, k=r.randint(0, 300))) for _ in range(60)]
-    texts += ["", " ", "  ", "\n\n", "▁", " lead", "trail ", "x" * 3000, "long word " * 20_000, "a b" * 10]
+    texts += ["", " ", "  ", "\n\n", "▁", " lead", "trail ", "x" * 3000, "a" * 100_000, "long word " * 20_000, "a b" * 10]
     found = encoded(spark, texts)
     assert {i: row.decoded for i, row in found.items()} == dict(enumerate(texts))
     assert found[60].ids == [] and found[60].score == 0
