@@ -1,15 +1,20 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 hashes each text once and counts, for two bits of a blocked Bloom filter
-a text, how many texts set each bit. Bits set by two texts or more make the
-filter of *repeats*: a text whose two bits are both in it is possibly repeated,
-any other text is certainly unique. Pass 2 looks every row up in that filter
-(one broadcast hash join on the filter's word, of bounded size) and only the
+Pass 1 finds the hashes that occur again. The hash space is cut into shards in
+proportion to the rows, a row's place in its shard is a number of 32 bits. Each task
+packs the places of a shard into one list, so what shuffles is some 4 bytes a row in
+a few records a task; places that a list holds twice, or two lists of a shard hold,
+are possibly repeated. They make a Bloom filter of 16 bits each, two of them set in one
+word of 64: a text whose bits are not in it is certainly unique. Pass 2 looks every
+row up in that filter (one broadcast hash join on the filter's word) and only the
 possibly repeated rows shuffle, by digest; the rest pass straight through.
 
-The filter has at most ``MAX_WORDS`` words of 64 bits whatever the input, so its
-broadcast has a fixed bound; a corpus too large for it only means that more rows
-are possibly repeated and shuffle. What shuffles are ids and digests, no texts.
+The filter grows with the repeated texts, not with the rows, up to ``MAX_WORDS``
+words, so its broadcast has a fixed bound. From some 8 million repeated texts on it
+gets denser: more rows are possibly repeated and shuffle (5 % of the others at 16
+million), with the same result. A list is as long as a task's rows in a shard: copies
+of one text count once for each task when lists meet, so no group makes a long one.
+What shuffles are places, ids and digests, no texts.
 
 Defined cases: a null text equals the empty one; equal means identical code
 points; of equal texts the largest doc_id stays (nulls are smaller than any id;
@@ -20,14 +25,16 @@ are neither read nor in the way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_counted, materialise, text_or_empty
 
-#: Bits of filter a row, and the fixed bound: 2**20 words are 8 MB of bits.
-BITS_PER_ROW = 32
-MAX_WORDS = 1 << 20
+#: Bits of filter a repeated place, and the fixed bound of its words: 2**21 are 16 MB of bits.
+BITS_PER_PLACE = 16
+MAX_WORDS = 1 << 21
+#: Rows of a shard, about, and least number of shards.
+SHARD_ROWS, MIN_SHARDS = 1 << 20, 16
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -36,33 +43,50 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest")).withColumn("h", F.xxhash64("digest"))
 
 
-def _places(n_words: int) -> dict:
-    a = F.expr("h & 63")
-    return {
-        "word": F.shiftrightunsigned("h", 12).bitwiseAND(F.lit(n_words - 1)),
-        "bit_a": a,
-        "bit_b": F.expr("((h & 63) + 1 + (shiftrightunsigned(h, 6) & 63) % 63) % 64"),
-    }
+def repeated_places(hashed: DataFrame, n_shards: int) -> DataFrame:
+    """shard, slot: places that two rows or more have (few others: those of different hashes)."""
+    at = hashed.select(F.spark_partition_id().alias("task"), _shard(n_shards).alias("shard"), _slot().alias("slot"))
+    packed = at.groupBy("task", "shard").agg(F.array_sort(F.collect_list("slot")).alias("s"))
+    again = F.array_distinct(F.expr("filter(s, (x, i) -> x <=> get(s, i - 1))"))
+    packed = packed.select("shard", again.alias("again"), F.array_distinct("s").alias("s"))
+    met = packed.groupBy("shard").agg(F.flatten(F.collect_list("again")).alias("own"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+    return met.select("shard", F.explode(F.array_union("own", again)).alias("slot"))
 
 
-def repeat_filter(hashed: DataFrame, n_words: int) -> DataFrame:
-    """word, twice: the bits of that word which two rows or more have set."""
-    at = _places(n_words)
-    slots = hashed.select(F.explode(F.array(at["word"] * 64 + at["bit_a"], at["word"] * 64 + at["bit_b"])).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n >= 2")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("twice"))
+def _shard(n_shards: int) -> Column:
+    return F.pmod("h", F.lit(n_shards)).cast("int")
+
+
+def _slot() -> Column:
+    """The upper half of a hash."""
+    return F.shiftright("h", 32).cast("int")
+
+
+def repeat_filter(places: DataFrame, n_words: int) -> DataFrame:
+    """word, twice: the Bloom filter of repeated places."""
+    key = F.xxhash64("shard", "slot")
+    return places.select(*_bits(key, n_words)).groupBy("word").agg(F.bit_or("mask").alias("twice"))
+
+
+def _bits(key: Column, n_words: int) -> list[Column]:
+    """The word of a place in the filter and its two bits there."""
+    a = key.bitwiseAND(F.lit(63)).cast("int")
+    b = F.pmod(a + 1 + F.pmod(F.shiftrightunsigned(key, 6), F.lit(63)).cast("int"), F.lit(64))
+    one = F.lit(1).cast("long")
+    return [F.shiftrightunsigned(key, 16).bitwiseAND(F.lit(n_words - 1)).alias("word"), F.call_function("shiftleft", one, a).bitwiseOR(F.call_function("shiftleft", one, b)).alias("mask")]
 
 
 def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept."""
     hashed = materialise(digests(docs, text, doc_id), "exact-digests")
     total = hashed.count()
-    n_words = 1 << 10
-    while n_words < MAX_WORDS and n_words * 64 < total * BITS_PER_ROW:
+    n_shards = max(MIN_SHARDS, total // SHARD_ROWS)
+    places = materialise(repeated_places(hashed, n_shards), "exact-places")
+    wanted, n_words = places.count() * BITS_PER_PLACE // 64, 1 << 10
+    while n_words < min(wanted, MAX_WORDS):
         n_words *= 2
-    at = _places(n_words)
-    found = hashed.withColumns({"word": at["word"], "mask": F.expr("shiftleft(1L, cast(h & 63 AS INT))").bitwiseOR(F.expr("shiftleft(1L, cast(((h & 63) + 1 + (shiftrightunsigned(h, 6) & 63) % 63) % 64 AS INT))"))})
-    found = found.join(F.broadcast(repeat_filter(hashed, n_words)), "word", "left")
+    found = hashed.select("doc_id", "digest", *_bits(F.xxhash64(_shard(n_shards), _slot()), n_words))
+    found = found.join(F.broadcast(repeat_filter(places, n_words)), "word", "left")
     suspect = F.coalesce(F.col("twice").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
     found = found.select("doc_id", "digest", suspect.alias("suspect"))
     again = found.filter("suspect").select("doc_id", "digest")

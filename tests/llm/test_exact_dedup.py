@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from sphaera.llm import exact_dedup as m
 
 SCHEMA = "doc_id bigint, text string, digest string, word string, n string"
@@ -35,11 +37,32 @@ def test_against_brute_force(spark):
 
 def test_small_filter_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(m, "MAX_WORDS", 1 << 10)
-    monkeypatch.setattr(m, "BITS_PER_ROW", 1 << 20)
+    monkeypatch.setattr(m, "BITS_PER_PLACE", 1 << 20)
     rows = [(i, f"text {i % 3000}", "", "", "") for i in range(5000)]
     assert result(spark, rows) == brute(rows)
 
 
+def test_places_of_copies_within_and_across_tasks(spark):
+    rows = [(i, f"text {i if i % 7 else i % 35}") for i in range(3000)]
+    for parts in (1, 5):
+        hashed = m.digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts, "doc_id"))
+        known = {(r.shard, r.slot) for r in m.repeated_places(hashed, 16).collect()}
+        texts = [t for _, t in rows]
+        placed = spark.createDataFrame(rows, "doc_id bigint, text string")
+        placed = m.digests(placed).select("doc_id", m._shard(16).alias("shard"), m._slot().alias("slot")).collect()
+        assert {r.doc_id for r in placed if (r.shard, r.slot) in known} == {i for i, t in rows if texts.count(t) > 1}
+
+
+def test_unique_rows_shuffle_few_records(spark):
+    """What pass 1 sends is a list for each task and shard, and nobody is possibly repeated."""
+    docs = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    found = m.repeated_places(m.digests(docs), m.MIN_SHARDS)
+    assert found.count() == 0
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("partial_collect_list") == 3  # lists are made before each exchange
+    assert docs.rdd.getNumPartitions() * m.MIN_SHARDS < 20_000 / 100
+
+
 def test_empty_and_unique(spark):
     assert result(spark, []) == []
     rows = [(i, f"text {i}", "", "", "") for i in range(50)]
