@@ -12,10 +12,13 @@ State of a ``LineIndex``:
   follow insertions and deletions without being built anew.
 
 To deduplicate, each line is looked up in its shard's filter. Most lines are in
-none and stay without any shuffle; the others are checked against the exact
-table by a join, so a filter's false positives never decide anything. Filters
-are broadcast up to ``MAX_FILTER_BYTES`` in all, measured first; beyond that all
-lines take the join.
+none and stay; the others are checked against the exact table by a join, so a
+filter's false positives never decide anything. Filters are broadcast up to
+``MAX_FILTER_BYTES`` in all, measured first: then no line shuffles but those that
+pass. Beyond that, lines are dealt to their shards' filters, packed (36 bytes a line);
+lines of the at most 1024 most frequent keys, known from the exact table, pass on
+the spot, so no shard gets a hot key's lines. A shard's filter is built anew when it
+fills, and all of them when there are twice as many keys as the shards are made for.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased,
 as a 128-bit hash; shorter keys than ``MIN_CHARS`` code points always stay. A
@@ -23,8 +26,8 @@ document's lines all stay where it owns their key, repeated ones included.
 
 Defined cases: null and empty texts are one empty line; a null doc_id is smaller
 than any other and all such rows are one document; rows that repeat a doc_id are
-parts of one document, each with its own result row; an empty table gives an
-empty result; other columns stay as they are.
+parts of one document, each with its own result row; texts and lines of any length are
+read whole; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -38,11 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import identify, join_counted, lean_rows, materialise, number, small_batches
+from .common import HOT_SHARE, identify, join_counted, lean_rows, materialise, number, small_batches
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 50_000
 MAX_FILTER_BYTES = 64 << 20
+#: A filter with this share of its slots taken, or so many keys in its stash, is built anew.
+MAX_LOAD, MAX_STASH = 0.93, 64
 #: Stands for a null doc_id among the owners.
 _NO_ID = -(1 << 63)
 
@@ -53,13 +58,15 @@ class CuckooFilter:
     SLOTS = 4
     KICKS = 200
 
-    def __init__(self, n_keys: int = 0, table: bytes | None = None, stash: bytes = b""):
+    def __init__(self, n_keys: int = 0, table: bytes | None = None, stash: bytes = b"", fixed: bool = False):
         if table is None:
             buckets = 1 << max(4, int(n_keys * 1.3 / self.SLOTS).bit_length())
             self.table = np.zeros((buckets, self.SLOTS), np.uint16)
         else:
-            self.table = np.frombuffer(table, np.uint16).reshape(-1, self.SLOTS).copy()
-        self.stash = list(np.frombuffer(stash, np.uint64).tolist())
+            self.table = np.frombuffer(table, np.uint16).reshape(-1, self.SLOTS)
+            if not fixed:
+                self.table = self.table.copy()
+        self.stash = set(np.frombuffer(stash, np.uint64).tolist())
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mask = np.uint64(len(self.table) - 1)
@@ -95,7 +102,7 @@ class CuckooFilter:
             bucket ^= int(tx.mix(np.array([mark], np.uint64))[0]) & mask
         for bucket, slot, old in reversed(undo):
             self.table[bucket, slot] = old
-        self.stash.append(key)
+        self.stash.add(key)
 
     def delete(self, keys: np.ndarray) -> None:
         """Keys must have been inserted."""
@@ -113,10 +120,41 @@ class CuckooFilter:
     def contains(self, keys: np.ndarray) -> np.ndarray:
         prints, first, second = self._places(keys)
         found = (self.table[first] == prints[:, None]).any(1) | (self.table[second] == prints[:, None]).any(1)
-        return found | np.isin(keys, np.array(self.stash, np.uint64)) if self.stash else found
+        return found | np.isin(keys, np.array(list(self.stash), np.uint64)) if self.stash else found
+
+    def full(self) -> bool:
+        return len(self.stash) > MAX_STASH or np.count_nonzero(self.table) > MAX_LOAD * self.table.size
 
     def row(self, shard: int) -> tuple:
-        return shard, self.table.tobytes(), np.array(self.stash, np.uint64).tobytes()
+        return shard, self.table.tobytes(), np.array(sorted(self.stash), np.uint64).tobytes(), self.full()
+
+
+_FILTER = "shard int, buckets binary, stash binary, full boolean"
+
+
+def _filter_frame(shard: int, own: CuckooFilter) -> pd.DataFrame:
+    return pd.DataFrame([own.row(shard)], columns=["shard", "buckets", "stash", "full"])
+
+
+def _built(contested: DataFrame, n_shards: int) -> DataFrame:
+    """The filters of contested keys; a shard's keys are bounded, as the number of shards follows theirs."""
+
+    def make(group: pd.DataFrame) -> pd.DataFrame:
+        keys = _hash_of(group["key"])
+        own = CuckooFilter(len(keys))
+        own.insert(keys)
+        return _filter_frame(int(group["shard"].iloc[0]), own)
+
+    return contested.select(_shard(n_shards), "key").groupBy("shard").applyInPandas(make, _FILTER)
+
+
+def _shard(n_shards: int):
+    """The key's last four bytes, modulo n_shards, which is a power of two."""
+    return F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long").bitwiseAND(F.lit(n_shards - 1)).cast("int").alias("shard")
+
+
+def _shards_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 16)[:, 12:].copy().view(">u4").ravel().astype(np.int64) & (n_shards - 1)
 
 
 def block_lines(data: np.ndarray, offsets: np.ndarray, min_chars: int):
@@ -171,6 +209,30 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "key binary, doc_id bigint, n int")
 
 
+_CANDIDATES = "row bigint, owner_id bigint, key binary, lines array<int>"
+
+
+def _placed(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, owner, position in the text and key of each line that has a key, block by block of (row, doc_id, text)."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        owners = batch.column(1).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        for row, _, data, offsets in tx.blocks(batch.column(2)):
+            _, doc, at, keys = block_lines(data, offsets, min_chars)
+            yield ids[row + doc], owners[row + doc], at, keys
+
+
+def _grouped(ids: np.ndarray, owners: np.ndarray, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Lines of one row and key together."""
+    order = np.lexsort((at, keys[:, 1], keys[:, 0], ids))
+    ids, owners, at, keys = ids[order], owners[order], at[order], keys[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]).any(1)
+    one = np.flatnonzero(new)
+    lines = pa.ListArray.from_arrays(pa.array(np.append(one, len(ids)).astype(np.int32)), pa.array(at.astype(np.int32)))
+    return pa.RecordBatch.from_pydict({"row": ids[one], "owner_id": owners[one], "key": tx.binary_column(keys[one]), "lines": lines})
+
+
 def _hash_of(keys: list[bytes] | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)[:, 0].copy()
 
@@ -183,36 +245,27 @@ def _contested(refs: DataFrame) -> DataFrame:
 class LineIndex:
     """See the module's docstring. Each method returns a new index; the old one stays valid."""
 
-    def __init__(self, refs: DataFrame, contested: DataFrame, filters: DataFrame, n_shards: int, min_chars: int):
-        self.refs, self.contested, self.filters, self.n_shards, self.min_chars = refs, contested, filters, n_shards, min_chars
-
-    @staticmethod
-    def _shard(n_shards: int):
-        """The key's last two bytes, modulo n_shards, which is a power of two."""
-        return (F.conv(F.hex(F.substring("key", 15, 2)), 16, 10).cast("int").bitwiseAND(F.lit(n_shards - 1))).alias("shard")
+    def __init__(self, refs: DataFrame, contested: DataFrame, filters: DataFrame, n_shards: int, min_chars: int, keys_per_shard: int = KEYS_PER_SHARD):
+        self.refs, self.contested, self.filters, self.n_shards, self.min_chars, self.keys_per_shard = refs, contested, filters, n_shards, min_chars, keys_per_shard
 
     @classmethod
     def build(cls, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
         lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         refs = materialise(_lines(lean, min_chars), "line-refs")
         contested = materialise(_contested(refs), "line-contested")
-        n_shards = 1 << min(16, (contested.count() // keys_per_shard).bit_length())
-
-        def make(group: pd.DataFrame) -> pd.DataFrame:
-            keys = _hash_of(group["key"])
-            made = CuckooFilter(len(keys))
-            made.insert(keys)
-            return pd.DataFrame([made.row(int(group["shard"].iloc[0]))], columns=["shard", "buckets", "stash"])
+        n_shards = cls._shards_for(contested.count(), keys_per_shard)
+        return cls(refs, contested, materialise(_built(contested, n_shards), "line-filters"), n_shards, min_chars, keys_per_shard)
 
-        filters = contested.select(cls._shard(n_shards), "key").groupBy("shard").applyInPandas(make, "shard int, buckets binary, stash binary")
-        return cls(refs, contested, materialise(filters, "line-filters"), n_shards, min_chars)
+    @staticmethod
+    def _shards_for(n_keys: int, keys_per_shard: int) -> int:
+        return 1 << min(31, (n_keys // keys_per_shard).bit_length())
 
     def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
         """The index for new refs, in which only the touched keys may differ."""
         after = materialise(_contested(refs.join(touched, "key", "left_semi")), "line-changed")
         before = self.contested.join(touched, "key", "left_semi")
         delta = after.select("key").exceptAll(before.select("key")).withColumn("up", F.lit(True)).unionByName(before.select("key").exceptAll(after.select("key")).withColumn("up", F.lit(False)))
-        delta = delta.select(self._shard(self.n_shards), "key", "up")
+        delta = delta.select(_shard(self.n_shards), "key", "up")
 
         def update(key, old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
             ups = _hash_of(change["key"][change["up"]]) if len(change) else np.zeros(0, np.uint64)
@@ -220,11 +273,20 @@ class LineIndex:
             if len(change) and (~change["up"]).any():
                 own.delete(_hash_of(change["key"][~change["up"]]))
             own.insert(ups)
-            return pd.DataFrame([own.row(int(key[0]))], columns=["shard", "buckets", "stash"])
+            return _filter_frame(int(key[0]), own)
 
-        filters = self.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(update, "shard int, buckets binary, stash binary")
-        contested = self.contested.join(touched, "key", "left_anti").unionByName(after)
-        return LineIndex(materialise(refs, "line-refs"), materialise(contested, "line-contested"), materialise(filters, "line-filters"), self.n_shards, self.min_chars)
+        contested = materialise(self.contested.join(touched, "key", "left_anti").unionByName(after), "line-contested")
+        n_shards = self._shards_for(contested.count(), self.keys_per_shard)
+        if n_shards > 2 * self.n_shards:
+            filters = _built(contested, n_shards)
+        else:
+            n_shards = self.n_shards
+            filters = materialise(self.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(update, _FILTER), "line-filters")
+            full = filters.filter("full").select("shard")
+            if not full.isEmpty():
+                again = contested.withColumn("__shard", _shard(n_shards)).join(full, F.col("__shard") == F.col("shard"), "left_semi").drop("__shard")
+                filters = filters.filter("NOT full").unionByName(_built(again, n_shards))
+        return LineIndex(materialise(refs, "line-refs"), contested, materialise(filters, "line-filters"), n_shards, self.min_chars, self.keys_per_shard)
 
     def insert(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> LineIndex:
         lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -238,37 +300,66 @@ class LineIndex:
         return self._changed(self.refs.join(gone, "doc_id", "left_anti").select(*self.refs.columns), touched)
 
     def candidates(self, rows: DataFrame) -> DataFrame:
-        """row, doc_id, key, lines: the lines that pass their shard's filter."""
+        """row, owner_id, key, lines: the lines that pass their shard's filter."""
         size = self.filters.agg(F.sum(F.length("buckets") + F.length("stash"))).first()[0] or 0
-        known = None if size > MAX_FILTER_BYTES else {r["shard"]: (bytes(r["buckets"]), bytes(r["stash"])) for r in self.filters.collect()}
-        shared = rows.sparkSession.sparkContext.broadcast(known)
         n_shards, min_chars = self.n_shards, self.min_chars
+        rows = rows.select("row", "doc_id", "text")
+        if size > MAX_FILTER_BYTES:
+            return self._dealt(rows)
+        shared = rows.sparkSession.sparkContext.broadcast({r["shard"]: (bytes(r["buckets"]), bytes(r["stash"])) for r in self.filters.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = None if shared.value is None else {k: CuckooFilter(table=b, stash=s) for k, (b, s) in shared.value.items()}
+            filters = {k: CuckooFilter(table=b, stash=s, fixed=True) for k, (b, s) in shared.value.items()}
+            for ids, owners, at, keys in _placed(batches, min_chars):
+                hit = np.zeros(len(ids), bool)
+                shard = _shards_of(keys, n_shards)
+                order = np.argsort(shard, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    if len(own) and int(shard[own[0]]) in filters:
+                        hit[own] = filters[int(shard[own[0]])].contains(keys[own, 0])
+                yield _grouped(ids[hit], owners[hit], at[hit], keys[hit])
+
+        return rows.mapInArrow(run, _CANDIDATES)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The same with lines dealt to their shards' filters, one filter in memory at a time."""
+        n_shards, min_chars = self.n_shards, self.min_chars
+        floor = max(2, int(self.refs.count() * HOT_SHARE))
+        hot = np.sort(np.array(_hash_of([r[0] for r in self.contested.filter(F.col("holders") > floor).select("key").collect()])))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, owners, at, keys in _placed(batches, min_chars):
+                out = []
+                sure = np.isin(keys[:, 0], hot)
+                for kind, some in ((2, np.flatnonzero(sure)), (1, np.flatnonzero(~sure))):
+                    # hot keys' lines are spread over all tasks
+                    shard = ids[some] & 0xFFFFF if kind == 2 else _shards_of(keys[some], n_shards)
+                    order = np.argsort(shard, kind="stable")
+                    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                        if len(own):
+                            k = some[own]
+                            out.append((int(shard[own[0]]), kind, ids[k].tobytes(), owners[k].tobytes(), at[k].astype(np.int32).tobytes(), keys[k].tobytes()))
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("shard", "kind", "a", "b", "c", "d"), zip(*out) if out else [()] * 6, (pa.int32(), pa.int32(), *[pa.binary()] * 4))})
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_shard, own = None, None
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                owners = batch.column(1).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-                for row, _, data, offsets in tx.blocks(batch.column(2)):
-                    _, doc, at, keys = block_lines(data, offsets, min_chars)
-                    if filters is not None:
-                        hit = np.zeros(len(doc), bool)
-                        tail = keys.view(np.uint8).reshape(-1, 16)[:, 14:].astype(np.int64)
-                        shard = (tail[:, 0] * 256 + tail[:, 1]) & (n_shards - 1)
-                        order = np.argsort(shard, kind="stable")
-                        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                            if len(own) and int(shard[own[0]]) in filters:
-                                hit[own] = filters[int(shard[own[0]])].contains(keys[own, 0])
-                        doc, at, keys = doc[hit], at[hit], keys[hit]
-                    order = np.lexsort((at, keys[:, 1], keys[:, 0], doc))
-                    doc, at, keys = doc[order], at[order], keys[order]
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]).any(1)
-                    one = np.flatnonzero(new)
-                    lines = pa.ListArray.from_arrays(pa.array(np.append(one, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
-                    yield pa.RecordBatch.from_pydict({"row": ids[row + doc[one]], "owner_id": owners[row + doc[one]], "key": tx.binary_column(keys[one]), "lines": lines})
-
-        return rows.select("row", "doc_id", "text").mapInArrow(run, "row bigint, owner_id bigint, key binary, lines array<int>")
+                for shard, kind, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns)):
+                    if kind == 0:
+                        at_shard, own = shard, CuckooFilter(table=a, stash=b, fixed=True)
+                        continue
+                    ids, owners, at = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32).astype(np.int64)
+                    keys = np.frombuffer(d, np.uint64).reshape(-1, 2)
+                    hit = np.full(len(ids), kind == 2)
+                    if kind == 1 and shard == at_shard:
+                        hit = own.contains(keys[:, 0])
+                    yield _grouped(ids[hit], owners[hit], at[hit], keys[hit])
+
+        empty = F.unhex(F.lit(""))
+        filters = self.filters.select("shard", F.lit(0).alias("kind"), F.col("buckets").alias("a"), F.col("stash").alias("b"), empty.alias("c"), empty.alias("d"))
+        packed = rows.mapInArrow(pack, "shard int, kind int, a binary, b binary, c binary, d binary")
+        n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards // 64)
+        return filters.unionByName(packed).repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(look, _CANDIDATES)
 
     def deduplicate(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """row, doc_id, n_lines, n_dropped, kept (text): one row per row of docs, which the index must hold."""

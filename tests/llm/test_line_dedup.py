@@ -61,6 +61,31 @@ def test_without_broadcast_filters(spark, monkeypatch):
     assert result(m.LineIndex.build(docs).deduplicate(docs)) == brute(documents(30, 8))
 
 
+def test_lines_dealt_to_many_filters(spark, monkeypatch):
+    monkeypatch.setattr(m, "MAX_FILTER_BYTES", -1)
+    rows = documents(60, 9) + [(1000 + i, f"text number {i % 40} of several", "", "", "") for i in range(80)] + [(None, LINES[3], "", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    index = m.LineIndex.build(docs, keys_per_shard=2)
+    assert index.n_shards >= 16
+    assert result(index.deduplicate(docs)) == brute(rows)
+    # filters decide what passes: few lines that only one document holds do
+    passed = {bytes(r.key) for r in index.candidates(m.identify(docs)).collect()}
+    known = {bytes(r.key) for r in index.contested.collect()}
+    assert known <= passed and len(passed - known) <= 2
+
+
+def test_full_filters_are_built_anew(spark):
+    few, many = documents(5, 2), [(100 + i, "\n".join(f"line number {j} of a long list" for j in range(600)), "", "", "") for i in range(2)]
+    index = m.LineIndex.build(spark.createDataFrame(few, SCHEMA))
+    assert index.n_shards == 1
+    grown = index.insert(spark.createDataFrame(many, SCHEMA))
+    assert [(r.full, len(r.stash)) for r in grown.filters.collect()] == [(False, 0)]
+    assert result(grown.deduplicate(spark.createDataFrame(few + many, SCHEMA))) == brute(few + many)
+    wide = m.LineIndex.build(spark.createDataFrame(few, SCHEMA), keys_per_shard=50).insert(spark.createDataFrame(many, SCHEMA))
+    assert wide.n_shards == 16
+    assert result(wide.deduplicate(spark.createDataFrame(few + many, SCHEMA))) == brute(few + many)
+
+
 def test_rewrite_keeps_columns(spark):
     rows = [(1, "one long line here\nb", "p", "q", "r"), (2, "One long line here ", "s", "t", "u"), (2, None, "v", "w", "x")]
     docs = spark.createDataFrame(rows, SCHEMA)
