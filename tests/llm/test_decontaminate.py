@@ -87,3 +87,54 @@ def test_windows_formed_by_a_cut(spark, monkeypatch, most):
     assert [words(left[k]) for k in (1, 2)] == [["before", "after"]] * 2 and left[3] == "clean" and left[None] is None
     scanned = {r.doc_id: (r.cleaned, r.n_hit) for r in m.scan(d, b, clean=True).collect()}
     assert {k: v[0] for k, v in scanned.items()} == left and [scanned[k][1] for k in (1, 2, 3)] == [10, 10, 0]
+
+
+@pytest.mark.parametrize("most", [None, -1])
+def test_nested_windows_at_random(spark, monkeypatch, most):
+    """Cutting ends with the same text on both ways, and that of cutting whole texts again and again."""
+    if most is not None:
+        monkeypatch.setattr(m, "MAX_BROADCAST_BYTES", most)
+    r = random.Random(5)
+    items = [(k, " ".join(r.choices("abc", k=r.choice([3, 5, 10, 12])))) for k in range(6)]
+    index = m.WindowIndex(items)
+
+    def again_and_again(t):
+        while True:
+            raw = m.np.frombuffer(t.encode(), m.np.uint8)
+            found = m.scan_block(index, raw, m.np.array([0, len(raw)]))[1]
+            if not found:
+                return t
+            spans = [x.span() for x in re.finditer(r"[a-z]+", t)]
+            mask, out, at, k = found[0][0], "", 0, 0
+            while k < len(spans):
+                if not mask[k]:
+                    k += 1
+                    continue
+                out += t[at : spans[k][0]]
+                while k < len(spans) and mask[k]:
+                    at = spans[k][1]
+                    k += 1
+            t = out + t[at:]
+
+    docs = []
+    for i in range(60):
+        t = r.choice(items)[1].split(" ")
+        for _ in range(r.randint(0, 4)):
+            k = r.randint(0, len(t))
+            t = t[:k] + r.choice(items)[1].split(" ") + t[k:]
+        docs.append((i, r.choice([", ", " ", ". "]).join(["x", *t, "y"]), "r", "i"))
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {r.doc_id: r.text for r in m.decontaminate(d, b).collect()} == {i: again_and_again(t) for i, t, *_ in docs}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(m.tx, "gram_hash", lambda words, n: m.np.full(max(0, len(words) - n + 1), 7 << 40, m.np.uint64))
+    index = m.WindowIndex([("a", "one two"), ("b", "three four"), ("c", "one two"), ("d", "one two five")])
+    raw = m.np.frombuffer(b"x three four y", m.np.uint8)
+    found = m.scan_block(index, raw, m.np.array([0, len(raw)]))[1]
+    assert {index.names[i] for i in found[0][1]} == {"b"} and found[0][0].tolist() == [False, True, True, False]
+
+
+def test_size_of_the_index():
+    text = " ".join(f"word{i}" for i in range(20_000))
+    assert m.WindowIndex([("a", text)]).nbytes() < 16 * len(text)
