@@ -15,7 +15,8 @@
    meet in its list. Two that share none can only be similar if their rare
    shingles together are few against their common ones (r + r' <= (1/t - 1) h);
    those are compared with the most central text of each list they are in, and
-   what that leaves in different components is compared in blocks.
+   what that leaves in different components is compared in blocks of a bounded
+   number of shingles.
 4. Every link is confirmed on the full sets; connected components follow.
 
 Nothing is capped: long lists are not dropped but taken by step 3. Step 2 can
@@ -47,8 +48,8 @@ K = 48
 LIST = 40
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold.
 SIGMAS = 4.5
-#: Smallest common shingles by which dense texts meet; rows of a block.
-MEETINGS, BLOCK = 6, 128
+#: Smallest common shingles by which dense texts meet; rows and shingles of a block (a longer text is a block of its own size).
+MEETINGS, BLOCK, BLOCK_ITEMS = 6, 128, 1 << 15
 #: Lists of ids up to this length are broadcast to pick texts, longer ones are joined.
 MAX_BROADCAST_IDS = 1 << 20
 
@@ -151,23 +152,27 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFr
 def _compare_blocks(percent: int):
     """Similar pairs between two blocks of full sets, as a spanning forest."""
 
-    def sparse(rows: list, where: dict) -> tuple[np.ndarray, np.ndarray]:
-        size = [len(r["items"]) for r in rows]
-        return np.repeat(np.arange(len(rows)), size), np.concatenate([np.asarray(r["items"], np.int64) for r in rows])
+    def sparse(block: pa.ListScalar) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """rows of a block, and the number and value of each of their items"""
+        rows, items = block.values.field("row"), block.values.field("items")
+        at = items.offsets.to_numpy()
+        return rows.to_pylist(), np.repeat(np.arange(len(rows)), np.diff(at)), items.values.to_numpy()[at[0] : at[-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for x, y in zip(batch.column(0), batch.column(1)):
-                x, y = x.as_py(), y.as_py()
-                (i, p), (j, q) = sparse(x, {}), sparse(y, {})
+                (names, i, p), (others, j, q) = sparse(x), sparse(y)
                 both = np.intersect1d(p, q)
-                keep_p, keep_q = np.isin(p, both), np.isin(q, both)
-                one, two = np.zeros((len(x), len(both)), np.float32), np.zeros((len(y), len(both)), np.float32)
-                one[i[keep_p], np.searchsorted(both, p[keep_p])] = 1
-                two[j[keep_q], np.searchsorted(both, q[keep_q])] = 1
-                common = one @ two.T
-                sizes = np.bincount(i, minlength=len(x))[:, None] + np.bincount(j, minlength=len(y))[None, :]
+                common = np.zeros((len(names), len(others)), np.float32)
+                for low in range(0, len(both), BLOCK_ITEMS):  # of long texts, some shingles at a time
+                    part = both[low : low + BLOCK_ITEMS]
+                    keep_p, keep_q = np.isin(p, part), np.isin(q, part)
+                    one, two = np.zeros((len(names), len(part)), np.float32), np.zeros((len(others), len(part)), np.float32)
+                    one[i[keep_p], np.searchsorted(part, p[keep_p])] = 1
+                    two[j[keep_q], np.searchsorted(part, q[keep_q])] = 1
+                    common += one @ two.T
+                sizes = np.bincount(i, minlength=len(names))[:, None] + np.bincount(j, minlength=len(others))[None, :]
                 link = np.argwhere(100 * common >= percent * (sizes - common))
                 up: dict = {}
 
@@ -177,11 +182,11 @@ def _compare_blocks(percent: int):
                     return r
 
                 for m, n in link.tolist():
-                    r, s = root(x[m]["row"]), root(y[n]["row"])
+                    r, s = root(names[m]), root(others[n])
                     if r != s:
                         up[max(r, s)] = min(r, s)
-                        a.append(x[m]["row"])
-                        b.append(y[n]["row"])
+                        a.append(names[m])
+                        b.append(others[n])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -251,14 +256,14 @@ def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: in
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
     placed = members.join(pivots, "v").join(label("row"), "row", "left").join(label("pivot"), "pivot", "left")
     apart = F.coalesce("row_label", "row") != F.coalesce("pivot_label", "pivot")
-    placed = placed.select("v", "row", F.floor(F.col("r") / F.col("h") / slack * 10).cast("int").alias("level"), apart.alias("apart"))
+    placed = placed.select("v", "row", F.floor(F.col("r") / F.col("h") / slack * 10).cast("int").alias("level"), apart.alias("apart"), (F.col("r") + F.col("h")).alias("n"))
     placed = materialise(placed, "near-dense-placed")
     if placed.filter("apart").isEmpty():
         return links
-    counts = placed.groupBy("v", "level", "apart").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    counts = placed.groupBy("v", "level", "apart").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("parts"))
     # only lists with a text apart from its pivot need blocks
     counts = counts.join(placed.filter("apart").select("v").distinct(), "v", "left_semi")
-    dealt = placed.join(counts, ["v", "level", "apart"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    dealt = placed.drop("n").join(counts, ["v", "level", "apart"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     blocks = dealt.join(own.select("row", "items"), "row").groupBy("v", "level", "apart", "part").agg(F.collect_list(F.struct("row", "items")).alias("rows"))
     blocks = materialise(blocks.withColumn("id", F.xxhash64("level", "apart", "part")), "near-dense-blocks")
     one, two = blocks.filter("apart").alias("p"), blocks.alias("q")

@@ -64,8 +64,9 @@ def test_against_brute_force(spark, size, percent):
     assert result(spark, rows, size, percent) == brute(rows, size, percent)
 
 
-@pytest.mark.parametrize(("passage", "most"), [(0, 1 << 20), (40, 1 << 20), (20, -1)])
-def test_long_lists_go_the_exact_way(spark, monkeypatch, passage, most):
+@pytest.mark.parametrize(("passage", "most", "items"), [(0, 1 << 20, 1 << 15), (40, 1 << 20, 300), (20, -1, 1 << 15)])
+def test_long_lists_go_the_exact_way(spark, monkeypatch, passage, most, items):
+    monkeypatch.setattr(m, "BLOCK_ITEMS", items)
     monkeypatch.setattr(m, "MAX_BROADCAST_IDS", most)
     monkeypatch.setattr(m, "LIST", 4)
     monkeypatch.setattr(m, "BLOCK", 8)
