@@ -16,7 +16,7 @@
    shingles together are few against their common ones (r + r' <= (1/t - 1) h);
    those are compared with the most central text of each list they are in, and
    what that leaves in different components is compared in blocks of a bounded
-   number of shingles.
+   number of shingles, where the distances to the central text (a metric) allow it.
 4. Every link is confirmed on the full sets; connected components follow.
 
 Nothing is capped: long lists are not dropped but taken by step 3. Step 2 can
@@ -122,12 +122,17 @@ def _sized(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common, every: shingles that the full sets of a pair share, and have together."""
     left = sets.select(F.col("row").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("row").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    return both.select("a", "b", "common", (F.size("x") + F.size("y") - F.col("common")).alias("every"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    return compared(pairs, sets).filter(f"100 * common >= {percent} * every").select("a", "b")
 
 
 def short_list_pairs(values: DataFrame, percent: int) -> DataFrame:
@@ -250,24 +255,31 @@ def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: in
     members = materialise(per_row.filter((F.col("n") - F.col("h")) <= slack * F.col("h")).select("row", (F.col("n") - F.col("h")).alias("r"), F.col("h"), F.explode("meet").alias("v")), "near-dense-members")
     pivots = members.groupBy("v").agg(F.min(F.struct("r", "row"))["row"].alias("pivot"))
     to_pivot = members.join(pivots, "v").filter("row <> pivot").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
-    links = materialise(known.unionByName(verified(pairs.select("a", "b").unionByName(to_pivot).distinct(), own, percent)), "near-dense-links")
+    central = materialise(compared(to_pivot.distinct(), own), "near-dense-central")
+    near = central.filter(f"100 * common >= {percent} * every").select("a", "b")
+    links = materialise(known.unionByName(verified(pairs.select("a", "b").distinct(), own, percent)).unionByName(near).distinct(), "near-dense-links")
 
     labels = components(links)
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
     placed = members.join(pivots, "v").join(label("row"), "row", "left").join(label("pivot"), "pivot", "left")
     apart = F.coalesce("row_label", "row") != F.coalesce("pivot_label", "pivot")
-    placed = placed.select("v", "row", F.floor(F.col("r") / F.col("h") / slack * 10).cast("int").alias("level"), apart.alias("apart"), (F.col("r") + F.col("h")).alias("n"))
+    # distance is a metric: similar texts differ in their distance to the pivot by 1 - t at most
+    far = central.select("a", "b", (1 - F.col("common") / F.col("every")).alias("far"))
+    placed = placed.join(far, (F.col("a") == F.least("row", "pivot")) & (F.col("b") == F.greatest("row", "pivot")), "left").drop("a", "b")
+    band = F.floor(F.coalesce("far", F.lit(0.0)) / (1 - percent / 100 + 1e-9)).cast("int")
+    placed = placed.select("v", "row", F.floor(F.col("r") / F.col("h") / slack * 10).cast("int").alias("level"), band.alias("band"), apart.alias("apart"), (F.col("r") + F.col("h")).alias("n"))
     placed = materialise(placed, "near-dense-placed")
     if placed.filter("apart").isEmpty():
         return links
-    counts = placed.groupBy("v", "level", "apart").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("parts"))
+    place = ["v", "level", "band", "apart"]
+    counts = placed.groupBy(*place).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("parts"))
     # only lists with a text apart from its pivot need blocks
     counts = counts.join(placed.filter("apart").select("v").distinct(), "v", "left_semi")
-    dealt = placed.drop("n").join(counts, ["v", "level", "apart"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    blocks = dealt.join(own.select("row", "items"), "row").groupBy("v", "level", "apart", "part").agg(F.collect_list(F.struct("row", "items")).alias("rows"))
-    blocks = materialise(blocks.withColumn("id", F.xxhash64("level", "apart", "part")), "near-dense-blocks")
+    dealt = placed.drop("n").join(counts, place).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    blocks = dealt.join(own.select("row", "items"), "row").groupBy(*place, "part").agg(F.collect_list(F.struct("row", "items")).alias("rows"))
+    blocks = materialise(blocks.withColumn("id", F.xxhash64("level", "band", "apart", "part")), "near-dense-blocks")
     one, two = blocks.filter("apart").alias("p"), blocks.alias("q")
-    met = one.join(two, F.expr("p.v = q.v AND p.level + q.level <= 10 AND (NOT q.apart OR p.id <= q.id)"))
+    met = one.join(two, F.expr("p.v = q.v AND p.level + q.level <= 10 AND abs(p.band - q.band) <= 1 AND (NOT q.apart OR p.id <= q.id)"))
     found = met.select(F.col("p.rows").alias("x"), F.col("q.rows").alias("y")).mapInArrow(_compare_blocks(percent), "a bigint, b bigint")
     return links.unionByName(materialise(found.filter("a <> b").distinct(), "near-block-links"))
 
