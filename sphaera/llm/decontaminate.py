@@ -198,7 +198,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_pydict(out)
 
     id_type = lean.schema["doc_id"].dataType.simpleString()
-    return lean.mapInArrow(run, f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>" + ", cleaned string" * clean)
+    return lean.mapInArrow(tx.lean(run), f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>" + ", cleaned string" * clean)
 
 
 def _windows(texts: pa.Array, lengths: list[int], spelt: bool = False):
@@ -233,7 +233,7 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, i
                 for n, row, _, a, b, _, spelt in _windows(one, [min(window, n_words)] if n_words else [], True):
                     yield pa.RecordBatch.from_pydict({"item": pa.array([batch.column(0)[i].as_py()] * len(row), pa.string()), "n": pa.array([n] * len(row), pa.int32()), "a": tx.signed(a), "b": tx.signed(b), "words": pa.array(spelt, pa.binary())})
 
-    known = materialise(items.mapInArrow(item_windows, "item string, n int, a bigint, b bigint, words binary").distinct(), "decontaminate-windows")
+    known = materialise(items.mapInArrow(tx.lean(item_windows), "item string, n int, a bigint, b bigint, words binary").distinct(), "decontaminate-windows")
     different = materialise(known.select("n", "a", "b", "words").distinct(), "decontaminate-different")
     lengths = sorted(r[0] for r in different.select("n").distinct().collect())
     n_words = 1 << 10
@@ -256,7 +256,7 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, i
     salted = different.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def hits_of(texts: DataFrame) -> DataFrame:
-        found = texts.select("row", "text").mapInArrow(doc_windows, "row bigint, at bigint, n int, a bigint, b bigint")
+        found = texts.select("row", "text").mapInArrow(tx.lean(doc_windows), "row bigint, at bigint, n int, a bigint, b bigint")
         found = found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["n", "a", "b", "salt"])
         return found.groupBy("row").agg(F.collect_list(F.struct("at", "n", "a", "b", "words")).alias("hits"))
 
@@ -284,7 +284,7 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, i
 
     def cut(texts: DataFrame, how: str) -> DataFrame:
         both = texts.select("row", "text").join(hits_of(texts), "row", how).select("row", "text", "hits")
-        return both.mapInArrow(finish, "row bigint, n_words bigint, n_hit bigint, windows array<struct<n:int,a:bigint,b:bigint,words:binary>>, cleaned string")
+        return both.mapInArrow(tx.lean(finish), "row bigint, n_words bigint, n_hit bigint, windows array<struct<n:int,a:bigint,b:bigint,words:binary>>, cleaned string")
 
     first = materialise(cut(rows, "left"), "decontaminate-cut")
     named = first.filter("n_hit > 0").select("row", F.inline("windows")).join(known, ["n", "a", "b", "words"])
@@ -334,7 +334,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
             else:
                 yield batch
 
-    return docs.mapInArrow(run, fields(docs))
+    return docs.mapInArrow(tx.lean(run), fields(docs))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": some, "target": target[some], "raw": raw[some]})
 
-    sums = lean.mapInArrow(run, "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    sums = lean.mapInArrow(tx.lean(run), "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     target, raw = np.zeros(buckets), np.zeros(buckets)
     for b, t, r in sums.collect():
         target[b], raw[b] = t, r
@@ -99,7 +99,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", doc_id: str =
                 sizes.append(np.bincount(doc, minlength=end - row))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_grams": np.concatenate(sizes), "log_weight": np.concatenate(sums)})
 
-    return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, n_grams bigint, log_weight double")
+    return lean.mapInArrow(tx.lean(run), f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, n_grams bigint, log_weight double")
 
 
 def gumbel(doc_id: str = "doc_id", seed: int = SEED) -> Column:

@@ -35,8 +35,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,20 +132,21 @@ class CuckooFilter:
 _FILTER = "shard int, buckets binary, stash binary, full boolean"
 
 
-def _filter_frame(shard: int, own: CuckooFilter) -> pd.DataFrame:
-    return pd.DataFrame([own.row(shard)], columns=["shard", "buckets", "stash", "full"])
+def _filter_table(shard: int, own: CuckooFilter) -> pa.Table:
+    kinds = {"shard": pa.int32(), "buckets": pa.binary(), "stash": pa.binary(), "full": pa.bool_()}
+    return pa.table({k: pa.array([v], t) for v, (k, t) in zip(own.row(shard), kinds.items())})
 
 
 def _built(contested: DataFrame, n_shards: int) -> DataFrame:
     """The filters of contested keys; a shard's keys are bounded, as the number of shards follows theirs."""
 
-    def make(group: pd.DataFrame) -> pd.DataFrame:
-        keys = _hash_of(group["key"])
+    def make(group: pa.Table) -> pa.Table:
+        keys = _hash_of(group["key"].to_pylist())
         own = CuckooFilter(len(keys))
         own.insert(keys)
-        return _filter_frame(int(group["shard"].iloc[0]), own)
+        return _filter_table(group["shard"][0].as_py(), own)
 
-    return contested.select(_shard(n_shards), "key").groupBy("shard").applyInPandas(make, _FILTER)
+    return contested.select(_shard(n_shards), "key").groupBy("shard").applyInArrow(make, _FILTER)
 
 
 def _shard(n_shards: int):
@@ -206,7 +207,7 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
                 times = np.diff(np.append(at, len(doc)))
                 yield pa.RecordBatch.from_pydict({"key": tx.binary_column(keys[at]), "doc_id": ids[row + doc[at]], "n": pa.array(times.astype(np.int32))})
 
-    return rows.select("doc_id", "text").mapInArrow(run, "key binary, doc_id bigint, n int")
+    return rows.select("doc_id", "text").mapInArrow(tx.lean(run), "key binary, doc_id bigint, n int")
 
 
 _CANDIDATES = "row bigint, owner_id bigint, key binary, lines array<int>"
@@ -233,7 +234,7 @@ def _grouped(ids: np.ndarray, owners: np.ndarray, at: np.ndarray, keys: np.ndarr
     return pa.RecordBatch.from_pydict({"row": ids[one], "owner_id": owners[one], "key": tx.binary_column(keys[one]), "lines": lines})
 
 
-def _hash_of(keys: list[bytes] | pd.Series) -> np.ndarray:
+def _hash_of(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)[:, 0].copy()
 
 
@@ -267,13 +268,12 @@ class LineIndex:
         delta = after.select("key").exceptAll(before.select("key")).withColumn("up", F.lit(True)).unionByName(before.select("key").exceptAll(after.select("key")).withColumn("up", F.lit(False)))
         delta = delta.select(_shard(self.n_shards), "key", "up")
 
-        def update(key, old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
-            ups = _hash_of(change["key"][change["up"]]) if len(change) else np.zeros(0, np.uint64)
-            own = CuckooFilter(table=old["buckets"].iloc[0], stash=old["stash"].iloc[0]) if len(old) else CuckooFilter(len(ups))
-            if len(change) and (~change["up"]).any():
-                own.delete(_hash_of(change["key"][~change["up"]]))
+        def update(key: tuple, old: pa.Table, change: pa.Table) -> pa.Table:
+            ups, downs = (_hash_of(change.filter(change["up"] if up else pc.invert(change["up"]))["key"].to_pylist()) for up in (True, False))
+            own = CuckooFilter(table=old["buckets"][0].as_py(), stash=old["stash"][0].as_py()) if old.num_rows else CuckooFilter(len(ups))
+            own.delete(downs)
             own.insert(ups)
-            return _filter_frame(int(key[0]), own)
+            return _filter_table(key[0].as_py(), own)
 
         contested = materialise(self.contested.join(touched, "key", "left_anti").unionByName(after), "line-contested")
         n_shards = self._shards_for(contested.count(), self.keys_per_shard)
@@ -281,7 +281,7 @@ class LineIndex:
             filters = _built(contested, n_shards)
         else:
             n_shards = self.n_shards
-            filters = materialise(self.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(update, _FILTER), "line-filters")
+            filters = materialise(self.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInArrow(update, _FILTER), "line-filters")
             full = filters.filter("full").select("shard")
             if not full.isEmpty():
                 again = contested.withColumn("__shard", _shard(n_shards)).join(full, F.col("__shard") == F.col("shard"), "left_semi").drop("__shard")
@@ -319,7 +319,7 @@ class LineIndex:
                         hit[own] = filters[int(shard[own[0]])].contains(keys[own, 0])
                 yield _grouped(ids[hit], owners[hit], at[hit], keys[hit])
 
-        return rows.mapInArrow(run, _CANDIDATES)
+        return rows.mapInArrow(tx.lean(run), _CANDIDATES)
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         """The same with lines dealt to their shards' filters, one filter in memory at a time."""
@@ -357,9 +357,9 @@ class LineIndex:
 
         empty = F.unhex(F.lit(""))
         filters = self.filters.select("shard", F.lit(0).alias("kind"), F.col("buckets").alias("a"), F.col("stash").alias("b"), empty.alias("c"), empty.alias("d"))
-        packed = rows.mapInArrow(pack, "shard int, kind int, a binary, b binary, c binary, d binary")
+        packed = rows.mapInArrow(tx.lean(pack), "shard int, kind int, a binary, b binary, c binary, d binary")
         n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards // 64)
-        return filters.unionByName(packed).repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(look, _CANDIDATES)
+        return filters.unionByName(packed).repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(tx.lean(look), _CANDIDATES)
 
     def deduplicate(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """row, doc_id, n_lines, n_dropped, kept (text): one row per row of docs, which the index must hold."""
@@ -391,7 +391,7 @@ class LineIndex:
                     kept.append(t or "")
                 yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(1), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-        return rows.join(gone, "row", "left").select("row", "doc_id", "text", "gone").mapInArrow(run, "row bigint, doc_id bigint, n_lines bigint, n_dropped bigint, kept string")
+        return rows.join(gone, "row", "left").select("row", "doc_id", "text", "gone").mapInArrow(tx.lean(run), "row bigint, doc_id bigint, n_lines bigint, n_dropped bigint, kept string")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def sketches(rows: DataFrame, shingle: int, k: int = K) -> DataFrame:
                 at = slice(row, end)
                 yield pa.RecordBatch.from_pydict({"row": batch.column(0)[at], "doc_id": batch.column(1)[at], "n": pa.array(n.astype(np.int32)), "sig": tx.binary_column(sig), "sketch": _lists(h[low], np.minimum(n, k))})
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n int, sig binary, sketch array<bigint>")
+    return rows.select("row", "doc_id", "text").mapInArrow(tx.lean(run), "row bigint, doc_id bigint, n int, sig binary, sketch array<bigint>")
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -115,7 +115,7 @@ def full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 doc, h = block_shingles(data, offsets, shingle)
                 yield pa.RecordBatch.from_pydict({"row": batch.column(0)[row:end], "items": _lists(h, np.bincount(doc, minlength=end - row))})
 
-    return chosen.mapInArrow(run, "row bigint, items array<bigint>")
+    return chosen.mapInArrow(tx.lean(run), "row bigint, items array<bigint>")
 
 
 def _sized(percent: int) -> str:
@@ -233,11 +233,11 @@ def _split_items(common: np.ndarray, meetings: int):
 def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """All links among the dense texts (row), exactly; known: links found so far, which save comparisons."""
     own = materialise(sets.join(dense.select("row"), "row", "left_semi").select("row", "items", F.size("items").alias("n")), "near-dense-sets")
-    counts = own.select("items").mapInArrow(_count_items, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("df"))
+    counts = own.select("items").mapInArrow(tx.lean(_count_items), "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("df"))
     common = materialise(counts.filter(f"df > {LIST}").select("value"), "near-dense-common")
     if common.count() <= MAX_BROADCAST_IDS:
         known_common = np.sort(np.array([r[0] for r in common.collect()], np.int64))
-        per_row = own.mapInArrow(_split_items(known_common, MEETINGS), "row bigint, n int, h bigint, meet array<bigint>, rare array<bigint>")
+        per_row = own.mapInArrow(tx.lean(_split_items(known_common, MEETINGS)), "row bigint, n int, h bigint, meet array<bigint>, rare array<bigint>")
     else:  # too many for a broadcast: the same by a join
         tokens = own.select("row", F.explode("items").alias("value")).join(common.withColumn("c", F.lit(True)), "value", "left")
         per_row = tokens.groupBy("row").agg(F.count("*").cast("int").alias("n"), F.count("c").alias("h"), F.slice(F.array_sort(F.collect_list(F.when(F.col("c"), F.col("value")))), 1, MEETINGS).alias("meet"), F.collect_list(F.when(F.col("c").isNull(), F.col("value"))).alias("rare"))
@@ -280,7 +280,7 @@ def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: in
     blocks = materialise(blocks.withColumn("id", F.xxhash64("level", "band", "apart", "part")), "near-dense-blocks")
     one, two = blocks.filter("apart").alias("p"), blocks.alias("q")
     met = one.join(two, F.expr("p.v = q.v AND p.level + q.level <= 10 AND abs(p.band - q.band) <= 1 AND (NOT q.apart OR p.id <= q.id)"))
-    found = met.select(F.col("p.rows").alias("x"), F.col("q.rows").alias("y")).mapInArrow(_compare_blocks(percent), "a bigint, b bigint")
+    found = met.select(F.col("p.rows").alias("x"), F.col("q.rows").alias("y")).mapInArrow(tx.lean(_compare_blocks(percent)), "a bigint, b bigint")
     return links.unionByName(materialise(found.filter("a <> b").distinct(), "near-block-links"))
 
 

@@ -47,8 +47,9 @@ PENALTY = 10.0
 MAX_WORD = 48
 #: Words up to each of these lengths are segmented together, padded.
 LENGTHS = (0, 5, 8, 11, 14, 18, 24, 48)
-MAX_KNOWN = 300_000
-BLOCK = 2 << 20
+MAX_KNOWN = 200_000
+#: Words segmented together; bytes of text encoded together.
+GROUP, BLOCK = 1 << 13, 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.uint64(0x100000001B3)
 
@@ -247,28 +248,29 @@ class Words:
             parts.append(np.array(two[0][1], np.int64))
             owner.append(np.full(len(parts[-1]), u))
         for low, high in zip(LENGTHS[:-1], LENGTHS[1:]):
-            group = np.flatnonzero((size > low) & (size <= min(high, MAX_WORD)))
-            if not len(group):
-                continue
-            own, m = size[group], len(group)
-            w = int(own.max())
-            grid = np.frombuffer(b"".join(words[u].ljust(w, b"\0") for u in group.tolist()), np.uint8).reshape(m, w)
-            best, second, piece, length = pieces.segment_all(grid, own)
-            scores[group], gaps[group] = best, best - second
-            ids = np.full((m, w), -1, np.int64)  # by start byte; -1: no piece starts here
-            end, live = own.copy(), np.arange(m)
-            while len(live):
-                n_bytes, k = length[end[live], live], piece[end[live], live]
-                start = end[live] - n_bytes
-                ids[live, start] = k
-                for raw in np.flatnonzero(k < 0).tolist():
-                    u, a = live[raw], start[raw]
-                    ids[u, a : a + n_bytes[raw]] = pieces.byte_id[grid[u, a : a + n_bytes[raw]]]
-                end[live] = start
-                live = live[start > 0]
-            which, at = np.nonzero(ids >= 0)
-            parts.append(ids[which, at])
-            owner.append(group[which])
+            every = np.flatnonzero((size > low) & (size <= min(high, MAX_WORD)))
+            for group in np.split(every, range(GROUP, len(every), GROUP)):
+                if not len(group):
+                    continue
+                own, m = size[group], len(group)
+                w = int(own.max())
+                grid = np.frombuffer(b"".join(words[u].ljust(w, b"\0") for u in group.tolist()), np.uint8).reshape(m, w)
+                best, second, piece, length = pieces.segment_all(grid, own)
+                scores[group], gaps[group] = best, best - second
+                ids = np.full((m, w), -1, np.int64)  # by start byte; -1: no piece starts here
+                end, live = own.copy(), np.arange(m)
+                while len(live):
+                    n_bytes, k = length[end[live], live], piece[end[live], live]
+                    start = end[live] - n_bytes
+                    ids[live, start] = k
+                    for raw in np.flatnonzero(k < 0).tolist():
+                        u, a = live[raw], start[raw]
+                        ids[u, a : a + n_bytes[raw]] = pieces.byte_id[grid[u, a : a + n_bytes[raw]]]
+                    end[live] = start
+                    live = live[start > 0]
+                which, at = np.nonzero(ids >= 0)
+                parts.append(ids[which, at])
+                owner.append(group[which])
         owner, flat = np.concatenate(owner), np.concatenate(parts)
         count = np.bincount(owner, minlength=n)
         self.ids = np.concatenate((self.ids, flat[np.argsort(owner, kind="stable")].astype(np.int32)))
@@ -378,6 +380,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL, n_be
                 own = [c.slice(row, end - row).combine_chunks() for c in table.columns]
                 own = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own]
                 yield pa.RecordBatch.from_arrays([*own, ids, pa.array([x[1] for x in found]), nbest], [*table.schema.names, "ids", "score", "nbest"])
+                tx.release()
 
         words, held, size = Words(pieces), [], 0
         for batch in batches:  # as many as make a block
@@ -389,7 +392,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | bytes = MODEL, n_be
         if held:
             yield from some(held)
 
-    return kept.mapInArrow(run, f"{fields(kept)}, {ENCODED}")
+    return kept.mapInArrow(tx.lean(run), f"{fields(kept)}, {ENCODED}")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str | bytes = MODEL) -> DataFrame:
@@ -409,7 +412,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str | bytes = MODEL) ->
             texts = decode_ids(pieces, lists.values.to_numpy()[at[0] : at[-1]].astype(np.int64), at - at[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, f"{fields(kept)}, decoded string")
+    return kept.mapInArrow(tx.lean(run), f"{fields(kept)}, decoded string")
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -475,13 +475,13 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     n_buckets = max(12, n_anchors // ANCHORS_PER_BUCKET + 1)
     texts = rows.select("row", "text")
     dealt = lambda df: df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    grams = dealt(texts.mapInArrow(_gram_rows(n_buckets, width, gram), _SCHEMA))
-    places = materialise(grams.mapInArrow(_repeated_grams, "row bigint, place bigint, number bigint"), "suffix-anchors")
+    grams = dealt(texts.mapInArrow(tx.lean(_gram_rows(n_buckets, width, gram)), _SCHEMA))
+    places = materialise(grams.mapInArrow(tx.lean(_repeated_grams), "row bigint, place bigint, number bigint"), "suffix-anchors")
     hot = _frequent(places, n_anchors)
     wanted = places.filter("row IS NOT NULL").groupBy("row").agg(F.collect_list("place").alias("places"))
     chosen = texts.join(wanted, "row").select("row", "text", "places")
-    units = dealt(chosen.mapInArrow(_unit_rows(n_buckets, hot, width, gram), _SCHEMA))
-    return units.mapInArrow(_removed(width, gram), "row bigint, first bigint, last bigint")
+    units = dealt(chosen.mapInArrow(tx.lean(_unit_rows(n_buckets, hot, width, gram)), _SCHEMA))
+    return units.mapInArrow(tx.lean(_removed(width, gram)), "row bigint, first bigint, last bigint")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -517,7 +517,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
                 kept.append(data)
             yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(1), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    return both.mapInArrow(run, "row bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return both.mapInArrow(tx.lean(run), "row bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def _training_rows(rows: DataFrame, identity: tuple, twins: bool) -> DataFrame:
                     held += sum(map(len, lists[-len(every) :]))
             yield packed(labels, keys, flags, lists)
 
-    return rows.mapInArrow(run, "toxic int, key bigint, twin boolean, features array<bigint>")
+    return rows.mapInArrow(tx.lean(run), "toxic int, key bigint, twin boolean, features array<bigint>")
 
 
 class Model:
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found[keep]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["toxic", "key", "twin", "features"])
 
-    found = sample.mapInArrow(narrow, sample.schema).toArrow()
+    found = sample.mapInArrow(tx.lean(narrow), sample.schema).toArrow()
     lists = [x.to_numpy() for part in found.column("features").chunks for x in _split(part)]
     return fit(found.column("toxic").to_numpy().astype(np.int64), found.column("key").to_numpy(), found.column("twin").to_numpy().astype(bool), lists, counterfactual)
 
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
             found = [own.score_block(data, offsets) for _, _, data, offsets in tx.blocks(batch.column(1))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": np.concatenate(found) if found else np.zeros(0)})
 
-    return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, score double")
+    return lean.mapInArrow(tx.lean(run), f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -279,7 +279,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) < threshold))
 
-    return docs.mapInArrow(run, fields(docs))
+    return docs.mapInArrow(tx.lean(run), fields(docs))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
