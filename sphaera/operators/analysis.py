@@ -1,7 +1,14 @@
-"""Statistics over iteration logs: histograms, exceedance, running state, look-ups."""
+"""Statistics over iteration logs: histograms, exceedance, running state, look-ups.
+
+Running values of a key are computed by blocks of its order: a block's sum, largest or
+least value meets those of the blocks before, and a window runs within the block. So a
+key may hold any share of the rows, and no task sorts more than a block of it.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +40,7 @@ def histogram_fixed(values: DataFrame, keys: list[str], value: str, bins: int =
     good = finite_values(values, value)
     span = good.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     at = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins), F.floor((F.col(value) - F.col("low")) / ((F.col("high") - F.col("low")) / bins)) + 1)).otherwise(F.lit(1))
-    counts = good.join(F.broadcast(span), keys).select(*keys, at.cast("int").alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counts = good.join(span, keys).select(*keys, at.cast("int").alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     grid = span.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return grid.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -57,47 +64,85 @@ def pivot_thresholds(rates: DataFrame, by: str, names: list) -> DataFrame:
     return rates.groupBy("alpha").pivot(by, names).agg(F.first("p"))
 
 
+#: Numbers of the order column (iterations) in a block.
+BLOCK = 1 << 16
+
+
+def by_blocks(log: DataFrame, keys: list[str], order: str, sums: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """log with, for each name, the total of its aggregate over the blocks before (null in the first), and the keys of a block.
+
+    The aggregates are sums, or largest or least values (max, min); order is a number.
+    """
+    log = log.withColumn("__block", F.floor(F.col(order) / BLOCK))
+    blocks = log.groupBy(*keys, "__block").agg(*[c.alias(n) for n, c in sums.items()])
+    w = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    fold = {"max": F.max, "min": F.min}
+    own = [*keys, "__block"]
+    names = [f"__of{n}" for n in range(len(own))]  # nulls are a key, too, so this is no join by equal names
+    before = blocks.select(*[F.col(k).alias(n) for k, n in zip(own, names)], *[fold.get(n.split("_")[0], F.sum)(n).over(w).alias(n) for n in sums])
+    both = log.join(before, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(own, names)], "left")
+    return both.drop(*names), own
+
+
 def running(log: DataFrame, keys: list[str], order: str, value: str, floor: float) -> DataFrame:
     """best: largest value before each row, at least floor, and gate: whether the row reaches it."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.greatest(F.lit(floor), F.coalesce(F.max(F.when(~F.isnan(value), F.col(value))).over(w), F.lit(floor)))
-    return log.withColumn("best", best).withColumn("gate", F.col(value) >= F.col("best"))
+    good = F.when(~F.isnan(value), F.col(value))
+    both, own = by_blocks(log, keys, order, {"max_before": F.max(good)})
+    w = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.greatest(F.lit(floor), F.col("max_before"), F.max(good).over(w))  # nulls are left out
+    return both.withColumn("best", best).withColumn("gate", F.col(value) >= F.col("best")).drop("__block", "max_before")
 
 
 def running_weight(log: DataFrame, keys: list[str], order: str, score: str, value: str, first: float = 0.33, mass: float = 4.6) -> DataFrame:
     """omega after each row: (mass first + sum score value) / (mass + sum score), the closed form of the recursion."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("omega", (mass * first + F.sum(F.col(score) * F.col(value)).over(w)) / (mass + F.sum(score).over(w)))
+    product = F.col(score) * F.col(value)
+    both, own = by_blocks(log, keys, order, {"sum_product": F.sum(product), "sum_score": F.sum(score)})
+    w = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda name, c: F.coalesce(F.col(name), F.lit(0.0)) + F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    omega = (mass * first + upto("sum_product", product)) / (mass + upto("sum_score", F.col(score)))
+    return both.withColumn("omega", omega).drop("__block", "sum_product", "sum_score")
 
 
 def running_limit(log: DataFrame, keys: list[str], order: str, share: str, k: int, conf: float, limit: float) -> DataFrame:
     """max_iter after each row: least of the limit and twice the theoretical number so far."""
     inner = F.greatest(F.lit(REALMIN), F.least(F.lit(1 - 1e-12), 1.0 - F.pow(F.col(share), F.lit(k))))
-    own = 2 * F.ceil(F.log(F.lit(1.0 - conf)) / F.log(inner))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("max_iter", F.least(F.lit(float(limit)), F.min(own.cast("double")).over(w)))
+    log = log.withColumn("__own", (2 * F.ceil(F.log(F.lit(1.0 - conf)) / F.log(inner))).cast("double"))
+    both, own = by_blocks(log, keys, order, {"min_before": F.min("__own")})
+    w = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("max_iter", F.least(F.lit(float(limit)), F.col("min_before"), F.min("__own").over(w))).drop("__block", "__own", "min_before")
+
+
+def ranked(log: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """name: the row's number in its key, from 1 on, in the order."""
+    both, own = by_blocks(log, keys, order, {"sum_rows": F.count("*")})
+    at = F.row_number().over(Window.partitionBy(*own).orderBy(order))
+    return both.withColumn(name, F.coalesce("sum_rows", F.lit(0)) + at).drop("__block", "sum_rows")
 
 
 def moving_average(log: DataFrame, keys: list[str], order: str, value: str, first: float, keep: float = 0.8) -> DataFrame:
     """w after each row of w <- keep w + (1 - keep) value, from first on.
 
-    Unrolled, w_n = keep**n first + (1 - keep) sum keep**(n - i) value_i. Terms
-    older than 200 rows are below keep**200 (4e-20 at 0.8) of a value's size, less
-    than a double resolves, so the sum runs over a window of 200 rows and needs no
-    fold over a whole group.
+    Rows go in blocks of L, with keep**L below 1e-20. Within a block, the i-th row adds
+    (1 - keep) keep**i sum keep**-j value_j to keep**i times the value before the block. That is
+    the last value of the block before, whose own predecessor weighs less than a double resolves.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    window = F.collect_list(F.col(value)).over(w.rowsBetween(-199, 0))
-    n = F.row_number().over(w)
-    out = log.withColumn("__n", n).withColumn("__v", window)
-    last = F.aggregate("__v", F.when(F.col("__n") <= 200, F.lit(float(first))).otherwise(F.lit(0.0)), lambda a, v: a * keep + v * (1 - keep))
-    return out.withColumn("w", last).drop("__n", "__v")
+    size = max(1, math.ceil(math.log(1e-20) / math.log(keep)))
+    at = F.col("__n") - 1
+    rows = ranked(log, keys, order, "__n").withColumn("__part", F.floor(at / size)).withColumn("__i", (at % size + 1).cast("double"))
+    w = Window.partitionBy(*keys, "__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    decay = lambda i: F.pow(F.lit(keep), i)
+    rows = rows.withColumn("__w", F.lit(1 - keep) * decay(F.col("__i")) * F.sum(decay(-F.col("__i")) * F.col(value)).over(w))
+    ends = rows.filter(F.col("__i") == size).select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], (F.col("__part") + 1).alias("__next"), F.col("__w").alias("__end"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)] + [F.col("__part") == F.col("__next")]
+    both = rows.join(ends, on, "left")
+    start = F.when(F.col("__part") == 0, F.lit(float(first))).otherwise(F.col("__end") + F.when(F.col("__part") == 1, F.lit(first * keep**size)).otherwise(0.0))
+    return both.select(*log.columns, (F.col("__w") + decay(F.col("__i")) * start).alias("w"))
 
 
 def last_valid(log: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows up to the last one whose value is no NaN."""
     last = log.groupBy(*keys).agg(F.max(F.when(~F.isnan(value) & F.col(value).isNotNull(), F.col(order))).alias("__last"))
-    return log.join(F.broadcast(last), keys).filter(F.col(order) <= F.col("__last")).drop("__last")
+    return log.join(last, keys).filter(F.col(order) <= F.col("__last")).drop("__last")
 
 
 def best_row(log: DataFrame, keys: list[str], order: str, value: str, floor: float | None = None, late: bool = True) -> DataFrame:
@@ -114,7 +159,7 @@ def above_percentile(log: DataFrame, keys: list[str], value: str, percent: float
     """Rows whose value is at least factor times the percentile of their key."""
     p = hazen(log, keys, value, [percent])
     name = [c for c in p.columns if c not in keys][0]
-    return log.join(F.broadcast(p), keys).filter(F.col(value) >= factor * F.col(name)).drop(name)
+    return log.join(p, keys).filter(F.col(value) >= factor * F.col(name)).drop(name)
 
 
 def look_up(wanted: DataFrame, results: DataFrame, exact: list[str], near: dict[str, float], order: str) -> DataFrame:

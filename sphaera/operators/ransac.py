@@ -2,8 +2,7 @@
 
 Frozen runs (weights, iterations and inlier mass fixed) have independent
 iterations: they are spread over tasks by (configuration, iteration), each task
-holding the cloud as one broadcast matrix and scoring a whole batch of models by
-one matrix product. Adaptive runs feed each iteration's weights into the next,
+holding the cloud as one broadcast matrix. Adaptive runs feed each iteration's weights into the next,
 so a configuration is one sequential group and configurations run in parallel.
 
 A cloud is broadcast up to ``MAX_POINTS`` points, checked first. A larger one is
@@ -15,15 +14,16 @@ such limit, and ``solve_cloud`` returns those figures.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basis import compiled, harmonic_terms, penalty
+from ..functions.basis import Term, compiled, harmonic_terms, penalty
 from ..functions.portable import REALMIN
 from .linalg import solve
 
@@ -32,16 +32,16 @@ MAX_POINTS = 2_000_000
 FIRST_OMEGA, FIRST_MASS, FIRST_BEST = 0.33, 4.6, 0.13
 _P = 2147483647
 
-#: The iteration log; timings are left out as they never reproduce.
+#: The iteration log: max_iter is the bound in force, max_n the one that w implies; timings in ms never reproduce.
 LOG_SCHEMA = (
-    "config_id bigint, iter_no int, pre_score double, post_score double, inlier_ratio double, beta_norm double, mse_all double, mse_inlier double, "
-    "w double, max_iter double, disp array<double>, tp double, fp double, fn double, tn double, precision double, recall double, f1 double, beta array<double>, singular boolean"
+    "config_id bigint, iter_no int, pre_score double, post_score double, raw_ms double, loc_ms double, inlier_ratio double, beta_norm double, mse_all double, mse_inlier double, "
+    "w double, max_n double, max_iter double, disp array<double>, tp double, fp double, fn double, tn double, precision double, recall double, f1 double, beta array<double>, singular boolean"
 )
 
 
 @dataclass(frozen=True)
 class Config:
-    """One experiment; defaults are those of the estimator."""
+    """One experiment; defaults are those of the estimator. terms: a basis of one's own instead of the harmonics of the order."""
 
     config_id: int = 1
     order: int = 4
@@ -62,7 +62,7 @@ class Config:
     ema: float = 0.8
     seed: int = 42
     is_global: bool = False
-    extra: dict = field(default_factory=dict)
+    terms: tuple[Term, ...] | None = None
 
     def __post_init__(self):
         if self.is_global:
@@ -70,9 +70,13 @@ class Config:
         if self.order < 2 or self.max_iter < 1 or self.k_mult <= 0:
             raise ValueError("order must be 2 or more, max_iter and k_mult positive")
 
+    @property
+    def basis(self) -> tuple[Term, ...]:
+        return harmonic_terms(self.order) if self.terms is None else self.terms
+
     @property
     def sample_size(self) -> int:
-        return int(np.floor(self.k_mult * len(harmonic_terms(self.order)) + 0.5))
+        return int(np.floor(self.k_mult * len(self.basis) + 0.5))
 
 
 def draws(seed: int, iteration: np.ndarray, k: int) -> np.ndarray:
@@ -96,7 +100,7 @@ class Solver:
     """Fits and refinements in NumPy for one basis."""
 
     def __init__(self, c: Config):
-        self.c, self.terms = c, harmonic_terms(c.order)
+        self.c, self.terms = c, c.basis
         self.basis = compiled(self.terms)
         self.weights = penalty(self.terms, c.order)
 
@@ -131,9 +135,9 @@ class Solver:
 
 def one_iteration(s: Solver, points: np.ndarray, truth: np.ndarray | None, chosen: np.ndarray, best: float, omega: np.ndarray | None) -> dict:
     """Everything one draw gives; what is skipped below the gate stays NaN or None."""
-    c, nan = s.c, float("nan")
+    c, nan, began = s.c, float("nan"), time.perf_counter()
     row = dict.fromkeys(("post_score", "inlier_ratio", "mse_all", "mse_inlier", "beta_norm", "tp", "fp", "fn", "tn", "precision", "recall", "f1"), nan)
-    row |= {"disp": None, "beta": None, "singular": False, "soft": None, "mass": nan}
+    row |= {"disp": None, "beta": None, "singular": False, "soft": None, "mass": nan, "raw_ms": None, "loc_ms": None}
     sample = points[chosen]
     moved = points - sample.mean(0)
     beta = s.fit(sample - sample.mean(0))
@@ -141,6 +145,7 @@ def one_iteration(s: Solver, points: np.ndarray, truth: np.ndarray | None, chose
         return row | {"pre_score": nan, "singular": True}
     r = s.residual(moved, beta)
     row["pre_score"] = s.score(r)
+    row["raw_ms"], began = 1000 * (time.perf_counter() - began), time.perf_counter()
     if not row["pre_score"] >= best * c.update_thresh:
         return row
     inside = r < c.thresh
@@ -159,15 +164,21 @@ def one_iteration(s: Solver, points: np.ndarray, truth: np.ndarray | None, chose
         tp, fp, fn = (float(x.sum()) for x in (truth & inside, ~truth & inside, truth & ~inside))
         p, q = tp / max(1, tp + fp), tp / max(1, tp + fn)
         row |= {"tp": tp, "fp": fp, "fn": fn, "tn": float((~truth & ~inside).sum()), "precision": p, "recall": q, "f1": 2 * p * q / max(1e-12, p + q)}
+    row["loc_ms"] = 1000 * (time.perf_counter() - began)
     return row
 
 
 def iterate(c: Config, points: np.ndarray, truth: np.ndarray | None) -> Iterator[dict]:
-    """The adaptive loop: sampling weights, inlier mass, bound on iterations and best score carry over."""
+    """The adaptive loop: sampling weights, inlier mass, bound on iterations and best score carry over.
+
+    Unless the bound is frozen, it starts at what the first w implies and later falls with twice that number.
+    """
     s, n = Solver(c), len(points)
     omega, mass = np.full(n, FIRST_OMEGA), FIRST_MASS
     w, best, limit = c.min_inlier_ratio, FIRST_BEST, float(c.max_iter)
-    for i in range(1, c.max_iter + 1):
+    if not c.freeze_iter:
+        limit = min(limit, theoretical_n(w, c.sample_size, c.conf))
+    for i in range(1, int(limit) + 1):
         u = draws(c.seed, np.array([i]), c.sample_size)[0]
         edges = np.cumsum(omega)
         chosen = np.minimum(np.searchsorted(edges, u * edges[-1], "right"), n - 1)
@@ -182,7 +193,7 @@ def iterate(c: Config, points: np.ndarray, truth: np.ndarray | None) -> Iterator
                 omega = (mass * omega + row["post_score"] * row["soft"]) / (mass + row["post_score"])
                 mass += row["post_score"]
             best = max(best, row["post_score"])
-        yield row | {"iter_no": i, "w": w, "max_iter": limit}
+        yield row | {"iter_no": i, "w": w, "max_n": 2 * theoretical_n(w, c.sample_size, c.conf), "max_iter": limit}
         if i >= limit:
             return
 
@@ -224,7 +235,7 @@ def run(cloud: DataFrame, configs: list[Config], per_task: int = 25) -> DataFram
                     for i, own in zip(range(first, last), u):
                         # equal weights: the inverse of their sum is a product
                         chosen = np.minimum((own * len(points)).astype(np.int64), len(points) - 1)
-                        rows.append(one_iteration(s, points, truth, chosen, FIRST_BEST, None) | {"iter_no": i, "w": c.min_inlier_ratio, "max_iter": float(c.max_iter)})
+                        rows.append(one_iteration(s, points, truth, chosen, FIRST_BEST, None) | {"iter_no": i, "w": c.min_inlier_ratio, "max_n": 2 * theoretical_n(c.min_inlier_ratio, c.sample_size, c.conf), "max_iter": float(c.max_iter)})
                 else:
                     rows = list(iterate(c, points, truth))
                 for r in rows:
@@ -282,6 +293,6 @@ def rescored(cloud: DataFrame, best: DataFrame, configs: list[Config]) -> DataFr
 
 def solve_cloud(cloud: DataFrame, config: Config, strength: float | None = None) -> DataFrame:
     """The whole solver: log, then the best row, scored on all points. An explicit strength goes before that of the configuration."""
-    own = config if strength is None else Config(**(asdict(config) | {"strength": strength}))
+    own = config if strength is None else replace(config, strength=strength)
     best = best_models(run(cloud, [own]))
     return rescored(cloud, best, [own]) if cloud.count() > MAX_POINTS else best

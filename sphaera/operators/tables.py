@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import exists, work_path
+
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
     """One row for each combination of the axes' values, numbered in order; axes are short lists."""
@@ -62,9 +64,28 @@ def existing(spark: SparkSession, name: str, schema: str) -> DataFrame:
     return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Adds to a table that survives re-runs; row_id must go on from the last."""
-    results.write.mode("append").parquet(path)
+def numbered(df: DataFrame, order: list[str], name: str = "row_id", after: int = 0) -> DataFrame:
+    """df with consecutive numbers from after + 1 on, in the order of the keys.
+
+    Parts by ranges of the keys are sorted and stored; only their sizes meet, so no task sorts all rows.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "numbered")
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    own.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size")
+    return rows.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at") + 1 + after).drop("__part", "__at", "__before")
+
+
+def append_results(results: DataFrame, path: str, order: list[str]) -> None:
+    """Adds to a table that survives re-runs: row_id goes on from the last one there."""
+    spark = results.sparkSession
+    last = 0
+    if exists(spark, f"{path}/*.parquet"):
+        last = spark.read.parquet(path).agg(F.max("row_id")).first()[0] or 0
+    numbered(results, order, after=last).write.mode("append").parquet(path)
 
 
 def output_path(root: str) -> str:

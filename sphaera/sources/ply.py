@@ -1,4 +1,9 @@
-"""PLY clouds: reading many files, skipping missing ones, writing."""
+"""PLY clouds: reading many files, skipping missing ones, writing.
+
+A cloud of more than ``FILE_POINTS`` points is written as several files, each with a
+comment that tells the number of its first point; readers that don't know it are not
+disturbed.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import exists
+
 #: Scalar types of the format.
 _TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
@@ -17,16 +24,23 @@ _TYPES = {
 }
 
 
-def parse(raw: bytes) -> np.ndarray:
-    """Vertex coordinates (n, 3) of an ascii or binary file."""
+#: Points of a written file, about.
+FILE_POINTS = 1_000_000
+_FIRST = "comment first point"
+
+
+def parse(raw: bytes) -> tuple[np.ndarray, int]:
+    """Vertex coordinates (n, 3) of an ascii or binary file, and the number of the first point."""
     end = raw.find(b"end_header")
     if not raw.startswith(b"ply") or end < 0:
         raise ValueError("not a PLY file")
     body = raw.index(b"\n", end) + 1
-    kind, elements = "ascii", []
+    kind, elements, first = "ascii", [], 0
     for line in raw[:end].decode("ascii", "replace").splitlines():
         w = line.split()
-        if w[:1] == ["format"]:
+        if line.startswith(_FIRST):
+            first = int(w[-1])
+        elif w[:1] == ["format"]:
             kind = w[1]
         elif w[:1] == ["element"]:
             elements.append((w[1], int(w[2]), []))
@@ -41,17 +55,10 @@ def parse(raw: bytes) -> np.ndarray:
     if kind == "ascii":
         rows = raw[body:].decode("ascii").split("\n", n)[:n]
         values = np.array([r.split()[: len(names)] for r in rows], float).reshape(n, len(names))
-        return values[:, [names.index(a) for a in "xyz"]]
+        return values[:, [names.index(a) for a in "xyz"]], first
     order = {"binary_little_endian": "<", "binary_big_endian": ">"}[kind]
     table = np.frombuffer(raw, np.dtype([(p[-1], order + _TYPES[p[0]]) for p in properties]), n, body)
-    return np.stack([table[a].astype(float) for a in "xyz"], 1)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether any file matches, in whatever store Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return np.stack([table[a].astype(float) for a in "xyz"], 1), first
 
 
 def read(spark: SparkSession, files: list[tuple[str, str]] | str) -> DataFrame:
@@ -67,10 +74,10 @@ def read(spark: SparkSession, files: list[tuple[str, str]] | str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame], name=name) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for raw in b["content"]:
-                    p = parse(bytes(raw))
+                    p, first = parse(bytes(raw))
                     for at in range(0, len(p), 100_000):
                         q = p[at : at + 100_000]
-                        yield pd.DataFrame({"name": name, "point_id": np.arange(at, at + len(q)), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
+                        yield pd.DataFrame({"name": name, "point_id": first + np.arange(at, at + len(q)), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
 
         own = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
         out = own if out is None else out.unionByName(own)
@@ -78,9 +85,23 @@ def read(spark: SparkSession, files: list[tuple[str, str]] | str) -> DataFrame:
 
 
 def write(cloud: DataFrame, path: str) -> None:
-    """One ascii file in the order of point_id; for clouds that fit one file."""
+    """Ascii files in the order of point_id, one for each FILE_POINTS points or so; the points of a file pass one task."""
     n = cloud.count()
-    head = ["ply", "format ascii 1.0", f"element vertex {n}", "property double x", "property double y", "property double z", "end_header"]
-    lines = cloud.select(F.col("point_id").alias("at"), F.concat_ws(" ", *[F.col(a).cast("string") for a in "xyz"]).alias("value"))
-    header = cloud.sparkSession.createDataFrame([(-len(head) + i, h) for i, h in enumerate(head)], "at bigint, value string")
-    header.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+    parts = max(1, -(-n // FILE_POINTS))
+    lines = cloud.select(F.col("point_id").cast("bigint").alias("point_id"), F.concat_ws(" ", *[F.col(a).cast("string") for a in "xyz"]).alias("value"))
+    lines = lines.coalesce(1) if parts == 1 else lines.repartitionByRange(parts, "point_id")
+    stored = f"{path}-lines"
+    lines.sortWithinPartitions("point_id").withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(stored)
+    lines = cloud.sparkSession.read.parquet(stored)
+    sizes = lines.groupBy("part").agg(F.count("*").alias("n"), F.min("point_id").alias("least"))
+    sizes = sizes.withColumn("first", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    head = ["ply", "format ascii 1.0", f"{_FIRST} %d", "element vertex %d", "property double x", "property double y", "property double z", "end_header"]
+    values = [F.lit(h) if "%" not in h else F.format_string(h, "first" if "first" in h else "n") for h in head]
+    cells = F.array(*[F.struct(F.lit(i - len(head)).cast("bigint").alias("at"), v.alias("value")) for i, v in enumerate(values)])
+    if not n:
+        sizes = cloud.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(0).alias("first"))
+    header = sizes.select("part", F.lit(0).alias("body"), F.inline(cells))
+    body = lines.select("part", F.lit(1).alias("body"), F.col("point_id").alias("at"), "value")
+    both = header.unionByName(body)
+    both = both.coalesce(1) if parts == 1 else both.repartitionById(parts, F.col("part"))
+    both.sortWithinPartitions("part", "body", "at").select("value").write.mode("overwrite").text(path)

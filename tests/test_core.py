@@ -121,6 +121,68 @@ def test_weights_follow_the_closed_form():
     assert np.allclose(omega, closed)
 
 
+def test_first_bound_and_implied_one():
+    """At w 0.65, six draws and confidence 0.96, theory asks for 42 iterations; a frozen bound keeps what it was given."""
+    pts = R.normal(size=(60, 3))
+    free = ransac.Config(order=2, k_mult=1.0, max_iter=100, conf=0.96, min_inlier_ratio=0.65, freeze_w=True, freeze_iter=False, thresh=1e-9, strength=1e-3)
+    assert ransac.theoretical_n(0.65, 6, 0.96) == 42
+    rows = list(ransac.iterate(free, pts, None))
+    assert len(rows) == 42 and {r["max_iter"] for r in rows} == {42.0} and {r["max_n"] for r in rows} == {84.0}
+    kept = list(ransac.iterate(ransac.replace(free, freeze_iter=True, max_iter=50), pts, None))
+    assert len(kept) == 50 and {r["max_iter"] for r in kept} == {50.0} and kept[0]["max_n"] == 84.0
+
+
+def test_solver_with_a_basis_of_ones_own(spark):
+    terms = basis.monomial_terms(2)
+    cloud = generators.jittered(generators.sphere(spark, 300, 3), 0.005, 9)
+    config = ransac.Config(order=2, terms=terms, k_mult=2.0, strength=1e-4, max_iter=20, thresh=0.3)
+    assert config.sample_size == 12
+    row = ransac.solve_cloud(cloud, config).first()
+    assert len(row.beta) == 6 and row.inlier_ratio > 0.99 and row.raw_ms > 0 and row.loc_ms > 0
+    ball = [1.0 if max(t.coefficients[0][0]) == 2 else 0.0 for t in terms]  # x2 + y2 + z2
+    assert np.allclose(row.beta, ball, atol=0.05)
+
+
+def test_running_values_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(analysis, "BLOCK", 7)
+    v = R.random(60)
+    at = np.sort(R.choice(300, 60, replace=False))
+    rows = spark.createDataFrame([(None if k < 30 else 1, int(i), float(x) if k % 9 else float("nan")) for k, (i, x) in enumerate(zip(at, v))], "k int, i int, v double")
+    best = {(r.k, r.i): (r.best, r.gate) for r in analysis.running(rows, ["k"], "i", "v", 0.13).collect()}
+    n = {(r.k, r.i): r.n for r in analysis.ranked(rows, ["k"], "i", "n").collect()}
+    ema = {(r.k, r.i): r.w for r in analysis.moving_average(rows.fillna(0.0, ["v"]), ["k"], "i", "v", 0.65, 0.3).collect()}
+    seen, w = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r.i):
+        own = seen.setdefault(r.k, [])
+        good = [x for x in own if x == x]
+        assert best[r.k, r.i][0] == max([0.13, *good]) and n[r.k, r.i] == len(own) + 1
+        own.append(r.v)
+        w[r.k] = 0.3 * w.get(r.k, 0.65) + 0.7 * (r.v if r.v == r.v else 0.0)
+        assert np.isclose(ema[r.k, r.i], w[r.k], atol=1e-14)
+
+
+def test_numbers_go_on(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 10, f"r{i}") for i in range(50)], "k int, name string").repartition(7)
+    path = str(tmp_path / "results")
+    for _ in range(2):
+        tables.append_results(rows, path, ["k", "name"])
+    found = spark.read.parquet(path).orderBy("row_id").collect()
+    assert [r.row_id for r in found] == list(range(1, 101))
+    assert [(r.k, r.name) for r in found] == sorted((i % 10, f"r{i}") for i in range(50)) * 2
+
+
+def test_ply_of_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ply, "FILE_POINTS", 30)
+    c = generators.cube(spark, 100)
+    ply.write(c, str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1
+    got = ply.read(spark, f"{tmp_path}/many/part-*").toPandas().sort_values("point_id")
+    want = c.toPandas().sort_values("point_id")
+    assert list(got.point_id) == list(range(100)) and np.allclose(got[["x", "y", "z"]], want[["x", "y", "z"]])
+    ply.write(c.limit(0), str(tmp_path / "none"))
+    assert ply.read(spark, f"{tmp_path}/none/part-*").count() == 0
+
+
 def test_draws_agree_with_spark(spark):
     want = ransac.draws(42, np.array([3]), 50)[0]
     got = [r[0] for r in spark.range(50).select(uniform(42, 3, F.col("id"))).collect()]
