@@ -10,9 +10,10 @@ lines are found by joining neighbouring lines that hold parts of one template.
 
 Training is small and on the driver: variants of the templates below (words
 dropped, cut, put among other words), statements of unnamed licences, and a
-bounded sample of ``MAX_PLAIN`` lines, from as many texts, as plain text. Scanning covers
-every line of every text: lines without a single word that is special to
-licences are settled on sight, for the others the n-grams are joined to the
+bounded sample of ``MAX_PLAIN`` lines, from as many texts, as plain text. Probabilities
+and threshold are calibrated on examples held out of a first fit. Scanning covers
+every line of every text: every n-gram of the model has a word that is special to
+licences, so lines without one all have the score of an empty line; for the others the n-grams are joined to the
 broadcast weights and templates, whose sizes the templates fix.
 
 Defined cases: null and empty texts have no licence; a line may be of any length;
@@ -124,50 +125,96 @@ def _variants(tokens: list[str], plain: list[list[str]], r: np.random.Generator,
     return out
 
 
-def train(plain_lines: list[str], seed: int = 5, steps: int = 300) -> Model:
+def _fit(examples: list[tuple[int, list[str]]], vocabulary: dict[str, int], n_classes: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts by gradient descent with momentum."""
+    x, n = _matrix([t for _, t in examples], vocabulary), len(examples)
+    y = np.zeros((n, n_classes), np.float32)
+    y[np.arange(n), [k for k, _ in examples]] = 1
+    w, b = np.zeros((len(vocabulary), n_classes), np.float32), np.zeros(n_classes, np.float32)
+    vw, vb = w.copy(), b.copy()
+    for _ in range(steps):
+        gap = (_softmax(x @ w + b) - y) / n
+        vw, vb = 0.9 * vw - 1.5 * (x.T @ gap + 1e-5 * w), 0.9 * vb - 1.5 * gap.sum(0)
+        w, b = w + vw, b + vb
+    return w, b
+
+
+def _matrix(texts: list[list[str]], vocabulary: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(texts), len(vocabulary)), np.float32)
+    for i, t in enumerate(texts):
+        x[i, [vocabulary[g] for g in grams(t) if g in vocabulary]] = 1
+    return x
+
+
+def _vocabulary(examples: list[tuple[int, list[str]]], notices: list[list[str]], cues: set[str]) -> dict[str, int]:
+    """N-grams of the notices that two examples or more hold; each has a cue, so a line without one has the intercepts for its score."""
+    known: dict[str, int] = {}
+    for _, t in examples:
+        for g in grams(t):
+            known[g] = known.get(g, 0) + 1
+    own = {g for t in notices for g in grams(t) if known.get(g, 0) >= 2 and not cues.isdisjoint(g.split(" "))}
+    return {g: i for i, g in enumerate(sorted(own))}
+
+
+def _examples(plain_lines: list[str], seed: int) -> tuple[list[tuple[int, list[str], int]], list[str]]:
+    """(class, words, number of what it is made of) and cue words."""
     r = np.random.default_rng(seed)
-    classes = [NONE, UNKNOWN, *sorted(TEMPLATES)]
     plain = [t for t in (words(x) for x in plain_lines) if t]
     plain = [t for t in plain if not resembles(t)]
     cues = sorted({w for own in [*TEMPLATES.values(), UNNAMED] for x in own for w in words(x) if w not in ORDINARY and len(w) > 1 and not w[0].isdigit()})
-    examples = [(0, t[:60]) for t in plain] + [(0, [])]
+    made = [(0, t[:60], i) for i, t in enumerate(plain)] + [(0, [], 1)]
     # single words of licences also occur in plain text
     loose = [w for w in cues if not re.match("licen|copyright|redistribut|gpl|gnu|apache|mozilla|bsd", w)]
-    for t in plain:
+    for i, t in enumerate(plain):
         at = int(r.integers(0, len(t) + 1))
-        examples.append((0, [*t[:at][-40:], loose[int(r.integers(len(loose)))], *t[at:][:40]]))
-    for x in UNNAMED:
-        examples += [(1, t) for t in _variants(words(x), plain, r, VARIANTS)]
-    for k, name in enumerate(classes[2:], 2):
-        for x in TEMPLATES[name]:
+        made.append((0, [*t[:at][-40:], loose[int(r.integers(len(loose)))], *t[at:][:40]], i))
+    for i, x in enumerate(UNNAMED):
+        made += [(1, t, i) for t in _variants(words(x), plain, r, VARIANTS)]
+    for k, name in enumerate(sorted(TEMPLATES), 2):
+        for i, x in enumerate(TEMPLATES[name]):
             own = words(x)
             sure = pairs(own)
-            examples += [(k if len(pairs(t) & sure) >= CONFIRM * len(sure) else 1, t) for t in _variants(own, plain, r, VARIANTS)]
-    held = r.random(len(examples)) < 0.25
-    known = {}
-    for _, t in examples:
-        for g in grams(t):
-            known[g] = known.get(g, 0) + 1
-    of_templates = {g for own in [*TEMPLATES.values(), UNNAMED] for x in own for g in grams(words(x))}
-    vocabulary = {g: i for i, g in enumerate(sorted(g for g in of_templates if known.get(g, 0) >= 2))}
-    x = np.zeros((len(examples), len(vocabulary)), np.float32)
-    for i, (_, t) in enumerate(examples):
-        x[i, [vocabulary[g] for g in grams(t) if g in vocabulary]] = 1
-    y = np.zeros((len(examples), len(classes)), np.float32)
-    y[np.arange(len(examples)), [k for k, _ in examples]] = 1
-    w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    vw, vb = w.copy(), b.copy()
-    a, t, n = x[~held], y[~held], int((~held).sum())
-    for _ in range(steps):
-        gap = (_softmax(a @ w + b) - t) / n
-        vw, vb = 0.9 * vw - 1.5 * (a.T @ gap + 1e-5 * w), 0.9 * vb - 1.5 * gap.sum(0)
-        w, b = w + vw, b + vb
-    # calibrated on the whole decision: what passes without being a family must hold its template, too
-    others = [t for (k, t), out in zip(examples, held) if out and k < 2]
-    p = _softmax(x[held & (y[:, :2].sum(1) > 0)] @ w + b)
-    passing = [v[2:].max() for v, t in zip(p, others) if _similarity(t, classes[2 + int(v[2:].argmax())]) >= CONFIRM]
-    threshold = next((v for v in np.linspace(0.5, 0.99, 50) if sum(q >= v for q in passing) <= MAX_FALSE * len(others)), 0.99)
-    return Model(classes, vocabulary, w.astype(float), b.astype(float), float(threshold), cues)
+            made += [(k if len(pairs(t) & sure) >= CONFIRM * len(sure) else 1, t, i) for t in _variants(own, plain, r, VARIANTS)]
+    return made, cues
+
+
+def _fitted(examples: list[tuple[int, list[str]]], notices: list[str], cues: list[str], steps: int) -> Model:
+    classes = [NONE, UNKNOWN, *sorted(TEMPLATES)]
+    vocabulary = _vocabulary(examples, [words(x) for x in notices], set(cues))
+    w, b = _fit(examples, vocabulary, len(classes), steps)
+    return Model(classes, vocabulary, w.astype(float), b.astype(float), 0.5, cues)
+
+
+def train(plain_lines: list[str], seed: int = 5, steps: int = 300) -> Model:
+    """The model, calibrated on every fourth example, which a first fit has not seen: its temperature makes the
+    probabilities of those likeliest, its threshold lets few pass that are no family.
+    """
+    made, cues = _examples(plain_lines, seed)
+    every = [x for own in [*TEMPLATES.values(), UNNAMED] for x in own]
+    held = np.random.default_rng(seed + 1).random(len(made)) < 0.25
+    trial = _fitted([(k, t) for (k, t, _), out in zip(made, held) if not out], every, cues, steps)
+    rest = [(k, t) for (k, t, _), out in zip(made, held) if out]
+    scores, truth = np.array([trial.scores(t) for _, t in rest]), [k for k, _ in rest]
+    loss = lambda heat: -np.log(np.maximum(1e-12, _softmax(scores / heat)[np.arange(len(truth)), truth])).mean()
+    heat = float(min(np.geomspace(0.25, 8, 41), key=loss))
+    others = [(v, t) for v, (k, t) in zip(_softmax(scores / heat), rest) if k < 2]
+    # what passes without being a family must hold its template, too
+    passing = [v[2:].max() for v, t in others if _similarity(t, trial.classes[2 + int(v[2:].argmax())]) >= CONFIRM]
+    model = _fitted([(k, t) for k, t, _ in made], every, cues, steps)
+    model.weights, model.bias = model.weights / heat, model.bias / heat
+    model.threshold = float(next((v for v in np.linspace(0.5, 0.99, 50) if sum(q >= v for q in passing) <= MAX_FALSE * len(others)), 0.99))
+    return model
+
+
+def unseen_templates(plain_lines: list[str], seed: int = 5, steps: int = 300) -> tuple[int, int, int]:
+    """Of notices like the last template of each family with several, which a fit has not seen: all, taken for a licence, and for the right one."""
+    made, cues = _examples(plain_lines, seed)
+    families = [(), (), *(TEMPLATES[name] for name in sorted(TEMPLATES))]
+    last = [k > 1 and i == len(families[k]) - 1 > 0 for k, _, i in made]
+    notices = [x for own in families[2:] for x in own[: max(1, len(own) - 1)]] + list(UNNAMED)
+    model = _fitted([(k, t) for (k, t, _), out in zip(made, last) if not out], notices, cues, steps)
+    found = [(k, int(model.scores(t).argmax())) for (k, t, _), out in zip(made, last) if out]
+    return len(found), sum(c > 0 for _, c in found), sum(c == k for k, c in found)
 
 
 def _similarity(tokens: list[str], family: str) -> float:

@@ -94,3 +94,29 @@ def test_wrapped_notices(spark, mark):
     found = {r.doc_id: r.families for r in m.scan(docs, model=MODEL).collect()}
     assert [found[i] for i in range(len(texts))] == [[k] for k in texts]
     assert "mit" not in found[len(texts)]
+
+
+def test_lines_without_a_cue_score_as_an_empty_one():
+    assert all(set(g.split(" ")) & set(MODEL.cues) for g in MODEL.vocabulary)
+    for line in PLAIN:
+        if not set(m.words(line)) & set(MODEL.cues):
+            assert (MODEL.scores(m.words(line)) == MODEL.bias).all()
+    assert MODEL.bias.argmax() == 0
+
+
+def test_unseen_templates_are_taken_for_licences():
+    n, licence, right = m.unseen_templates(PLAIN)
+    assert n > 100 and licence > 0.8 * n and right > 0.2 * n
+
+
+def test_probabilities_are_calibrated():
+    """Of fresh variants judged with a probability of 0.8 or more, that share at least is right."""
+    r, plain = np.random.default_rng(99), [m.words(x) for x in PLAIN]
+    judged = []
+    for k, name in enumerate(MODEL.classes[2:], 2):
+        for x in m.TEMPLATES[name]:
+            for t in m._variants(m.words(x), plain, r, 6):
+                p = m._softmax(MODEL.scores(t))
+                judged.append((p.max(), int(p.argmax()) == k))
+    sure = [right for p, right in judged if p >= 0.8]
+    assert len(sure) > 0.5 * len(judged) and np.mean(sure) > 0.8
