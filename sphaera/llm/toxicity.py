@@ -8,7 +8,8 @@ all twins of a text together weigh one),
 so neutral mentions of a group cannot carry the label.
 
 Fitting takes a bounded sample: the ``MAX_TRAIN`` labelled texts with the
-smallest hash of doc_id (documented parameter). Scoring covers every row and
+smallest hash of doc_id (documented parameter), fewer if they and their twins hold more than
+``MAX_SAMPLE`` selected features, so what the driver takes has a bound. Scoring covers every row and
 whole texts: one vectorised pass without a shuffle, and the broadcast model has
 at most ``MAX_FEATURES`` weights.
 
@@ -33,7 +34,7 @@ from . import textops as tx
 from .common import fields, materialise, small_batches, smallest_hashes
 
 MAX_TRAIN = 8000
-MAX_FEATURES = 1 << 16
+MAX_FEATURES, MAX_SAMPLE = 1 << 16, 1 << 23
 #: Of training texts that must have a feature, and its least z-score.
 MIN_TEXTS, MIN_Z = 3, 4.0
 PREFIXES = (4, 5, 6)
@@ -227,7 +228,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found[keep]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["toxic", "key", "twin", "features"])
 
-    found = sample.mapInArrow(tx.lean(narrow), sample.schema).toArrow()
+    narrowed = materialise(sample.mapInArrow(tx.lean(narrow), sample.schema), "toxicity-narrow")
+    # texts in the order of their keys, which are hashes, as far as the bound goes; at most max_train keys
+    sizes = narrowed.groupBy("key").agg(F.sum(F.size("features")).alias("size")).toArrow().sort_by("key")
+    fits = sizes.column("key").to_numpy()[np.cumsum(sizes.column("size").to_numpy()) <= MAX_SAMPLE]
+    if len(fits) < len(sizes):
+        narrowed = narrowed.filter(F.col("key") <= int(fits[-1])) if len(fits) else narrowed.limit(0)
+    found = narrowed.toArrow()
     lists = [x.to_numpy() for part in found.column("features").chunks for x in _split(part)]
     return fit(found.column("toxic").to_numpy().astype(np.int64), found.column("key").to_numpy(), found.column("twin").to_numpy().astype(bool), lists, counterfactual)
 
