@@ -1,14 +1,16 @@
 """Quality selection by importance resampling.
 
 Two generative models of hashed word n-grams (words and pairs of words, one
-distribution over ``BUCKETS`` each) are counted: one over texts labelled good, the
+distribution over the buckets each) are counted: one over texts labelled good, the
 target, one over all texts, the raw corpus. A text's log weight is the sum over
 its n-grams of the log ratio of the two. Adding independent Gumbel noise to the
 log weights and taking the k largest draws k texts without replacement, with
 probabilities in proportion to the weights.
 
-All counts cover all documents. Counts are summed per task first (a fixed number
-of rows a task); the models have a fixed size, so broadcasting them is bounded.
+All counts cover all documents. The models grow with the corpus: ``BUCKETS`` up to
+64 MB of text, then with the square root of its size, so a bucket mixes more n-grams
+only as fast as it sees more of them; ``MAX_BUCKETS`` (32 MB) bounds the broadcast.
+Counts are summed per task first, to at most a row a bucket and task.
 The k-th largest key is found by narrowing a histogram, not by a global sort.
 
 By default k is the number of texts times the labelled share of good ones.
@@ -17,7 +19,8 @@ Defined cases: null and empty texts have no n-grams and log weight 0; labels tha
 repeat a doc_id count as good if any is; without good labels the target is the
 raw corpus; noise depends on doc_id and seed only, so rows that repeat doc_id and
 text are kept or dropped together (then more than k may be kept); a null doc_id
-has noise of its own; an empty table gives an empty result.
+has noise of its own; texts of any length are read whole, block by block; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as tx
 from .common import materialise, small_batches
 
-BUCKETS = 1 << 14
+BUCKETS, MAX_BUCKETS = 1 << 14, 1 << 22
+BUCKETS_BYTES = 1 << 26
 SMOOTHING = 1.0
 SEED = 17
-#: Labels up to this number are broadcast to the texts, more are joined.
-MAX_BROADCAST_LABELS = 1 << 20
+#: Ids of good texts up to this number are broadcast (8 bytes each), more, or others than integers, are joined.
+MAX_BROADCAST_LABELS = 1 << 22
 _BINS = 1024
 
 
@@ -55,28 +60,48 @@ def block_grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np
 
 def count_grams(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of n-grams by bucket, over the target and over all texts."""
-    good = labels.filter(f"{label} = 1 AND {doc_id} IS NOT NULL").select(F.col(doc_id).alias("__id")).distinct().withColumn("good", F.lit(True))
-    few = labels.count() <= MAX_BROADCAST_LABELS
-    lean = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(good) if few else good, "__id", "left").select("good", "text")
+    good = labels.filter(f"{label} = 1 AND {doc_id} IS NOT NULL").select(F.col(doc_id).alias("__id")).distinct()
+    lean = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
+    whole = all(isinstance(x.schema["__id"].dataType, T.IntegralType) for x in (good, lean))
+    ids = None
+    if whole and good.count() <= MAX_BROADCAST_LABELS:
+        ids = np.sort(good.select(F.col("__id").cast("long")).toArrow().column(0).to_numpy())
+        lean = lean.select(F.col("__id").cast("long").alias("good"), "text")
+    else:
+        lean = lean.join(good.withColumn("good", F.lit(1).cast("long")), "__id", "left").select("good", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            mark = batch.column(0).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            mark = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            if shared.value is not None:
+                mark &= np.isin(batch.column(0).fill_null(0).to_numpy(), shared.value)
             for row, _, data, offsets in tx.blocks(batch.column(1)):
                 doc, gram = block_grams(data, offsets, buckets)
                 raw += np.bincount(gram, minlength=buckets)
                 target += np.bincount(gram[mark[row + doc]], minlength=buckets)
         some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": some, "target": target[some], "raw": raw[some]})
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"bucket": own, "target": target[own], "raw": raw[own]})
 
     sums = lean.mapInArrow(tx.lean(run), "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    found = sums.toArrow()
     target, raw = np.zeros(buckets), np.zeros(buckets)
-    for b, t, r in sums.collect():
-        target[b], raw[b] = t, r
+    at = found.column("bucket").to_numpy()
+    target[at], raw[at] = found.column("target").to_numpy(), found.column("raw").to_numpy()
     return target, raw
 
 
+def buckets_for(n_bytes: int) -> int:
+    """Buckets for so much text: a power of two."""
+    n = BUCKETS
+    while n < MAX_BUCKETS and (2 * n // BUCKETS) ** 2 * BUCKETS_BYTES <= n_bytes:
+        n *= 2
+    return n
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     if not target.sum():
         target = raw
@@ -138,7 +163,8 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     """doc_id, n_grams, log_weight, key, kept of every row; kept marks the k rows drawn."""
     small_batches(docs.sparkSession)
     known = labels.filter(f"quality IN (0, 1) AND {doc_id} IS NOT NULL").groupBy(doc_id).agg(F.max("quality").alias("quality"))
-    ratio = log_ratio(*count_grams(docs, known, text, doc_id))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    ratio = log_ratio(*count_grams(docs, known, text, doc_id, buckets=buckets_for(size)))
     rows = materialise(weigh(docs, ratio, text, doc_id).withColumn("key", F.col("log_weight") + gumbel("doc_id", seed)), "importance-keys")
     if k is None:
         share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]

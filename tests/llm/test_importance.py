@@ -77,3 +77,17 @@ def test_empty_and_unlabelled(spark):
     some = spark.createDataFrame([(1, "a b", "", ""), (1, "a b", "", ""), (None, None, "", "")], SCHEMA)
     assert [(r.log_weight, r.kept) for r in m.resample(some, la).collect()] == [(0.0, True)] * 3
     assert tx.BLOCK_BYTES > 0
+
+
+def test_models_grow_with_the_text(spark):
+    sizes = [m.buckets_for(n) for n in (0, 1 << 26, (1 << 28) - 1, 1 << 28, 30 << 30, 100 << 40)]
+    assert sizes == [m.BUCKETS, m.BUCKETS, m.BUCKETS, 2 * m.BUCKETS, 16 * m.BUCKETS, m.MAX_BUCKETS]
+
+
+def test_long_texts_and_text_ids(spark):
+    docs = [("a", "river stone " * 100_000, "", ""), ("b", "win click", "", ""), (None, "river", "", "")]
+    d = spark.createDataFrame(docs, SCHEMA.replace("bigint", "string"))
+    la = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int")
+    target, raw = m.count_grams(d, la)
+    assert raw.sum() == 399_999 + 3 + 1 and target.sum() == 399_999
+    assert {r.doc_id: r.kept for r in m.resample(d, la, k=2).collect()}["a"]
