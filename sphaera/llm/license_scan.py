@@ -280,7 +280,11 @@ def scan_lines(rows: DataFrame, model: Model) -> DataFrame:
     cell = lambda across: lambda g: F.struct(g.alias("gram"), F.lit(across).alias("across"))
     inner = F.transform(F.array_distinct(F.concat(F.col("own"), part(2), part(3))), cell(False))
     outer = F.transform(F.array_distinct(F.concat(rest(2), rest(3))), cell(True))
-    every = materialise(lines.select("row", "line_no", F.inline(F.concat(inner, outer))), "license-grams")
+    # only what the model or a template knows goes on: the other n-grams weigh nothing
+    names = set(model.vocabulary).union(*(pairs(words(x)) for texts in TEMPLATES.values() for x in texts))
+    names = spark.createDataFrame([(g,) for g in sorted(names)], "gram string")
+    every = lines.select("row", "line_no", F.inline(F.concat(inner, outer))).join(F.broadcast(names), "gram", "left_semi")
+    every = materialise(every.select("row", "line_no", "gram", "across"), "license-grams")
     found = every.filter("NOT across").drop("across")
 
     scored = _scores(found, model, ["row", "line_no"])
