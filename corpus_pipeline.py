@@ -2,6 +2,15 @@
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as
 Parquet and read again as the next stage's docs. Part of the subpackage ``llm``.
+
+Defined cases: a null text scores as an empty one and stays null through toxicity; from
+line dedup on it is the empty text. Texts without words are near copies of nothing, so
+they all stay. Rows that repeat a doc_id are scored and cut one by one, are one document
+for lines, and of near copies all rows with the smallest doc_id stay; a null doc_id is
+smaller than any other for lines and larger than any other for near copies. Texts of any
+length pass whole. A score of exactly the threshold rejects. An empty table gives an empty
+result with all columns. Other columns pass unchanged, but for n_chars (made if it is
+missing) and, in the last stage, ids, score, nbest and n_pieces, which are results.
 """
 
 from __future__ import annotations
