@@ -73,3 +73,37 @@ def test_stages(spark, folder):
     decoded = piece_codec.decode(docs).select("doc_id", "decoded").collect()
     assert {r.doc_id: r.decoded for r in decoded} == {i: r.text for i, r in cut.items()}
     assert sorted(map(str, p.run(spark, folder).collect())) == sorted(map(str, final.values()))
+
+
+def through(spark, docs, folder):
+    for name, stage in p.STAGES:
+        docs = p.materialise(stage(spark, docs, folder), f"odd-{name}")
+    return docs
+
+
+def test_defined_cases(spark, folder):
+    """Repeated and null ids, null, empty and long texts, columns named as the operators name theirs."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    twin = text(60)
+    rows = [
+        (1, long, "r", "k", 1.5, 7, "a", None), (2, twin, "r", "k", 1.5, 7, "b", 1), (2, twin + " tail", None, None, None, None, "c", 2), (3, twin + " end", "r", "k", 1.5, 7, "d", 3),
+        (None, text(40), "r", "k", 1.5, 7, "e", 4), (None, None, "r", "k", 1.5, 7, "f", 5), (5, "", "r", "k", 1.5, 7, "g", 6), (5, "\n \n", "r", "k", 1.5, 7, "h", 7), (6, "x" * 300_000, "r", "k", 1.5, 7, "i", 8),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string, key string, score double, n int, kept string, label int")
+    found = {r.kept: r for r in through(spark, docs, folder).collect()}
+    assert set(found) == set("abcefghi")  # of the copies, all rows of the smallest id stay
+    want = {r[6]: r[1] or "" for r in rows}
+    assert {k: r.text for k, r in found.items()} == {k: want[k] for k in found}
+    for k, r in found.items():
+        source = next(x for x in rows if x[6] == k)
+        assert (r.doc_id, r.row, r.key, r.n, r.label) == (source[0], source[2], source[3], source[5], source[7])
+        assert r.n_chars == len(r.text) and r.n_pieces == len(r.ids) and (r.n_pieces > 0) == bool(r.text)
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{table}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    out = p.run(spark, str(tmp_path))
+    assert out.collect() == [] and set(out.columns) >= {"doc_id", "text", "lang", "source", "n_chars", "ids", "score", "nbest", "n_pieces"}
+    some = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 8")
+    assert through(spark, some, str(tmp_path)).count() == 8  # nothing learned, nothing to cut
