@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import exists, work_path
+
 
 def read_events(spark: SparkSession, path: str, schema, max_files: int = 1, names: str | None = None) -> DataFrame:
     """New Parquet files of a folder, those that match names only."""
@@ -24,10 +26,27 @@ def best_so_far(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs what is there through to an in-memory table; for tests and small summaries."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs what is there through to a table in the shared folder: the last state (complete) or all rows that were closed (append).
+
+    Each batch has a folder of its own, so a batch that runs again after a failure replaces itself.
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError("mode must be complete or append")
+    spark = stream.sparkSession
+    path = work_path(spark, f"stream-{name}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    if not exists(spark, f"{path}/batch=*"):
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(path) if mode == "append" else None
+    if found is None:
+        last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+        found = spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{path}/batch={int(last):012d}")
+    return found
