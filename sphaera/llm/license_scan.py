@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.portable import settled
 from .common import identify, materialise, smallest_hashes
 
 MAX_PLAIN = 400
@@ -251,9 +252,11 @@ def _scores(found: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     weights = found.sparkSession.createDataFrame([(g, model.weights[i].tolist()) for g, i in model.vocabulary.items()], "gram string, weights array<double>")
     sums = found.join(F.broadcast(weights), "gram").groupBy(*keys).agg(*[F.sum(F.col("weights")[c]).alias(f"s{c}") for c in range(k)])
     score = [F.col(f"s{c}") + float(model.bias[c]) for c in range(k)]
-    scored = sums.select(*keys, F.array(*score).alias("s")).withColumn("m", F.array_max("s"))
-    scored = scored.withColumn("e", F.transform("s", lambda v: F.exp(v - F.col("m")))).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
-    scored = scored.withColumn("p", F.transform("e", lambda v: v / F.col("z")))
+    # each step settled, or the optimiser would write the steps before into every element of the next
+    scored = settled(sums.select(*keys, F.array(*score).alias("s")).withColumn("m", F.array_max("s")))
+    scored = settled(scored.withColumn("e", F.transform("s", lambda v: F.exp(v - F.col("m")))))
+    scored = settled(scored.withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, v: a + v)))
+    scored = settled(scored.withColumn("p", F.transform("e", lambda v: v / F.col("z"))))
     families = F.slice("p", 3, k - 2)
     scored = scored.withColumn("best", F.array_max(families)).withColumn("which", F.array_position(families, F.array_max(families)).cast("int") + 1)
     names = F.array(*[F.lit(c) for c in model.classes])
