@@ -274,12 +274,12 @@ def scan_lines(rows: DataFrame, model: Model) -> DataFrame:
     lines = rows.select("row", F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("next"))).alias("line_no", "both")).select("row", "line_no", "both.line", "both.next")
     low = _lowered(F.col("line"))
     lines = lines.filter(F.exists(F.split(low, _BREAK, -1), lambda w: w.isin(model.cues)))
-    lines = lines.select("row", "line_no", _tokens(F.col("line")).alias("own"), F.coalesce(F.slice(_tokens(F.col("next")), 1, 2), F.array().cast("array<string>")).alias("after"))
-    lines = lines.select("row", "line_no", "own", F.size("after").alias("n_after"), F.concat("own", "after").alias("w"))
+    lines = settled(lines.select("row", "line_no", _tokens(F.col("line")).alias("own"), F.coalesce(F.slice(_tokens(F.col("next")), 1, 2), F.array().cast("array<string>")).alias("after")))
+    lines = settled(lines.select("row", "line_no", "own", F.concat("own", "after").alias("w")))
+    lines = settled(lines.select("row", "line_no", "own", F.size("own").alias("n"), *[_runs(n).alias(f"runs{n}") for n in (2, 3)]))
     # runs that end within the line come first, the others are those across its end
-    n_own = F.size("own")
-    part = lambda n: F.slice(_runs(n), 1, F.greatest(n_own - (n - 1), F.lit(0)))
-    rest = lambda n: F.slice(_runs(n), F.greatest(n_own - (n - 2), F.lit(1)), F.least(n_own, F.lit(n - 1)))
+    part = lambda n: F.slice(f"runs{n}", 1, F.greatest(F.col("n") - (n - 1), F.lit(0)))
+    rest = lambda n: F.slice(f"runs{n}", F.greatest(F.col("n") - (n - 2), F.lit(1)), F.least(F.col("n"), F.lit(n - 1)))
     cell = lambda across: lambda g: F.struct(g.alias("gram"), F.lit(across).alias("across"))
     inner = F.transform(F.array_distinct(F.concat(F.col("own"), part(2), part(3))), cell(False))
     outer = F.transform(F.array_distinct(F.concat(rest(2), rest(3))), cell(True))
