@@ -173,9 +173,8 @@ def _examples(plain_lines: list[str], seed: int) -> tuple[list[tuple[int, list[s
         made += [(1, t, i) for t in _variants(words(x), plain, r, VARIANTS)]
     for k, name in enumerate(sorted(TEMPLATES), 2):
         for i, x in enumerate(TEMPLATES[name]):
-            own = words(x)
-            sure = pairs(own)
-            made += [(k if len(pairs(t) & sure) >= CONFIRM * len(sure) else 1, t, i) for t in _variants(own, plain, r, VARIANTS)]
+            # a variant is of the family as long as the template check would confirm it
+            made += [(k if _similarity(t, name) >= CONFIRM else 1, t, i) for t in _variants(words(x), plain, r, VARIANTS)]
     return made, cues
 
 
