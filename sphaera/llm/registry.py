@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, importance, license_scan, line_dedup, near_dedup, piece_codec, suffix_dedup, toxicity
+from . import (
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    html_extract,
+    importance,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    piece_codec,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 
-MODULES = (line_dedup, license_scan, toxicity, html_extract, exact_dedup, near_dedup, decontaminate, piece_codec, importance, suffix_dedup)
+MODULES = (
+    line_dedup,
+    license_scan,
+    toxicity,
+    html_extract,
+    exact_dedup,
+    near_dedup,
+    decontaminate,
+    piece_codec,
+    importance,
+    suffix_dedup,
+    filter_audit,
+    simhash,
+)
 
 
 def queries() -> dict:

@@ -127,6 +127,21 @@ def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Stretches of a text that end behind a separator; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data):
+            gap = np.flatnonzero(~NOT_SPACE[data[at:end]])
+            if len(gap):
+                end = at + int(gap[-1]) + 1
+                break
+            end += size
+        yield data[at:end]
+        at = end
+
+
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Mixed hash of each run of n word hashes, by its first word."""
     if len(words) < n:
