@@ -90,6 +90,78 @@ def test_broken_pages_take_time_in_proportion(part):
     assert time.process_time() - began < 20
 
 
+ARTICLE = "<article><h1>Title</h1><p>Body text.</p></article>"
+AROUND = "content with-sidebar,has-comments,no-ads,with-sidebar,entry social,search-results,nav-tabs-wrapper,header-fixed page,cookie-consent-enabled,has-ads,with-menu,banner-top-page,page has-sidebar,social,menu"
+
+
+@pytest.mark.parametrize("name", AROUND.split(","))
+@pytest.mark.parametrize("attribute", ["class", "id", "role"])
+def test_no_name_deletes_the_article(name, attribute):
+    page = f'<body><div class="cookie-bar"><p>We use cookies.</p></div><div {attribute}="{name}">{{}}</div><div class="site-footer">Imprint</div></body>'
+    assert m.main_text(page.format(ARTICLE)) == "Title Body text."
+    assert m.main_text(page.format("<h1>Title</h1><p>Body text, long enough to be most of what this page says.</p>")) == "Title Body text, long enough to be most of what this page says."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><h2 id="social-impact">A</h2><p>x</p><h2 id="search">B</h2><p>y</p><h2 id="comments">C</h2><p>z</p></article>', "A x B y C z"),
+        ('<article><p>a</p><section id="menu-design"><p>b</p></section><div class="informed-consent"><p>c</p></div></article>', "a b c"),
+        ('<main><h1>Title</h1><p>Body, some sentences long, of this page. And one more.</p><article class="teaser">Other</article></main>', "Title Body, some sentences long, of this page. And one more."),
+        ('<div><h1>Title</h1><p>Body, some sentences long, of this page. And one more.</p></div><article>Card</article><article>Card 2</article>', "Title Body, some sentences long, of this page. And one more."),
+        ('<div class="adslot">b</div><div class="usercomments">c</div><div class="reader_responses">d</div><p>Text</p>', "Text"),
+        ('<div hidden>b</div><div style="display: none">c</div><p>Text that is shown.</p>', "Text that is shown."),
+        ('<article><p>Short.</p><section class="comments"><p>A comment that is much longer than the article.</p></section></article>', "Short."),
+        ('<article><p>Short.</p><section id="comments"><article><p>A comment, longer than the article.</p></article></section></article>', "Short."),
+        ('<form action="/"><div><h1>T</h1><p>A whole page in a form.</p></div></form>', "T A whole page in a form."),
+        ('<div class="sidebar"><article>Teaser in a sidebar</article></div><div><p>Main text.</p></div>', "Main text."),
+        ('<body class="menu"><p>Text</p></body>', "Text"),
+        ('<div class="mainNav">menu</div><div class="postHeader">Title</div><p>Text</p>', "Title Text"),
+    ],
+)
+def test_names_and_main_text(html, text):
+    assert m.main_text(html) == text
+
+
+def layouts(i):
+    """Ten usual page layouts around one story; the story's title, paragraphs and what else is main text."""
+    title, body = f"Story number {i}", [f"Paragraph {j} of story {i} tells something of its own, in a sentence." for j in range(2 + i % 4)]
+    h, p = f"<h1>{title}</h1>", "".join(f"<p>{x}</p>" for x in body)
+    menu = "".join(f"<li><a href='/{k}'>Part {k}</a></li>" for k in range(5))
+    comments = "".join(f"<div class='item'><p>Reader {k} thinks of {i}: well said, and so on and so on.</p></div>" for k in range(3))
+    card = f"<article class='card'><h3>See {i + 1}</h3><p>Short</p></article>"
+    pages = [
+        f"<body><nav><ul>{menu}</ul></nav><main><article>{h}{p}</article></main><footer>Imprint</footer></body>",
+        f"<body class='has-sidebar'><div id='page' class='site with-sidebar'><div class='site-header'>Site</div><div id='content'><article class='post entry'><header class='entry-header'>{h}</header>{p}</article></div><div class='right-sidebar'>{card}</div></div></body>",
+        f"<body><div class='navbar'><ul>{menu}</ul></div><div class='wrapper no-ads'>{h}{p}</div><div class='comments-area'>{comments}</div></body>",
+        f"<body><form id='aspnetForm'><div class='top-menu'><ul>{menu}</ul></div><div class='content'>{h}{p}</div><div class='page-footer'>Imprint</div></form></body>",
+        f"<body><main>{h}{p}<section class='related'>{card}{card}</section></main></body>",
+        f"<body><div class='header-fixed page'><div class='cookie-consent'>We use cookies</div><article>{h}{p}<div class='share-buttons'>Tell others</div><section id='comments'>{comments}</section></article></div></body>",
+        f"<body><table><tr><td class='left-nav'>{menu}</td><td>{h}{p}</td></tr></table></body>",
+        f"<body><div hidden>Print view</div><div class='entry social'>{h}{p}</div><div class='adslot'>Buy now</div></body>",
+        f"<body><div>{h}{p}</div><div class='grid'>{card}{card}{card}</div></body>",
+        f"<body><header><div class='banner'>Welcome</div></header><div role='main' class='cookie-consent-enabled'><article>{h}{p}</article></div><div class='newsletter'><p>Subscribe to our letter</p></div></body>",
+    ]
+    return pages, " ".join([title, *body])
+
+
+def test_ten_layouts_are_recovered_whole(spark):
+    rows, want = [], {}
+    for k in range(10):
+        for i in range(12):
+            pages, text = layouts(i)
+            rows.append((100 * k + i, f"http://l{k}.example/{i}", pages[k], "", "", ""))
+            want[100 * k + i] = text
+    assert {i: t for i, _, t in result(spark, rows)} == want
+
+
+def test_headings_recur_and_stay(spark):
+    """Headings and paragraphs that all pages share are content; a block that they share is none."""
+    page = "<body><div>Site name<p>Always here</p></div><div><h2>Introduction</h2><p>Own words {0}.</p><h2>References</h2><p>Book {0}, and so on.</p></div></body>"
+    rows = [(i, "http://wiki.example/", page.format(i), "", "", "") for i in range(60)]
+    assert {i: t for i, _, t in result(spark, rows)} == {i: f"Introduction Own words {i}. References Book {i}, and so on." for i in range(60)}
+
+
 class Tree(HTMLParser):
     """Brute force: well-formed pages as nested lists."""
 
@@ -145,7 +217,7 @@ def brute(rows):
         pages[host[i]].add(tuple(sorted(content[i])))
         options[i] = []
         for n, inside, above in walk(t):
-            if any(n is d or d in above for d in dropped[i]) or n[0] in ("b", "a", "article", "body") or inside and n[0] in ("p", "h1", "li"):
+            if any(n is d or d in above for d in dropped[i]) or n[0] in ("b", "a", "article", "body", "p", "h1", "li"):
                 continue
             key = (host[i], inside, shape(n, not inside))
             options[i].append((n, key))
