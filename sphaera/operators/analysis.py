@@ -119,8 +119,8 @@ def ranked(log: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     return both.withColumn(name, F.coalesce("sum_rows", F.lit(0)) + at).drop("__block", "sum_rows")
 
 
-def moving_average(log: DataFrame, keys: list[str], order: str, value: str, first: float, keep: float = 0.8) -> DataFrame:
-    """w after each row of w <- keep w + (1 - keep) value, from first on.
+def moving_average(log: DataFrame, keys: list[str], order: str, value: str, first: float | Column, keep: float = 0.8) -> DataFrame:
+    """w after each row of w <- keep w + (1 - keep) value, from first on: a number, or a column that is the same in all rows of a key.
 
     Rows go in blocks of L, with keep**L below 1e-20. Within a block, the i-th row adds
     (1 - keep) keep**i sum keep**-j value_j to keep**i times the value before the block. That is
@@ -135,7 +135,8 @@ def moving_average(log: DataFrame, keys: list[str], order: str, value: str, firs
     ends = rows.filter(F.col("__i") == size).select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], (F.col("__part") + 1).alias("__next"), F.col("__w").alias("__end"))
     on = [F.col(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)] + [F.col("__part") == F.col("__next")]
     both = rows.join(ends, on, "left")
-    start = F.when(F.col("__part") == 0, F.lit(float(first))).otherwise(F.col("__end") + F.when(F.col("__part") == 1, F.lit(first * keep**size)).otherwise(0.0))
+    first = first if isinstance(first, Column) else F.lit(float(first))
+    start = F.when(F.col("__part") == 0, first).otherwise(F.col("__end") + F.when(F.col("__part") == 1, first * keep**size).otherwise(0.0))
     return both.select(*log.columns, (F.col("__w") + decay(F.col("__i")) * start).alias("w"))
 
 

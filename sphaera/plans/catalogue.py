@@ -203,13 +203,13 @@ def _eliminated(n: int, rhs: str = "b") -> str:
     return out + f", beta AS (SELECT {', '.join(f'b{i}' for i in range(n))} FROM {at})"
 
 
-def _fit_ctes(strength: float, weights: np.ndarray | None, order: int = 2) -> str:
+def _fit_ctes(strength: float, weights: np.ndarray | None, order: int = 2, cloud: str | None = None) -> str:
     terms = harmonic_terms(order)
     n = len(terms)
     w = np.ones(n) if weights is None else weights
     phi = f", phi AS (SELECT {', '.join(f'{t.sql()} AS p{k}' for k, t in enumerate(terms))} FROM cloud)"
     cells = [f"sum(p{i} * p{j})" + (f" + count(*) * {strength * w[i]:.17E}" if i == j and strength else "") + f" AS a{i}_{j}" for i in range(n) for j in range(n)]
-    return CLOUD + phi + f", s AS (SELECT {', '.join(cells + [f'sum(p{i}) AS b{i}' for i in range(n)])} FROM phi)" + _eliminated(n)
+    return (cloud or CLOUD) + phi + f", s AS (SELECT {', '.join(cells + [f'sum(p{i}) AS b{i}' for i in range(n)])} FROM phi)" + _eliminated(n)
 
 
 def _beta_rows(spark: SparkSession, beta: np.ndarray | None, digits: int = 5) -> DataFrame:
