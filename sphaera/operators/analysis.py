@@ -163,23 +163,48 @@ def above_percentile(log: DataFrame, keys: list[str], value: str, percent: float
     return log.join(p, keys).filter(F.col(value) >= factor * F.col(name)).drop(name)
 
 
+def _cell(value: Column, tolerance: float) -> Column:
+    """Cells somewhat wider than twice the tolerance, so that a value's band meets two of them as a rule."""
+    return F.floor(value / (2 * tolerance * (1 + 1e-6)))
+
+
+def _in_band(wanted: DataFrame, results: DataFrame, exact: list[str], near: dict[str, float]) -> DataFrame:
+    """Rows of wanted with each of results (columns r_...) that has equal exact keys and near ones within tolerance.
+
+    A hash join on the exact keys and the near keys' cells: a result is in one cell of each key, a wanted
+    row goes to those that its band meets. The check itself follows as the residual condition.
+    """
+    if any(t <= 0 for t in near.values()):
+        return wanted.join(results.limit(0).select(*[F.col(c).alias(f"r_{c}") for c in results.columns]))
+    right = results.select(*[F.col(c).alias(f"r_{c}") for c in results.columns], *[_cell(F.col(c), t).alias(f"__r{k}") for k, (c, t) in enumerate(near.items())])
+    left = wanted
+    for k, (c, t) in enumerate(near.items()):
+        v = F.col(c).cast("double")
+        reach = F.lit(t * (1 + 1e-9)) + F.abs(v) * 4e-16  # what rounding may add
+        left = left.filter(finite(v)).withColumn(f"__w{k}", F.explode(F.sequence(_cell(v - reach, t), _cell(v + reach, t))))
+    on = [left[c] == right[f"r_{c}"] for c in exact] + [left[f"__w{k}"] == right[f"__r{k}"] for k in range(len(near))]
+    on += [F.abs(left[c] - right[f"r_{c}"]) < t for c, t in near.items()]
+    return left.join(right, on).drop(*[f"__{s}{k}" for k in range(len(near)) for s in "wr"])
+
+
 def look_up(wanted: DataFrame, results: DataFrame, exact: list[str], near: dict[str, float], order: str) -> DataFrame:
-    """For each wanted row the last result with equal exact keys and near ones within tolerance.
+    """For each (different) wanted row the last result with equal exact keys and near ones within tolerance.
 
-    The exact keys make it a hash join; tolerances are its residual condition.
+    Of results with the same keys only the last can be found, so repeats of one experiment are
+    one row before they are joined. Null, NaN and infinite keys find nothing, nor does a tolerance of zero.
     """
-    right = results.select(*[F.col(c).alias(f"r_{c}") for c in results.columns])
-    cond = [wanted[c] == right[f"r_{c}"] for c in exact] + [F.abs(wanted[c] - right[f"r_{c}"]) < t for c, t in near.items()]
-    both = wanted.join(right, cond)
-    w = Window.partitionBy(*wanted.columns).orderBy(F.desc(f"r_{order}"))
-    return both.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    keys = [*exact, *near]
+    last = results.groupBy(*keys).agg(F.max_by(F.struct(*results.columns), order).alias("__r")).select("__r.*")
+    both = _in_band(wanted, last, exact, near)
+    found = F.max_by(F.struct(*[f"r_{c}" for c in results.columns]), f"r_{order}").alias("__r")
+    return both.groupBy(*wanted.columns).agg(found).select(*wanted.columns, "__r.*")
 
 
 def misses(wanted: DataFrame, results: DataFrame, exact: list[str], near: dict[str, float]) -> DataFrame:
     """Wanted rows without such a result."""
-    right = results.select(*[F.col(c).alias(f"r_{c}") for c in [*exact, *near]])
-    cond = [wanted[c] == right[f"r_{c}"] for c in exact] + [F.abs(wanted[c] - right[f"r_{c}"]) < t for c, t in near.items()]
-    return wanted.join(right, cond, "left_anti")
+    keys = [*exact, *near]
+    hits = _in_band(wanted.select(*keys).distinct(), results.select(*keys).distinct(), exact, near).select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
+    return wanted.join(hits, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left_anti")
 
 
 def strength_tag(strength: Column) -> Column:

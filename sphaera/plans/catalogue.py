@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.basis import Term, gradient_sql, harmonic_terms, monomial_terms, penalty, ridge_diagonal
 from ..functions.portable import finite, half_up, hazen, hazen_sql, quantised, quantised_sql, uniform, uniform_sql
 from ..functions.shared import work_path
-from ..operators import analysis, linalg, ransac, score, tables
+from ..operators import analysis, linalg, moments, ransac, score, tables
 from ..sources import clouds, generators, ply
 from ..streaming import log_stream
 
@@ -335,36 +335,47 @@ def beta_norm(spark, sf):
     return q(one.select(score.squared_norm(F.col("beta")).alias("beta_norm")), "beta_norm", digits=4)
 
 
-def _refine_sql(steps: int, momentum: float, damping: float) -> str:
-    """The shifts of ransac.Solver.refine written out: a fit, its gradients and a 3 x 3 solve for each step."""
+def _named_fit(name: str, points: str, strength: float = 0.0, weights: np.ndarray | None = None) -> str:
+    """beta_<name>: an order 2 fit through a table of points."""
     terms = harmonic_terms(2)
     n = len(terms)
-    f = "(" + " + ".join(f"b{k}*{t.sql()}" for k, t in enumerate(terms)) + ")"
-    g = ["(" + " + ".join(f"b{k}*{e}" for k, e in enumerate(axis)) + ")" for axis in gradient_sql(terms)]
-    out = CLOUD + ", moved AS (SELECT x - 0.12 AS x, y + 0.07 AS y, z - 0.2 AS z FROM cloud), start AS (SELECT avg(x) AS sx, avg(y) AS sy, avg(z) AS sz FROM moved), p0 AS (SELECT x - sx AS x, y - sy AS y, z - sz AS z FROM moved, start), v0 AS (SELECT 0.0 AS vx, 0.0 AS vy, 0.0 AS vz, 0.0 AS tx, 0.0 AS ty, 0.0 AS tz)"
+    w = np.ones(n) if weights is None else weights
+    phi = f", phi_{name} AS MATERIALIZED (SELECT {', '.join(f'{t.sql()} AS p{k}' for k, t in enumerate(terms))} FROM {points})"
+    cells = [f"sum(p{i} * p{j})" + (f" + count(*) * {strength * w[i]:.17E}" if i == j and strength else "") + f" AS a{i}_{j}" for i in range(n) for j in range(n)]
+    own = _eliminated(n).replace("FROM s)", f"FROM s_{name})").replace("beta AS", f"beta_{name} AS MATERIALIZED")
+    for k in range(n):
+        own = own.replace(f" e{k} AS", f" e{k}_{name} AS").replace(f"FROM e{k})", f"FROM e{k}_{name})")
+    return phi + f", s_{name} AS MATERIALIZED (SELECT {', '.join(cells + [f'sum(p{i}) AS b{i}' for i in range(n)])} FROM phi_{name})" + own
+
+
+def _refine_ctes(name: str, points: str, steps: int, momentum: float, damping: float, strength: float = 0.0, weights: np.ndarray | None = None) -> str:
+    """disp_<name> (dx, dy, dz) and beta_<name><steps>: the shifts of moments.refine written out, a fit, its gradients and a 3 x 3 solve for each step."""
+    out = f", start_{name} AS (SELECT avg(x) AS sx, avg(y) AS sy, avg(z) AS sz FROM {points}), p_{name}0 AS (SELECT x - sx AS x, y - sy AS y, z - sz AS z FROM {points}, start_{name}), v_{name}0 AS (SELECT 0.0 AS vx, 0.0 AS vy, 0.0 AS vz, 0.0 AS tx, 0.0 AS ty, 0.0 AS tz)"
     for step in range(steps + 1):
-        phi = f", phi{step} AS MATERIALIZED (SELECT {', '.join(f'{t.sql()} AS p{k}' for k, t in enumerate(terms))} FROM p{step})"
-        sums = ", ".join([f"sum(p{i} * p{j}) AS a{i}_{j}" for i in range(n) for j in range(n)] + [f"sum(p{i}) AS b{i}" for i in range(n)])
-        own = _eliminated(n).replace("FROM s)", f"FROM s{step})").replace("beta AS", f"beta{step} AS MATERIALIZED")
-        for k in range(n):
-            own = own.replace(f" e{k} AS", f" e{k}_{step} AS").replace(f"FROM e{k})", f"FROM e{k}_{step})")
-        out += phi + f", s{step} AS MATERIALIZED (SELECT {sums} FROM phi{step})" + own
+        at = f"{name}{step}"
+        out += _named_fit(at, f"p_{at}", strength, weights)
         if step == steps:
             break
-        out += f", g{step} AS (SELECT {g[0]} AS gx, {g[1]} AS gy, {g[2]} AS gz, 1.0 - {f} AS e FROM p{step}, beta{step})"
-        out += f", m{step} AS MATERIALIZED (SELECT sum(gx*gx) AS a, sum(gx*gy) AS b, sum(gx*gz) AS c, sum(gy*gy) AS d, sum(gy*gz) AS f, sum(gz*gz) AS h, sum(gx*e) AS p, sum(gy*e) AS r, sum(gz*e) AS t FROM g{step}), w{step} AS (SELECT *, a*(d*h-f*f) - b*(b*h-c*f) + c*(b*f-c*d) AS w FROM m{step})"
+        out += f", g_{at} AS (SELECT {_G[0]} AS gx, {_G[1]} AS gy, {_G[2]} AS gz, 1.0 - {_F} AS e FROM p_{at}, beta_{at})"
+        out += f", m_{at} AS MATERIALIZED (SELECT sum(gx*gx) AS a, sum(gx*gy) AS b, sum(gx*gz) AS c, sum(gy*gy) AS d, sum(gy*gz) AS f, sum(gz*gz) AS h, sum(gx*e) AS p, sum(gy*e) AS r, sum(gz*e) AS t FROM g_{at}), w_{at} AS (SELECT *, a*(d*h-f*f) - b*(b*h-c*f) + c*(b*f-c*d) AS w FROM m_{at})"
         solved = ("((d*h-f*f)*p + (c*f-b*h)*r + (b*f-c*d)*t) / w", "((c*f-b*h)*p + (a*h-c*c)*r + (b*c-a*f)*t) / w", "((b*f-c*d)*p + (b*c-a*f)*r + (a*d-b*b)*t) / w")
         speed = [f"{momentum!r} * v{a} + {damping!r} * ({e})" for a, e in zip("xyz", solved)]
-        out += f", u{step} AS (SELECT {', '.join(f'{e} AS v{a}' for a, e in zip('xyz', speed))}, tx, ty, tz FROM w{step}, v{step}), v{step + 1} AS MATERIALIZED (SELECT vx, vy, vz, {', '.join(f't{a} - v{a} AS t{a}' for a in 'xyz')} FROM u{step}), p{step + 1} AS MATERIALIZED (SELECT {', '.join(f'{a} + v{a} AS {a}' for a in 'xyz')} FROM p{step}, v{step + 1})"
-    return out + f" SELECT {', '.join(f'{Q(f"t{a} + s{a}", 5)} AS d{a}' for a in 'xyz')}, {Q(' + '.join(f'b{k}*b{k}' for k in range(n)), 4)} AS beta_norm FROM v{steps}, start, beta{steps}"
+        to = f"{name}{step + 1}"
+        out += f", u_{at} AS (SELECT {', '.join(f'{e} AS v{a}' for a, e in zip('xyz', speed))}, tx, ty, tz FROM w_{at}, v_{at}), v_{to} AS MATERIALIZED (SELECT vx, vy, vz, {', '.join(f't{a} - v{a} AS t{a}' for a in 'xyz')} FROM u_{at}), p_{to} AS MATERIALIZED (SELECT {', '.join(f'{a} + v{a} AS {a}' for a in 'xyz')} FROM p_{at}, v_{to})"
+    return out + f", disp_{name} AS (SELECT {', '.join(f't{a} + s{a} AS d{a}' for a in 'xyz')} FROM v_{name}{steps}, start_{name})"
+
+
+_NORM = " + ".join(f"b{k}*b{k}" for k in range(6))
 
 
-@query(_refine_sql(4, 0.66, 0.85))
+@query(
+    CLOUD + ", moved AS (SELECT x - 0.12 AS x, y + 0.07 AS y, z - 0.2 AS z FROM cloud)" + _refine_ctes("r", "moved", 4, 0.66, 0.85)
+    + f" SELECT {', '.join(f'{Q(f"d{a}", 5)} AS d{a}' for a in 'xyz')}, {Q(_NORM, 4)} AS beta_norm FROM disp_r, beta_r4"
+)
 def local_refine_o2(spark, sf):
-    """Four shifts with momentum from an off-centre start; the finite number of steps is part of the result."""
-    s = ransac.Solver(ransac.Config(order=2, strength=0.0))
-    pts = clouds.shifted(cloud_of(spark, sf), (0.12, -0.07, 0.20)).select("x", "y", "z").toPandas().to_numpy()
-    disp, beta = s.refine(pts)
+    """Four shifts with momentum from an off-centre start; the finite number of steps is part of the result. One pass takes the moments, all steps come from them."""
+    m = moments.Moments.of_cloud(clouds.shifted(cloud_of(spark, sf), (0.12, -0.07, 0.20)), 4)
+    disp, beta = moments.refine(m, harmonic_terms(2), 4, 0.66, 0.85)
     out = q(spark.createDataFrame([(*map(float, disp), float(beta @ beta))], "dx double, dy double, dz double, beta_norm double"), "dx", "dy", "dz", digits=5)
     return q(out, "beta_norm", digits=4)
 
@@ -791,15 +802,13 @@ def gen_jitter(spark, sf):
 # --- consensus ------------------------------------------------------------
 
 
-def _mixed(spark, sf: str, eps: float, shape=generators.hexagon_prism) -> DataFrame:
-    """A surface with outliers, of as many points as the table of vectors has rows."""
-    n = max(1, spark.read.parquet(f"{sf}/embeddings.parquet").count())
-    n_out = int(np.floor(n * eps + 0.5))
-    return clouds.concatenated(generators.jittered(shape(spark, n), 0.007, 31), generators.outliers(spark, max(1, n_out), 2.0, 41), n - n_out, n_out)
+def _labelled(spark, sf: str) -> DataFrame:
+    """The cloud of the vectors; labels from 5 on count as inliers."""
+    return cloud_of(spark, sf).withColumn("gt", F.col("label") >= 5)
 
 
 _FROZEN = [ransac.Config(config_id=i, order=o, k_mult=1.4, strength=v, max_iter=60, conf=0.95, thresh=THRESH, freeze_w=True, freeze_iter=True, freeze_omega=True) for i, (o, v) in enumerate(((4, 0.0), (4, 2e-3), (6, 2e-3), (6, 1e-2)))]
-_ADAPTIVE = [ransac.Config(config_id=i, order=4, k_mult=k, strength=2e-3, max_iter=40, thresh=0.55, update_thresh=0.6, freeze_iter=f) for i, (k, f) in enumerate(((1.0, True), (1.2, True), (1.2, False)))]
+_ADAPTIVE = [ransac.Config(config_id=i, order=4, k_mult=k, strength=2e-3, max_iter=12, thresh=0.55, update_thresh=0.6, freeze_iter=f) for i, (k, f) in enumerate(((1.0, True), (1.2, True), (1.2, False)))]
 
 
 def _log_view(log: DataFrame) -> DataFrame:
@@ -809,18 +818,18 @@ def _log_view(log: DataFrame) -> DataFrame:
 
 @query()
 def ransac_frozen(spark, sf):
-    return _log_view(ransac.run(_mixed(spark, sf, 0.2), _FROZEN))
+    return _log_view(ransac.run(_labelled(spark, sf), _FROZEN))
 
 
 @query()
 def ransac_adaptive(spark, sf):
-    return _log_view(ransac.run(_mixed(spark, sf, 0.2, generators.cube), _ADAPTIVE))
+    return _log_view(ransac.run(_labelled(spark, sf), _ADAPTIVE))
 
 
 @query()
 def ransac_best(spark, sf):
     """The best model of each configuration."""
-    b = ransac.best_models(ransac.run(_mixed(spark, sf, 0.2), _FROZEN))
+    b = ransac.best_models(ransac.run(_labelled(spark, sf), _FROZEN))
     return q(b.select("config_id", "iter_no", "post_score", "inlier_ratio", "recall", "precision"), "post_score", "inlier_ratio", "recall", "precision", digits=5)
 
 
@@ -831,10 +840,40 @@ def solver_embeddings(spark, sf):
     return q(b.select("config_id", F.col("disp")[0].alias("dx"), F.col("disp")[1].alias("dy"), F.col("disp")[2].alias("dz"), "inlier_ratio", "post_score"), "dx", "dy", "dz", "inlier_ratio", "post_score", digits=5)
 
 
+_STEPPED = ransac.Config(order=2, k_mult=2.0, strength=RIDGE, max_iter=2, thresh=THRESH, loc_iters=2)
+
+
+def _solver_sql(c: ransac.Config) -> str:
+    """Every step of the solver's first iterations written out: draws by weight, fit, gate (it is open), refinement, scores, new weights."""
+    out = CLOUD + ", w0 AS (SELECT point_id, x, y, z, CAST(0.33 AS DOUBLE) AS omega, CAST(4.6 AS DOUBLE) AS mass FROM cloud)"
+    ends = []
+    for i in range(1, c.max_iter + 1):
+        draw = uniform_sql(f"(SELECT unnest(range(0, {c.sample_size})) AS draw)", c.seed, str(i), "draw", "u")
+        out += f", o{i} AS MATERIALIZED (SELECT *, sum(omega) OVER (ORDER BY point_id) AS upto, sum(omega) OVER () AS whole FROM w{i - 1}), d{i} AS ({draw})"
+        out += f", k{i} AS MATERIALIZED (SELECT draw, min(upto) AS upto FROM d{i} JOIN o{i} ON upto > u * whole GROUP BY draw), s{i} AS MATERIALIZED (SELECT x, y, z FROM k{i} JOIN o{i} USING (upto))"
+        out += f", mid{i} AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM s{i}), own{i} AS (SELECT x - mx AS x, y - my AS y, z - mz AS z FROM s{i}, mid{i})" + _named_fit(f"raw{i}", f"own{i}", c.strength, penalty(c.basis, c.order))
+        out += f", r{i} AS MATERIALIZED (SELECT x, y, z, abs({_F} - 1.0) AS r FROM (SELECT x - mx AS x, y - my AS y, z - mz AS z FROM cloud, mid{i}), beta_raw{i}), pre{i} AS (SELECT avg(exp(-(r * r) / {2 * c.sigma**2!r})) AS pre_score FROM r{i}), in{i} AS (SELECT x, y, z FROM r{i} WHERE r < {c.thresh})"
+        out += _refine_ctes(f"l{i}", f"in{i}", c.loc_iters, c.momentum, c.damping, c.strength, penalty(c.basis, c.order))
+        out += f", at{i} AS (SELECT dx + mx AS dx, dy + my AS dy, dz + mz AS dz FROM disp_l{i}, mid{i}), f{i} AS MATERIALIZED (SELECT point_id, abs({_F} - 1.0) AS r FROM (SELECT point_id, x - dx AS x, y - dy AS y, z - dz AS z FROM cloud, at{i}), beta_l{i}{c.loc_iters})"
+        out += f", post{i} AS MATERIALIZED (SELECT avg(exp(-(r * r) / {2 * c.sigma**2!r})) AS post_score, avg(CASE WHEN r < {c.thresh} THEN 1.0 ELSE 0.0 END) AS inlier_ratio, avg(r * r) AS mse_all FROM f{i})"
+        out += f", w{i} AS MATERIALIZED (SELECT point_id, x, y, z, (mass * omega + post_score * exp(-(r * r) / {2 * c.sigma**2!r})) / (mass + post_score) AS omega, mass + post_score AS mass FROM w{i - 1} JOIN f{i} USING (point_id), post{i})"
+        columns = [f"{Q(n, 5)} AS {n}" for n in ("pre_score", "post_score", "inlier_ratio", "mse_all", "dx", "dy", "dz")]
+        ends.append(f"SELECT {i} AS iter_no, {', '.join(columns)}, {Q(_NORM, 4)} AS beta_norm FROM pre{i}, post{i}, at{i}, beta_l{i}{c.loc_iters}")
+    return out + " " + " UNION ALL ".join(ends)
+
+
+@query(_solver_sql(_STEPPED))
+def solver_steps(spark, sf):
+    """The solver's first two iterations; the second one's draws follow the weights that the first one leaves."""
+    names = ["dx", "dy", "dz"]
+    log = ransac.run(cloud_of(spark, sf), [_STEPPED]).select("iter_no", "pre_score", "post_score", "inlier_ratio", "mse_all", *[F.col("disp")[k].alias(n) for k, n in enumerate(names)], "beta_norm")
+    return q(q(log, "pre_score", "post_score", "inlier_ratio", "mse_all", *names, digits=5), "beta_norm", digits=4)
+
+
 @query()
 def experiment_table(spark, sf):
     """Nested experiment rows with analysis vectors: log, vectors by configuration, exceedance of the recalls."""
-    log = ransac.run(_mixed(spark, sf, 0.1), _ADAPTIVE[:2])
+    log = ransac.run(_labelled(spark, sf), _ADAPTIVE[:2])
     n = tables.nested(q(log, "post_score", "recall", digits=5), ["config_id"], "iter_no", "post_score", "recall")
     r = tables.nested(analysis.exceedance(log, ["config_id"], "recall", [0.2, 0.5, 0.8]), ["config_id"], "alpha", "alpha", "p")
     return n.join(F.broadcast(r), "config_id", "left").select("config_id", "post_score", "recall", "alpha", "p")
@@ -851,7 +890,7 @@ _RESULT_NAMES = [
 def result_table(spark, sf):
     """The log with its constant columns in the order of the published table, less the timings; distances that were never stored stay null."""
     c = _ADAPTIVE[0]
-    cloud = _mixed(spark, sf, 0.2, generators.cube)
+    cloud = _labelled(spark, sf)
     log = tables.with_constants(ransac.run(cloud, [c]), pid=1, Qid=1, sigma=0.01, error=0.2, q=0.0, iter=c.loc_iters, N=cloud.count())
     log = log.withColumns({"sdf_rms": F.lit(None).cast("double"), "sdf_p50": F.when(~F.isnan("post_score"), F.lit(float("nan"))), "disp": F.transform("disp", lambda v: quantised(v, 5))})
     out = tables.ordered(log, _RESULT_NAMES).drop("raw_ms", "loc_ms")

@@ -4,11 +4,12 @@ import itertools
 
 import numpy as np
 import pytest
+import solver_by_hand as by_hand
 from pyspark.sql import functions as F
 
 from sphaera.functions import basis
 from sphaera.functions.portable import hazen, uniform
-from sphaera.operators import analysis, linalg, ransac, score, tables
+from sphaera.operators import analysis, linalg, moments, ransac, score, tables
 from sphaera.sources import clouds, generators, ply
 from sphaera.streaming import log_stream
 
@@ -83,7 +84,7 @@ def test_refinement_has_finite_steps():
     p = p[p[:, 2] > -0.3] + [0.12, -0.07, 0.20]
     errors = []
     for n in (4, 20, 60):
-        disp, _ = ransac.Solver(ransac.Config(order=2, loc_iters=n)).refine(p)
+        disp, _ = by_hand.Solver(ransac.Config(order=2, loc_iters=n)).refine(p)
         errors.append(np.abs(disp - [0.12, -0.07, 0.20]).max())
     assert errors[2] < 1e-3 < errors[0] and errors[1] < errors[0]
 
@@ -92,9 +93,8 @@ def test_consensus(spark):
     cloud = clouds.concatenated(generators.jittered(generators.sphere(spark, 400, 3), 0.005, 9), generators.outliers(spark, 80, 2.0, 4), 400, 80)
     frozen = ransac.Config(config_id=1, order=2, k_mult=1.5, strength=1e-3, max_iter=30, thresh=0.3, freeze_w=True, freeze_omega=True)
     adaptive = ransac.Config(config_id=2, order=2, k_mult=1.5, strength=1e-3, max_iter=30, thresh=0.3, update_thresh=0.6)
-    log = ransac.run(cloud, [frozen, adaptive], per_task=7).toPandas()
+    log = ransac.run(cloud, [frozen, adaptive]).toPandas()
     assert sorted(log.groupby("config_id").size()) == [30, 30]
-    assert ransac.run(cloud, [frozen], per_task=30).count() == 30
     seen = log[~np.isnan(log.post_score)]
     assert ((seen.tp + seen.fp + seen.fn + seen.tn) == 480).all() and seen.post_score.between(0, 1).all()
     best = ransac.best_models(spark.createDataFrame(log[log.config_id == 2], ransac.LOG_SCHEMA)).first()
@@ -107,10 +107,84 @@ def test_consensus(spark):
         ransac.Config(is_global=True)
 
 
+LOG_NAMES = "pre_score post_score inlier_ratio beta_norm mse_all mse_inlier w max_n max_iter tp fp fn tn precision recall f1".split()
+
+
+def assert_like_by_hand(rows, config, points, truth, centre):
+    want = list(by_hand.iterate(config, points - centre, truth))
+    assert len(rows) == len(want)
+    for got, row in zip(rows, want, strict=True):
+        assert got.iter_no == row["iter_no"] and got.singular == row["singular"]
+        for name in LOG_NAMES:
+            assert np.isclose(got[name], row[name], rtol=1e-7, equal_nan=True), (got.iter_no, name, got[name], row[name])
+        assert (got.disp is None) == (row["disp"] is None)
+        if got.disp is not None:
+            assert np.allclose(got.disp, np.array(row["disp"]) + centre, atol=1e-8) and np.allclose(got.beta, row["beta"], atol=1e-6)
+
+
+@pytest.mark.parametrize("with_truth", [True, False])
+def test_solver_in_blocks_equals_the_loop(spark, monkeypatch, with_truth):
+    """Blocks of 64 points in several parts, weights stored anew every third surface: the rows of the loop over one matrix."""
+    monkeypatch.setattr(ransac, "BLOCK", 64)
+    monkeypatch.setattr(ransac, "KEEP", 3)
+    monkeypatch.setattr(ransac, "AT_ONCE", 7)
+    cloud = clouds.concatenated(generators.jittered(generators.sphere(spark, 500, 3), 0.01, 9), generators.outliers(spark, 120, 2.0, 4), 500, 120)
+    cloud = clouds.shifted(cloud, (-0.4, 0.2, 0.1)).withColumn("point_id", (F.col("point_id") * 7919 % 10007) - 5000)
+    p = cloud.toPandas().sort_values("point_id")
+    points, truth = p[["x", "y", "z"]].to_numpy(), p["gt"].to_numpy(bool) if with_truth else None
+    common = {"order": 2, "k_mult": 1.5, "strength": 1e-3, "thresh": 0.3}
+    configs = [
+        ransac.Config(config_id=1, max_iter=12, **common),
+        ransac.Config(config_id=2, max_iter=20, freeze_omega=True, update_thresh=0.9, freeze_iter=False, **common),
+        ransac.Config(config_id=3, max_iter=9, freeze_w=True, freeze_omega=True, seed=5, **common),
+        ransac.Config(config_id=4, max_iter=8, freeze_iter=False, conf=0.5, seed=9, **common | {"order": 4, "k_mult": 0.8}),
+    ]
+    log = ransac.run(cloud if with_truth else cloud.drop("gt"), configs).orderBy("config_id", "iter_no").collect()
+    for c in configs:
+        assert_like_by_hand([r for r in log if r.config_id == c.config_id], c, points, truth, points.mean(0))
+    assert sum(r.post_score == r.post_score for r in log if r.config_id == 1) > 6  # weights were stored anew
+
+
+def test_solver_edges(spark, monkeypatch):
+    """Few points, equal ids, samples without a unique surface, a threshold that nothing meets."""
+    rows = [(i % 3, float(i % 2), 1.0, float(i)) for i in range(9)]
+    cloud = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    log = ransac.run(cloud, [ransac.Config(order=2, max_iter=3), ransac.Config(config_id=2, order=2, max_iter=3, strength=0.1, thresh=1e-12)]).collect()
+    assert all(r.singular and r.pre_score != r.pre_score for r in log if r.config_id == 1)
+    assert all(not r.singular and r.pre_score > 0 and r.post_score != r.post_score for r in log if r.config_id == 2)
+    assert ransac.solve_cloud(cloud, ransac.Config(order=2, max_iter=2)).count() == 0
+    assert ransac.run(cloud, []).count() == 0
+
+
+def test_moments_translate():
+    p = R.normal(size=(300, 3))
+    for degree in (2, 5, 8):
+        m = moments.Moments.of_points(p, degree)
+        moved = m.translated(np.array([0.3, -0.2, 0.1])).dense
+        for a, b, c in moments.exponents(degree):
+            q = p + [0.3, -0.2, 0.1]
+            assert np.isclose(moved[a, b, c], (q[:, 0] ** a * q[:, 1] ** b * q[:, 2] ** c).sum(), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize(("order", "strength"), [(2, 0.0), (4, 0.0), (4, 2e-3), (6, 2e-3)])
+def test_refinement_from_moments(spark, order, strength):
+    """Displacement to 1e-10 and coefficients to 1e-8 of those that pass over the points for every step."""
+    p = R.normal(size=(700, 3))
+    p = p / np.linalg.norm(p, axis=1)[:, None] * [1, 0.9, 0.8] + R.normal(size=p.shape) * 0.02 + [0.12, -0.07, 0.2]
+    cloud = spark.createDataFrame([tuple(map(float, v)) for v in p], "x double, y double, z double").repartition(3)
+    s = by_hand.Solver(ransac.Config(order=order, strength=strength))
+    disp, beta = s.refine(p)
+    m = moments.Moments.of_cloud(cloud, 2 * order)
+    got, own = moments.refine(m, s.terms, 4, 0.66, 0.85, strength, s.weights)
+    assert np.allclose(got, disp, atol=1e-10) and np.allclose(own, beta, rtol=1e-8, atol=1e-8 * np.abs(beta).max())
+    assert np.isclose(m.square_residuals(s.terms, beta), ((basis.design(s.terms, p) @ beta - 1) ** 2).sum(), rtol=1e-6)
+    assert moments.Moments.of_cloud(cloud.limit(0), 2 * order).count == 0
+
+
 def test_weights_follow_the_closed_form():
     pts = R.normal(size=(60, 3))
     c = ransac.Config(order=2, k_mult=2.0, max_iter=6, strength=1e-3)
-    rows = list(ransac.iterate(c, pts, None))
+    rows = list(by_hand.iterate(c, pts, None))
     mass = 4.6 + sum(r["post_score"] for r in rows if r["soft"] is not None)
     closed = (4.6 * 0.33 + sum(r["post_score"] * r["soft"] for r in rows if r["soft"] is not None)) / mass
     omega, m = np.full(60, 0.33), 4.6
@@ -126,9 +200,9 @@ def test_first_bound_and_implied_one():
     pts = R.normal(size=(60, 3))
     free = ransac.Config(order=2, k_mult=1.0, max_iter=100, conf=0.96, min_inlier_ratio=0.65, freeze_w=True, freeze_iter=False, thresh=1e-9, strength=1e-3)
     assert ransac.theoretical_n(0.65, 6, 0.96) == 42
-    rows = list(ransac.iterate(free, pts, None))
+    rows = list(by_hand.iterate(free, pts, None))
     assert len(rows) == 42 and {r["max_iter"] for r in rows} == {42.0} and {r["max_n"] for r in rows} == {84.0}
-    kept = list(ransac.iterate(ransac.replace(free, freeze_iter=True, max_iter=50), pts, None))
+    kept = list(by_hand.iterate(ransac.replace(free, freeze_iter=True, max_iter=50), pts, None))
     assert len(kept) == 50 and {r["max_iter"] for r in kept} == {50.0} and kept[0]["max_n"] == 84.0
 
 
@@ -292,17 +366,50 @@ def test_stream(spark, tmp_path):
     assert windows.count() >= 8
 
 
-def test_solver_scores_all_points_of_a_large_cloud(spark, monkeypatch):
+def test_solver_scores_all_points(spark, monkeypatch):
     cloud = generators.jittered(generators.sphere(spark, 400), 0.02, 5)
     far = cloud.select((F.col("point_id") + 400).alias("point_id"), *[(F.col(a) * 3).alias(a) for a in "xyz"], F.lit(False).alias("gt"))
     cloud = cloud.select("point_id", "x", "y", "z", F.lit(True).alias("gt")).unionByName(far)
     config = ransac.Config(order=2, k_mult=2.0, strength=1e-3, max_iter=30, thresh=0.3)
-    monkeypatch.setattr(ransac, "MAX_POINTS", 500)
+    monkeypatch.setattr(ransac, "BLOCK", 100)
     row = ransac.solve_cloud(cloud, config).first()
     assert row.tp + row.fp + row.fn + row.tn == 800
     p = cloud.toPandas()
-    s = ransac.Solver(config)
+    s = by_hand.Solver(config)
     r = s.residual(p[["x", "y", "z"]].to_numpy(float) - np.array(row.disp), np.array(row.beta))
     inside, truth = r < config.thresh, p["gt"].to_numpy(bool)
     assert np.allclose([row.inlier_ratio, row.post_score, row.mse_all, row.mse_inlier], [inside.mean(), s.score(r), (r**2).mean(), (r[inside] ** 2).mean()])
     assert (row.tp, row.fp) == ((truth & inside).sum(), (~truth & inside).sum())
+
+
+def test_band_join_against_all_pairs(spark):
+    """Tolerance look-ups at cell edges, with negative, null, NaN and infinite keys; the cells are keys of the join."""
+    r, t = np.random.default_rng(6), {"eps": 0.01, "k": 0.3}
+    value = lambda: float(r.choice([0.0, -0.02, 0.02, 0.02 * (1 + 1e-6), 0.01, 0.03, 1e9, r.normal(0, 0.05)]))
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    rows = lambda n: [(int(r.integers(2)), value(), float(r.integers(-3, 4)) / 10, i) for i in range(n)] + [(1, x, y, 1000 + i) for i, (x, y) in enumerate(itertools.product([0.0, *odd], odd))] + [(None, 0.0, 0.0, 2000)]
+    results, wanted = rows(300), [w[:3] for w in rows(120)]
+    right = spark.createDataFrame(results, "order int, eps double, k double, row long")
+    left = spark.createDataFrame([(*w, f"n{i}") for i, w in enumerate(wanted)], "order int, eps double, k double, name string")
+    near = lambda a, b, tol: a is not None and b is not None and abs(a - b) < tol
+    want = {}
+    for i, w in enumerate(wanted):
+        own = [x[3] for x in results if w[0] is not None and w[0] == x[0] and near(w[1], x[1], t["eps"]) and near(w[2], x[2], t["k"])]
+        want[f"n{i}"] = max(own) if own else None
+    got = {x["name"]: x.r_row for x in analysis.look_up(left, right, ["order"], t, "row").collect()}
+    assert got == {n: x for n, x in want.items() if x is not None}
+    assert sorted(x["name"] for x in analysis.misses(left, right, ["order"], t).collect()) == sorted(n for n, x in want.items() if x is None)
+    assert analysis.look_up(left, right, ["order"], {"eps": 0.0}, "row").count() == 0 and analysis.misses(left, right, ["order"], {"eps": 0.0}).count() == len(wanted)
+    plan = analysis.look_up(left.hint("merge"), right, ["order"], t, "row")._jdf.queryExecution().executedPlan().toString()
+    keys = next(line for line in plan.splitlines() if "SortMergeJoin" in line or "HashJoin" in line)
+    assert all(f"__{s}{k}" in keys for s in "wr" for k in (0, 1))
+
+
+def test_band_join_of_many_rows_of_one_order(spark):
+    """200,000 by 200,000 rows of one order: some rows meet, not all pairs."""
+    n = 200_000
+    right = spark.range(n).select(F.lit(4).alias("order"), (F.col("id") * 0.001).alias("eps"), F.col("id").alias("row"))
+    left = right.select("order", (F.col("eps") + 0.0004).alias("eps"))
+    got = analysis.look_up(left, right, ["order"], {"eps": 0.0005}, "row")
+    assert got.count() == n and got.filter(F.abs(F.col("eps") - F.col("r_eps")) >= 0.0005).count() == 0
+    assert analysis.misses(left.limit(1000), right, ["order"], {"eps": 0.0005}).count() == 0
