@@ -4,23 +4,24 @@ Pass 1 finds the hashes that occur again. The hash space is cut into shards in
 proportion to the rows, a row's place in its shard is a number of 32 bits. Each task
 packs the places of a shard into one list, so what shuffles is some 4 bytes a row in
 a few records a task; places that a list holds twice, or two lists of a shard hold,
-are possibly repeated. They make a Bloom filter of 16 bits each, two of them set in one
+are possibly repeated. With at most ``MAX_TASKS`` tasks a list has ``LEAST_LIST`` places on
+average at least, however many rows there are. The places make a Bloom filter of 16 bits each, two of them set in one
 word of 64: a text whose bits are not in it is certainly unique. Pass 2 looks every
-row up in that filter (one broadcast hash join on the filter's word) and only the
+row up in that filter (a broadcast hash join on the filter's word) and only the
 possibly repeated rows shuffle, by digest; the rest pass straight through.
 
-The filter grows with the repeated texts, not with the rows, up to ``MAX_WORDS``
-words, so its broadcast has a fixed bound. From some 8 million repeated texts on it
-gets denser: more rows are possibly repeated and shuffle (5 % of the others at 16
-million), with the same result. A list is as long as a task's rows in a shard: copies
-of one text count once for each task when lists meet, so no group makes a long one.
-What shuffles are places, ids and digests, no texts.
+The filter grows with the repeated texts. Up to ``RANGE_WORDS`` words are one broadcast;
+a larger filter is cut into ranges of that many, the digests are written anew by
+range (rows stay in their tasks), and each range meets its own part of the filter. So
+the filter is equally dense at every size, and no broadcast exceeds its bound. A list is as
+long as a task's rows in a shard: copies of one text count once for each task when lists meet,
+so no group makes a long one. What shuffles are places, ids and digests, no texts.
 
 Defined cases: a null text equals the empty one; equal means identical code
 points; of equal texts the largest doc_id stays (nulls are smaller than any id;
 a group with null ids only keeps all its rows); rows that repeat both doc_id and
-text are all kept together; an empty table gives an empty result; other columns
-are neither read nor in the way.
+text are all kept together; a text of any length is hashed whole, once; an empty table gives an
+empty result; other columns are neither read nor in the way.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialise, text_or_empty
+from ..functions.shared import work_path
+from .common import fields, join_counted, materialise, text_or_empty
 
-#: Bits of filter a repeated place, and the fixed bound of its words: 2**21 are 16 MB of bits.
-BITS_PER_PLACE = 16
-MAX_WORDS = 1 << 21
+#: Bits of filter a repeated place, least number of its words, and words of one broadcast (4 MB of bits).
+BITS_PER_PLACE, MIN_WORDS, RANGE_WORDS = 16, 1 << 10, 1 << 19
 #: Rows of a shard, about, and least number of shards.
-SHARD_ROWS, MIN_SHARDS = 1 << 20, 16
+SHARD_ROWS, MIN_SHARDS = 1 << 22, 16
+#: Places of a list on average when shards are full, and the tasks that takes: rows / tasks / shards.
+LEAST_LIST = 64
+MAX_TASKS = SHARD_ROWS // LEAST_LIST
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -68,6 +72,20 @@ def repeat_filter(places: DataFrame, n_words: int) -> DataFrame:
     return places.select(*_bits(key, n_words)).groupBy("word").agg(F.bit_or("mask").alias("twice"))
 
 
+def _by_ranges(rows: DataFrame, bits: DataFrame, n: int) -> DataFrame:
+    """rows with their word of the filter, a broadcast for each of n ranges of words; rows are written by range, without a shuffle."""
+    spark = rows.sparkSession
+    path = work_path(spark, "exact-ranges")
+    rows.withColumn("range", F.floor(F.col("word") / RANGE_WORDS).cast("int")).write.partitionBy("range").parquet(path)
+    stored = spark.read.schema(f"{fields(rows)}, range int").parquet(path)
+    found = None
+    for k in range(n):
+        own = bits.filter((F.col("word") >= k * RANGE_WORDS) & (F.col("word") < (k + 1) * RANGE_WORDS))
+        met = stored.filter(F.col("range") == k).drop("range").join(F.broadcast(own), "word", "left")
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def _bits(key: Column, n_words: int) -> list[Column]:
     """The word of a place in the filter and its two bits there."""
     a = key.bitwiseAND(F.lit(63)).cast("int")
@@ -81,12 +99,16 @@ def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     hashed = materialise(digests(docs, text, doc_id), "exact-digests")
     total = hashed.count()
     n_shards = max(MIN_SHARDS, total // SHARD_ROWS)
-    places = materialise(repeated_places(hashed, n_shards), "exact-places")
-    wanted, n_words = places.count() * BITS_PER_PLACE // 64, 1 << 10
-    while n_words < min(wanted, MAX_WORDS):
+    places = materialise(repeated_places(hashed.coalesce(MAX_TASKS), n_shards), "exact-places")
+    wanted, n_words = places.count() * BITS_PER_PLACE // 64, MIN_WORDS
+    while n_words < wanted:
         n_words *= 2
-    found = hashed.select("doc_id", "digest", *_bits(F.xxhash64(_shard(n_shards), _slot()), n_words))
-    found = found.join(F.broadcast(repeat_filter(places, n_words)), "word", "left")
+    rows = hashed.select("doc_id", "digest", *_bits(F.xxhash64(_shard(n_shards), _slot()), n_words))
+    bits = repeat_filter(places, n_words)
+    if n_words > RANGE_WORDS:
+        found = _by_ranges(rows, materialise(bits, "exact-filter"), n_words // RANGE_WORDS)
+    else:
+        found = rows.join(F.broadcast(bits), "word", "left")
     suspect = F.coalesce(F.col("twice").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
     found = found.select("doc_id", "digest", suspect.alias("suspect"))
     again = found.filter("suspect").select("doc_id", "digest")

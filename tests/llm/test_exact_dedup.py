@@ -35,10 +35,29 @@ def test_against_brute_force(spark):
     assert result(spark, rows) == brute(rows)
 
 
-def test_small_filter_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(m, "MAX_WORDS", 1 << 10)
-    monkeypatch.setattr(m, "BITS_PER_PLACE", 1 << 20)
-    rows = [(i, f"text {i % 3000}", "", "", "") for i in range(5000)]
+def test_filter_in_ranges_gives_the_same(spark, monkeypatch):
+    """A filter beyond one broadcast is cut, at the same density: unique rows still pass straight through."""
+    monkeypatch.setattr(m, "MIN_WORDS", 16)
+    monkeypatch.setattr(m, "RANGE_WORDS", 128)
+    rows = [(i, f"text {i % 3000}", "", "", "") for i in range(5000)] + [(10_000 + i, f"own {i}", "", "", "") for i in range(2000)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_more_shards_than_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(m, "MIN_SHARDS", 512)
+    monkeypatch.setattr(m, "MAX_TASKS", 3)
+    rows = [(i, f"text {i % 200}", "", "", "") for i in range(300)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_lists_are_packed_at_any_size():
+    """Tasks are so few that a full shard's list has its least length, whatever the number of rows."""
+    for rows in (10**9, 10**11, 10**13):
+        assert rows / m.MAX_TASKS / (rows // m.SHARD_ROWS) >= m.LEAST_LIST
+
+
+def test_long_texts(spark):
+    rows = [(i, "x" * 3_000_000 + str(i % 2), "", "", "") for i in range(4)] + [(9, None, "", "", "")]
     assert result(spark, rows) == brute(rows)
 
 
