@@ -87,6 +87,77 @@ def solve(matrix: np.ndarray, moment: np.ndarray, rows: float, strength: float =
     return np.linalg.solve(matrix, moment)
 
 
+#: Triangles that are merged at once.
+MERGED = 32
+
+
+def triangle(cloud: DataFrame, terms: tuple[Term, ...]) -> tuple[np.ndarray, float]:
+    """R of the QR factorisation of [design, ones] and the number of rows, without a product of the design with itself.
+
+    Each task keeps one triangle while it reads its rows; the tasks' triangles are merged by
+    ``MERGED`` in a tree until so few are left, and only those come to the driver. Condition numbers are not
+    squared, as they are by Gram sums.
+    """
+    n = len(terms) + 1
+
+    def stacked(held: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.concatenate((held, more)), mode="r")
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from sphaera.functions.basis import design
+
+        held, rows = np.zeros((0, n)), 0
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                points = b[["x", "y", "z"]].to_numpy(float)[at : at + 4096]
+                held, rows = stacked(held, np.column_stack((design(terms, points), np.ones(len(points))))), rows + len(points)
+        if rows:
+            yield pd.DataFrame({"part": b["part"].iloc[:1], "r": [held.tobytes()], "rows": [float(rows)]})
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((0, n))
+        for r in group["r"]:
+            held = stacked(held, np.frombuffer(r).reshape(-1, n))
+        return pd.DataFrame({"part": group["part"].iloc[:1] // MERGED, "r": [held.tobytes()], "rows": [group["rows"].sum()]})
+
+    schema = "part bigint, r binary, rows double"
+    parts = cloud.rdd.getNumPartitions()
+    found = cloud.select("x", "y", "z", F.spark_partition_id().cast("long").alias("part")).mapInPandas(own, schema)
+    while parts > MERGED:
+        found = found.groupBy(F.floor(F.col("part") / MERGED)).applyInPandas(merged, schema)
+        parts = -(-parts // MERGED)
+    held, rows = np.zeros((0, n)), 0.0
+    for r, k in sorted((bytes(r), k) for r, k in found.select("r", "rows").collect()):
+        held, rows = stacked(held, np.frombuffer(r).reshape(-1, n)), rows + k
+    return np.concatenate((held, np.zeros((max(0, n - len(held)), n)))), rows
+
+
+def solve_triangle(r: np.ndarray, rows: float, strength: float = 0.0, weights: np.ndarray | None = None) -> np.ndarray | None:
+    """Coefficients from the triangle of [design, ones]; the penalty is more rows of the design. None if the columns depend on each other and none is penalised."""
+    n = r.shape[1] - 1
+    if strength:
+        penalty_rows = np.column_stack((np.diag(np.sqrt(strength * rows * (np.ones(n) if weights is None else weights))), np.zeros(n)))
+        r = np.linalg.qr(np.concatenate((r, penalty_rows)), mode="r")
+    upper, right = r[:n, :n], r[:n, n]
+    # columns of very different size are no dependence
+    size = np.linalg.norm(upper, axis=0)
+    if not size.all() or np.linalg.cond(upper / size) > 1 / (8 * n * np.finfo(float).eps):
+        return None
+    return np.linalg.solve(upper / size, right) / size
+
+
+def fit_qr(cloud: DataFrame, terms: tuple[Term, ...], strength: float = 0.0, order: int | None = None, s: float = 1.0) -> np.ndarray | None:
+    """As fit, by QR: for clouds whose Gram matrix is singular to working precision."""
+    r, rows = triangle(cloud, terms)
+    return solve_triangle(r, rows, strength, None if order is None else penalty(terms, order, s))
+
+
+def spectrum_qr(cloud: DataFrame, terms: tuple[Term, ...]) -> np.ndarray:
+    """Eigenvalues of the Gram matrix over the rows, largest first: squares of the triangle's singular values, so small ones keep their digits."""
+    r, rows = triangle(cloud, terms)
+    return np.linalg.svd(r[:, :-1], compute_uv=False)[: len(terms)] ** 2 / max(rows, 1.0)
+
+
 def fit(cloud: DataFrame, terms: tuple[Term, ...], strength: float = 0.0, order: int | None = None, s: float = 1.0) -> np.ndarray | None:
     """Implicit surface through the cloud; with order, the penalty follows the Sobolev weights."""
     g = Gram.collect(gram(cloud, terms), len(terms))

@@ -228,7 +228,7 @@ for _name, _l, _w, _ord in (("fit_o2_ols", 0.0, None, None), ("fit_o2_iso", RIDG
 query(_fit_ctes(RIDGE, penalty(harmonic_terms(4), 4), 4) + " UNION ALL ".join(f"SELECT {k} AS term, {Q(f'b{k}', 4)} AS beta FROM beta" for k in range(15)), "fit_o4")(
     lambda spark, sf: _beta_rows(spark, linalg.fit(cloud_of(spark, sf), harmonic_terms(4), RIDGE, 4), 4)
 )
-query(None, "fit_o6")(_fit_query(RIDGE, 6, 6))
+query(None, "fit_o6")(lambda spark, sf: _beta_rows(spark, linalg.fit_qr(cloud_of(spark, sf), harmonic_terms(6), RIDGE, 6)))
 _FIT = _fit_ctes(RIDGE, _SOBOLEV)
 _F = "(" + " + ".join(f"b{k}*{t.sql()}" for k, t in enumerate(harmonic_terms(2))) + ")"
 _G = ["(" + " + ".join(f"b{k}*{e}" for k, e in enumerate(axis)) + ")" for axis in gradient_sql(harmonic_terms(2))]
@@ -242,7 +242,7 @@ def _fitted(spark, sf) -> tuple[DataFrame, tuple[Term, ...], np.ndarray]:
 @query()
 def spectrum(spark, sf):
     """Eigenvalues of the order 4 Gram matrix over the rows, largest first, and their condition number."""
-    ev = linalg.Gram.collect(linalg.gram(cloud_of(spark, sf), harmonic_terms(4)), 15).spectrum()
+    ev = linalg.spectrum_qr(cloud_of(spark, sf), harmonic_terms(4))
     return q(spark.createDataFrame([(k, float(v), float(ev[0] / ev[-1])) for k, v in enumerate(ev)], "rank int, eigenvalue double, condition double"), "eigenvalue", "condition", digits=5)
 
 
@@ -255,7 +255,7 @@ def spectrum_moments(spark, sf):
 
 @query()
 def shrinkage(spark, sf):
-    ev = linalg.Gram.collect(linalg.gram(cloud_of(spark, sf), harmonic_terms(4)), 15).spectrum()
+    ev = linalg.spectrum_qr(cloud_of(spark, sf), harmonic_terms(4))
     rows = linalg.shrinkage(ev, [0.0] + [10.0**k for k in range(-6, 6)])
     return spark.createDataFrame(rows, "strength double, least double, median double, largest double")
 
@@ -391,11 +391,12 @@ def lambda_sweep_o2(spark, sf):
 
 def _sweep(spark, sf, order: int) -> DataFrame:
     c, terms = cloud_of(spark, sf), harmonic_terms(order)
-    g = linalg.Gram.collect(linalg.gram(c, terms), len(terms))
+    r, n = linalg.triangle(c, terms)
     rows = []
     for v in _SWEEP:
-        b = linalg.solve(g.matrix, g.moment, g.rows, v, penalty(terms, order))
-        rows.append((float(v), b is None, float("nan") if b is None else float(b @ b), float("nan") if b is None else float((g.rows - 2 * b @ g.moment + b @ g.matrix @ b) / g.rows)))
+        b = linalg.solve_triangle(r, n, v, penalty(terms, order))
+        rest = None if b is None else r[:, :-1] @ b - r[:, -1]
+        rows.append((float(v), b is None, float("nan") if b is None else float(b @ b), float("nan") if b is None else float(rest @ rest / n)))
     return spark.createDataFrame(rows, "strength double, singular boolean, beta_norm double, mse double")
 
 

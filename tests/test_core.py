@@ -283,6 +283,25 @@ def test_generators(spark):
             bad()
 
 
+def test_sketches_bound_ranks_and_merge(spark):
+    """Over many cuts of a skewed, tied column the order statistic lies within the sketch's interval; sketches of parts merge in any order."""
+    from sphaera.functions.portable import MARGIN, RANK_ERROR, SKETCH_K
+
+    n = 200_000
+    rows = spark.range(n).select((F.floor(F.exp(uniform(3, 0, F.col("id")) * 12)) + F.col("id") % 3).alias("v"), (F.col("id") % 7).alias("part"))
+    exact = np.sort(np.array([r[0] for r in rows.select("v").collect()], float))
+    parts = rows.groupBy("part").agg(F.kll_sketch_agg_double(F.col("v").cast("double"), SKETCH_K).alias("s"))
+    for order in ("part", F.desc("part"), F.hash("part")):
+        merged = parts.orderBy(order).coalesce(1).agg(F.kll_merge_agg_double("s").alias("s"))
+        shares = [0.01, 0.25, 0.5, 0.9, 0.998]
+        found = merged.select(*[F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(f"q{k}") for k, p in enumerate(shares)]).first()
+        for p, x in zip(shares, found, strict=True):
+            low, high = np.searchsorted(exact, x, "left") / n, np.searchsorted(exact, x, "right") / n
+            assert low - MARGIN * RANK_ERROR <= p <= high + MARGIN * RANK_ERROR
+    got = hazen(rows, [], "v", [1, 50, 99.8, 100]).first()
+    assert np.allclose(got, [np.percentile(exact, p, method="hazen") for p in (1, 50, 99.8, 100)])
+
+
 def test_percentiles_are_hazen(spark):
     rows = spark.createDataFrame([(1, float(v)) for v in range(1, 11)] + [(2, 5.0), (1, float("nan")), (3, None)], "k int, v double")
     found = {r.k: (r.p50, r.p95, r.p100) for r in hazen(rows, ["k"], "v", [50, 95, 100]).collect()}
