@@ -10,7 +10,9 @@ probabilities in proportion to the weights.
 All counts cover all documents. The models grow with the corpus: ``BUCKETS`` up to
 64 MB of text, then with the square root of its size, so a bucket mixes more n-grams
 only as fast as it sees more of them; ``MAX_BUCKETS`` (32 MB) bounds the broadcast.
-Counts are summed per task first, to at most a row a bucket and task.
+Each task sums its counts, and sends them as packed arrays of ``RANGE`` buckets; these are added up
+by ``MERGED`` in a tree, so no task holds more than ``MERGED`` arrays of one range.
+At the bound a bucket of a 100 TB corpus mixes five times the n-grams that one of 4 TB does; texts are still all counted and weighed.
 The k-th largest key is found by narrowing a histogram, not by a global sort.
 
 By default k is the number of texts times the labelled share of good ones.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,8 @@ SEED = 17
 #: Ids of good texts up to this number are broadcast (8 bytes each), more, or others than integers, are joined.
 MAX_BROADCAST_LABELS = 1 << 22
 _BINS = 1024
+#: Buckets of a packed array, arrays that are added up at once.
+RANGE, MERGED = 1 << 14, 64
 
 
 def block_grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,19 +86,41 @@ def count_grams(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
                 doc, gram = block_grams(data, offsets, buckets)
                 raw += np.bincount(gram, minlength=buckets)
                 target += np.bincount(gram[mark[row + doc]], minlength=buckets)
-        some = np.flatnonzero(raw)
-        for at in range(0, len(some), 1 << 16):
-            own = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"bucket": own, "target": target[own], "raw": raw[own]})
+        part = TaskContext.get().partitionId()
+        for at in range(0, buckets, RANGE):
+            if raw[at : at + RANGE].any():
+                yield _packed(part, at // RANGE, target[at : at + RANGE], raw[at : at + RANGE])
 
-    sums = lean.mapInArrow(tx.lean(run), "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-    found = sums.toArrow()
     target, raw = np.zeros(buckets), np.zeros(buckets)
-    at = found.column("bucket").to_numpy()
-    target[at], raw[at] = found.column("target").to_numpy(), found.column("raw").to_numpy()
+    for at, t, r in summed(lean.mapInArrow(tx.lean(run), _PACKED), lean.rdd.getNumPartitions()).toLocalIterator():
+        for out, own in ((target, t), (raw, r)):
+            own = np.frombuffer(own, np.int64)
+            out[at * RANGE : at * RANGE + len(own)] += own
     return target, raw
 
 
+_PACKED = "part bigint, range int, target binary, raw binary"
+
+
+def _packed(part: int, at: int, target: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array([part], pa.int64()), pa.array([at], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (target, raw)]]
+    return pa.RecordBatch.from_arrays(cells, names=["part", "range", "target", "raw"])
+
+
+def summed(counts: DataFrame, parts: int) -> DataFrame:
+    """range, target, raw: packed arrays added up, MERGED parts at a time until few are left; the caller adds those."""
+
+    def add(table: pa.Table) -> pa.Table:
+        both = [np.sum([np.frombuffer(v.as_py(), np.int64) for v in table.column(c)], axis=0) for c in ("target", "raw")]
+        return pa.Table.from_batches([_packed(table.column("part")[0].as_py() // MERGED, table.column("range")[0].as_py(), *both)])
+
+    while True:
+        counts = counts.groupBy("range", F.floor(F.col("part") / MERGED)).applyInArrow(add, _PACKED)
+        parts = -(-parts // MERGED)
+        if parts <= 1:
+            return counts.select("range", "target", "raw")
+
+
 def buckets_for(n_bytes: int) -> int:
     """Buckets for so much text: a power of two."""
     n = BUCKETS

@@ -49,6 +49,33 @@ def test_counts_and_weights(spark, monkeypatch, most):
     assert [a for a, _ in found] == [a for a, _ in want] and np.allclose([b for _, b in found], [b for _, b in want])
 
 
+def test_packed_counts_are_summed_in_a_tree(spark, monkeypatch):
+    """Many tasks, several ranges of buckets: the counts of one task over all texts; no record is a bucket's."""
+    docs, labels = corpus(200, 7)
+    la = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    one = m.count_grams(spark.createDataFrame(docs, SCHEMA).coalesce(1), la)
+    monkeypatch.setattr(m, "RANGE", 1000)
+    monkeypatch.setattr(m, "MERGED", 3)
+    many = m.count_grams(spark.createDataFrame(docs, SCHEMA).repartition(11), la)
+    assert all((a == b).all() for a, b in zip(one, many, strict=True))
+    parts = spark.createDataFrame([(p, r, np.full(4, p).tobytes(), np.ones(4, np.int64).tobytes()) for p in range(20) for r in range(2)], m._PACKED)
+    found = m.summed(parts, 20).collect()
+    assert len(found) == 2 and all(np.frombuffer(f.target, np.int64).tolist() == [190] * 4 and np.frombuffer(f.raw, np.int64).tolist() == [20] * 4 for f in found)
+
+
+def test_selection_at_the_bound(spark):
+    """The most buckets that there can be prefer the good texts as the least do."""
+    docs, labels = corpus(300, 8)
+    d, la = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels[:150], "doc_id bigint, quality int")
+    good = {i for i, q in labels if q}
+    hits = []
+    for n in (m.BUCKETS, m.MAX_BUCKETS):
+        rows = m.weigh(d, m.log_ratio(*m.count_grams(d, la, buckets=n))).collect()
+        best = sorted(rows, key=lambda r: -r.log_weight)[: len(good)]
+        hits.append(sum(r.doc_id in good for r in best) / len(good))
+    assert min(hits) > 0.9 and hits[1] > hits[0] - 0.02
+
+
 def test_draws_k_and_prefers_the_good(spark):
     docs, labels = corpus(500, 2)
     d = spark.createDataFrame(docs, SCHEMA)
