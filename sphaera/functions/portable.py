@@ -90,16 +90,16 @@ def hazen(rows: DataFrame, keys: list[str], value: str, percents: list[float]) -
             at = [F.kll_sketch_get_quantile_double("__sketch", F.lit(f)) for f in (end, share)]
             bounds.append(F.when(F.col("__n") < FEW_ROWS, at[0]).otherwise(at[1]).alias(f"__{name}{k}"))
         bounds += [F.floor(h).alias(f"__first{k}"), F.ceil(h).alias(f"__second{k}"), (h - F.floor(h)).alias(f"__share{k}")]
-        cell = F.struct(F.lit(k).alias("k"), *[F.col(f"__{n}{k}").alias(n) for n in ("first", "second", "share")], F.when(F.col("__v") >= F.col(f"__low{k}"), F.col("__v")).alias("v"))
+        cell = F.struct(F.lit(k).alias("__k"), *[F.col(f"__{n}{k}").alias(f"__{n}") for n in ("first", "second", "share")], F.when(F.col("__v") >= F.col(f"__low{k}"), F.col("__v")).alias("__x"))
         entries.append(F.when(F.col("__v") <= F.col(f"__high{k}"), cell))
     both = good.join(settled(sketched.select(*by, *bounds)), by)
-    counts = both.select(*by, F.explode(F.array(*entries)).alias("c")).filter("c IS NOT NULL").select(*by, "c.*").groupBy(*by, "k", "first", "second", "share", "v").agg(F.count("*").alias("__c"))
-    ranked = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("v"))))
-    holds = lambda rank: (F.col("__upto") >= F.col(rank)) & (F.col("__upto") - F.col("__c") < F.col(rank)) & F.col("v").isNotNull()
-    pairs = ranked.groupBy(*by, "k", "share").agg(F.max(F.when(holds("first"), F.col("v"))).alias("a"), F.max(F.when(holds("second"), F.col("v"))).alias("b"))
+    counts = both.select(*by, F.explode(F.array(*entries)).alias("__cell")).filter("__cell IS NOT NULL").select(*by, "__cell.*").groupBy(*by, "__k", "__first", "__second", "__share", "__x").agg(F.count("*").alias("__c"))
+    ranked = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*by, "__k").orderBy(F.asc_nulls_first("__x"))))
+    holds = lambda rank: (F.col("__upto") >= F.col(rank)) & (F.col("__upto") - F.col("__c") < F.col(rank)) & F.col("__x").isNotNull()
+    pairs = ranked.groupBy(*by, "__k", "__share").agg(F.max(F.when(holds("__first"), F.col("__x"))).alias("__a"), F.max(F.when(holds("__second"), F.col("__x"))).alias("__b"))
     missed = F.raise_error(F.lit("a percentile lies outside the interval of its sketch; run again")).cast("double")
-    pairs = pairs.withColumn("x", F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(F.col("a") + F.col("share") * (F.col("b") - F.col("a"))))
-    out = [F.max(F.when(F.col("k") == k, F.col("x"))).alias(f"p{p:g}".replace(".", "_")) for k, p in enumerate(percents)]
+    pairs = pairs.withColumn("__y", F.when(F.col("__a").isNull() | F.col("__b").isNull(), missed).otherwise(F.col("__a") + F.col("__share") * (F.col("__b") - F.col("__a"))))
+    out = [F.max(F.when(F.col("__k") == k, F.col("__y"))).alias(f"p{p:g}".replace(".", "_")) for k, p in enumerate(percents)]
     return pairs.groupBy(*by).agg(*out).drop("__all")
 
 

@@ -79,13 +79,27 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_id", after: int =
     return rows.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at") + 1 + after).drop("__part", "__at", "__before")
 
 
-def append_results(results: DataFrame, path: str, order: list[str]) -> None:
-    """Adds to a table that survives re-runs: row_id goes on from the last one there."""
-    spark = results.sparkSession
-    last = 0
-    if exists(spark, f"{path}/*.parquet"):
-        last = spark.read.parquet(path).agg(F.max("row_id")).first()[0] or 0
-    numbered(results, order, after=last).write.mode("append").parquet(path)
+def append_results(results: DataFrame, path: str, run: str) -> None:
+    """Adds the rows of one run to a table that survives re-runs: a folder for each run, which a repeated run replaces.
+
+    A run that failed leaves nothing that readers see (Spark publishes files when the write ends), and
+    writers of different runs don't touch each other's folders.
+    """
+    if "run" in results.columns or "row_id" in results.columns:
+        raise ValueError("run and row_id are given by the table")
+    stored = results.withColumn("run", F.lit(run))
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str, order: list[str]) -> DataFrame:
+    """row_id, run and the columns of schema: all runs, numbered from 1 on in the order of their keys, a run's rows in the order of theirs.
+
+    With keys that ascend (times, numbers of one length) numbers stay what they are when runs are added.
+    """
+    if not exists(spark, f"{path}/run=*"):
+        return spark.createDataFrame([], f"row_id bigint, run string, {schema}")
+    found = spark.read.schema(f"{schema}, run string").parquet(path)
+    return numbered(found, ["run", *order]).select("row_id", "run", *[c for c in found.columns if c != "run"])
 
 
 def output_path(root: str) -> str:

@@ -1,6 +1,7 @@
 """Bases, solves, local refinement, consensus, portable functions."""
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -235,14 +236,25 @@ def test_running_values_across_blocks(spark, monkeypatch):
         assert np.isclose(ema[r.k, r.i], w[r.k], atol=1e-14)
 
 
-def test_numbers_go_on(spark, tmp_path):
-    rows = spark.createDataFrame([(i % 10, f"r{i}") for i in range(50)], "k int, name string").repartition(7)
-    path = str(tmp_path / "results")
-    for _ in range(2):
-        tables.append_results(rows, path, ["k", "name"])
-    found = spark.read.parquet(path).orderBy("row_id").collect()
-    assert [r.row_id for r in found] == list(range(1, 101))
-    assert [(r.k, r.name) for r in found] == sorted((i % 10, f"r{i}") for i in range(50)) * 2
+def test_runs_may_be_repeated(spark, tmp_path):
+    path, schema = str(tmp_path / "results"), "k int, name string"
+    assert tables.read_results(spark, path, schema, ["k"]).collect() == []
+    batch = lambda tag, n: spark.createDataFrame([(i % 10, f"{tag}{i:02d}") for i in range(n)], schema).repartition(7)
+    tables.append_results(batch("x", 50), path, "run-01")
+    first = {(r.run, r.k, r.name): r.row_id for r in tables.read_results(spark, path, schema, ["k", "name"]).collect()}
+    fails = batch("y", 30).withColumn("name", F.when(F.col("k") == 9, F.raise_error(F.lit("lost"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="lost"):
+        tables.append_results(fails, path, "run-02")
+    assert {(r.run, r.k, r.name): r.row_id for r in tables.read_results(spark, path, schema, ["k", "name"]).collect()} == first
+    with ThreadPoolExecutor(2) as pool:  # two writers at once, one of them a repeat
+        list(pool.map(lambda v: tables.append_results(batch(v[0], v[1]), path, v[2]), [("y", 30, "run-02"), ("x", 50, "run-01")]))
+    tables.append_results(batch("y", 30), path, "run-02")
+    found = tables.read_results(spark, path, schema, ["k", "name"]).orderBy("row_id").collect()
+    assert [r.row_id for r in found] == list(range(1, 81))
+    assert [(r.run, r.k, r.name) for r in found] == sorted((f"run-0{1 + (t == 'y')}", i % 10, f"{t}{i:02d}") for t, n in (("x", 50), ("y", 30)) for i in range(n))
+    assert {k: v for k, v in ((tuple(r)[1:], r.row_id) for r in found) if k in first} == first
+    with pytest.raises(ValueError):
+        tables.append_results(batch("z", 1).withColumn("run", F.lit(1)), path, "run-03")
 
 
 def test_ply_of_several_files(spark, tmp_path, monkeypatch):
