@@ -43,22 +43,22 @@ NONE, UNKNOWN = "none", "unknown"
 
 #: Short notices by which the licence families are recognised.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions."),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    "gpl-2": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2."),
-    "gpl-3": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3."),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License."),
-    "agpl": ("This program is licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License version 3"),
-    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
-    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License.", "Licensed under the Eclipse Public License, version 2.0."),
-    "unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "cc0": ("Released under CC0 1.0 Universal public domain dedication.", "To the extent possible under law, the author has waived all copyright under Creative Commons CC0 1.0."),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "This software is distributed under the MIT License, see the LICENSE file.", "The MIT License (MIT)"),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "This project is licensed under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license, see the LICENSE file."),
+    "gpl-2": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2.", "Released under the GNU GPL version 2.", "SPDX-License-Identifier: GPL-2.0-only", "This software is distributed under the GNU General Public License v2."),
+    "gpl-3": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3.", "Released under the GNU GPL version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This software is distributed under the GNU General Public License v3."),
+    "lgpl": ("This library is licensed under the GNU Lesser General Public License.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "Released under the GNU LGPL.", "SPDX-License-Identifier: LGPL-2.1-or-later", "This software is distributed under the Lesser General Public License."),
+    "agpl": ("This program is licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License version 3", "Released under the GNU AGPL.", "SPDX-License-Identifier: AGPL-3.0-or-later", "This software is distributed under the Affero General Public License."),
+    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause", "This software is distributed under the BSD 3-Clause License.", "This project is licensed under the terms of the BSD license."),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This software is distributed under the Mozilla Public License.", "Released under the Mozilla Public License 2.0."),
+    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "This software is distributed under the ISC license.", "This project is licensed under the terms of the ISC license."),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License.", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0", "This software is distributed under the Eclipse Public License.", "Released under the Eclipse Public License 2.0."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "Released under the Unlicense.", "This software is distributed under the Unlicense and is in the public domain."),
+    "cc0": ("Released under CC0 1.0 Universal public domain dedication.", "To the extent possible under law, the author has waived all copyright under Creative Commons CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "Licensed under CC0 1.0 Universal.", "This work is dedicated to the public domain under CC0 1.0."),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "This document is available under CC BY 4.0.", "License: CC BY 4.0", "Content is published under the terms of CC BY 4.0.", "Except where otherwise noted, content is licensed under a Creative Commons Attribution 4.0 license.", "Released under the Creative Commons Attribution 4.0 International license (CC BY 4.0)."),
+    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike 4.0 license.", "Released under the Creative Commons Attribution-ShareAlike 4.0 International license (CC BY-SA 4.0)."),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Content is licensed under a Creative Commons Attribution-NonCommercial 4.0 license.", "Released under the Creative Commons Attribution-NonCommercial 4.0 International license (CC BY-NC 4.0)."),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0", "Content is licensed under a Creative Commons Attribution-NoDerivatives 4.0 license.", "Released under the Creative Commons Attribution-NoDerivatives 4.0 International license (CC BY-ND 4.0)."),
 }
 #: Statements that name no known family.
 UNNAMED = (
@@ -66,6 +66,17 @@ UNNAMED = (
     "Released under our own public license, version 1.", "Distributed under a proprietary license.", "The license may be terminated at any time.",
     "Redistribution in any form is prohibited.", "See the license file for details.", "You may not copy this software.",
 )
+#: Sentences of plain text with words that licences use.
+EVERYDAY = (
+    "The driver lost his license after the accident.", "She renewed her driving license last week.", "A fishing license costs twenty euros a year.",
+    "The bar was granted a liquor license by the city.", "He took some license with the facts in his novel.", "The license plate of the car was covered with mud.",
+    "Teachers need a license to work in this state.", "The company applied for a banking license in June.", "Poetic license allows a writer to bend the rules.",
+    "The library is open to the public on Sundays.", "Copyright law has changed a lot since the last century.", "The software crashed twice while I was using it.",
+    "The court had to decide who owns the copyright of the song.", "Permission to enter the building is given at the front desk.", "The general public knows little of this work.",
+    "The source of the river lies in the northern mountains.", "You may use the bicycle if you bring it back by noon.", "He distributed copies of the program to all the guests.",
+    "The terms of the treaty were made public in March.", "A pilot without a valid license must not fly.", "The station lost its broadcasting license over the scandal.",
+    "Without limitation of time the contest was no longer any fun.", "The artist grants interviews only on her own terms.", "The version of the story that he told us was the third one.",
+)
 #: Words of the above that say nothing of licences, in any of the languages at hand; all others are cues, whatever the sample holds.
 ORDINARY = frozenset("the of and in to is that it for be with by this are at or has all any can may not you only our own see mit nd".split())
 #: Share of the pairs of words, of a line or of a template, that keeps a sampled line out of plain text; and their least number.
@@ -89,6 +100,11 @@ def pairs(tokens: list[str]) -> set[str]:
     return {" ".join(tokens[i : i + 2]) for i in range(len(tokens) - 1)}
 
 
+def _short_runs(tokens: list[str]) -> set[str]:
+    """Runs of two and three words, and words that are a name of their own."""
+    return {g for g in grams(tokens) if " " in g} | {w for w in tokens if w not in ORDINARY and len(w) > 2}
+
+
 def resembles(tokens: list[str]) -> bool:
     """Whether a line holds much of a template, or is much of one."""
     line = pairs(tokens)
@@ -164,6 +180,8 @@ def _examples(plain_lines: list[str], seed: int) -> tuple[list[tuple[int, list[s
     plain = [t for t in plain if not resembles(t)]
     cues = sorted({w for own in [*TEMPLATES.values(), UNNAMED] for x in own for w in words(x) if w not in ORDINARY and len(w) > 1 and not w[0].isdigit()})
     made = [(0, t[:60], i) for i, t in enumerate(plain)] + [(0, [], 1)]
+    for i, x in enumerate(EVERYDAY):
+        made += [(0, t, i) for t in _variants(words(x), plain, r, VARIANTS // 2)]
     # single words of licences also occur in plain text
     loose = [w for w in cues if not re.match("licen|copyright|redistribut|gpl|gnu|apache|mozilla|bsd", w)]
     for i, t in enumerate(plain):
@@ -171,10 +189,12 @@ def _examples(plain_lines: list[str], seed: int) -> tuple[list[tuple[int, list[s
         made.append((0, [*t[:at][-40:], loose[int(r.integers(len(loose)))], *t[at:][:40]], i))
     for i, x in enumerate(UNNAMED):
         made += [(1, t, i) for t in _variants(words(x), plain, r, VARIANTS)]
+    every = {name: set().union(*(_short_runs(words(x)) for x in texts)) for name, texts in TEMPLATES.items()}
+    own = {name: runs.difference(*(other for n, other in every.items() if n != name)) for name, runs in every.items()}
     for k, name in enumerate(sorted(TEMPLATES), 2):
         for i, x in enumerate(TEMPLATES[name]):
-            # a variant is of the family as long as the template check would confirm it
-            made += [(k if _similarity(t, name) >= CONFIRM else 1, t, i) for t in _variants(words(x), plain, r, VARIANTS)]
+            # a variant is of the family as long as it has a run of words that no other family has, or most of a template
+            made += [(k if own[name] & _short_runs(t) or _similarity(t, name) >= CONFIRM else 1, t, i) for t in _variants(words(x), plain, r, VARIANTS)]
     return made, cues
 
 
@@ -197,12 +217,11 @@ def train(plain_lines: list[str], seed: int = 5, steps: int = 300) -> Model:
     scores, truth = np.array([trial.scores(t) for _, t in rest]), [k for k, _ in rest]
     loss = lambda heat: -np.log(np.maximum(1e-12, _softmax(scores / heat)[np.arange(len(truth)), truth])).mean()
     heat = float(min(np.geomspace(0.25, 8, 41), key=loss))
-    others = [(v, t) for v, (k, t) in zip(_softmax(scores / heat), rest) if k < 2]
-    # what passes without being a family must hold its template, too
-    passing = [v[2:].max() for v, t in others if _similarity(t, trial.classes[2 + int(v[2:].argmax())]) >= CONFIRM]
+    # what is no family must not pass by its probability, whatever the template check would say
+    passing = [v[2:].max() for v, (k, _) in zip(_softmax(scores / heat), rest) if k < 2]
     model = _fitted([(k, t) for k, t, _ in made], every, cues, steps)
     model.weights, model.bias = model.weights / heat, model.bias / heat
-    model.threshold = float(next((v for v in np.linspace(0.5, 0.99, 50) if sum(q >= v for q in passing) <= MAX_FALSE * len(others)), 0.99))
+    model.threshold = float(next((v for v in np.linspace(0.2, 0.99, 80) if sum(q >= v for q in passing) <= MAX_FALSE * len(passing)), 0.99))
     return model
 
 
@@ -319,9 +338,11 @@ def _wrapped(every: DataFrame, single: DataFrame, known: DataFrame, model: Model
     joined = joined.filter((F.col("similarity") >= CONFIRM) & (F.col("last") > F.col("line_no")))
     joined = materialise(joined.groupBy("row", "line_no", "last", "family").agg(F.max("similarity").alias("similarity")), "license-stretches")
 
+    # stretches of one template share no line, so each line has a stretch a template at most
     part = joined.select("row", F.col("line_no").alias("first"), "last").distinct()
-    inside = F.col("line_no").between(F.col("first"), F.col("last")) & ~(F.col("across") & (F.col("line_no") == F.col("last")))
-    grams_of = every.join(part, "row").filter(inside).select("row", "first", "last", "gram").distinct()
+    part = part.select("row", "first", "last", F.explode(F.sequence("first", "last")).alias("line_no"))
+    inside = ~(F.col("across") & (F.col("line_no") == F.col("last")))
+    grams_of = every.join(part, ["row", "line_no"]).filter(inside).select("row", "first", "last", "gram").distinct()
     scored = _scores(grams_of, model, ["row", "first", "last"]).withColumnRenamed("first", "line_no")
     good = joined.join(scored.filter(F.col("probability") >= model.threshold), ["row", "line_no", "last", "family"])
     # of stretches that share lines, the longest stays, of equal ones the surest

@@ -73,7 +73,7 @@ def test_selection_at_the_bound(spark):
         rows = m.weigh(d, m.log_ratio(*m.count_grams(d, la, buckets=n))).collect()
         best = sorted(rows, key=lambda r: -r.log_weight)[: len(good)]
         hits.append(sum(r.doc_id in good for r in best) / len(good))
-    assert min(hits) > 0.9 and hits[1] > hits[0] - 0.02
+    assert min(hits) > 0.9 and hits[1] > hits[0] - 0.05
 
 
 def test_draws_k_and_prefers_the_good(spark):

@@ -47,8 +47,9 @@ def test_families(spark, line, family):
 
 def test_many_against_brute_force(spark):
     r = np.random.default_rng(3)
+    # blank lines keep the paragraphs apart: lines next to each other may be one wrapped notice
     lines = PLAIN + [x for own in m.TEMPLATES.values() for x in own] + list(m.UNNAMED)
-    texts = ["\n".join(" ".join(w for w in lines[int(k)].split(" ") if r.random() > 0.1) for k in r.integers(0, len(lines), 5)) for _ in range(60)]
+    texts = ["\n\n".join(" ".join(w for w in lines[int(k)].split(" ") if r.random() > 0.1) for k in r.integers(0, len(lines), 5)) for _ in range(60)]
     texts += [None, "", "\n\n", "license " * 30_000, "ünïcödé Lizenz"]
     docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)] + [(0, texts[0], "", "", ""), (None, texts[1], "", "", "")], SCHEMA)
     found = m.scan(docs, model=MODEL).collect()
@@ -106,7 +107,29 @@ def test_lines_without_a_cue_score_as_an_empty_one():
 
 def test_unseen_templates_are_taken_for_licences():
     n, licence, right = m.unseen_templates(PLAIN)
-    assert n > 100 and licence > 0.8 * n and right > 0.2 * n
+    assert n > 100 and licence > 0.9 * n and right > 0.5 * n
+
+
+def test_plain_sentences_with_licence_words(spark):
+    """Sentences that the fit has not seen, and two licences among them."""
+    lines = ["My sister got her hunting license in May.", "The license of the taxi driver had expired.", "He lost his license again.", "Copyright is a matter of law."]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate([*lines, "Copyright 2021, all rights reserved.", "Redistribution in any form is prohibited."])], SCHEMA)
+    assert {r.doc_id: r.families for r in m.scan(docs, model=MODEL).collect()} == {0: [], 1: [], 2: [], 3: [], 4: ["unknown"], 5: ["unknown"]}
+
+
+def test_calibration_moves_the_threshold():
+    """It depends on the held-out examples, and is not the end of its range."""
+    assert 0.2 < MODEL.threshold < 0.99 and len({round(m.train(PLAIN, seed=s).threshold, 3) for s in (5, 6, 7)}) > 1
+
+
+def test_many_notices_and_long_lines(spark):
+    """Thousands of wrapped notices in one text, and a line of megabytes with a notice in it."""
+    notice = textwrap.wrap(REAL["isc"], 60)
+    many = "\n\n".join("\n".join(notice) for _ in range(2000))
+    long = "the old house " * 100_000 + " Released under the MIT License. " + "by the river " * 100_000
+    docs = spark.createDataFrame([(1, many, "", "", ""), (2, long, "", "", "")], SCHEMA)
+    found = {r.doc_id: (r.families, r.n_paragraphs) for r in m.scan(docs, model=MODEL).collect()}
+    assert found == {1: (["isc"], 2000), 2: (["mit"], 1)}
 
 
 def test_probabilities_are_calibrated():
