@@ -26,7 +26,8 @@ threshold exactly, far less above it).
 Defined cases: null and empty texts, and texts without words, have no shingles,
 are linked with nothing and kept; texts with fewer words than a shingle are one
 shingle; rows that repeat a doc_id are separate rows whose component_id is the
-smallest doc_id among the component; a null doc_id is larger than any other; an
+smallest doc_id among the component; a null doc_id is larger than any other; a text of
+any length is taken whole, its set is one row's array; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -40,8 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import identify, join_counted, lean_rows, materialise, number, small_batches, without_rows
-from .graph import components
+from .common import HOT_SHARE, identify, join_counted, lean_rows, materialise, number, small_batches, without_rows
+from .graph import binary, components
 
 SHINGLE, PERCENT = 5, 80
 K = 48
@@ -50,6 +51,8 @@ LIST = 40
 SIGMAS = 4.5
 #: Smallest common shingles by which dense texts meet; rows and shingles of a block (a longer text is a block of its own size).
 MEETINGS, BLOCK, BLOCK_ITEMS = 6, 128, 1 << 15
+#: Rows that meet a pivot in one task, where it has many.
+PIVOT_ROWS = 1 << 12
 #: Lists of ids up to this length are broadcast to pick texts, longer ones are joined.
 MAX_BROADCAST_IDS = 1 << 20
 
@@ -230,6 +233,28 @@ def _split_items(common: np.ndarray, meetings: int):
     return run
 
 
+def _of_list(members: DataFrame, lists: DataFrame, *columns: str) -> DataFrame:
+    """members with columns of their list (v), which may hold any share of them."""
+    keyed = lists.select(binary("v").alias("__v"), "size", *columns)
+    return join_counted(members.withColumn("__v", binary("v")), keyed, "__v", "size", members.count(), F.col("row")).drop("__v", "size")
+
+
+def compared_to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """compared() for rows and their pivots (row, pivot), of which few may have most of the rows: a pivot's set goes to as many tasks as its rows ask for."""
+    pairs = materialise(pairs, "near-dense-to-pivots")
+    floor = max(2, int(pairs.count() * HOT_SHARE))
+    # at most 1 / HOT_SHARE of them
+    hot = pairs.groupBy("pivot").agg(F.count("*").alias("size")).filter(F.col("size") > floor).select("pivot", F.ceil(F.col("size") / PIVOT_ROWS).cast("int").alias("parts"))
+    hot = materialise(hot, "near-dense-hot-pivots")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(F.broadcast(hot), "pivot", "left").select("row", "pivot", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"))
+    centres = pairs.select("pivot").distinct().join(F.broadcast(hot), "pivot", "left").select("pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    centres = centres.join(sets.select(F.col("row").alias("pivot"), F.col("items").alias("y")), "pivot")
+    both = dealt.join(sets.select("row", F.col("items").alias("x")), "row").join(centres, ["pivot", "part"])
+    both = both.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"), "x", "y", F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.select("a", "b", "common", (F.size("x") + F.size("y") - F.col("common")).alias("every")).distinct()
+
+
 def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """All links among the dense texts (row), exactly; known: links found so far, which save comparisons."""
     own = materialise(sets.join(dense.select("row"), "row", "left_semi").select("row", "items", F.size("items").alias("n")), "near-dense-sets")
@@ -253,15 +278,16 @@ def dense_links(dense: DataFrame, sets: DataFrame, known: DataFrame, percent: in
     # pairs that share none: r + r' <= (1/t - 1) min(h, h'), so each has r <= (1/t - 1) h
     slack = 100 / percent - 1
     members = materialise(per_row.filter((F.col("n") - F.col("h")) <= slack * F.col("h")).select("row", (F.col("n") - F.col("h")).alias("r"), F.col("h"), F.explode("meet").alias("v")), "near-dense-members")
-    pivots = members.groupBy("v").agg(F.min(F.struct("r", "row"))["row"].alias("pivot"))
-    to_pivot = members.join(pivots, "v").filter("row <> pivot").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
-    central = materialise(compared(to_pivot.distinct(), own), "near-dense-central")
+    pivots = materialise(members.groupBy("v").agg(F.min(F.struct("r", "row"))["row"].alias("pivot"), F.count("*").alias("size")), "near-dense-pivots")
+    with_pivot = _of_list(members, pivots, "pivot")
+    central = materialise(compared_to_pivots(with_pivot.filter("row <> pivot").select("row", "pivot").distinct(), own), "near-dense-central")
     near = central.filter(f"100 * common >= {percent} * every").select("a", "b")
     links = materialise(known.unionByName(verified(pairs.select("a", "b").distinct(), own, percent)).unionByName(near).distinct(), "near-dense-links")
 
     labels = components(links)
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    placed = members.join(pivots, "v").join(label("row"), "row", "left").join(label("pivot"), "pivot", "left")
+    pivots = pivots.join(label("pivot"), "pivot", "left")
+    placed = _of_list(members, pivots, "pivot", "pivot_label").join(label("row"), "row", "left")
     apart = F.coalesce("row_label", "row") != F.coalesce("pivot_label", "pivot")
     # distance is a metric: similar texts differ in their distance to the pivot by 1 - t at most
     far = central.select("a", "b", (1 - F.col("common") / F.col("every")).alias("far"))
@@ -321,8 +347,8 @@ def annotate_rows(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     labels = components(links)
 
     named = classes.select("sig", "size", "row", "first_id").join(labels.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "label").select("sig", "size", "component_id")
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")).withColumn("label", binary("label"))
+    named = join_counted(named.withColumn("label", binary("label")), least, "label", "members", classes.count(), F.col("row")).select("sig", "size", "component_id")
     found = join_counted(full.select("row", "doc_id", "n", "sig"), named, "sig", "size", max(1, base.count()), F.col("row")).select("row", "doc_id", "n", "component_id")
     alone = base.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .common import join_counted, lean_rows, materialise, number, small_batches, without_rows
-from .graph import components
+from .graph import binary, components
 
 #: Seed of XXH64.
 SEED = 42
@@ -185,11 +185,6 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(textops.lean(run), "key long, fp long")
 
 
-def _binary(name: str):
-    """A long as 8 bytes, for join_counted."""
-    return F.unhex(F.lpad(F.hex(name), 16, "0"))
-
-
 def star_links(prints: DataFrame) -> DataFrame:
     """a, b: links that join all fingerprints within two bits, by their common one-bit neighbours."""
     one = F.lit(1).cast("long")
@@ -202,7 +197,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """a, b: verified links between fingerprints of nodes (fp, unique) that give all components."""
     keyed = materialise(_keyed(nodes), "simhash-keys")
     sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "simhash-sizes")
-    met = join_counted(keyed.select(_binary("key").alias("key"), "fp"), sizes.select(_binary("key").alias("key"), "size"), "key", "size", keyed.count(), F.col("fp"))
+    met = join_counted(keyed.select(binary("key").alias("key"), "fp"), sizes.select(binary("key").alias("key"), "size"), "key", "size", keyed.count(), F.col("fp"))
     met = materialise(met.filter("size IS NOT NULL").select("key", "fp", "size"), "simhash-met")
     few = met.filter(F.col("size") <= LIST)
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
@@ -216,14 +211,14 @@ def group(rows: DataFrame, shingle: int = 5) -> DataFrame:
     """row, doc_id, fingerprint (hex), component_id, kept of rows (row, doc_id, text)."""
     prints = materialise(fingerprints(rows, shingle), "simhash-prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-nodes")
-    labels = components(links(nodes)).select(F.col("node").alias("fp"), _binary("label").alias("label"))
+    labels = components(links(nodes)).select(F.col("node").alias("fp"), binary("label").alias("label"))
     linked = materialise(labels.join(nodes, "fp"), "simhash-linked")
     firsts = linked.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     named = join_counted(linked.select("fp", "label"), firsts, "label", "members", linked.count(), F.col("fp"))
     # a linked fingerprint without an id of its own takes the component's, one without links its smallest id
     named = nodes.join(named.select("fp", "component_id"), "fp", "left")
-    of_print = named.select(_binary("fp").alias("key"), "n", F.coalesce("component_id", "first_id").alias("component_id"))
-    found = join_counted(prints.select("row", "doc_id", _binary("fp").alias("key")), of_print, "key", "n", prints.count(), F.coalesce("doc_id", "row"))
+    of_print = named.select(binary("fp").alias("key"), "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    found = join_counted(prints.select("row", "doc_id", binary("fp").alias("key")), of_print, "key", "n", prints.count(), F.coalesce("doc_id", "row"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return found.select("row", "doc_id", F.lower(F.hex("key")).alias("fingerprint"), "component_id", kept.alias("kept"))
 

@@ -66,6 +66,7 @@ def test_against_brute_force(spark, size, percent):
 
 @pytest.mark.parametrize(("passage", "most", "items"), [(0, 1 << 20, 1 << 15), (40, 1 << 20, 300), (20, -1, 1 << 15)])
 def test_long_lists_go_the_exact_way(spark, monkeypatch, passage, most, items):
+    monkeypatch.setattr(m, "PIVOT_ROWS", 5)
     monkeypatch.setattr(m, "BLOCK_ITEMS", items)
     monkeypatch.setattr(m, "MAX_BROADCAST_IDS", most)
     monkeypatch.setattr(m, "LIST", 4)
@@ -88,3 +89,47 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert result(spark, [], 3, 85) == []
+
+
+def test_recall_at_the_threshold(spark):
+    """300 pairs of different texts at 85 to 87 %: every one is found, and no text of two pairs is linked."""
+    r, rows, pairs = random.Random(12), [], 0
+    while pairs < 300:
+        one = [f"p{pairs}w{r.randrange(150)}" for _ in range(r.randint(120, 260))]
+        two = list(one)
+        for _ in range(r.randint(3, 7)):
+            two[r.randrange(len(two))] = f"other{r.randrange(10**6)}"
+        a, b = (shingles(" ".join(x), 3) for x in (one, two))
+        if 85 <= 100 * len(a & b) / len(a | b) <= 87:
+            rows += [(2 * pairs, " ".join(one), "", "", ""), (2 * pairs + 1, " ".join(two), "", "", "")]
+            pairs += 1
+    assert [c for _, _, c, _ in sorted(result(spark, rows, 3, 85), key=lambda x: x[0])] == [i // 2 * 2 for i in range(600)]
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    """Stars, chains and a hub with a third of all links: components by hand; no join brings a hub's links to one task."""
+    from sphaera.llm import graph
+
+    r = random.Random(3)
+    links = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1080)] + [(5000, 5001 + i) for i in range(300)] + [(650, 1040)] + [(r.randrange(7000, 9000), r.randrange(7000, 9000)) for _ in range(500)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            one, two = sorted((root(a), root(b)))
+            up[two] = one
+    found = {x.node: x.label for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: root(x) for x in up}
+    edges = spark.createDataFrame([(0, i) for i in range(1, 5000)], "a long, b long").repartition(4)
+    groups = spark.createDataFrame([(0, 7, 4999)], "a long, new_a long, n long")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        sizes = graph._join(edges, "a", groups, "new_a", "n", 4999, graph.F.col("b")).groupBy(graph.F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert sum(x["count"] for x in sizes) == 4999 and max(x["count"] for x in sizes) < 2000
