@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.basis import Term, gradient_sql, harmonic_terms, monomial_terms, penalty, ridge_diagonal
 from ..functions.portable import finite, half_up, hazen, hazen_sql, quantised, quantised_sql, uniform, uniform_sql
 from ..functions.shared import work_path
-from ..operators import analysis, linalg, moments, ransac, score, tables
+from ..operators import analysis, linalg, mesh, moments, ransac, score, tables
 from ..sources import clouds, generators, ply
 from ..streaming import log_stream
 
@@ -422,6 +422,33 @@ def surface_lattice(spark, sf):
     return score.lattice(spark, terms, beta, 1.2, 24)
 
 
+def _mesh_sql(extent: float, levels: int) -> str:
+    """Every edge of the lattice's tetrahedra on which f - 1 changes sign, and the place between its ends."""
+    n = 1 << levels
+    step = 2 * extent / n
+    at = lambda c, d: f"(({c} + {d}) * {step!r} - {extent!r})"
+    f = lambda d: "(" + " + ".join(f"b{k}*{t.sql(*[at(c, x) for c, x in zip('ijk', d)])}" for k, t in enumerate(harmonic_terms(2))) + " - 1.0)"
+    ways = [(m >> 2 & 1, m >> 1 & 1, m & 1) for m in range(1, 8)]
+    axes = ", ".join(f"(SELECT unnest(range(0, {n + 1})) AS {c}) t{c}" for c in "ijk")
+    edge = lambda m, d: f"SELECT {m} AS way, i, j, k, {d[0]} AS di, {d[1]} AS dj, {d[2]} AS dk, {f((0, 0, 0))} AS v, {f(d)} AS w FROM grid, beta WHERE i + {d[0]} <= {n} AND j + {d[1]} <= {n} AND k + {d[2]} <= {n}"
+    place = lambda c: Q(f"({c} + v / (v - w) * d{c}) * {step!r} - {extent!r}", 5)
+    return _FIT + f", grid AS (SELECT i, j, k FROM {axes}), ed AS ({' UNION ALL '.join(edge(4 * d[0] + 2 * d[1] + d[2], d) for d in ways)}) SELECT CAST(((i * {n + 1} + j) * {n + 1} + k) * 8 + way AS BIGINT) AS vertex_id, {place('i')} AS x, {place('j')} AS y, {place('k')} AS z FROM ed WHERE (v < 0) <> (w < 0)"
+
+
+@query(_mesh_sql(1.2, 4))
+def surface_mesh(spark, sf):
+    """Vertices of the fitted surface's triangles."""
+    _, terms, beta = _fitted(spark, sf)
+    return q(mesh.vertices(mesh.triangles(spark, terms, beta, 1.2, 4)), "x", "y", "z", digits=5)
+
+
+@query()
+def mesh_report(spark, sf):
+    """Sizes, Euler number, area and volume of the fitted surface at 64 cells an axis."""
+    _, terms, beta = _fitted(spark, sf)
+    return q(mesh.report(mesh.triangles(spark, terms, beta, 1.2, 6)), "area", "volume", digits=4)
+
+
 @query(f"SELECT r_regionkey AS level_no, {Q('(6 - 2 * r_regionkey) * (7 - 2 * r_regionkey) / 42.0')} AS weight, {Q('(6 - 2 * r_regionkey) * (7 - 2 * r_regionkey) / 42.0')} AS first_weight, CAST(4 - r_regionkey AS DOUBLE) AS manual, CAST(13 - 4 * r_regionkey AS BIGINT) AS n FROM region WHERE r_regionkey <= 3")
 def penalty_diagonal(spark, sf):
     """Sobolev penalty of order 6 by level, from the term vector and from the basis, and one value for each level; level numbers come from a table."""
