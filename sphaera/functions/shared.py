@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def matching(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path or pattern names; local ones as plain paths."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return [re.sub("^file:/+", "/", str(f.getPath().toString())) for f in found or () if f.isFile()]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a work table of the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -75,7 +75,7 @@ def number_first(p: DataFrame, order: str, n: int) -> DataFrame:
     counts = p.groupBy("__block").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = p.withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(order)))
-    out = ranked.join(F.broadcast(before), "__block").withColumn("point_id", F.col("__before") + F.col("__rank") - 1)
+    out = ranked.join(before, "__block").withColumn("point_id", F.col("__before") + F.col("__rank") - 1)
     return out.filter(F.col("point_id") < n).select("point_id", *AXES)
 
 

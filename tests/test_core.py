@@ -257,6 +257,31 @@ def test_runs_may_be_repeated(spark, tmp_path):
         tables.append_results(batch("z", 1).withColumn("run", F.lit(1)), path, "run-03")
 
 
+def test_ply_of_many_splits(spark, tmp_path):
+    """Two files, cut into many tasks: other columns, faces behind the vertices, line ends of two bytes; one of them named twice."""
+    r = np.random.default_rng(4)
+    clouds_of = {}
+    for name, n, end in (("a", 2000, "\n"), ("b", 1500, "\r\n")):
+        p = r.normal(size=(n, 3))
+        head = ["ply", "format ascii 1.0", "comment made by hand", f"element vertex {n}", *[f"property {t}" for t in ("double z", "uchar red", "double x", "double y")], "element face 3", "property list uchar int vertex_indices", "end_header"]
+        rows = [f"{z!r} 7 {x!r} {y!r}" for x, y, z in p.tolist()] + ["3 0 1 2"] * 3
+        (tmp_path / f"{name}.ply").write_bytes(end.join([*head, *rows, ""]).encode())
+        clouds_of[name] = p
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        found = ply.read(spark, [(f"{tmp_path}/*.ply", "both"), (f"{tmp_path}/b.ply", "again")])
+        assert spark.read.text(f"{tmp_path}/a.ply").rdd.getNumPartitions() > 10
+        rows = found.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    both = sorted([(i, *p) for c in clouds_of.values() for i, p in enumerate(c.tolist())])
+    assert sorted((x.point_id, x.x, x.y, x.z) for x in rows if x["name"] == "both") == [(i, *p) for i, *p in both]
+    assert sorted((x.point_id, x.x, x.y, x.z) for x in rows if x["name"] == "again") == [(i, *p) for i, p in enumerate(clouds_of["b"].tolist())]
+
+
 def test_ply_of_several_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ply, "FILE_POINTS", 30)
     c = generators.cube(spark, 100)

@@ -15,7 +15,7 @@ def sphere(radius):
 
 @pytest.mark.parametrize("radius", [0.5, 0.83])
 def test_sphere(spark, radius):
-    row = mesh.report(mesh.triangles(spark, *sphere(radius), 1.0, 5)).first()
+    row = mesh.report(mesh.triangles(spark, *sphere(radius), 1.0, 6)).first()
     assert row.euler == 2 and row.open_edges == 0
     assert abs(row.area / (4 * np.pi * radius**2) - 1) < 0.01 and abs(row.volume / (4 / 3 * np.pi * radius**3) - 1) < 0.01
 
