@@ -43,6 +43,10 @@ from .moments import Moments, degree_of, exponents, moment_sums, refine
 
 #: Points of a block, iterations that share a pass where they can, accepted surfaces after which weights are stored.
 BLOCK, AT_ONCE, KEEP = 1 << 16, 64, 8
+#: The sums of up to so many blocks stay on the driver; those of more are tables, read by parts.
+FEW_BLOCKS = 4096
+#: Sums by block: on the driver, or as a table.
+Sums = list[tuple[int, float]] | DataFrame
 #: Fixed values of the estimator: first weight and its pseudo-score, least score to count as a model.
 FIRST_OMEGA, FIRST_MASS, FIRST_BEST = 0.33, 4.6, 0.13
 _P = 2147483647
@@ -234,8 +238,8 @@ def _raw_pass(blocks: DataFrame, models: list[Model], configs: list[Config], wei
     return out
 
 
-def _local_pass(blocks: DataFrame, models: list[Model], configs: list[Config], weights: dict[int, Weights]) -> tuple[dict[int, np.ndarray], DataFrame]:
-    """For each model the sums named in _LOCAL, and a table of each block's sums of weights (at 0) and soft weights (1) where weights move."""
+def _local_pass(blocks: DataFrame, models: list[Model], configs: list[Config], weights: dict[int, Weights], few: bool) -> tuple[dict[int, np.ndarray], list | DataFrame]:
+    """For each model the sums named in _LOCAL, and rows of each block's sums of weights (at 0) and soft weights (1) where weights move: a table, or with few blocks a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(models), len(_LOCAL)))
@@ -252,10 +256,17 @@ def _local_pass(blocks: DataFrame, models: list[Model], configs: list[Config], w
         yield _batch([(k, None, at, float(v)) for k, own in enumerate(sums) for at, v in enumerate(own)])
 
     spark = blocks.sparkSession
+    own = blocks.select("block", "n", "points", "truth", "weights").mapInArrow(run, _SUMS)
+    out = {k: np.zeros(len(_LOCAL)) for k in range(len(models))}
+    if few:
+        rows = own.collect()
+        for k, block, at, v in rows:
+            if block is None:
+                out[k][at] += v
+        return out, [r for r in rows if r["block"] is not None]
     path = work_path(spark, "consensus-sums")
-    blocks.select("block", "n", "points", "truth", "weights").mapInArrow(run, _SUMS).write.parquet(path)
+    own.write.parquet(path)
     found = spark.read.schema(_SUMS).parquet(path)
-    out = {k: np.zeros(len(_LOCAL)) for k in range(len(models))}
     for k, at, v in found.filter("block IS NULL").groupBy("model", "at").agg(F.sum("value")).collect():
         out[k][at] = v
     return out, found.filter("block IS NOT NULL")
@@ -282,13 +293,13 @@ def _stored_anew(blocks: DataFrame, weights: dict[int, Weights]) -> DataFrame:
 class _Track:
     """What one configuration carries from one iteration to the next."""
 
-    def __init__(self, number: int, c: Config, counts: DataFrame):
+    def __init__(self, number: int, c: Config, counts: Sums):
         self.number, self.c = number, c
         self.penalty = penalty(c.basis, c.order)
         self.w, self.best, self.limit, self.done = c.min_inlier_ratio, FIRST_BEST, float(c.max_iter), 0
         if not c.freeze_iter:
             self.limit = min(self.limit, theoretical_n(self.w, c.sample_size, c.conf))
-        self.sums = counts  # block, s: the blocks' shares of the draws
+        self.sums = counts  # the blocks' shares of the draws
 
     @property
     def open(self) -> bool:
@@ -303,44 +314,54 @@ class _Track:
         return solve(phi.T @ phi, phi.sum(0), len(points), self.c.strength, self.penalty)
 
 
+def _found(own: list[tuple[int, float]], at: np.ndarray) -> list[tuple[int, float, float]]:
+    """For each place among sums in their order (number, sum): the number, the place within it, and its sum."""
+    own = sorted(own)
+    edges = np.cumsum([s for _, s in own])
+    hit = np.minimum(np.searchsorted(edges, at, "right"), len(own) - 1)
+    before = np.concatenate(([0.0], edges))[hit]
+    return [(*own[k][:1], float(a - b), own[k][1]) for k, a, b in zip(hit, at, before)]
+
+
 def _placed(tracks: list[_Track], rounds: dict[int, list[int]]) -> list[tuple[int, int, int, int, float]]:
-    """track, iteration, draw, block and place within it (a number of points, or a share of its weights), from sums of the parts, then of the blocks in the parts that were hit."""
-    spark = tracks[0].sums.sparkSession
+    """track, iteration, draw, block and place within it (a number of points, or a share of its weights) of every draw.
+
+    Where the sums of the blocks are tables, the sums of the cloud's parts come first, then those of the blocks in the parts that were hit.
+    """
+    busy = [t for t in tracks if rounds[t.number]]
+    tables = [t for t in busy if isinstance(t.sums, DataFrame)]
+    by_part: dict[int, list[tuple[int, float]]] = {}
     part = F.shiftright("block", 32)
-    tagged = [t.sums.withColumn("track", F.lit(t.number)) for t in tracks if rounds[t.number]]
-    every = tagged[0]
-    for more in tagged[1:]:
-        every = every.unionByName(more)
-    by_part: dict[int, list] = {}
-    for track, p, s in every.groupBy("track", part.alias("part")).agg(F.sum("s")).collect():
-        by_part.setdefault(track, []).append((p, s))
-    wanted = []
-    for t in tracks:
-        if rounds[t.number]:
-            own = sorted(by_part[t.number])
-            edges = np.cumsum([s for _, s in own])
-            u = draws(t.c.seed, np.array(rounds[t.number]), t.c.sample_size)
-            at = u * edges[-1]
-            if t.c.freeze_omega:
-                at = np.minimum(np.floor(at), edges[-1] - 1)
-            hit = np.minimum(np.searchsorted(edges, at, "right"), len(own) - 1)
-            before = np.concatenate(([0.0], edges))[hit]
-            wanted += [(t.number, i, j, own[hit[a, j]][0], float(at[a, j] - before[a, j])) for a, i in enumerate(rounds[t.number]) for j in range(t.c.sample_size)]
-    hits = spark.createDataFrame(sorted({(t, p) for t, _, _, p, _ in wanted}), "track int, part bigint")
-    by_block: dict[tuple[int, int], list] = {}
-    for track, b, s in every.join(F.broadcast(hits), (every["track"] == hits["track"]) & (part == hits["part"])).select(every["track"], "block", "s").collect():
-        by_block.setdefault((track, b >> 32), []).append((b, s))
-    edges, equal = {}, {t.number: t.c.freeze_omega for t in tracks}
-    for key, own in by_block.items():
-        own.sort()
-        edges[key] = np.cumsum([s for _, s in own])
+    if tables:
+        every = tables[0].sums.withColumn("track", F.lit(tables[0].number))
+        for t in tables[1:]:
+            every = every.unionByName(t.sums.withColumn("track", F.lit(t.number)))
+        for track, p, s in every.groupBy("track", part.alias("part")).agg(F.sum("s")).collect():
+            by_part.setdefault(track, []).append((p, s))
+    places, hits = {}, set()
+    for t in busy:
+        total = sum(s for _, s in (by_part[t.number] if t in tables else t.sums))
+        at = (draws(t.c.seed, np.array(rounds[t.number]), t.c.sample_size) * total).ravel()
+        if t.c.freeze_omega:
+            at = np.minimum(np.floor(at), total - 1)
+        if t in tables:
+            places[t.number] = _found(by_part[t.number], at)
+            hits |= {(t.number, p) for p, _, _ in places[t.number]}
+        else:
+            places[t.number] = _found(t.sums, at)
+    if hits:
+        by_block: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        wanted = tables[0].sums.sparkSession.createDataFrame(sorted(hits), "track int, part bigint")
+        own = every.join(F.broadcast(wanted), (every["track"] == wanted["track"]) & (part == wanted["part"])).select(every["track"], "block", "s")
+        for track, b, s in own.collect():
+            by_block.setdefault((track, b >> 32), []).append((b, s))
+        for t in tables:
+            places[t.number] = [_found(by_block[t.number, p], np.array([at]))[0] for p, at, _ in places[t.number]]
     out = []
-    for t, i, j, p, at in wanted:
-        e = edges[t, p]
-        k = min(int(np.searchsorted(e, at, "right")), len(e) - 1)
-        block, s = by_block[t, p][k]
-        within = at - (float(e[k - 1]) if k else 0.0)
-        out.append((t, i, j, block, within if equal[t] else within / s))
+    for t in busy:
+        k = t.c.sample_size
+        for n, (block, at, s) in enumerate(places[t.number]):
+            out.append((t.number, rounds[t.number][n // k], n % k, block, at if t.c.freeze_omega else at / s))
     return out
 
 
@@ -397,7 +418,10 @@ def run(cloud: DataFrame, configs: list[Config]) -> DataFrame:
         return spark.createDataFrame([], LOG_SCHEMA)
     centre = np.array(middle)
     blocks = blocks_of(cloud, centre)
-    counts = blocks.select("block", F.col("n").cast("double").alias("s"))
+    counts: Sums = blocks.select("block", F.col("n").cast("double").alias("s"))
+    few = blocks.count() <= FEW_BLOCKS
+    if few:
+        counts = [tuple(r) for r in counts.collect()]
     tracks = [_Track(k, c, counts) for k, c in enumerate(configs)]
     moving = [k for k, c in enumerate(configs) if not c.freeze_omega]
     weights = {k: Weights(slot, configs[k]) for slot, k in enumerate(moving)}
@@ -427,7 +451,7 @@ def run(cloud: DataFrame, configs: list[Config]) -> DataFrame:
                     row["singular"] = beta is None
                     if beta is not None:
                         local.append(Model(m.track, m.iteration, disp + m.at, beta))
-        found, block_sums = _local_pass(blocks, local, configs, weights) if local else ({}, None)
+        found, block_sums = _local_pass(blocks, local, configs, weights, few) if local else ({}, None)
         loc_ms = 1000 * (time.perf_counter() - began) / max(1, len(local))
         at = {(m.track, m.iteration): k for k, m in enumerate(local)}
         for t in tracks:
@@ -444,7 +468,7 @@ def run(cloud: DataFrame, configs: list[Config]) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in names) for r in log], LOG_SCHEMA)
 
 
-def _close(t: _Track, i: int, row: dict, mass: float | None, k: int | None, local: list[Model], found: dict, block_sums: DataFrame | None, weights: dict[int, Weights], has_truth: bool, centre: np.ndarray, loc_ms: float) -> None:
+def _close(t: _Track, i: int, row: dict, mass: float | None, k: int | None, local: list[Model], found: dict, block_sums: list | DataFrame | None, weights: dict[int, Weights], has_truth: bool, centre: np.ndarray, loc_ms: float) -> None:
     """Ends an iteration: the gate, then what it leaves to the next."""
     c = t.c
     if not row["pre_score"] >= t.best * c.update_thresh:
@@ -461,8 +485,15 @@ def _close(t: _Track, i: int, row: dict, mass: float | None, k: int | None, loca
     row["loc_ms"] = loc_ms
     if t.number in weights:
         own, score = weights[t.number], row["post_score"]
-        shares = F.sum(F.when(F.col("at") == 0, F.col("value") * own.mass_now).otherwise(F.col("value") * score)).alias("s")
-        t.sums = block_sums.filter(F.col("model") == k).groupBy("block").agg(shares)
+        if isinstance(block_sums, list):
+            sums: dict[int, float] = {}
+            for model, block, at, v in block_sums:
+                if model == k:
+                    sums[block] = sums.get(block, 0.0) + v * (score if at else own.mass_now)
+            t.sums = list(sums.items())
+        else:
+            shares = F.sum(F.when(F.col("at") == 0, F.col("value") * own.mass_now).otherwise(F.col("value") * score)).alias("s")
+            t.sums = block_sums.filter(F.col("model") == k).groupBy("block").agg(shares)
         own.since.append((m.at, m.beta, score))
     t.best = max(t.best, row["post_score"])
 
