@@ -78,10 +78,12 @@ def by_blocks(log: DataFrame, keys: list[str], order: str, sums: dict[str, Colum
     w = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     fold = {"max": F.max, "min": F.min}
     own = [*keys, "__block"]
-    names = [f"__of{n}" for n in range(len(own))]  # nulls are a key, too, so this is no join by equal names
-    before = blocks.select(*[F.col(k).alias(n) for k, n in zip(own, names)], *[fold.get(n.split("_")[0], F.sum)(n).over(w).alias(n) for n in sums])
-    both = log.join(before, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(own, names)], "left")
-    return both.drop(*names), own
+    # each block gets its sums by a row of its own, which costs no join: rows meet by block anyway
+    carried = blocks.select(*own, *[fold.get(n.split("_")[0], F.sum)(n).over(w).alias(n) for n in sums], F.lit(True).alias("__carrier"))
+    both = log.withColumn("__carrier", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    block = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumns({n: F.max(n).over(block) for n in sums}).filter("NOT __carrier")
+    return both.select(*log.columns, *sums), own
 
 
 def running(log: DataFrame, keys: list[str], order: str, value: str, floor: float) -> DataFrame:
