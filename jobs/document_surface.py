@@ -1,10 +1,10 @@
-"""Batch job: documents far from the surface that most documents lie near.
+"""Batch job: documents that lie outside the surface around most documents.
 
-Each text becomes a point: logarithm of its length, mean length of its words, logarithm of
+Each text becomes a point: logarithms of its length, of the mean length of its words and of
 its mean line length. The cloud is centred and scaled, an implicit surface is fitted to it
 with a Sobolev ridge, and every document gets its residual, soft weight and signed distance.
-Texts of odd shape (tables, lists of names, junk) stand out by large residuals. The scores are
-written by source, replacing the folders of the sources that the input holds; a report a source
+Usual texts lie within the surface or near it; texts of odd shape (tables, lists of names, junk) lie
+outside, with large positive distances. The scores are written by source, replacing the folders of the sources that the input holds; a report a source
 compares inliers with the labelled quality.
 
     python -m jobs.document_surface --documents DIR --labels DIR --out DIR [--config FILE]
@@ -40,7 +40,7 @@ def features(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     n = F.length(text)
     without = lambda c: (1 + n - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double")
-    x, y, z = F.log(1.0 + n), n / without(" "), F.log(1.0 + n / without("\n"))
+    x, y, z = F.log(1.0 + n), F.log(1.0 + n / without(" ")), F.log(1.0 + n / without("\n"))
     return docs.select(F.col("doc_id").cast("long").alias("point_id"), F.nullif("source", F.lit("")).alias("source"), x.alias("x"), y.alias("y"), z.alias("z"))
 
 
@@ -64,6 +64,8 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: dict
     log.info("read %d documents of %s", read, documents)
     cloud, terms = clouds.normalised(points), harmonic_terms(config["order"])
     beta = linalg.fit(cloud, terms, config["strength"], config["order"])
+    if not read:  # the tables are written, without rows
+        beta = [0.0] * len(terms)
     if beta is None:
         raise ValueError("the documents don't determine a surface; set a strength above 0")
     log.info("surface of order %d: %s", config["order"], [round(float(b), 6) for b in beta])

@@ -80,6 +80,8 @@ class Gram:
 def solve(matrix: np.ndarray, moment: np.ndarray, rows: float, strength: float = 0.0, weights: np.ndarray | None = None) -> np.ndarray | None:
     """Coefficients of (G + strength rows diag(weights)) beta = m, weights one if none; None if the matrix is singular and unpenalised."""
     n = len(moment)
+    if not rows:
+        return None
     if strength:
         matrix = matrix + strength * rows * np.diag(np.ones(n) if weights is None else weights)
     elif np.linalg.matrix_rank(matrix, hermitian=True) < n:

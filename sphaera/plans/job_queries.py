@@ -36,7 +36,7 @@ _TEXT = "coalesce(text, '')"
 _WITHOUT = f"CAST(1 + length({_TEXT}) - length(replace({_TEXT}, {{}}, '')) AS DOUBLE)"
 _POINTS = (
     f"SELECT doc_id AS point_id, nullif(source, '') AS source, ln(1.0 + length({_TEXT})) AS x, "
-    f"length({_TEXT}) / {_WITHOUT.format(chr(39) + ' ' + chr(39))} AS y, ln(1.0 + length({_TEXT}) / {_WITHOUT.format('chr(10)')}) AS z FROM documents"
+    f"ln(1.0 + length({_TEXT}) / {_WITHOUT.format(chr(39) + ' ' + chr(39))}) AS y, ln(1.0 + length({_TEXT}) / {_WITHOUT.format('chr(10)')}) AS z FROM documents"
 )
 _NUMBERS = ("x", "y", "z", "r", "soft", "sdf")
 _RATIO = "(CASE WHEN tp + {0} = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + {0}) END)"

@@ -63,13 +63,18 @@ def _with_blocks(log: DataFrame, state: DataFrame | None = None, **aggregates: C
     blocks = log.groupBy("config", "__block").agg(*[c.alias(n) for n, c in aggregates.items()], F.count("*").alias("__rows"))
     w = Window.partitionBy("config").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     names = list(aggregates)
-    before = blocks.select(F.col("config").alias("__config"), F.col("__block").alias("__at"), *[_FOLD[n.split("_")[0]](n).over(w).alias(n) for n in names])
+    before = blocks.select("config", "__block", *[_FOLD[n.split("_")[0]](n).over(w).alias(n) for n in names])
     if state is not None:
         own = [c for c in state.columns if c != "config"]
         start = state.select(F.col("config").alias("__of"), *[F.col(c).alias(f"start_{c}") for c in own])
-        before = before.join(start, F.col("__config").eqNullSafe(F.col("__of")), "left").drop("__of")
-    on = F.col("config").eqNullSafe(F.col("__config")) & F.col("__block").eqNullSafe(F.col("__at"))
-    return log.join(before, on, "left").drop("__config", "__at"), Window.partitionBy("config", "__block").orderBy("iter")
+        before = before.join(start, F.col("config").eqNullSafe(F.col("__of")), "left").drop("__of")
+        names += [f"start_{c}" for c in own]
+    # a row of its own brings a block what comes before it, as its rows meet anyway
+    both = log.withColumn("__carrier", F.lit(False)).unionByName(before.withColumn("__carrier", F.lit(True)), allowMissingColumns=True)
+    block = Window.partitionBy("config", "__block").orderBy("iter")
+    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumns({n: F.max(n).over(whole) for n in names}).filter("NOT __carrier")
+    return both.select(*log.columns, *names), block
 
 
 def _least_rows(share: Column, rule: Rule) -> Column:

@@ -134,7 +134,7 @@ def test_surface_of_documents(spark, tmp_path):
     assert sorted(map(tuple, document_surface.read_all(spark, paths[2], [50, 95]).collect()), key=str) == found
     rows = document_surface.read_scores(spark, paths[2]).collect()
     assert {r.source for r in rows} == {"web", "book/1", None, "odd"}
-    assert max(rows, key=lambda r: r.r).point_id == 902  # one word of 300,000 letters
+    assert max(rows, key=lambda r: r.sdf).point_id == 902  # one word of 300,000 letters
     known = {r.point_id: r.good for r in rows if r.point_id is not None and r.point_id != 7}
     assert known[12] is True and known[3] is True and known[4] is False and known[250] is None
     # only the folders of the sources in the input are replaced
