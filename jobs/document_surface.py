@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from jobs.command import log, main, settings
 from sphaera.functions.basis import harmonic_terms
-from sphaera.functions.portable import hazen
+from sphaera.functions.portable import hazen, quantised
 from sphaera.functions.shared import work_path
 from sphaera.operators import linalg, score
 from sphaera.sources import clouds
 
 CONFIG = "document_surface.json"
+#: Decimals of the numbers that are written.
+DIGITS = 9
 SCORES = "point_id bigint, x double, y double, z double, r double, soft double, sdf double, inlier boolean, good boolean, source string"
 
 
@@ -48,7 +50,7 @@ def _report(scores: DataFrame, percents: list[float]) -> DataFrame:
     """A row per source: points, inliers, mean square, percentiles of the residual, confusion of inliers with good documents."""
     part = scores.withColumn("part", F.coalesce("source", F.lit("")))
     square = F.col("r") * F.col("r")
-    sums = part.groupBy("part").agg(F.count("*").alias("n_points"), F.count_if("inlier").alias("n_inliers"), F.avg(square).alias("mse_all"))
+    sums = part.groupBy("part").agg(F.count("*").alias("n_points"), F.count_if("inlier").alias("n_inliers"), quantised(F.avg(square), DIGITS).alias("mse_all"))
     counted = score.confusion(part, F.col("good"), F.col("inlier"), ["part"])
     return sums.join(counted, "part").join(hazen(part, ["part"], "r", percents), "part", "left").withColumnRenamed("part", "source")
 
@@ -72,8 +74,9 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: dict
     scored = score.with_distance(score.with_residual(cloud, terms, beta, config["threshold"], config["sigma"]), terms, beta)
     truth = spark.read.parquet(labels).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg((F.max("quality") == 1).alias("good"))
     scored = scored.join(truth, F.col("point_id") == F.col("__doc"), "left")
-    names = [c.split()[0] for c in SCORES.split(", ")]
-    scored.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{out}/scores")
+    # sums differ in their last digits with the order of tasks; what is written is the same in every run
+    kinds = [c.split() for c in SCORES.split(", ")]
+    scored.select(*[quantised(F.col(c), DIGITS).alias(c) if t == "double" else F.col(c) for c, t in kinds]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{out}/scores")
     scores = read_scores(spark, out)
     _report(scores, config["percents"]).write.mode("overwrite").json(f"{out}/report")
     written = scores.count()
