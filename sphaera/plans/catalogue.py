@@ -835,7 +835,7 @@ def _labelled(spark, sf: str) -> DataFrame:
     return cloud_of(spark, sf).withColumn("gt", F.col("label") >= 5)
 
 
-_FROZEN = [ransac.Config(config_id=i, order=o, k_mult=1.4, strength=v, max_iter=60, conf=0.95, thresh=THRESH, freeze_w=True, freeze_iter=True, freeze_omega=True) for i, (o, v) in enumerate(((4, 0.0), (4, 2e-3), (6, 2e-3), (6, 1e-2)))]
+_FROZEN = [ransac.Config(config_id=i, order=o, k_mult=1.4, strength=v, max_iter=60, conf=0.95, thresh=THRESH, freeze_w=True, freeze_iter=True, freeze_omega=True) for i, (o, v) in enumerate(((2, 2e-3), (4, 2e-3), (6, 2e-3), (6, 1e-2)))]
 _ADAPTIVE = [ransac.Config(config_id=i, order=4, k_mult=k, strength=2e-3, max_iter=12, thresh=0.55, update_thresh=0.6, freeze_iter=f) for i, (k, f) in enumerate(((1.0, True), (1.2, True), (1.2, False)))]
 
 
